@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_classes
 from .line_dedup import MIN_WORDS, line_dedup
 
 
@@ -17,8 +18,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, with_counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
 }
 
 ORACLES = {
