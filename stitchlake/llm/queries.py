@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import leaks
 from .jaccard_join import jaccard_classes
 from .line_dedup import MIN_WORDS, line_dedup
 
@@ -22,12 +23,41 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op8_decontamination": op8_decontamination,
 }
 
+#: Words of a text as lower-case (A-Z) strings, and its distinct 5-word shingles, in DuckDB.
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+')"
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    return f"""(SELECT DISTINCT {key}, s FROM (SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+        ELSE list_transform(generate_series(1, len(w) - 4), lambda i: w[i:i + 4]) END) AS s FROM (SELECT {key}, {_WORDS_SQL} AS w FROM {table})))"""
+
+
 ORACLES = {
+    "op3_jaccard_join": f"""
+WITH RECURSIVE sh AS MATERIALIZED {_shingles_sql("documents", "doc_id")},
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op8_decontamination": f"""
+WITH d AS {_shingles_sql("documents", "doc_id")}, b AS {_shingles_sql("benchmark", "item_id")},
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT d.doc_id, b.item_id, max(n.n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / max(n.n) AS containment
+FROM d JOIN b ON d.s = b.s JOIN n ON n.item_id = b.item_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * max(n.n)
+""",
     "op2_line_dedup": f"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM raw),
