@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontam import leaks
 from .jaccard_join import jaccard_classes
 from .line_dedup import MIN_WORDS, line_dedup
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_packing": op5_packing,
     "op8_decontamination": op8_decontamination,
 }
 
