@@ -77,32 +77,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 FAN_IN = 32
 
 
-def _add(width: int):
+def _add(width: int, dtype: str):
     def run(pdf):
         import numpy as np
 
         total = np.zeros(width, dtype=np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, dtype="<u8")
-        return pdf.head(1)[["seg", "part"]].assign(part=pdf["part"].iloc[0] // FAN_IN, counts=[total.astype("<u8").tobytes()])
+            total += np.frombuffer(x, dtype=dtype)
+        total = np.minimum(total, np.iinfo(dtype).max)
+        return pdf.head(1)[["seg", "part"]].assign(part=pdf["part"].iloc[0] // FAN_IN, counts=[total.astype(dtype).tobytes()])
 
     return run
 
 
-def sum_vectors(rows: DataFrame, width: int, segments: int):
+def sum_vectors(rows: DataFrame, width: int, segments: int, dtype: str = "<u8"):
     """Sum of fixed-size count vectors given as rows (seg int, part int, counts binary of ``width``
-    unsigned 64-bit numbers); part numbers the sending task. Adds in a tree of fixed fan-in; the
+    numbers of ``dtype``, at whose
+    largest value sums stop); part numbers the sending task. Adds in a tree of fixed fan-in; the
     driver receives one vector of ``width * segments`` numbers, whatever the input."""
     import numpy as np
     from pyspark.sql import functions as F
 
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        rows = rows.groupBy("seg", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInPandas(_add(width), "seg int, part int, counts binary")
+        rows = rows.groupBy("seg", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInPandas(_add(width, dtype), "seg int, part int, counts binary")
         parts = -(-parts // FAN_IN)
         if parts == 1:
             break
     out = np.zeros(width * segments, dtype=np.uint64)
     for r in rows.toLocalIterator():
-        out[r["seg"] * width : (r["seg"] + 1) * width] = np.frombuffer(r["counts"], dtype="<u8")
+        out[r["seg"] * width : (r["seg"] + 1) * width] = np.frombuffer(r["counts"], dtype=dtype)
     return out

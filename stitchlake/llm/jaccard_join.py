@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, materialize
+from ._store import components, materialize, sum_vectors
 from ._text import blocks, column, shingle_hashes, split_words, word_hashes
 
 WORDS = 5
@@ -47,7 +47,8 @@ THRESHOLD_PCT = 80
 SKETCH, SEGMENT = 1 << 21, 1 << 15
 #: Most subsets that a light set may list.
 MOST_SUBSETS = 128
-_FAN_IN = 32
+#: Most (node, id) rows that are broadcast to pick texts where they are read; beyond it both sides shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
 def overlap_needed(n: int, m: int, pct: int = THRESHOLD_PCT) -> int:
@@ -124,29 +125,6 @@ def _first_pass(text_col: str, id_col: str, words: int):
     return run
 
 
-def _sum_counts(pdf):
-    total = np.zeros(SEGMENT, dtype=np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(x, dtype="<u4")
-    total = np.minimum(total, 2**32 - 1).astype("<u4")
-    return pdf.head(1)[["seg", "part"]].assign(part=pdf["part"].iloc[0] // _FAN_IN, counts=[total.tobytes()])
-
-
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the workers' counters, in a tree of fixed fan-in; the driver gets 8 MB at most."""
-    rows = rows.filter("seg is not null").select("seg", "part", "counts")
-    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        rows = rows.groupBy("seg", (F.col("part") / _FAN_IN).cast("int").alias("up")).applyInPandas(_sum_counts, "seg int, part int, counts binary")
-        parts = -(-parts // _FAN_IN)
-        if parts == 1:
-            break
-    out = np.zeros(SKETCH, dtype=np.uint32)
-    for r in rows.toLocalIterator():
-        out[r["seg"] * SEGMENT : (r["seg"] + 1) * SEGMENT] = np.frombuffer(r["counts"], dtype="<u4")
-    return out
-
-
 def _entries(text_col: str, words: int, pct: int, boundary: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -236,7 +214,7 @@ def jaccard_classes(
     first = materialize(
         rows.mapInArrow(_first_pass("text", "id", words), "id long, node long, n long, seg int, part int, counts binary"), "sets"
     )
-    sketch = _sketch(first)
+    sketch = sum_vectors(first.filter("seg is not null").select("seg", "part", "counts"), SEGMENT, SKETCH // SEGMENT, "<u4").astype(np.uint32)
     members = first.filter("seg is null").select("id", "node", "n")
     total = int(sketch.sum(dtype=np.int64))
     boundary = light_boundary(total / SKETCH, pct)
@@ -260,25 +238,21 @@ def jaccard_classes(
     star = one.join(pivot.select("elem", F.col("p.node").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yp")), "elem")
     tried = materialize(_pairs(star.filter((F.col("x") != F.col("y")) & _possible(pct))), "pairs")
 
-    listed = lists.select("node").distinct()
-    source = members.join(listed, "node").groupBy("node").agg(F.min("id").alias("id"))
-    null_ids = members.join(listed, "node").filter("id is null").limit(1).count()
-    texts = rows.join(source.filter("id is not null"), "id").select("node", "text")
-    hashes = texts.mapInArrow(_hashed("text", words), "node long, hashes binary")
-    if null_ids or _ids_repeat(members):
-        # ids that are absent or not unique do not say which text a node has: hash every row
-        hashes = rows.mapInArrow(_hashed_all("text", words), "node long, hashes binary").join(listed, "node", "left_semi")
-    hashes = materialize(hashes.dropDuplicates(["node"]), "hashes")
-
-    links = materialize(_verified(tried, hashes, pct), "links")
+    repeated = _ids_repeat(members)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return materialize(_verified(pairs, _hashes(rows, members, wanted, words, repeated), pct), "links")
+
+    links = linked(tried)
     label = components(links)
     of = one.join(label.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     apart = of.groupBy("elem").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("elem")
     rest = materialize(of.join(apart, "elem"), "rest")
     other = rest.select("elem", F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("xp").alias("yp"), F.col("component").alias("yc"))
     cross = rest.join(other, "elem").filter((F.col("x") < F.col("y")) & (F.col("component") != F.col("yc")) & _possible(pct))
-    more = _pairs(cross).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(_verified(more, hashes, pct), "links"))
+    more = materialize(_pairs(cross).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(linked(more))
     label = components(links)
 
     nodes = members.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
@@ -291,7 +265,19 @@ def jaccard_classes(
 
 
 def _ids_repeat(members: DataFrame) -> bool:
-    return bool(members.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count())
+    """Whether an id is null or not unique, and so does not say which text a node has."""
+    return bool(members.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1 or id is null").limit(1).count())
+
+
+def _hashes(rows: DataFrame, members: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(node, hashes) of the wanted nodes, each from one of its documents."""
+    if repeated:
+        made = rows.mapInArrow(_hashed_all("text", words), "node long, hashes binary")
+        return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "hashes")
+    source = materialize(members.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")), "source")
+    if source.count() <= BROADCAST_ROWS:
+        source = F.broadcast(source)
+    return materialize(rows.join(source, "id").select("node", "text").mapInArrow(_hashed("text", words), "node long, hashes binary"), "hashes")
 
 
 def _hashed_all(text_col: str, words: int):

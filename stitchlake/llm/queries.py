@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontam import leaks
 from .jaccard_join import jaccard_classes
+from .language_id import identify
 from .line_dedup import MIN_WORDS, line_dedup
 from .packing import pack
 
@@ -32,11 +33,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
 }
 
 #: Words of a text as lower-case (A-Z) strings, and its distinct 5-word shingles, in DuckDB.
