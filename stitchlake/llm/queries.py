@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .decontam import leaks
 from .jaccard_join import jaccard_classes
 from .language_id import identify
+from .license_scan import scan_licenses
 from .line_dedup import MIN_WORDS, line_dedup
 from .packing import pack
+from .quality_rules import ledger, passes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger(_table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select(*base, (~passes("base/1")).alias("base_failed"), passes().alias("kept"), "fail_bits")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: Words of a text as lower-case (A-Z) strings, and its distinct 5-word shingles, in DuckDB.
