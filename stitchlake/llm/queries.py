@@ -12,6 +12,8 @@ from .license_scan import scan_licenses
 from .line_dedup import MIN_WORDS, line_dedup
 from .packing import pack
 from .quality_rules import ledger, passes
+from .token_codec import read_tokens, write_tokens
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +51,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(write_archives(_table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
@@ -69,6 +82,14 @@ def _shingles_sql(table: str, key: str) -> str:
 
 
 ORACLES = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+""",
     "op3_jaccard_join": f"""
 WITH RECURSIVE sh AS MATERIALIZED {_shingles_sql("documents", "doc_id")},
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
