@@ -81,19 +81,21 @@ def _add(width: int, dtype: str):
     def run(pdf):
         import numpy as np
 
-        total = np.zeros(width, dtype=np.uint64)
+        whole = np.issubdtype(dtype, np.integer)
+        total = np.zeros(width, dtype=np.uint64 if whole else np.float64)
         for x in pdf["counts"]:
             total += np.frombuffer(x, dtype=dtype)
-        total = np.minimum(total, np.iinfo(dtype).max)
+        if whole:
+            total = np.minimum(total, np.iinfo(dtype).max)
         return pdf.head(1)[["seg", "part"]].assign(part=pdf["part"].iloc[0] // FAN_IN, counts=[total.astype(dtype).tobytes()])
 
     return run
 
 
 def sum_vectors(rows: DataFrame, width: int, segments: int, dtype: str = "<u8"):
-    """Sum of fixed-size count vectors given as rows (seg int, part int, counts binary of ``width``
-    numbers of ``dtype``, at whose
-    largest value sums stop); part numbers the sending task. Adds in a tree of fixed fan-in; the
+    """Sum of fixed-size vectors given as rows (seg int, part int, counts binary of ``width``
+    numbers of ``dtype``; sums of
+    integers stop at its largest value); part numbers the sending task. Adds in a tree of fixed fan-in; the
     driver receives one vector of ``width * segments`` numbers, whatever the input."""
     import numpy as np
     from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ def sum_vectors(rows: DataFrame, width: int, segments: int, dtype: str = "<u8"):
         parts = -(-parts // FAN_IN)
         if parts == 1:
             break
-    out = np.zeros(width * segments, dtype=np.uint64)
+    out = np.zeros(width * segments, dtype=np.uint64 if np.issubdtype(dtype, np.integer) else np.float64)
     for r in rows.toLocalIterator():
         out[r["seg"] * width : (r["seg"] + 1) * width] = np.frombuffer(r["counts"], dtype=dtype)
     return out

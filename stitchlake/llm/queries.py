@@ -10,6 +10,7 @@ from .jaccard_join import jaccard_classes
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import MIN_WORDS, line_dedup
+from .lm_score import pseudo_likelihood
 from .packing import pack
 from .quality_rules import ledger, passes
 from .token_codec import read_tokens, write_tokens
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, with_counts=True).select("doc_id", "n_lines", "n_removed", "text")
@@ -61,6 +66,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_warc": op4_warc,
