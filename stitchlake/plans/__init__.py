@@ -1,4 +1,4 @@
 """Registered queries of the spatial operators, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, geometry, joins, ordered, solving  # noqa: F401
+from ._base import ORACLES, QUERIES  # noqa: F401
