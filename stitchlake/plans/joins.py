@@ -132,9 +132,10 @@ SELECT cx, cy, k FROM c JOIN tiles ON cx * 128 < u0 AND l0 < cx * 128 + 128 AND
 def q_cell_tile_join(spark, sf):
     """Output cells with the tiles that reach into them: a tile names its cells, no join is needed."""
     t = tiles(spark, sf)
-    for d, n in ((0, 10), (1, 100)):
+    for d in range(2):
         first, last = F.floor(F.col(f"l{d}") / 128), F.ceil(F.col(f"u{d}") / 128) - 1
-        t = t.withColumn("cx" if d == 0 else "cy", F.explode(F.filter(F.sequence(first, last), lambda c, n=n: c < n)))
+        name, n = ("cx", 10) if d == 0 else ("cy", 100)
+        t = t.withColumn(name, F.explode(F.sequence(first, last))).filter(F.col(name) < n)
     return t.select("cx", "cy", "k")
 
 
