@@ -1 +1,122 @@
-"""Filled below."""
+"""Windows, top-k, slices and grids (survey 2.5, 2.8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import spatial as S
+from ..operators import volume as V
+from ._base import EVT, PTS, TILES, evt, pts, query, r6, table, tiles
+from .geometry import _global_rank
+
+
+@query(f"""WITH {EVT}, s AS (SELECT view_id, count(*) AS n FROM evt GROUP BY view_id), m AS (SELECT max(n) AS mx FROM s),
+r AS (SELECT event_id, view_id, row_number() OVER (PARTITION BY view_id ORDER BY x DESC, event_id) AS r FROM evt)
+SELECT event_id, view_id FROM r JOIN s USING (view_id), m WHERE r <= CASE WHEN round_even(100.0::DOUBLE * n / mx, 0) BETWEEN 1 AND n - 1 THEN round_even(100.0::DOUBLE * n / mx, 0) ELSE n END""")
+def q_topn_scaled(spark, sf):
+    """Brightest points of each view, their number in proportion to the view's size. No view keeps
+    more than its share of 100, so the rank is pruned there before the shuffle."""
+    e = evt(spark, sf)
+    sizes = e.groupBy("view_id").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n").alias("mx"))
+    keep = F.rint(100.0 * F.col("n") / F.col("mx"))
+    sizes = sizes.join(F.broadcast(most)).select("view_id", F.when(keep.between(1, F.col("n") - 1), keep).otherwise(F.col("n")).alias("keep"))
+    r = F.row_number().over(Window.partitionBy("view_id").orderBy(F.desc("x"), "event_id"))
+    return e.withColumn("r", r).join(sizes, "view_id").filter("r <= keep").select("event_id", "view_id")
+
+
+_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+
+
+@query(f"""WITH {PTS}, c AS (SELECT a.vec_id AS ia, b.vec_id AS ib, {_D2} AS d2 FROM pts a JOIN pts b ON b.label = a.label + 1 AND {_D2} <= 40000),
+r AS (SELECT *, row_number() OVER (PARTITION BY ia ORDER BY d2, ib) AS r FROM c), t AS (SELECT ia, max(CASE WHEN r = 1 THEN ib END) AS ib, max(CASE WHEN r = 1 THEN d2 END) AS best, max(CASE WHEN r = 2 THEN d2 END) AS second FROM r WHERE r <= 2 GROUP BY ia)
+SELECT ia, ib, round(best, 6) AS best FROM t WHERE best * 1.5 < second""")
+def q_ratio_test(spark, sf):
+    p = pts(spark, sf)
+    a = p.select(F.col("vec_id").alias("ia"), "label", "x", "y", "z")
+    b = p.select(F.col("vec_id").alias("ib"), (F.col("label") - 1).alias("label"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    c = S.radius_join(a, b, ["x", "y", "z"], ["bx", "by", "bz"], 200.0, on=["label"]).select("ia", "ib", F.col("__d2").alias("d2"))
+    return S.ratio_test(c, ["ia"], "d2", "ib", 1.5).select("ia", "ib", F.round("best", 6).alias("best"))
+
+
+_DAY = "d AS (SELECT CAST(day(ts) AS INTEGER) AS i, avg(value) AS v FROM events GROUP BY 1)"
+
+
+@query(f"WITH {_DAY} SELECT i, round(v - lag(v) OVER (ORDER BY i), 6) + 0.0 AS slope, round((v - lag(v, 5) OVER (ORDER BY i)) / 5, 6) + 0.0 AS wide FROM d")
+def q_slope(spark, sf):
+    d = table(spark, sf, "events").groupBy(F.dayofmonth("ts").alias("i")).agg(F.avg("value").alias("v"))
+    w = Window.orderBy("i")
+    return d.select("i", r6(F.col("v") - F.lag("v").over(w), "slope"), r6((F.col("v") - F.lag("v", 5).over(w)) / 5, "wide"))
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS c, o_orderkey // 200 AS s FROM orders), i AS (SELECT c, s, s - row_number() OVER (PARTITION BY c ORDER BY s) AS island FROM k)
+SELECT c, min(s) AS first, max(s) AS last, CAST(min(s) AS VARCHAR) || ' >-> ' || CAST(max(s) AS VARCHAR) AS label FROM i GROUP BY c, island""")
+def q_islands(spark, sf):
+    k = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.floor(F.col("o_orderkey") / 200).alias("s")).distinct()
+    island = F.col("s") - F.row_number().over(Window.partitionBy("c").orderBy("s"))
+    out = k.withColumn("island", island).groupBy("c", "island").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    return out.select("c", "first", "last", F.format_string("%d >-> %d", "first", "last").alias("label"))
+
+
+@query(f"WITH {TILES} SELECT grp, min(k) AS k, min_by(l0, k) AS l0 FROM tiles GROUP BY grp")
+def q_representative(spark, sf):
+    return tiles(spark, sf).groupBy("grp").agg(F.min("k").alias("k"), F.min_by("l0", "k").alias("l0"))
+
+
+@query("SELECT o_custkey AS view_id, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS point_id FROM orders")
+def q_positional_ids(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("view_id"), F.col("o_orderkey").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("point_id"))
+
+
+@query("SELECT s_nationkey AS grp, string_agg('z' || s_suppkey, ',' ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1")
+def q_natural_sort(spark, sf):
+    """Names in the order of the numbers in them."""
+    named = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("grp"), F.concat(F.lit("z"), "s_suppkey").alias("name"))
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    out = named.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), F.col("name")))).alias("s"))
+    return out.select("grp", F.array_join(F.transform("s", lambda v: v["name"]), ",").alias("names"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders QUALIFY i >= 100 AND i < 350")
+def q_slice(spark, sf):
+    """Rows [100, 350) in key order."""
+    ranked = _global_rank(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return ranked.withColumn("i", (F.col("rank") - 1).cast("long")).filter("i >= 100 AND i < 350").select("o_orderkey", "i")
+
+
+@query("""WITH b AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) * 3 AS n FROM part), c AS (SELECT k, n, unnest(generate_series(0, 6)) AS i FROM b)
+SELECT k, i, greatest(i * (n // 7) + least(i, n % 7) - 4, 0) AS lo, least((i + 1) * (n // 7) + least(i + 1, n % 7) + 4, n) AS hi FROM c WHERE n // 7 + (CASE WHEN i < n % 7 THEN 1 ELSE 0 END) > 0""")
+def q_chunk_halo(spark, sf):
+    """Seven near-equal parts with a halo of 4, empty parts left out."""
+    n = F.col("n")
+    b = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size").cast("long") * 3).alias("n"))
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    edge = lambda i: i * F.floor(n / 7) + F.least(i, n % 7)
+    lo, hi = edge(F.col("i")), edge(F.col("i") + 1)
+    return b.filter(hi > lo).select("k", "i", F.greatest(lo - 4, F.lit(0)).cast("long").alias("lo"), F.least(hi + 4, n).alias("hi"))
+
+
+@query(f"""WITH {EVT}, g AS (SELECT CAST(floor(x / 50) AS BIGINT) AS gx, CAST(y AS BIGINT) AS gy, CAST(z AS BIGINT) AS gz, count(*) AS n FROM evt GROUP BY 1, 2, 3)
+SELECT gx, gy, gz, n FROM g a WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM g b WHERE (a.gx, a.gy, a.gz) <> (b.gx, b.gy, b.gz) AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND abs(a.gz - b.gz) <= 1 AND b.n >= a.n)""")
+def q_local_maxima(spark, sf):
+    g = evt(spark, sf).groupBy(F.floor(F.col("x") / 50).alias("gx"), F.col("y").cast("long").alias("gy"), F.col("z").cast("long").alias("gz")).agg(F.count("*").alias("n"))
+    return S.local_maxima(g, ["gx", "gy", "gz"], "n", 3).select("gx", "gy", "gz", "n")
+
+
+@query("""WITH g AS (SELECT x, y, x - 20.0 AS dx, y - 15.0 AS dy FROM (SELECT unnest(generate_series(0, 39)) AS x), (SELECT unnest(generate_series(0, 29)) AS y)), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM g),
+k AS (SELECT *, CASE WHEN r = 0 THEN 1 WHEN r > 10 THEN (r + (r - 10) * 3.0 / (sqrt(20.0 * 20 + 15.0 * 15) - 10)) / r ELSE 1 END AS k FROM r)
+SELECT x, y, round((20 + dx * k)::DOUBLE, 6) + 0.0 AS sx, round((15 + dy * k)::DOUBLE, 6) + 0.0 AS sy FROM k""")
+def q_radial_coords(spark, sf):
+    g = spark.range(40 * 30).select((F.col("id") % 40).alias("x"), F.floor(F.col("id") / 40).alias("y"))
+    sx, sy = V.radial_shift(F.col("x").cast("double"), F.col("y").cast("double"), 20.0, 15.0, 10.0, 3.0)
+    return g.select("x", "y", r6(sx, "sx"), r6(sy, "sy"))
+
+
+@query("SELECT i, j, i * 256 AS x0, least(i * 256 + 256, 1388) AS x1, j * 300 AS y0, least(j * 300 + 300, 1040) AS y1 FROM (SELECT unnest(generate_series(0, 5)) AS i), (SELECT unnest(generate_series(0, 3)) AS j)")
+def q_block_slices(spark, sf):
+    """Slices that cover a 1388 x 1040 plane in blocks of 256 x 300, the last ones cut."""
+    seq = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))
+    g = spark.range(1).select(F.explode(seq(-(-1388 // 256) - 1)).alias("i")).withColumn("j", F.explode(seq(-(-1040 // 300) - 1)))
+    return g.select("i", "j", (F.col("i") * 256).alias("x0"), F.least(F.col("i") * 256 + 256, F.lit(1388)).alias("x1"), (F.col("j") * 300).alias("y0"), F.least(F.col("j") * 300 + 300, F.lit(1040)).alias("y1"))

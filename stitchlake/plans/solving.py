@@ -1 +1,27 @@
-"""Filled below."""
+"""Fits, consensus and alignment (survey 2.7): checked by property tests, as SQL has no eigenvectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import fit, matching, solver
+from ._base import matched, query
+
+
+@query()
+def q_rigid_fit(spark, sf):
+    m = fit.rigid_fit(fit.moments(matched(spark, sf), ["pair"]), ["pair"])
+    return m.select("pair", "n", *[(F.round(f"m{r}{c}", 4) + F.lit(0.0)).alias(f"m{r}{c}") for r in range(3) for c in range(4)])
+
+
+@query()
+def q_ransac(spark, sf):
+    found = matching.ransac(matched(spark, sf), "pair", "match_id", "rigid", trials=100, epsilon=150.0, least=6, ratio=0.1)
+    return found.select("pair", "match_id", F.round("error", 4).alias("error"))
+
+
+@query()
+def q_relax(spark, sf):
+    m = matched(spark, sf).select(F.col("pair").alias("tile"), (F.col("pair") + 1).alias("other"), *[f"{s}{a}" for s in "pq" for a in "xyz"])
+    models, _ = solver.relax(m, [0], iterations=4)
+    return models.select("tile", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in solver.NAMES])
