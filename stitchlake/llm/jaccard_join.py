@@ -15,10 +15,13 @@ overlap of at least ``o(n, m) = ceil(t (n + m) / (100 + t))``.
   prefix entries times the mean list length that the sketch shows.
 
 Documents with equal sets are one node throughout, and a worker sends an entry of a node once a
-block of text, so groups of copies neither form long lists nor pairs. Lists are read in two
-rounds: every member is verified against a few pivots of its lists and the links found so far
-become components; then only pairs of one list that lie in different components are verified.
-Pairs inside a component are never formed, and no candidate is dropped, so components are exact.
+block of text, so groups of copies neither form long lists nor pairs. Lists are read in
+rounds: members are verified against a few pivots of their lists, changing from round to round,
+and the links found become components; lists within one component are done. At last the pairs of
+a list that still lie in different components are all verified. Pairs inside a component are
+never formed. No pair that could link is dropped: sizes, places in the lists and, in the last
+round, parity bits of the sets only exclude pairs that they prove apart (the bits in which two sets
+differ are no more than the shingles in which they differ). So components are exact.
 Sets are compared by 64-bit hashes of shingles.
 
 Defined cases: null text, empty text and text without words give an empty set, linked with
@@ -49,6 +52,11 @@ SKETCH, SEGMENT = 1 << 21, 1 << 15
 MOST_SUBSETS = 128
 #: Most (node, id) rows that are broadcast to pick texts where they are read; beyond it both sides shuffle.
 BROADCAST_ROWS = 1 << 19
+#: Rounds in which lists are compared with pivots, and kinds of pivots of a round.
+PIVOT_ROUNDS, PIVOTS = 3, 3
+#: Longs of a set's parity bits.
+BIT_WORDS = 8
+BITS = [f"b{i}" for i in range(BIT_WORDS)]
 
 
 def overlap_needed(n: int, m: int, pct: int = THRESHOLD_PCT) -> int:
@@ -89,6 +97,12 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """512 bits, as eight longs: whether an odd number of the set's hashes falls on each bit."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _pack(s: np.ndarray) -> bytes:
     return s.astype("<u8").tobytes()
 
@@ -99,27 +113,29 @@ def _first_pass(text_col: str, id_col: str, words: int):
 
         counts, any_rows = np.zeros(SKETCH, dtype=np.uint32), False
         for b in blocks(batches, text_col):
-            nodes, sizes = [], []
+            nodes, sizes, bits = [], [], []
             seen: set[int] = set()
             for s in _sets(b, text_col, words):
                 sizes.append(len(s))
+                bits.append(_parity(s))
                 nodes.append(node := _node(s) if len(s) else 0)
                 if len(s) and node not in seen:
                     seen.add(node)
                     np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
                     any_rows = True
             k = len(nodes)
+            by_word = np.array(bits, dtype=np.int64).reshape(k, BIT_WORDS)
             yield pa.record_batch(
-                [column(b, id_col), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["id", "node", "n", "seg", "part", "counts"],
+                [column(b, id_col), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(by_word[:, i]) for i in range(BIT_WORDS)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["id", "node", "n", *BITS, "seg", "part", "counts"],
             )
         if any_rows:
             part = TaskContext.get().partitionId()
             rows = SKETCH // SEGMENT
             small = counts.astype("<u4").reshape(rows, SEGMENT)
             yield pa.record_batch(
-                [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(range(rows), pa.int32()), pa.array([part] * rows, pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
-                names=["id", "node", "n", "seg", "part", "counts"],
+                [*(pa.nulls(rows, pa.int64()) for _ in range(3 + BIT_WORDS)), pa.array(range(rows), pa.int32()), pa.array([part] * rows, pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
+                names=["id", "node", "n", *BITS, "seg", "part", "counts"],
             )
 
     return run
@@ -200,10 +216,6 @@ def _possible(pct: int):
     return sizes & ((F.col("xp") < 0) | (F.col("yp") < 0) | (left >= need))
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold_pct: int = THRESHOLD_PCT
 ) -> DataFrame:
@@ -212,7 +224,7 @@ def jaccard_classes(
     pct = threshold_pct
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = materialize(
-        rows.mapInArrow(_first_pass("text", "id", words), "id long, node long, n long, seg int, part int, counts binary"), "sets"
+        rows.mapInArrow(_first_pass("text", "id", words), "id long, node long, n long, " + "".join(f"{c} long, " for c in BITS) + "seg int, part int, counts binary"), "sets"
     )
     sketch = sum_vectors(first.filter("seg is not null").select("seg", "part", "counts"), SEGMENT, SKETCH // SEGMENT, "<u4").astype(np.uint32)
     members = first.filter("seg is null").select("id", "node", "n")
@@ -231,29 +243,20 @@ def jaccard_classes(
     ).dropDuplicates(["elem", "node"])
     lists = materialize(lists, "lists")
 
-    pivot = lists.groupBy("elem").agg(
-        F.min(F.struct(F.xxhash64("node", F.col("elem") % 3).alias("r"), F.col("node"), F.col("n"), F.col("place"))).alias("p")
-    )
     one = lists.select("elem", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    star = one.join(pivot.select("elem", F.col("p.node").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yp")), "elem")
-    tried = materialize(_pairs(star.filter((F.col("x") != F.col("y")) & _possible(pct))), "pairs")
-
-    repeated = _ids_repeat(members)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return materialize(_verified(pairs, _hashes(rows, members, wanted, words, repeated), pct), "links")
-
-    links = linked(tried)
-    label = components(links)
-    of = one.join(label.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    apart = of.groupBy("elem").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("elem")
-    rest = materialize(of.join(apart, "elem"), "rest")
-    other = rest.select("elem", F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("xp").alias("yp"), F.col("component").alias("yc"))
-    cross = rest.join(other, "elem").filter((F.col("x") < F.col("y")) & (F.col("component") != F.col("yc")) & _possible(pct))
-    more = materialize(_pairs(cross).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(linked(more))
-    label = components(links)
+    verify = _Verifier(rows, members, words, pct)
+    for seed in range(PIVOT_ROUNDS):
+        rest = verify.apart(one)
+        pivot = rest.groupBy("elem").agg(F.min(F.struct(F.xxhash64("x", F.col("elem") % PIVOTS, F.lit(seed)).alias("r"), "x", "xn", "xp", "xc")).alias("p"))
+        pivot = pivot.select("elem", F.col("p.x").alias("y"), F.col("p.xn").alias("yn"), F.col("p.xp").alias("yp"), F.col("p.xc").alias("yc"))
+        verify(rest.join(pivot, "elem").filter((F.col("xc") != F.col("yc")) & _possible(pct)))
+    parity = first.filter("n > 0").groupBy(F.col("node").alias("x")).agg(*[F.first(c).alias(c) for c in BITS])
+    rest = materialize(verify.apart(one).join(parity, "x"), "rest")
+    other = rest.select("elem", *[F.col(f"x{c}").alias(f"y{c}") for c in "npc"], F.col("x").alias("y"), *[F.col(c).alias(f"y{c}") for c in BITS])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"y{c}"))) for c in BITS), F.lit(0))
+    near = (100 + pct) * apart <= (100 - pct) * (F.col("xn") + F.col("yn"))
+    verify(rest.join(other, "elem").filter((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & _possible(pct) & near))
+    label = verify.label
 
     nodes = members.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     of = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -269,15 +272,46 @@ def _ids_repeat(members: DataFrame) -> bool:
     return bool(members.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1 or id is null").limit(1).count())
 
 
-def _hashes(rows: DataFrame, members: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
-    """(node, hashes) of the wanted nodes, each from one of its documents."""
-    if repeated:
-        made = rows.mapInArrow(_hashed_all("text", words), "node long, hashes binary")
-        return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "hashes")
-    source = materialize(members.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")), "source")
-    if source.count() <= BROADCAST_ROWS:
-        source = F.broadcast(source)
-    return materialize(rows.join(source, "id").select("node", "text").mapInArrow(_hashed("text", words), "node long, hashes binary"), "hashes")
+class _Verifier:
+    """Exact comparison of candidate pairs; keeps what was tried, the links and their components."""
+
+    def __init__(self, rows: DataFrame, members: DataFrame, words: int, pct: int):
+        self.rows, self.members, self.words, self.pct = rows, members, words, pct
+        self.repeated = _ids_repeat(members)
+        spark = rows.sparkSession
+        self.tried = self.links = spark.createDataFrame([], "a long, b long")
+        self.hashes = spark.createDataFrame([], "node long, hashes binary")
+        self.label = spark.createDataFrame([], "node long, component long")
+
+    def apart(self, entries: DataFrame) -> DataFrame:
+        """Entries, with component ``xc``, of the lists that hold several components."""
+        of = entries.join(self.label.select(F.col("node").alias("x"), F.col("component").alias("xc")), "x", "left").withColumn("xc", F.coalesce("xc", "x"))
+        lists = of.groupBy("elem").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).filter("lo <> hi").select("elem")
+        return materialize(of.join(lists, "elem"), "rest")
+
+    def __call__(self, found: DataFrame) -> None:
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        self.hashes = self.hashes.unionByName(self._hashed(wanted.join(self.hashes, "node", "left_anti")))
+        self.tried = self.tried.unionByName(pairs)
+        links = materialize(_verified(pairs, self.hashes, self.pct), "links")
+        self.links = self.links.unionByName(links)
+        if links.limit(1).count():
+            self.label = components(self.links)
+
+    def _hashed(self, wanted: DataFrame) -> DataFrame:
+        """(node, hashes) of the wanted nodes, each from one of its documents."""
+        if self.repeated:
+            made = self.rows.mapInArrow(_hashed_all("text", self.words), "node long, hashes binary")
+            return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "hashes")
+        source = materialize(self.members.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")), "source")
+        n = source.count()
+        if not n:
+            return self.hashes.limit(0)
+        if n <= BROADCAST_ROWS:
+            source = F.broadcast(source)
+        return materialize(self.rows.join(source, "id").select("node", "text").mapInArrow(_hashed("text", self.words), "node long, hashes binary"), "hashes")
 
 
 def _hashed_all(text_col: str, words: int):
