@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -50,44 +50,63 @@ class Encoder:
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _keep(self, piece: str, ids: list[int]) -> None:
+    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember pieces whose ids stand one after another."""
         n = len(ids)
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype=np.uint32)])
         self.pool[self.used : self.used + n] = ids
-        self.known[piece] = self.used << 24 | n
+        start = self.used + np.cumsum(lengths) - lengths
+        self.known.update(zip(pieces, (start << 24 | lengths).tolist(), strict=True))
         self.used += n
 
-    def _ids(self, piece: str) -> list[int]:
-        at = self.known[piece]
-        return self.pool[at >> 24 : (at >> 24) + (at & 0xFFFFFF)].tolist()
+    def _places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return at >> 24, at & 0xFFFFFF
+
+    def _gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        before = np.cumsum(length) - length
+        total = int(before[-1] + length[-1]) if len(length) else 0
+        return self.pool[np.repeat(start - before, length) + np.arange(total)]
 
     def _learn(self, pieces: list[str]) -> None:
-        known, cut, whole = self.known, [], set()
+        known, merge = self.known, self.tok.model.tokenize
+        cut, bases, tails = [], [], []
+        fast, slow = {}, {}
         for p in pieces:
             base = p.rstrip(_TAIL)
-            if base and base != p and base[-1].isalpha() and base[-1] < "ɐ":
+            if base and len(base) < len(p) and base[-1].isalpha() and base[-1] < "ɐ":
                 tail = p[len(base) :]
-                cut.append((p, base, tail))
-                whole.add(base)
-                whole.add(tail)
-            else:
-                whole.add(p)
-        todo = [p for p in whole if p not in known]
-        merge = self.tok.model.tokenize
-        slow = []
-        for p in todo:
+                cut.append(p)
+                bases.append(base)
+                tails.append(tail)
+                if tail not in known:
+                    slow[tail] = None
+                p = base
+                if p in known:
+                    continue
             if p.isascii() and p.isalpha():
-                self._keep(p, [t.id for t in merge(p.lower())])
+                fast[p] = None
             else:
-                slow.append(p)
-        for i in range(0, len(slow), 20_000):
-            part = slow[i : i + 20_000]
-            for p, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                self._keep(p, e.ids)
-        for p, base, tail in cut:
-            if p not in known:
-                self._keep(p, self._ids(base) + self._ids(tail))
+                slow[p] = None
+        ids: list[int] = []
+        sizes: list[int] = []
+        for p in fast:
+            got = merge(p.lower())
+            sizes.append(len(got))
+            ids += [t.id for t in got]
+        names = [*fast, *slow]
+        rest = list(slow)
+        for i in range(0, len(rest), 20_000):
+            for e in self.tok.encode_batch(rest[i : i + 20_000], add_special_tokens=False):
+                got = e.ids
+                sizes.append(len(got))
+                ids += got
+        self._keep(names, np.array(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64))
+        if cut:
+            (bs, bn), (ts, tn) = self._places(bases), self._places(tails)
+            both = self._gather(np.stack([bs, ts], axis=1).ravel(), np.stack([bn, tn], axis=1).ravel())
+            self._keep(cut, both, bn + tn)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; offsets by text). Null counts as empty."""
@@ -107,8 +126,7 @@ class Encoder:
             self.forget()
         known = self.known
         self._learn([p for p in vocab if p not in known])
-        at = np.fromiter(map(known.__getitem__, vocab), dtype=np.int64, count=len(vocab))
-        start, length = (at >> 24), (at & 0xFFFFFF)
+        start, length = self._places(vocab)
         n = length[codes]
         before = np.zeros(len(codes) + 1, dtype=np.int64)
         np.cumsum(n, out=before[1:])
