@@ -36,12 +36,17 @@ def tile_errors(links: DataFrame, models: DataFrame) -> DataFrame:
     return w.groupBy("tile").agg(F.avg(F.sqrt(G.distance2([F.col(f"w{a}") for a in "xyz"], [F.col(f"v{a}") for a in "xyz"]))).alias("error"))
 
 
-def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int = 30, damp: float = 1.0, plateau: int = 5, slope: float = 1e-4, share: float = 0.1) -> tuple[DataFrame, list[float]]:
+def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int = 30, damp: float = 1.0, plateau: int = 5, slope: float = 1e-4, share: float = 0.1, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """(models, mean error of each iteration). ``matches``: tile, other, px.., qx..; fixed tiles keep
     the identity. ``affine`` fits are drawn towards the rigid ones by ``share``. A plateau of the
-    error over ``plateau`` iterations ends the search."""
+    error over ``plateau`` iterations ends the search. ``start`` gives first models, as those of
+    ``prealign``: far from the solution simultaneous steps can swing."""
     links = graph.both_ways(matches, [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]).persist()
-    models = graph._cut(identity(links.select("tile").distinct()))
+    models = identity(links.select("tile").distinct())
+    if start is not None:
+        begun = start.select("tile", *[F.col(n).alias(f"s_{n}") for n in NAMES])
+        models = models.join(begun, "tile", "left").select("tile", *[F.coalesce(f"s_{n}", n).alias(n) for n in NAMES])
+    models = graph._cut(models)
     errors: list[float] = []
     try:
         for i in range(iterations):
