@@ -14,7 +14,7 @@ def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.unionByName(df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns]))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder of ``spark.checkpoint.dir``; a session without one (a local test) gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     component. Labels take the neighbourhood's minimum and jump to their label's label, so the
     number of rounds grows with the logarithm of the diameter; each round is checkpointed.
     """
-    both = _cut(both_ways(edges.select("a", "b"), [("a", "b")]).distinct())
+    both = cut(both_ways(edges.select("a", "b"), [("a", "b")]).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         up = label.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = _cut(
+        new = cut(
             label.join(near, "node").join(up, "component", "left").select("node", F.col("component").alias("old"), F.least("component", "near", "root").alias("component"))
         )
         label = new.select("node", "component")

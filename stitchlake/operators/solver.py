@@ -46,7 +46,7 @@ def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int
     if start is not None:
         begun = start.select("tile", *[F.col(n).alias(f"s_{n}") for n in NAMES])
         models = models.join(begun, "tile", "left").select("tile", *[F.coalesce(f"s_{n}", n).alias(n) for n in NAMES])
-    models = graph._cut(models)
+    models = graph.cut(models)
     errors: list[float] = []
     try:
         for i in range(iterations):
@@ -59,7 +59,7 @@ def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int
                 mixed = [(F.coalesce(F.col(f"f_{n}") * (1 - share) + F.col(n) * share, F.col(n))).alias(n) for n in NAMES]
                 new = new.join(a, "tile", "left").select("tile", *mixed)
             new = new.select("tile", *[F.col(n).alias(f"n_{n}") for n in NAMES])
-            models = graph._cut(models.join(new, "tile", "left").select("tile", *[F.coalesce(f"n_{n}", n).alias(n) for n in NAMES]))
+            models = graph.cut(models.join(new, "tile", "left").select("tile", *[F.coalesce(f"n_{n}", n).alias(n) for n in NAMES]))
             errors.append(tile_errors(links, models).agg(F.avg("error")).first()[0])
             if i >= plateau and all(abs(errors[-1] - errors[-1 - d]) / d <= slope for d in range(1, plateau + 1)):
                 break
@@ -72,16 +72,16 @@ def prealign(matches: DataFrame, seed, least: int = 3) -> DataFrame:
     """Models along a breadth-first spread from the seed tile: each round fits the tiles that touch
     the aligned ones by their matches with those. Unreached tiles are absent."""
     links = graph.both_ways(matches, [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]])
-    models = graph._cut(identity(links.filter(F.col("tile") == seed).select("tile").distinct()))
+    models = graph.cut(identity(links.filter(F.col("tile") == seed).select("tile").distinct()))
     while True:
         done = models.select("tile")
         front = links.join(done, "tile", "left_anti").join(models.select(F.col("tile").alias("other"), *NAMES), "other")
         world = G.apply(G.model(), [F.col(f"q{a}") for a in "xyz"])
         sums = fit.moments(front.select("tile", *[F.col(f"p{a}") for a in "xyz"], *[v.alias(f"q{a}") for v, a in zip(world, "xyz", strict=True)]), ["tile"])
-        new = graph._cut(fit.rigid_fit(sums, ["tile"], least).select("tile", *NAMES))
+        new = graph.cut(fit.rigid_fit(sums, ["tile"], least).select("tile", *NAMES))
         if not new.limit(1).count():
             return models
-        models = graph._cut(models.unionByName(new))
+        models = graph.cut(models.unionByName(new))
 
 
 def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:

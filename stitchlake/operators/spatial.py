@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .graph import cut
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -76,13 +77,36 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
 def knn_self(points: DataFrame, group: str, key: str, p: list[str], k: int) -> DataFrame:
     """(group, key, neighbour, d2, rank) of the k nearest other points of the same group.
 
-    Groups are views of bounded size (a detector caps points a view); a group is joined with
-    itself by key, and only the k best of a point leave a task.
+    A ring join: points meet those of the cells around theirs. A point is done once its k-th
+    neighbour is no farther than a cell is wide, as no other cell can hold a nearer one; the others
+    go on with cells twice as wide, until the cells span the group. Widths start where the cells
+    around a point hold a few times k points on average, so few points need a second round and no
+    round pairs all points of a group.
     """
-    other = points.select(group, F.col(key).alias("neighbour"), *[F.col(x).alias(f"__{x}") for x in p])
-    d2 = G.distance2([F.col(x) for x in p], [F.col(f"__{x}") for x in p])
-    pairs = points.join(other, group).filter(F.col(key) != F.col("neighbour")).withColumn("d2", d2)
-    return top_k(pairs.select(group, key, "neighbour", "d2"), [group, key], ["d2", "neighbour"], k)
+    extent = [F.max(c) - F.min(c) for c in p]
+    start = F.pow(reduce(lambda x, y: x * y, [F.greatest(e, F.lit(1e-9)) for e in extent]) * (4.0 * k) / F.count("*") / 3.0 ** len(p), F.lit(1.0 / len(p)))
+    sizes = points.groupBy(group).agg(F.greatest(*extent).alias("__all"), F.greatest(start, F.greatest(*extent) / 1024, F.lit(1e-9)).alias("__w"), F.count("*").alias("__m"))
+    todo = cut(points.select(group, key, *p).join(sizes, group))
+    done = None
+    while True:
+        widths = todo.groupBy(group).agg(F.first("__w").alias("__w"))
+        cell = [F.floor(F.col(c) / F.col("__w")) for c in p]
+        own = todo.select(group, key, *p, "__all", "__w", "__m", *[c.alias(f"__c{i}") for i, c in enumerate(cell)])
+        other = points.join(widths, group).select(group, F.col(key).alias("neighbour"), *[F.col(c).alias(f"__{c}") for c in p], *[c.alias(f"__c{i}") for i, c in enumerate(cell)])
+        for i in range(len(p)):
+            other = other.withColumn(f"__c{i}", F.explode(F.sequence(F.col(f"__c{i}") - 1, F.col(f"__c{i}") + 1)))
+        d2 = G.distance2([F.col(c) for c in p], [F.col(f"__{c}") for c in p])
+        near = own.join(other, [group, *[f"__c{i}" for i in range(len(p))]]).filter(F.col(key) != F.col("neighbour")).withColumn("d2", d2)
+        best = top_k(near.select(group, key, "neighbour", "d2"), [group, key], ["d2", "neighbour"], k)
+        reach = best.groupBy(group, key).agg(F.count("*").alias("__n"), F.max("d2").alias("__far"))
+        state = todo.join(reach, [group, key], "left")
+        full = (F.coalesce("__n", F.lit(0)) >= F.least(F.lit(k), F.col("__m") - 1)) & (F.coalesce("__far", F.lit(0.0)) <= F.col("__w") * F.col("__w"))
+        state = cut(state.withColumn("__ok", full | (F.col("__w") >= F.col("__all"))))
+        part = best.join(state.filter("__ok").select(group, key), [group, key])
+        done = part if done is None else done.unionByName(part)
+        todo = state.filter("NOT __ok").select(group, key, *p, "__all", (F.col("__w") * 2).alias("__w"), "__m")
+        if not todo.limit(1).count():
+            return done.select(group, key, "neighbour", "d2", "rank")
 
 
 def ratio_test(candidates: DataFrame, by: list[str], distance: str, partner: str, significance: float) -> DataFrame:

@@ -88,7 +88,9 @@ def check(spark: SparkSession, path: str) -> None:
 
 def view_sizes(views_df: DataFrame, setups: DataFrame) -> DataFrame:
     """timepoint, setup, size, voxel_size of every timepoint and setup with a known size."""
-    return views_df.select("timepoint").distinct().crossJoin(F.broadcast(setups.filter("size IS NOT NULL").select(F.col("id").alias("setup"), "size", "voxel_size")))
+    axis = views_df.agg(F.array_sort(F.collect_set("timepoint")).alias("timepoints"))  # one row
+    sized = setups.filter("size IS NOT NULL").select(F.col("id").alias("setup"), "size", "voxel_size")
+    return sized.join(F.broadcast(axis)).select(F.explode("timepoints").alias("timepoint"), "setup", "size", "voxel_size")
 
 
 def labels(points: DataFrame) -> DataFrame:

@@ -220,3 +220,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = df.groupBy(F.window("ts", "1 day"), "view").count().count()
     assert spark.table("qc").count() == want == 9
+
+
+def test_knn_equals_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    clumped = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(500, 1, (20, 3)), rng.uniform(-2000, 2000, (5, 3)), np.zeros((6, 3))])
+    rows = [(0, i, *v) for i, v in enumerate(clumped)] + [(1, 900, 1.0, 2.0, 3.0), (2, 901, 0.0, 0.0, 0.0), (2, 902, 5.0, 0.0, 0.0)]
+    got = {(r.g, r.i, r["rank"]): r.neighbour for r in spatial.knn_self(frame(spark, rows, "g long, i long, x double, y double, z double"), "g", "i", ["x", "y", "z"], 3).collect()}
+    want = {}
+    for g, i, *v in rows:
+        near = sorted((float(((np.array(v) - np.array(w)) ** 2).sum()), j) for h, j, *w in rows if h == g and j != i)
+        want |= {(g, i, r + 1): j for r, (_, j) in enumerate(near[:3])}
+    assert {k: v for k, v in got.items()} == want
