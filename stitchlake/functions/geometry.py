@@ -163,3 +163,20 @@ def last_tile(length: Column, size: Column, overlap: Column) -> Column:
 
 def distance2(p: list, q: list) -> Column:
     return reduce(lambda s, d: s + d, [(a - b) * (a - b) for a, b in zip(p, q, strict=True)])
+
+
+def domain_net(models: Column) -> Column:
+    """Net model of a list of models whose translations are given in the domain of the first: the
+    product of the linear parts, last on the left, and the translations taken back to the start."""
+    zero = [0, 1, 2, 4, 5, 6, 8, 9, 10]
+
+    def step(acc, m):
+        a, b = of_array(acc["m"]), of_array(m)
+        back = inverse(a)
+        moved = [back[4 * r] * b[3] + back[4 * r + 1] * b[7] + back[4 * r + 2] * b[11] for r in range(3)]
+        linear = [v if i in zero else F.lit(0.0) for i, v in enumerate(b)]
+        return F.struct(F.array(*compose(linear, a)).alias("m"), F.array(*[F.get(acc["t"], F.lit(i)) + moved[i] for i in range(3)]).alias("t"))
+
+    start = F.struct(F.array(*[F.lit(v) for v in IDENTITY]).alias("m"), F.array(*[F.lit(0.0)] * 3).alias("t"))
+    put = lambda acc: F.array(*[F.get(acc["t"], F.lit(i // 4)) if i % 4 == 3 else F.get(acc["m"], F.lit(i)) for i in range(12)])
+    return F.aggregate(models, start, step, put)

@@ -232,3 +232,31 @@ def test_knn_equals_all_pairs(spark):
         near = sorted((float(((np.array(v) - np.array(w)) ** 2).sum()), j) for h, j, *w in rows if h == g and j != i)
         want |= {(g, i, r + 1): j for r, (_, j) in enumerate(near[:3])}
     assert {k: v for k, v in got.items()} == want
+
+
+def test_domain_net_model(spark):
+    rng = np.random.default_rng(12)
+    ms = [np.column_stack([np.eye(3) + rng.uniform(-0.2, 0.2, (3, 3)), rng.uniform(-5, 5, 3)]) for _ in range(3)]
+    df = spark.createDataFrame([([m.ravel().tolist() for m in ms],)], "t array<array<double>>")
+    got = np.array(df.select(G.domain_net(F.col("t"))).first()[0]).reshape(3, 4)
+    linear, shift = np.eye(3), np.zeros(3)
+    for m in ms:
+        shift = shift + np.linalg.inv(linear) @ m[:, 3]
+        linear = m[:, :3] @ linear
+    assert np.allclose(got[:, :3], linear) and np.allclose(got[:, 3], shift)
+
+
+def test_viewer_rows(spark):
+    import json
+
+    from stitchlake.operators import viewer
+
+    schema = "source string, channel int, name string, range_lo int, range_hi int, visible boolean, color string"
+    rows = spark.createDataFrame([("/results/a/tile_1.zarr", None, None, None, None, None, "red"), ("s3://b/x.zarr", 2, "named", 5, 90, False, None)], schema)
+    out = json.loads(viewer.state(viewer.layers(rows, "s3", "bucket"), (1e-6, 1e-6, 2e-6)).first().state)
+    assert [x["name"] for x in out["layers"]] == ["named", "tile_1_0"] and out["layers"][1]["source"] == "zarr://s3://bucket/a/tile_1.zarr"
+    assert out["layers"][1]["shaderControls"]["normalized"]["range"] == [0, 200] and 'default="red"' in out["layers"][1]["shader"]
+    with pytest.raises(Exception, match="unknown image format"):
+        viewer.layers(rows.withColumn("source", F.lit("a.tif")), "s3", "b").collect()
+    one = F.lit(1)
+    assert "range=[1, 2]" in spark.range(1).select(viewer.rgb_shader([(one, F.lit(2))] * 3)).first()[0]
