@@ -12,7 +12,7 @@ from .license_scan import scan_licenses
 from .line_dedup import MIN_WORDS, line_dedup
 from .lm_score import pseudo_likelihood
 from .packing import pack
-from .quality_rules import ledger, passes
+from .quality_rules import RULES, ledger, passes
 from .token_codec import read_tokens, write_tokens
 from .warc import read_archives, write_archives
 
@@ -104,6 +104,18 @@ e AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
 FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op7_quality_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n_lines, 0)::BIGINT AS n_lines, coalesce(l.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters,
+  len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaim, len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_alpha_words,
+  len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_echo_words FROM t LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (""" + " + ".join(f"CASE WHEN {condition} THEN {1 << i} ELSE 0 END" for i, (_, condition) in enumerate(RULES)) + r""")::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """,
     "op8_decontamination": f"""
 WITH d AS {_shingles_sql("documents", "doc_id")}, b AS {_shingles_sql("benchmark", "item_id")},
