@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +13,34 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are worked on together in a Python worker; bounds its memory.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the words of a shingle, by a splitmix64 sequence.
 _ODD = np.array([((i + 1) * 0x9E3779B97F4A7C15 & _MASK) * 0xBF58476D1CE4E5B9 & _MASK | 1 for i in range(64)], dtype=np.uint64)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, most: int = BLOCK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of up to ``most`` bytes (or one row): small batches are
-    joined so that words are looked up once for many rows, large ones are cut."""
+    joined so that words are looked up once for many rows, large ones are cut. What the worker still
+    holds of earlier tasks goes, but for the tokenizer's pieces if ``keep``."""
+    if not keep:
+        sys.modules.pop("_stitchlake_worker", None)
+    for b in _blocks(batches, text_col, most):
+        yield b
+        del b
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

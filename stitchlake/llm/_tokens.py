@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -102,68 +102,82 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
     grams = grams.withColumn("n", F.length("gram"))
     totals = {r["lang"]: r["c"] for r in words.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
     langs = sorted(totals)
-    model: dict = {"langs": langs, "words": {}, "grams": {}}
     at = {x: i for i, x in enumerate(langs)}
 
-    def table(found: DataFrame, key: str, whole) -> dict[str, np.ndarray]:
+    def table(found: DataFrame, key: str, whole) -> tuple[str, np.ndarray]:
         out: dict[str, np.ndarray] = {}
         for r in found.toLocalIterator():
             if r[key] not in out:
                 out[r[key]] = np.full(len(langs), -1.0)
             out[r[key]][at[r["lang"]]] = r["c"]
-        for k, v in out.items():
-            size = whole(k)
-            out[k] = np.log(np.where(v < 0, _SMOOTH, v + _SMOOTH) / size)
-        return out
+        rows = [np.log(np.where(v < 0, _SMOOTH, v + _SMOOTH) / whole(k)) for k, v in out.items()]
+        return "\n".join(out), np.array(rows, dtype=np.float32).reshape(len(rows), len(langs))
 
     size = np.array([totals[x] + _SMOOTH * words_per_lang for x in langs], dtype=np.float64)
-    model["words"] = table(top(words, "word", ["lang"], words_per_lang), "word", lambda k: size)
     sums: dict[int, np.ndarray] = {n: np.full(len(langs), _SMOOTH * grams_per_lang) for n in range(1, LONGEST + 1)}
     kept = materialize(top(grams, "gram", ["lang", "n"], grams_per_lang), "grams")
     for r in kept.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect():
         sums[r["n"]][at[r["lang"]]] += r["c"]
-    model["grams"] = table(kept, "gram", lambda k: sums[len(k)])
-    return model
-
-
-def word_scores(model: dict, word: str) -> np.ndarray:
-    """Log frequency of a word in each language, by backoff if it is unseen."""
-    known = model["words"].get(word)
-    if known is not None:
-        return known
-    grams, padded = model["grams"], f" {word} "
-    total, n = None, 0
-    for i in range(len(padded)):
-        for size in range(min(LONGEST, len(padded) - i), 0, -1):
-            g = grams.get(padded[i : i + size])
-            if g is not None:
-                total = g + total if n else g
-                n += 1
-                break
-    return total / n if n else np.zeros(len(model["langs"]))
+    return {"langs": langs, "words": table(top(words, "word", ["lang"], words_per_lang), "word", lambda k: size), "grams": table(kept, "gram", lambda k: sums[len(k)])}
+
+
+def _lookup(table: tuple[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+    """Row number by key, and the rows; the keys of a model travel as one text."""
+    keys, rows = table
+    return ({k: i for i, k in enumerate(keys.split("\n"))} if keys else {}), rows
+
+
+def word_vectors(vocab: list[str], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text word: summed log frequencies of its letter runs in each language, and their number."""
+    known, gram = words[0], grams[0]
+    n = np.zeros(len(vocab), dtype=np.int64)
+    at_known, rows_known, at_unseen, found, lengths = [], [], [], [], []
+    for i, w in enumerate(vocab):
+        for part in _LETTERS.findall(w.lower()):
+            n[i] += 1
+            k = known.get(part)
+            if k is not None:
+                at_known.append(i)
+                rows_known.append(k)
+                continue
+            padded, before = f" {part} ", len(found)
+            m = len(padded)
+            for a in range(m):
+                for b in range(min(a + LONGEST, m), a, -1):
+                    g = gram.get(padded[a:b])
+                    if g is not None:
+                        found.append(g)
+                        break
+            if len(found) > before:
+                at_unseen.append(i)
+                lengths.append(len(found) - before)
+    langs = words[1].shape[1]
+    out = np.zeros((len(vocab), langs))
+    if at_known:
+        rows = words[1][rows_known]
+        for k in range(langs):
+            out[:, k] += np.bincount(at_known, weights=rows[:, k], minlength=len(vocab))
+    if at_unseen:
+        size = np.array(lengths)
+        mean = np.add.reduceat(grams[1][found], np.cumsum(size) - size, axis=0) / size[:, None]
+        for k in range(langs):
+            out[:, k] += np.bincount(at_unseen, weights=mean[:, k], minlength=len(vocab))
+    return out, n
 
 
 def _predict(shared, text_col: str, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model["langs"]
+        words, grams = _lookup(model["words"]), _lookup(model["grams"])
         for b in blocks(batches, text_col):
             vocab, codes, off = split_words(column(b, text_col), lower=False)
-            vectors = np.zeros((len(vocab), len(langs)))
-            parts_n = np.zeros(len(vocab), dtype=np.int64)
-            for i, w in enumerate(vocab.to_pylist()):
-                parts = _LETTERS.findall(w.lower())
-                parts_n[i] = len(parts)
-                if langs:
-                    for p in parts:
-                        vectors[i] += word_scores(model, p)
-            n = np.zeros(b.num_rows, dtype=np.int64)
-            total = np.zeros((b.num_rows, len(langs)))
+            vectors, parts = word_vectors(vocab.to_pylist(), words, grams)
             doc = np.repeat(np.arange(b.num_rows), np.diff(off))
-            n = np.bincount(doc, weights=parts_n[codes], minlength=b.num_rows)
+            n = np.bincount(doc, weights=parts[codes], minlength=b.num_rows)
+            total = np.zeros((b.num_rows, len(langs)))
             for k in range(len(langs)):
                 total[:, k] = np.bincount(doc, weights=vectors[codes, k], minlength=b.num_rows)
-            known = (n > 0) & bool(langs)
             pred = [UNKNOWN] * b.num_rows
             score = np.zeros(b.num_rows)
             if langs:
@@ -171,7 +185,7 @@ def _predict(shared, text_col: str, carry: list[str]):
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = mean.argmax(axis=1)
-                for i in np.flatnonzero(known):
+                for i in np.flatnonzero(n > 0):
                     pred[i] = langs[best[i]]
                     score[i] = p[i, best[i]]
             rest = [column(b, c) for c in carry]

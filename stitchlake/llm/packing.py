@@ -44,7 +44,7 @@ def _tokenize(path: str, end: int, vocab: int):
 
         df = np.zeros(vocab, dtype=np.uint64)
         names = ["id", "n", "ids", "seg", "part", "counts"]
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", keep=True):
             ids, off = encoder(path).encode(column(b, "text"), end)
             for i in range(b.num_rows):
                 df[np.unique(ids[off[i] : off[i + 1]])] += np.uint64(1)
