@@ -244,7 +244,9 @@ def jaccard_classes(
     lists = materialize(lists, "lists")
 
     one = lists.select("elem", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
-    verify = _Verifier(rows, members, words, pct)
+    # one row a node, by an aggregation that combines copies before they meet
+    nodes = materialize(members.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    verify = _Verifier(rows, members, nodes, words, pct)
     for seed in range(PIVOT_ROUNDS):
         rest = verify.apart(one)
         pivot = rest.groupBy("elem").agg(F.min(F.struct(F.xxhash64("x", F.col("elem") % PIVOTS, F.lit(seed)).alias("r"), "x", "xn", "xp", "xc")).alias("p"))
@@ -258,7 +260,6 @@ def jaccard_classes(
     verify(rest.join(other, "elem").filter((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & _possible(pct) & near))
     label = verify.label
 
-    nodes = members.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     of = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     known = of.join(least, "component").select("node", "component_id")
@@ -275,8 +276,8 @@ def _ids_repeat(members: DataFrame) -> bool:
 class _Verifier:
     """Exact comparison of candidate pairs; keeps what was tried, the links and their components."""
 
-    def __init__(self, rows: DataFrame, members: DataFrame, words: int, pct: int):
-        self.rows, self.members, self.words, self.pct = rows, members, words, pct
+    def __init__(self, rows: DataFrame, members: DataFrame, nodes: DataFrame, words: int, pct: int):
+        self.rows, self.nodes, self.words, self.pct = rows, nodes, words, pct
         self.repeated = _ids_repeat(members)
         spark = rows.sparkSession
         self.tried = self.links = spark.createDataFrame([], "a long, b long")
@@ -305,7 +306,7 @@ class _Verifier:
         if self.repeated:
             made = self.rows.mapInArrow(_hashed_all("text", self.words), "node long, hashes binary")
             return materialize(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "hashes")
-        source = materialize(self.members.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")), "source")
+        source = materialize(self.nodes.join(wanted, "node").select("node", F.col("least").alias("id")), "source")
         n = source.count()
         if not n:
             return self.hashes.limit(0)
