@@ -39,7 +39,7 @@ from ._store import materialize, shared_dir
 from ._text import blocks, column, crc32_ids
 from ._tokens import default_tokenizer, encoder
 
-BLOCK = 8192
+BLOCK = 4096
 LANES = 2048
 END_ID = 1
 MAGIC = b"SLTOKEN1"
@@ -322,7 +322,7 @@ def _write(path: str, end: int, folder: str):
         from pyspark import TaskContext
 
         doc_ids, lengths, parts = [], [], []
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", keep=True):
             ids, off = encoder(path).encode(column(b, "text"), end)
             doc_ids += column(b, "id").to_pylist()
             lengths.append(np.diff(off))
