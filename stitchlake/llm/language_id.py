@@ -96,10 +96,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
     grams = words.mapInArrow(_count_grams, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
     def top(df: DataFrame, key: str, by: list[str], most: int) -> DataFrame:
+        """The ``most`` largest counts of each group. A histogram of logarithmic classes of counts,
+        bounded in size, shows below which class nothing can be among them; only the few rows above
+        meet in one task, however many tasks there are."""
+        classed = df.withColumn("__k", F.floor(F.log2(F.col("c").cast("double")) * 16))
+        larger = Window.partitionBy(*by).orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = classed.groupBy(*by, "__k").agg(F.count("*").alias("__n"))
+        wanted = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(larger), F.lit(0))).filter(F.col("__before") < most)
+        few = classed.join(F.broadcast(wanted.select(*by, "__k")), [*by, "__k"])
         w = Window.partitionBy(*by).orderBy(F.desc("c"), key)
-        return df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+        return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("__k")
 
-    grams = grams.withColumn("n", F.length("gram"))
+    grams = materialize(grams.withColumn("n", F.length("gram")), "gram-counts")
     totals = {r["lang"]: r["c"] for r in words.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
     langs = sorted(totals)
     at = {x: i for i, x in enumerate(langs)}
