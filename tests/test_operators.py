@@ -174,6 +174,27 @@ def test_detection_finds_blobs(spark):
     assert len(found) == 2 and all(min(math.dist(c, f) for f in found) < 0.5 for c in centres)
 
 
+def test_detection_intensity_is_sampled(spark):
+    n = 40
+    g = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), axis=-1)
+    v = (7 + np.exp(-((g - (12.3, 14.4, 20.2)) ** 2).sum(-1) / (2 * 2.0**2))).astype("<f4")
+    blocks = spark.createDataFrame([(1, 0, 0, 0, n, n, n, bytearray(v.tobytes()))], "block_id long, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary")
+    for radius, base in ((0, 7), (9, 0)):
+        (r,) = volume.detect_points(blocks, 1.8, 0.05, radius).collect()
+        assert abs(r.intensity - base - 1) < 0.1
+
+
+def test_sample_linear():
+    rng = np.random.default_rng(4)
+    g = np.stack(np.meshgrid(*[np.arange(k) for k in (5, 6, 7)], indexing="ij"), axis=-1).astype(float)
+    at = rng.uniform(0, (4, 5, 6), (50, 3))
+    poly = lambda p: 2 + p @ (1, -3, 0.5) + p.prod(axis=-1)
+    assert np.allclose(volume.sample_linear(poly(g), at), poly(at))
+    v = rng.uniform(size=(5, 6, 7))
+    assert np.allclose(volume.sample_linear(v, g.reshape(-1, 3)), v.ravel())
+    assert np.allclose(volume.sample_linear(v, np.array([[-0.3, 2, 3], [4.4, 2, 3]])), [v[0, 2, 3], v[4, 2, 3]])
+
+
 def test_kernels():
     v = np.full((12, 11, 10), 3.0)
     assert np.allclose(volume.gaussian(v, 1.5), 3) and np.allclose(volume.background_subtract(v, 2), 0)
