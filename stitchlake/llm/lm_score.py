@@ -6,7 +6,9 @@ gives the word's probability. A document's score is the sum of the conditional l
 all its words, each predicted with itself masked.
 
 * Vocabulary: words (``[^ \\t-\\r]+``) are counted over all documents; the most frequent get ids
-  in order of frequency, all others one of 64 hashed ids, and one id stands outside a text.
+  in order of frequency, all others one of 64 hashed ids, and one id stands outside a text. The
+  network predicts a hashed id; the word within it has the share of its count in the id's count
+  (a join with all counts), so every word has a probability of its own and they sum to one.
 * Training: every document is read in one of ``ROUNDS`` rounds. In a round each task runs
   mini-batch Adagrad over its documents from the common parameters, on one word in
   ``TRAIN_EVERY`` (a documented parameter; the predicted places grow with the corpus, and every
@@ -181,7 +183,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _code(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         known, ids = table.value
+        row = TaskContext.get().partitionId() << 33
         for b in blocks(batches, "text"):
             vocab, codes, off = split_words(column(b, "text"), lower=False)
             h = word_hashes(vocab)
@@ -191,7 +196,18 @@ def _code(table):
                 of = np.where(known[at] == h.view(np.int64), ids[at], of)
             coded = of.astype("<u2")[codes]
             raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((off * 2).astype(np.int32).tobytes()), pa.py_buffer(coded.tobytes())])
-            yield pa.record_batch([column(b, "id"), raw], names=["id", "ids"])
+            at = np.flatnonzero((of >= KNOWN)[codes])
+            doc = np.repeat(np.arange(b.num_rows), np.diff(off))[at]
+            pair, n = np.unique(doc * len(vocab) + codes[at], return_counts=True)
+            doc, word = np.divmod(pair, max(len(vocab), 1))
+            first = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+            rare, times = pa.array(h.view(np.int64)[word]), pa.array(n.astype(np.int32))
+            keys = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.record_batch(
+                [keys, column(b, "id"), raw, pa.ListArray.from_arrays(first, rare), pa.ListArray.from_arrays(first, times)],
+                names=["key", "id", "ids", "rare", "times"],
+            )
 
     return run
 
@@ -239,14 +255,18 @@ def _train(shared, every: int):
     return run
 
 
-def _score(shared):
+def _score(shared, shares: np.ndarray):
+    """Scores without the counts of words within the hashed ids: ``shares`` are the logarithms of the
+    ids' own counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unflatten(shared.value)
         for docs, ids, off in _texts(batches, SCORE_BATCH):
             ctx, target = contexts(ids, off), ids.astype(np.int64)
             got = np.concatenate([np.zeros(0), *(log_probs(p, ctx[i : i + SCORE_BATCH], target[i : i + SCORE_BATCH]).astype(np.float64) for i in range(0, len(ids), SCORE_BATCH))])
+            got -= shares[target]
             total = np.bincount(np.repeat(np.arange(len(docs)), np.diff(off)), weights=got, minlength=len(docs))
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(np.diff(off)), pa.array(total)], names=["id", "n_words", "log_prob"])
+            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(np.diff(off)), pa.array(total)], names=["key", "n_words", "log_prob"])
 
     return run
 
@@ -257,20 +277,29 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = materialize(rows.mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    total = counts.agg(F.sum("c")).first()[0] or 0
+    lumped = counts.groupBy(F.col("word").bitwiseAND(HASHED - 1).alias("at")).agg(F.sum("c").alias("c")).collect()
     freq = np.zeros(VOCAB)
     freq[: len(top)] = [r["c"] for r in top]
-    freq[KNOWN : KNOWN + HASHED] = (total - freq.sum()) / HASHED
+    for r in lumped:
+        freq[KNOWN + r["at"]] += r["c"]
+    for r in top:
+        freq[KNOWN + (r["word"] & HASHED - 1)] -= r["c"]
+    shares = np.zeros(VOCAB)
+    shares[KNOWN : KNOWN + HASHED] = np.log(np.maximum(freq[KNOWN : KNOWN + HASHED], 1))
     hashes = np.array([r["word"] for r in top], dtype=np.int64)
     order = np.argsort(hashes)
     table = sc.broadcast((hashes[order], order.astype(np.uint16)))
-    coded = materialize(rows.mapInArrow(_code(table), "id long, ids binary"), "coded")
+    coded = materialize(rows.mapInArrow(_code(table), "key long, id long, ids binary, rare array<long>, times array<int>"), "coded")
     params = flatten(initial(freq))
     for k in range(rounds):
-        part = coded.filter(F.pmod(F.xxhash64("id", F.octet_length("ids")), F.lit(rounds)) == k)
+        part = coded.select("id", "ids").filter(F.pmod(F.xxhash64("id", F.octet_length("ids")), F.lit(rounds)) == k)
         sent = materialize(part.mapInArrow(_train(sc.broadcast(params), train_every), "seg int, part int, counts binary"), "parameters")
         got = sum_vectors(sent, _SEGMENT, _SEGMENTS, "<f8")
         if got[_SIZE]:
             params = (got[:_SIZE] / got[_SIZE]).astype(np.float32)
-    found = coded.mapInArrow(_score(sc.broadcast(params)), "id long, n_words long, log_prob double")
+    found = coded.select(F.col("key").alias("id"), "ids").mapInArrow(_score(sc.broadcast(params), shares), "key long, n_words long, log_prob double")
+    rare = coded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    own = rare.join(counts, "word").groupBy("key").agg(F.sum(F.col("times") * F.log("c")).alias("log_prob"))
+    parts = found.unionByName(own, allowMissingColumns=True).unionByName(coded.select("key", "id"), allowMissingColumns=True)
+    found = parts.groupBy("key").agg(F.max("id").alias("id"), F.sum("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob")).drop("key")
     return found.withColumn("mean_log_prob", F.expr("log_prob / nullif(n_words, 0)")).withColumnRenamed("id", id_col)

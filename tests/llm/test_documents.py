@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -257,6 +258,26 @@ def test_lm_scores(spark):
     assert (got[1001].n_words, got[1001].log_prob, got[1001].mean_log_prob) == (0, 0.0, None) and got[1002].n_words == 0
 
 
+def test_lm_words_beyond_the_vocabulary(spark, monkeypatch):
+    """Words of one hashed id differ in probability as their counts do."""
+    monkeypatch.setattr(lm_score, "initial", lambda counts, f=lm_score.initial: seen.append(counts) or f(counts))
+    seen = []
+    names = [f"w{i}" for i in range(lm_score.KNOWN)]
+    rows = [(i, " ".join(names)) for i in range(4)]
+    often, once = [f"t{i}" for i in range(200)], [f"u{i}" for i in range(200)]
+    rows += [(10 + i, w) for i, w in enumerate(often) for _ in range(3)] + [(1000 + i, w) for i, w in enumerate(once)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm_score.pseudo_likelihood(d, rounds=0).collect()}
+    total = seen[0].sum()
+    assert total == len(names) * 4 + 800
+    # untrained and without context, a word has about its share of the corpus
+    probability = {i: math.exp(v) for i, v in got.items() if i >= 10}
+    assert sum(probability[10 + i] for i in range(200)) + sum(probability[1000 + i] for i in range(200)) == pytest.approx(800 / total, rel=0.3)
+    bucket = lambda w: xxhash.xxh3_64_intdigest(w) % lm_score.HASHED
+    pairs = [(i, j) for i in range(200) for j in range(200) if bucket(often[i]) == bucket(once[j])]
+    assert pairs and all(probability[10 + i] == pytest.approx(3 * probability[1000 + j], rel=1e-3) for i, j in pairs)
+
+
 def test_lm_probabilities_sum_to_one():
     p = lm_score.initial(np.arange(lm_score.VOCAB, dtype=float))
     ctx = np.tile([3, 5, 7, 11], (lm_score.VOCAB, 1)).astype(np.int32)
