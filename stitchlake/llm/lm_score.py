@@ -10,9 +10,8 @@ all its words, each predicted with itself masked.
   network predicts a hashed id; the word within it has the share of its count in the id's count
   (a join with all counts), so every word has a probability of its own and they sum to one.
 * Training: every document is read in one of ``ROUNDS`` rounds. In a round each task runs
-  mini-batch Adagrad over its documents from the common parameters, on one word in
-  ``TRAIN_EVERY`` (a documented parameter; the predicted places grow with the corpus, and every
-  word serves as context); the parameters of all tasks are averaged with the numbers of their
+  mini-batch Adagrad over its documents from the common parameters, with every word as a target
+  once (``TRAIN_EVERY`` = 1; a larger value takes one word in so many); the parameters of all tasks are averaged with the numbers of their
   places as weights, in a tree of fixed fan-in. What is broadcast or returned to the driver is
   one set of parameters (under 1 MB), whatever the input.
 * Scoring: one pass over the coded documents.
@@ -41,7 +40,7 @@ OUTSIDE = VOCAB - 1
 KNOWN = VOCAB - HASHED - 1
 SIDE, DIM = 2, 24
 ROUNDS = 2
-TRAIN_EVERY = 4
+TRAIN_EVERY = 1
 BATCH, SCORE_BATCH = 4096, 1 << 15
 RATE = 0.1
 SEED = 7

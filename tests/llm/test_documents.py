@@ -258,6 +258,18 @@ def test_lm_scores(spark):
     assert (got[1001].n_words, got[1001].log_prob, got[1001].mean_log_prob) == (0, 0.0, None) and got[1002].n_words == 0
 
 
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    """With the registered parameters each word is a target once."""
+    words = [f"w{i % 50}" for i in range(3000)]
+    rows = [(i, " ".join(words[k : k + 30])) for i, k in enumerate(range(0, 3000, 30))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    places = []
+    add = lambda *a, f=lm_score.sum_vectors: places.append(f(*a)[lm_score._SIZE]) or f(*a)
+    monkeypatch.setattr(lm_score, "sum_vectors", add)
+    lm_score.pseudo_likelihood(d)
+    assert len(places) == lm_score.ROUNDS and sum(places) == 3000
+
+
 def test_lm_words_beyond_the_vocabulary(spark, monkeypatch):
     """Words of one hashed id differ in probability as their counts do."""
     monkeypatch.setattr(lm_score, "initial", lambda counts, f=lm_score.initial: seen.append(counts) or f(counts))
