@@ -71,16 +71,18 @@ TEMPLATES = [
     (r"\bN{s}licen[sc]eV\b", 0.9),
     (r"\bspdx-license-identifier\s*:\s*NV", 1.0),
 ]
-#: Notices without a family: label, pattern, keyword, confidence.
+#: Notices without a family: label, pattern, keyword (in every text that the pattern finds), confidence.
 NOTICES = [
-    ("reserved", r"\ball{s}rights?{s}reserved\b", "rights", 0.8),
+    ("reserved", r"\ball{s}rights?{s}reserved\b", "reserved", 0.8),
     ("reserved", r"\bno{s}part{s}of{s}this{s}(?:work|book|publication|site){s}may{s}be{s}reproduced\b", "reproduced", 0.9),
-    ("copyright", r"(?:\bcopyright|\(c\)|©)\s{0,3}(?:\(c\)|©)?\s{0,3}(?:19|20)\d\d\b", "copyright", 0.6),
-    ("copyright", r"©\s{0,3}(?:19|20)\d\d\b", "©", 0.6),
-    ("public-domain", r"\b(?:in|into|to){s}the{s}public{s}domain\b", "public domain", 0.8),
+    *(
+        ("copyright", start + r"\s{0,3}(?:\(c\)|©)?\s{0,3}(?:19|20)\d\d\b", keyword, 0.6)
+        for start, keyword in ((r"\bcopyright", "copyright"), (r"\(c\)", "(c)"), (r"©", "©"))
+    ),
+    ("public-domain", r"\b(?:in|into|to){s}the{s}public{s}domain\b", "domain", 0.8),
     ("proprietary", r"\bproprietary{s}and{s}confidential\b", "proprietary", 0.8),
-    ("proprietary", r"\bfor{s}internal{s}use{s}only\b", "internal use", 0.7),
-    ("non-commercial", r"\bfor{s}(?:non{s}?commercial|personal){s}use{s}only\b", "use only", 0.7),
+    ("proprietary", r"\bfor{s}internal{s}use{s}only\b", "internal", 0.7),
+    ("non-commercial", r"\bfor{s}(?:non{s}?commercial|personal){s}use{s}only\b", "only", 0.7),
     ("permissive", r"\bpermission{s}is{s}hereby{s}granted\b", "permission", 0.8),
     ("permissive", r"\bredistribution{s}and{s}use{s}in{s}source{s}and{s}binary{s}forms\b", "redistribution", 0.9),
     ("no-warranty", r"\bprovided{s}[\"“]?as{s}is[\"”]?{s}without{s}warranty\b", "warranty", 0.5),

@@ -3,8 +3,10 @@
 import math
 import zlib
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -223,6 +225,32 @@ def test_license_suppression():
     assert len(license_scan.build_rules()) > 200
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("(c) 2020 A. Author", "copyright"),
+        ("© (c) 1999", "copyright"),
+        ("copyright 2001", "copyright"),
+        ("all right reserved", "reserved"),
+        ("given to the public\ndomain", "public-domain"),
+        ("is in the public-domain", "public-domain"),
+        ("for internal\nuse only", "proprietary"),
+        ("for personal use\nonly", "non-commercial"),
+        ("for non-commercial_use / only", "non-commercial"),
+    ],
+)
+def test_license_gates_drop_nothing(text, labels):
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["id", "text"])
+    got = next(license_scan._scan(iter([batch]))).to_pylist()[0]
+    assert got["labels"] == labels and got["score"] > 0
+    rules, _ = license_scan._scanner()
+    every = ahocorasick.Automaton()
+    every.add_word("a" if "a" in text.lower() else "c", "")
+    every.make_automaton()
+    ungated = license_scan.detections(text.lower(), {"": [r for k in rules for r in rules[k]]}, every)
+    assert sorted({x[2] for x in ungated}) == [labels]
+
+
 def test_leaks(spark, docs, texts):
     items = {100: brute.words(70, 1), 101: "one TWO three", 102: None, 103: "", 104: " ".join(brute.LONG.split()[500:530]), 105: "absent words here only for this item", 106: brute.words(70, 1) + " " + brute.words(14, 77), 107: brute.words(70, 1) + " " + brute.words(30, 78)}
     got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontam.leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
