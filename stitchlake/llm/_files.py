@@ -30,3 +30,8 @@ def exactly(f, n: int) -> bytes:
     if len(got) != n:
         raise ValueError(f"file ends early: {len(got)} of {n} bytes")
     return got
+
+
+def open_seekable(uri: str):
+    where, path = fs.FileSystem.from_uri(uri)
+    return where.open_input_file(path)

@@ -1,291 +1,541 @@
 """Token-id files with an adaptive context-mixing range coder.
 
-A file holds the ids of consecutive documents: a header, the document index (ids and lengths), then
-blocks of ``BLOCK`` ids. Every block is coded from a reset model, carries its length and the crc32
-of its coded bytes and of its ids, and can be decoded alone.
-
-The model mixes predictions of three orders. Order 2 and order 1 remember, by hashed context, the
-id that followed last; order 0 is the distribution of the block's own ids, renewed when 512 and
-2048 of them are known; an escape codes an id that none of them knows in 16 bits. The shares of the
-four in the unit interval follow, for the two cases of orders 1 and 2 agreeing or not, how often
-each was right so far; if they agree their shares add up. Each id is one step of a carry-less range
-coder (64-bit low and range, 16-bit output words) over a total of 2**32.
-
-Up to ``LANES`` blocks are coded side by side, one id of each in a numpy step; the bytes of a block
-do not depend on its neighbours. Ids must be below 65536.
-
-``write_tokens`` sorts documents by id over range partitions, tokenizes and codes each partition as
-one file in the shared folder and commits a manifest; ``read_tokens`` decodes the manifest's files.
-A lost task writes another file; files no manifest names are ignored.
+A file holds the ids of consecutive documents: a magic word, blocks of up to ``BLOCK`` ids, and a
+footer with the document index (ids and lengths) and its checksum, so a writer streams. Every block
+is coded from a reset model, carries its length and the crc32 of its coded bytes and of its ids, and
+can be decoded alone.
+
+Within a block an id is named by its rank, the order of first appearance. Three predictions of the
+next rank are mixed as probabilities: order 0, the adaptive counts of the block's ranks, renewed
+when 64, 128, .. 4096 and then every further 4096 ids are known, with a share for ids that they do
+not know; order 1, the last ``SLOTS`` ranks that followed the rank before; order 2, the rank that
+last followed the hashed pair of ranks before. The probability of a rank is the weighted sum over
+the three, and so is its cumulative probability. Weights are kept for each kind of context (how many
+slots are filled, how they agree); they follow the share that each order had in the probabilities of
+the ids coded so far (online expectation maximization, every ``RENEW`` ids). An id that nothing
+knows is an escape and then its number, with a fixed 1 / (id + 256) prior. The probabilities drive a
+range coder (64-bit low with carry, 32-bit words, total ``2**24``).
+
+Up to ``ENCODE_LANES`` (``DECODE_LANES``) blocks are coded side by side in numpy; the bytes of a
+block do not depend on its neighbours. Ids must be below 65536.
+
+``write_tokens`` sorts documents by id over range partitions of about ``FILE_BYTES`` of text,
+tokenizes and codes each partition as one file in the shared folder and commits a manifest;
+``read_tokens`` decodes the manifest's files. A lost task writes another file; files no manifest
+names are ignored.
 
 Defined cases: null or empty text is the end id alone; null ids sort first; rows that repeat an id
-stand next to each other, ordered by a hash of their text; an empty table gives no files and an
-empty result; other columns are not read.
+(ties) stand next to each other, ordered by a hash of their text; a very long text is one document
+over as many blocks as it needs; an empty table gives no files and an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._files import exactly, new_file, open_file
+from ._files import exactly, new_file, open_seekable
 from ._store import materialize, shared_dir
 from ._text import blocks, column, crc32_ids
 from ._tokens import default_tokenizer, encoder
 
-BLOCK = 4096
-LANES = 2048
+BLOCK = 1 << 16
+ENCODE_LANES, DECODE_LANES = 256, 640
+#: Text bytes of a file; fixes the number of range partitions.
+FILE_BYTES = 96 << 20
 END_ID = 1
-MAGIC = b"SLTOKEN1"
-_PHASES = (512, 2048)  # ids known when order 0 is renewed
-_BITS1, _BITS2 = 12, 14
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
-_LOWBITS = np.uint64((1 << 32) - 1)
-_RENEW = 16
-_HEADER = "<8sqqq"
-_BLOCK_HEADER = "<IIII"
-
-
-class _Model:
-    """State of ``lanes`` independent models."""
+MAGIC, TAIL = b"SLTOKEN2", b"SLINDEX2"
+SLOTS = 3
+NONE = 0xFFFF  # an empty slot
+SCALE = 1 << 15  # total of order 0
+SHARES = 512  # total of the three weights; SHARES * SCALE is the coder's total
+TOTAL_BITS = 24
+RENEW = 64
+KNOWN = 1 << 14  # most ranks in order 0
+_BITS2 = 13
+_KEYS = 4 * 4 * 3
+_PRIOR = (1 << TOTAL_BITS) // 9
+_TAIL = "<qqqI8s"
+_BLOCK_HEADER = "<IIIII"
+_KEY = np.arange(_KEYS)
+_N1, _AGREE, _KIND2 = _KEY // 12, _KEY // 3 % 4, _KEY % 3
+_32, _24, _LEAST = np.uint64(32), np.uint64(TOTAL_BITS), np.uint64(1 << 32)
+_LOW16, _16 = np.uint32(0xFFFF), np.uint32(16)
+
+
+def _renewals(n: int) -> list[int]:
+    """Places at which order 0 is renewed."""
+    return [p for p in [*(64 << i for i in range(6)), *range(4096, n, 4096)] if p < n]
+
+
+def _order0(counts: np.ndarray, distinct: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """From counts (lanes, ranks): (cumulative << 16 | share) of each rank and of an empty slot, and where the escape starts."""
+    lanes, width = counts.shape
+    r = np.minimum(distinct, KNOWN)[:, None]
+    escape = np.clip(SCALE * (64 + r) // (4 * (known + 64)), 32, SCALE // 2)
+    share = np.where(np.arange(width) < r, 1 + counts * np.maximum(SCALE - escape - r, 0) // max(known, 1), 0)
+    upto = np.cumsum(share, axis=1)
+    table = np.full((lanes, width + 1), (SCALE - 1) << 16, dtype=np.uint32)
+    table[:, :width] = (upto - share) << 16 | share
+    return table, upto[:, -1].astype(np.int32)
+
+
+class _Weights:
+    """The weights of the three orders by lane and kind of context."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.t1 = np.zeros(lanes << _BITS1, dtype=np.uint16)
-        self.t2 = np.zeros(lanes << _BITS2, dtype=np.uint16)
-        lane = np.arange(lanes, dtype=np.int64)
-        self.b1, self.b2, self.lane = lane << _BITS1, lane << _BITS2, lane
-        self.p1 = np.zeros(lanes, dtype=np.int64)
-        self.p2 = np.zeros(lanes, dtype=np.int64)
-        self.count = np.full((2, 4, lanes), 8, dtype=np.int64)
-        self.seen: list[np.ndarray] = []
-        self.steps = 0
-        self._shares()
-
-    def _shares(self) -> None:
-        c = self.count
-        w = c * (65536 - 4 * 32) // c.sum(axis=1, keepdims=True) + 32
-        w[:, 0] += 65536 - w.sum(axis=1)
-        e1, e2, e3 = w[:, 0].copy(), w[:, 0] + w[:, 1], 65536 - w[:, 3]
-        e1[1] = e2[1]  # agreeing orders share one interval
-        self.edges = e1, e2, e3
-
-    def predict(self, a: int):
-        """Of the first ``a`` lanes: predictions of orders 2 and 1, whether they agree, interval edges."""
-        p1, p2 = self.p1[:a], self.p2[:a]
-        self.i1 = self.b1[:a] + (p1 & (1 << _BITS1) - 1)
-        self.i2 = self.b2[:a] + (((p1 * 40503 + p2) * 30011 >> 7) & (1 << _BITS2) - 1)
-        c1, c2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        agree = c1 == c2
-        e1, e2, e3 = (np.where(agree, e[1, :a], e[0, :a]) for e in self.edges)
-        return c2, c1, agree, e1, e2, e3
-
-    def update(self, a: int, x: np.ndarray, agree: np.ndarray, branch: np.ndarray) -> None:
-        self.t1[self.i1] = x
-        self.t2[self.i2] = x
-        self.p2[:a] = self.p1[:a]
-        self.p1[:a] = x
-        self.seen.append((agree * 4 + branch) * self.lanes + self.lane[:a])
+        self.lanes, self.steps = lanes, 0
+        first = np.array([192 + 0 * _KEY, 64 * (1 + _AGREE), 64 * (1 + 2 * (_KIND2 == 2))])
+        self.gained = np.repeat(first[:, None, :], lanes, axis=1).astype(np.int64)
+        self._renew()
+
+    def _renew(self) -> None:
+        g0, g1, g2 = self.gained[0], self.gained[1] * (_N1 > 0), self.gained[2] * (_KIND2 > 0)
+        total = g0 + g1 + g2
+        s1, s2 = (SHARES - 32) * g1 // total, (SHARES - 32) * g2 // total
+        self.w0 = (SHARES - s1 - s2).astype(np.int32).ravel()
+        self.w1 = (s1 * SCALE // np.maximum(_N1, 1)).astype(np.int32).ravel()
+        self.w2 = (s2 * SCALE).astype(np.int32).ravel()
+
+    def update(self, key: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
+        """``key``: lane and kind of each place; ``r1``, ``r2``: 64 x the shares of orders 1 and 2 in its probability."""
+        key, size, shape = key.ravel(), self.lanes * _KEYS, (self.lanes, _KEYS)
+        n = np.bincount(key, minlength=size).reshape(shape)
+        a = np.bincount(key, r1.ravel(), size).astype(np.int64).reshape(shape)
+        b = np.bincount(key, r2.ravel(), size).astype(np.int64).reshape(shape)
+        self.gained += np.stack([64 * n - a - b, a, b])
         self.steps += 1
-        if self.steps % _RENEW == 0:
-            self.count += 24 * np.bincount(np.concatenate(self.seen), minlength=8 * self.lanes).reshape(2, 4, self.lanes)
-            self.seen.clear()
-            if self.steps % 256 == 0:
-                self.count >>= 1
-                self.count += 1
-            self._shares()
-
-
-def _order0(history: np.ndarray):
-    """Sorted ids of each lane, and for each place the start and length of its run of equal ids."""
-    s = np.sort(history.astype(np.uint16), axis=1)
-    lanes, n = s.shape
-    first = np.ones((lanes, n), dtype=bool)
-    first[:, 1:] = s[:, 1:] != s[:, :-1]
-    at = np.flatnonzero(first.reshape(-1))
-    length = np.diff(np.append(at, lanes * n))
-    return s, np.repeat(at % n, length).astype(np.int64), np.repeat(length, length).astype(np.int64)
-
-
-def _steps(n: int) -> Iterator[tuple[int, int, int]]:
-    """(from, to, ids known to order 0) of the stretches between renewals."""
-    at, known = 0, 0
-    for p in (*_PHASES, n):
-        if at < n:
-            yield at, min(p, n), known
-            at = known = min(p, n)
-
-
-def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
-    """Coded bytes of each block of ids (lengths descending)."""
+        if self.steps % 32 == 0:
+            self.gained >>= 1
+            self.gained += 1
+        self._renew()
+
+
+def _kind(c, none: int):
+    """Kind of context of slots ``c`` (order 1, then order 2), how many slots of order 1 are filled, and
+    the equalities of slots (01, 02, 12, then each with order 2) as small integers."""
+    c0, c1, c2, d = c
+    e = [(x == y).view(np.uint8) for x, y in ((c0, c1), (c0, c2), (c1, c2), (c0, d), (c1, d), (c2, d))]
+    filled = (c0 != none).view(np.uint8) + (c1 != none).view(np.uint8) + (c2 != none).view(np.uint8)
+    key = filled * np.uint8(4)
+    key += e[0]
+    key += e[1]
+    key += e[2]
+    key *= np.uint8(3)
+    two = (d != none).view(np.uint8)
+    key += two
+    key += two & (e[3] | e[4] | e[5])
+    return key, filled, e
+
+
+class _Encoder:
+    """Range coders of many lanes."""
+
+    def __init__(self, lanes: int, words: int):
+        self.low = np.zeros(lanes, dtype=np.uint64)
+        self.rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+        self.out = np.zeros((lanes, words), dtype=np.uint64)  # carries stand above 32 bits until the end
+        self.used = np.zeros(lanes, dtype=np.int64)
+
+    def room(self, words: int) -> None:
+        if int(self.used.max()) + words > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+
+    def put(self, cum: np.ndarray, freq: np.ndarray, lanes: int) -> None:
+        """Code one place of each of the first ``lanes`` lanes."""
+        low, rng = self.low[:lanes], self.rng[:lanes]
+        rng >>= _24
+        cum *= rng
+        low += cum
+        carry = low < cum
+        rng *= freq
+        if carry.any():
+            i = np.flatnonzero(carry)
+            self.out[i, self.used[i] - 1] += np.uint64(1)
+        i = np.flatnonzero(rng < _LEAST)
+        if len(i):
+            self.word(i)
+
+    def put_some(self, cum: np.ndarray, freq: np.ndarray, i: np.ndarray) -> None:
+        """Code one place of each of the lanes ``i``."""
+        r = self.rng[i] >> _24
+        add = r * cum
+        self.low[i] = low = self.low[i] + add
+        self.rng[i] = rng = r * freq
+        if (low < add).any():
+            j = i[low < add]
+            self.out[j, self.used[j] - 1] += np.uint64(1)
+        if len(j := i[rng < _LEAST]):
+            self.word(j)
+
+    def word(self, i: np.ndarray) -> None:
+        low = self.low[i]
+        self.out[i, self.used[i]] = low >> _32
+        self.used[i] += 1
+        self.low[i] = low << _32
+        self.rng[i] <<= _32
+
+    def finish(self) -> list[bytes]:
+        every = np.arange(len(self.low))
+        self.room(2)
+        self.word(every)
+        self.word(every)
+        w = self.out
+        while (over := w >> _32).any():
+            w &= np.uint64((1 << 32) - 1)
+            w[:, :-1] += over[:, 1:]
+        return [w[i, : self.used[i]].astype("<u4").tobytes() for i in every]
+
+
+def _ranks(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks by first appearance, and how many there are."""
+    first = np.full(1 << 16, len(ids), dtype=np.int64)
+    first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
+    known = np.flatnonzero(first < len(ids))
+    rank = np.zeros(1 << 16, dtype=np.uint16)
+    rank[known[np.argsort(first[known])]] = np.arange(len(known))
+    return rank[ids], len(known)
+
+
+def _followers(context: np.ndarray, x: np.ndarray, slots: int) -> np.ndarray:
+    """What last followed each place's context before it: (slots, n), the latest first."""
+    order = np.argsort(context, kind="stable")
+    by, follows = context[order], x[order]
+    out = np.full((slots, len(x)), NONE, dtype=np.uint16)
+    for j in range(1, slots + 1):
+        if j < len(x):
+            got = np.where(by[j:] == by[:-j], follows[:-j], np.uint16(NONE))
+            out[j - 1][order[j:]] = got
+    return out
+
+
+def _hash2(p1, p2):
+    """Of two uint16 ranks, in ``_BITS2`` bits."""
+    h = p1 * np.uint16(40503)
+    h += p2 * np.uint16(30011)
+    h >>= np.uint16(16 - _BITS2)
+    return h
+
+
+def _prior(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    y = ids.astype(np.int64) + 256
+    k = np.floor(np.log2(y)).astype(np.int64)
+    width = _PRIOR >> k
+    return (k - 8) * _PRIOR + (y - (1 << k)) * width, width
+
+
+def _code_escapes(escapes: list[np.ndarray]) -> list[bytes]:
+    """The escaped ids of each lane by the fixed prior."""
+    n = np.array([len(e) for e in escapes])
+    most = int(n.max())
+    if not most:
+        return [b""] * len(escapes)
+    coder = _Encoder(len(escapes), most // 2 + 16)
+    ids = np.zeros((len(escapes), most), dtype=np.uint16)
+    for i, e in enumerate(escapes):
+        ids[i, : len(e)] = e
+    cum, width = (z.astype(np.uint64) for z in _prior(ids))
+    for k in range(most):
+        i = np.flatnonzero(n > k)
+        coder.room(4)
+        coder.put_some(cum[i, k], width[i, k], i)
+    return coder.finish()
+
+
+def _read_escapes(coded: list[bytes], counts: np.ndarray) -> np.ndarray:
+    lanes, most = len(coded), int(counts.max())
+    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 2 + most), dtype=np.uint64)
+    for i, c in enumerate(coded):
+        words[i, : len(c) // 4] = np.frombuffer(c, dtype="<u4")
+    at = np.full(lanes, 2)
+    code = words[:, 0] << _32 | words[:, 1]
+    rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    out = np.zeros((lanes, most), dtype=np.uint16)
+    for k in range(most):
+        i = np.flatnonzero(counts > k)
+        r = rng[i] >> _24
+        v = np.minimum((code[i] // r).astype(np.int64), 9 * _PRIOR - 1)
+        b = v // _PRIOR + 8
+        step = _PRIOR >> b
+        y = np.minimum((v - (b - 8) * _PRIOR) // step, (1 << b) - 1)
+        out[i, k] = np.clip(y + (1 << b) - 256, 0, 0xFFFF)
+        code[i] -= r * ((b - 8) * _PRIOR + y * step).astype(np.uint64)
+        rng[i] = r * step.astype(np.uint64)
+        j = i[rng[i] < _LEAST]
+        code[j] = code[j] << _32 | words[j, at[j]]
+        at[j] += 1
+        rng[j] <<= _32
+    return out
+
+
+def encode_blocks(parts: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
+    """(coded bytes, distinct ids) of each block; lengths are descending and differ by one at most."""
     lanes, n = len(parts), len(parts[0])
+    x = np.zeros((lanes, n), dtype=np.uint16)
+    slots = np.full((SLOTS + 1, lanes, n), NONE, dtype=np.uint16)
+    distinct = []
+    for i, ids in enumerate(parts):
+        m = len(ids)
+        rank, d = _ranks(ids)
+        p1 = np.concatenate([np.zeros(1, np.uint16), rank[:-1]])
+        p2 = np.concatenate([np.zeros(1, np.uint16), p1[:-1]])
+        x[i, :m] = rank
+        slots[:SLOTS, i, :m] = _followers(p1, rank, SLOTS)
+        slots[SLOTS, i, :m] = _followers(_hash2(p1, p2), rank, 1)[0]
+        distinct.append(d)
     sizes = np.array([len(p) for p in parts])
-    ids = np.zeros((n, lanes), dtype=np.int64)
-    for i, p in enumerate(parts):
-        ids[: len(p), i] = p
-    model = _Model(lanes)
-    low = np.zeros(lanes, dtype=np.uint64)
-    rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    out = np.zeros((lanes, 2 * n + 8), dtype="<u2")
-    used = np.zeros(lanes, dtype=np.int64)
-    for start, stop, known in _steps(n):
-        place = np.zeros((stop - start, lanes), dtype=np.int64)
-        length = np.zeros((stop - start, lanes), dtype=np.int64)
-        if known:
-            s, _, run = _order0(ids[:known].T)
-            run = run.reshape(lanes, known)
-            for i in range(lanes):
-                x = ids[start:stop, i].astype(s.dtype)
-                lo = np.searchsorted(s[i], x)
-                lo[lo == known] = 0
-                place[:, i] = lo
-                length[:, i] = np.where(s[i].take(lo) == x, run[i].take(lo), 0)
-        scale = 65536 // known if known else 0
-        for t in range(start, stop):
-            a = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t))
-            x, pos, ln = ids[t, :a], place[t - start, :a], length[t - start, :a]
-            c2, c1, agree, e1, e2, e3 = model.predict(a)
-            m2, m1 = x == c2, x == c1
-            branch = np.where(m2, 0, np.where(m1, 1, np.where(ln > 0, 2, 3)))
-            w0, wn = e3 - e2, 65536 - e3
-            inside = ln > 0
-            cum = np.where(m2, 0, np.where(m1, e1 << 16, np.where(inside, (e2 << 16) + w0 * (pos * scale), (e3 << 16) + wn * x)))
-            freq = np.where(m2, e1 << 16, np.where(m1, (e2 - e1) << 16, np.where(inside, w0 * (ln * scale), wn)))
-            model.update(a, x, agree, branch)
-            r = rng[:a] >> _32
-            low[:a] += r * cum.astype(np.uint64)
-            rng[:a] = r * freq.astype(np.uint64)
-            while len(need := _unsettled(low, rng, a)):
-                out[need, used[need]] = low[need] >> _48
-                used[need] += 1
-                low[need] <<= _16
-                rng[need] <<= _16
-    for _ in range(4):
-        out[np.arange(lanes), used] = low >> _48
-        used += 1
-        low <<= _16
-    return [out[i, : used[i]].tobytes() for i in range(lanes)]
-
-
-def _unsettled(low: np.ndarray, rng: np.ndarray, a: int) -> np.ndarray:
-    """Lanes whose first 16 bits are settled; a range that is too small is cut to settle them."""
-    lo, rg = low[:a], rng[:a]
-    same = (lo ^ (lo + rg)) < _TOP
-    small = rg < _BOT
-    if small.any():
-        cut = np.flatnonzero(small & ~same)
-        if len(cut):
-            rng[cut] = (~low[cut] + np.uint64(1)) & _LOWBITS
-        same |= small
-    return np.flatnonzero(same)
-
-
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    weights, coder = _Weights(lanes), _Encoder(lanes, n // 2 + 512)
+    width = max(distinct)
+    counts = np.zeros((lanes, width), dtype=np.int64)
+    top = np.zeros(lanes, dtype=np.int64)
+    lane = np.arange(lanes)[:, None]
+    table, escape = _order0(counts, top, 0)
+    marks = set(_renewals(n))
+    begun, full, escaped = 0, int((sizes == n).sum()), []
+    for t in range(0, n, RENEW):
+        if t in marks:
+            add = np.bincount((lane * width + x[:, begun:t]).ravel(), minlength=lanes * width)
+            counts += add.reshape(lanes, width)
+            top, begun = (counts > 0).sum(axis=1), t
+            table, escape = _order0(counts, top, t)
+        u = min(t + RENEW, n)
+        now = np.ascontiguousarray(x[:, t:u])
+        c = np.ascontiguousarray(slots[:, :, t:u])
+        kind, filled, _ = _kind(c, NONE)
+        key = kind + lane * _KEYS
+        w0, w1, w2 = weights.w0.take(key), weights.w1.take(key), weights.w2.take(key)
+        got = table.take(now + lane * (width + 1))
+        f1 = ((c[0] == now).view(np.uint8) + (c[1] == now).view(np.uint8) + (c[2] == now).view(np.uint8)) * w1
+        f2 = (c[3] == now) * w2
+        less = (c[0] < now).view(np.uint8) + (c[1] < now).view(np.uint8) + (c[2] < now).view(np.uint8)
+        cum = w0 * (got >> np.uint32(16)).view(np.int32)
+        cum += less * w1
+        cum += (c[3] < now) * w2
+        freq = w0 * (got & np.uint32(0xFFFF)).view(np.int32)
+        freq += f1
+        freq += f2
+        out = (freq == 0) | (now == NONE)
+        at = np.flatnonzero(out.ravel())
+        if len(at):
+            i = at // (u - t)
+            w = w0.ravel()[at]
+            cum.ravel()[at] = w * escape[i] + filled.ravel()[at] * w1.ravel()[at] + w2.ravel()[at]
+            freq.ravel()[at] = w * (SCALE - escape[i])
+            f1.ravel()[at] = f2.ravel()[at] = 0
+            escaped.append((i, t + at % (u - t)))
+        cums, freqs = cum.T.astype(np.uint64, order="C"), freq.T.astype(np.uint64, order="C")
+        coder.room(4 * RENEW)
+        for s in range(u - t):
+            a = lanes if t + s < n - 1 else full
+            coder.put(cums[s, :a], freqs[s, :a], a)
+        weights.update(key, (f1 << 6) // freq, (f2 << 6) // freq)
+    i, at = (np.concatenate(z) for z in zip(*escaped, strict=True))
+    order = np.argsort(i, kind="stable")
+    i, at = i[order], at[order]
+    edges = np.searchsorted(i, np.arange(lanes + 1))
+    own = [parts[k][z[z < sizes[k]]] for k in range(lanes) for z in [at[edges[k] : edges[k + 1]]]]
+    first = _code_escapes(own)
+    return [struct.pack("<II", len(e), len(x)) + x + y for e, x, y in zip(own, first, coder.finish(), strict=True)], distinct
+
+
+def decode_blocks(coded: list[bytes], sizes: list[int], distinct: list[int]) -> list[np.ndarray]:
     """Ids of each block (sizes descending)."""
-    lanes, n = len(coded), sizes[0]
-    width = max(len(c) for c in coded) // 2 + 8
-    words = np.zeros((lanes, width), dtype=np.uint64)
-    for i, c in enumerate(coded):
-        words[i, : len(c) // 2] = np.frombuffer(c, dtype="<u2")
-    model = _Model(lanes)
-    low = np.zeros(lanes, dtype=np.uint64)
+    lanes, n, width = len(coded), sizes[0], max(distinct)
+    none = width if width < NONE else NONE  # an empty slot, above every rank
+    head = [struct.unpack("<II", c[:8]) for c in coded]
+    n_escapes = np.array([h[0] for h in head])
+    if (n_escapes > np.array(sizes)).any():
+        raise ValueError("a block is damaged")
+    escapes = _read_escapes([c[8 : 8 + h[1]] for c, h in zip(coded, head, strict=True)], n_escapes)
+    id_of = np.zeros((lanes, width + 1), dtype=np.uint16)
+    rank_at = np.zeros(escapes.shape, dtype=np.uint16)  # an id is first met as an escape, so this gives all ranks
+    for i, k in enumerate(n_escapes):
+        rank_at[i, :k], d = _ranks(escapes[i, :k])
+        if d != distinct[i]:
+            raise ValueError("a block is damaged")
+        id_of[i, rank_at[i, :k]] = escapes[i, :k]
+    rank_at, next_escape = rank_at.ravel(), np.arange(lanes) * escapes.shape[1]
+    last_escape = next_escape + np.maximum(n_escapes, 1) - 1
+    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 4 * RENEW), dtype=np.uint32)
+    for i, (c, h) in enumerate(zip(coded, head, strict=True)):
+        words[i, : (len(c) - 8 - h[1]) // 4] = np.frombuffer(c, dtype="<u4", offset=8 + h[1])
+    flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
     rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    code = np.zeros(lanes, dtype=np.uint64)
-    for j in range(4):
-        code = code << _16 | words[:, j]
-    flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 4
-    ids = np.zeros((n, lanes), dtype=np.int64)
-    size = np.array(sizes)
-    for start, stop, known in _steps(n):
-        scale = 65536 // known if known else 1
-        if known:
-            s, first, run = _order0(ids[:known].T)
-            s = s.reshape(-1)
-        for t in range(start, stop):
-            a = lanes if size[-1] > t else int(np.searchsorted(-size, -t))
-            c2, c1, agree, e1, e2, e3 = model.predict(a)
-            r = rng[:a] >> _32
-            v = ((code[:a] - low[:a]) // r).astype(np.int64)
-            share = v >> 16
-            n2, n1 = share >= e1, share >= e2
-            branch = n2.astype(np.int64) + n1 + (share >= e3)
-            x = np.where(n2, c1, c2).astype(np.int64)
-            cum = np.where(n2, e1 << 16, 0)
-            freq = np.where(n2, e2 - e1, e1) << 16
-            three = np.flatnonzero(branch == 3)
-            if len(three):
-                b3, w3 = e3.take(three), 65536 - e3.take(three)
-                x[three] = y = (v.take(three) - (b3 << 16)) // w3
-                cum[three] = (b3 << 16) + w3 * y
-                freq[three] = w3
-            if known:
-                two = np.flatnonzero(branch == 2)
-                if len(two):
-                    b2 = e2.take(two)
-                    w2 = e3.take(two) - b2
-                    slot = two * known + (v.take(two) - (b2 << 16)) // w2 // scale
-                    x[two] = s.take(slot)
-                    cum[two] = (b2 << 16) + w2 * (first.take(slot) * scale)
-                    freq[two] = w2 * (run.take(slot) * scale)
-            ids[t, :a] = x
-            model.update(a, x, agree, branch)
-            low[:a] += r * cum.astype(np.uint64)
-            rng[:a] = r * freq.astype(np.uint64)
-            while len(need := _unsettled(low, rng, a)):
-                code[need] = code[need] << _16 | flat[at[need]]
-                at[need] += 1
-                low[need] <<= _16
-                rng[need] <<= _16
-    return [ids[:k, i].astype(np.uint32) for i, k in enumerate(sizes)]
-
-
-def write_file(f, doc_ids: list, lengths: np.ndarray, parts: Iterator[np.ndarray]) -> int:
-    """One file: header, document index, blocks. ``parts`` yields the ids in order. Returns bytes."""
-    known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
-    index = zlib.compress(known.tobytes() + np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
-    total = struct.calcsize(_HEADER) + 4 + len(index)
-    f.write(struct.pack(_HEADER, MAGIC, len(doc_ids), int(lengths.sum()), len(index)))
-    f.write(struct.pack("<I", zlib.crc32(index)))
-    f.write(index)
-    held, n = [], 0
-
-    def flush(last: bool) -> int:
-        nonlocal held, n
-        flat = np.concatenate(held) if held else np.empty(0, dtype=np.uint32)
-        if len(flat) and int(flat.max()) > 0xFFFF:
+    code = flat[at].astype(np.uint64) << _32 | flat[at + 1]  # relative to the coder's low end
+    at += 2
+    last_word = np.arange(1, lanes + 1) * words.shape[1] - 1
+    lane = np.arange(lanes, dtype=np.int64)
+    table1 = np.full(lanes * (width + 1), none * 0x0001000100010001, dtype=np.uint64)
+    table2 = np.full(lanes << _BITS2, none, dtype=np.uint16)
+    base1, base2, base0, base_key = lane * (width + 1), lane << _BITS2, lane * SCALE, lane * _KEYS
+    x_all = np.zeros((n, lanes), dtype=np.uint16)
+    p1, p2 = np.zeros(lanes, dtype=np.uint16), np.zeros(lanes, dtype=np.uint16)
+    weights = _Weights(lanes)
+    counts = np.zeros((lanes, width), dtype=np.int64)
+    marks, begun = {0, *_renewals(n)}, 0
+    most = np.uint64((1 << TOTAL_BITS) - 1)
+    c = np.empty((4, lanes), dtype=np.uint16)
+    times1, times2, below1, below2 = (np.zeros((4, lanes), dtype=np.uint8) for _ in range(4))
+    times2[3] = 1
+    keys = np.empty((RENEW, lanes), dtype=np.int64)
+    parts1, parts2 = np.empty((RENEW, lanes), dtype=np.int32), np.empty((RENEW, lanes), dtype=np.int32)
+    for t in range(n):
+        if t in marks:
+            if t:
+                add = np.bincount((lane * width + x_all[begun:t]).ravel(), minlength=lanes * width)
+                counts += add.reshape(lanes, width)
+            seen, begun = (counts > 0).sum(axis=1), t
+            table, escape = _order0(counts, seen, t)
+            # the slots of the unit interval: each rank as often as its share says, then the escape's part
+            filler = np.concatenate([table[:, :width] & _LOW16, (SCALE - escape)[:, None]], axis=1).ravel()
+            inverse = np.repeat(np.tile(np.arange(width + 1).astype(np.uint16), lanes), filler)
+            table, left = table.ravel(), SCALE - escape
+        row = t % RENEW
+        i1 = p1 + base1
+        last = table1.take(i1)
+        i2 = _hash2(p1, p2) + base2
+        pack = last.view("<u2")
+        c[0], c[1], c[2], c[3] = pack[0::4], pack[1::4], pack[2::4], table2.take(i2)
+        c0, c1, c2, d = c
+        kind, filled, (e01, e02, e12, e0, e1, e2) = _kind(c, none)
+        key = np.add(kind, base_key, out=keys[row])
+        w0, w1, w2 = weights.w0.take(key), weights.w1.take(key), weights.w2.take(key)
+        for j, (x, y) in enumerate(((e01, e02), (e01, e12), (e02, e12))):
+            np.add(x, y, out=times1[j])
+        times1[:3] += np.uint8(1)
+        np.add(e0, e1, out=times1[3])
+        times1[3] += e2
+        times2[0], times2[1], times2[2] = e0, e1, e2
+        np.add(c1 < c0, c2 < c0, out=below1[0], dtype=np.uint8)
+        np.add(c0 < c1, c2 < c1, out=below1[1], dtype=np.uint8)
+        np.add(c0 < c2, c1 < c2, out=below1[2], dtype=np.uint8)
+        np.add(c0 < d, c1 < d, out=below1[3], dtype=np.uint8)
+        below1[3] += c2 < d
+        np.less(d, c[:3], out=below2[:3].view(bool))
+        got = table.take(c + base1)
+        cums = (got >> _16).view(np.int32)
+        cums *= w0
+        cums += below1 * w1
+        cums += below2 * w2
+        ends = (got & _LOW16).view(np.int32)
+        ends *= w0
+        ends += times1 * w1
+        ends += times2 * w2
+        freqs = ends
+        rng >>= _24
+        v = np.minimum(code // rng, most).astype(np.int32)
+        reached = cums <= v
+        missed = v - cums
+        hit = (missed < freqs) & reached
+        below = (reached[0].view(np.uint8) + reached[1].view(np.uint8) + reached[2].view(np.uint8)) * w1
+        below += reached[3] * w2
+        x = inverse.take(np.minimum(np.maximum(v - below, 0) // w0, SCALE - 1) + base0)
+        got = table.take(x + base1)
+        cum = (got >> _16).view(np.int32)
+        cum *= w0
+        cum += below
+        freq = (got & _LOW16).view(np.int32)
+        freq *= w0
+        for j in range(4):
+            np.copyto(x, c[j], where=hit[j])
+            np.copyto(cum, cums[j], where=hit[j])
+            np.copyto(freq, freqs[j], where=hit[j])
+        start = w0 * escape
+        start += filled * w1
+        start += w2
+        out = np.flatnonzero(v >= start)
+        if len(out):
+            cum[out] = start[out]
+            freq[out] = w0[out] * left[out]
+        code -= rng * cum.astype(np.uint64)
+        rng *= freq.astype(np.uint64)
+        small = np.flatnonzero(rng < _LEAST)
+        if len(small):
+            code[small] = code[small] << _32 | flat[at[small]]
+            at[small] = np.minimum(at[small] + 1, last_word[small])  # a lane that has ended goes on idly
+            rng[small] <<= _32
+        if len(out):
+            k = next_escape[out]
+            x[out] = rank_at[k]
+            next_escape[out] = np.minimum(k + 1, last_escape[out])
+        x_all[t] = x
+        one = (c0 == x).view(np.uint8) + (c1 == x).view(np.uint8) + (c2 == x).view(np.uint8)
+        np.floor_divide((one * w1) << 6, freq, out=parts1[row])
+        np.floor_divide(((d == x) * w2) << 6, freq, out=parts2[row])
+        if len(out):
+            parts1[row, out] = parts2[row, out] = 0
+        last <<= np.uint64(16)
+        last |= x
+        table1[i1] = last
+        table2[i2] = x
+        p2, p1 = p1, x
+        if row == RENEW - 1:
+            weights.update(keys, parts1, parts2)
+    return [id_of[i].take(x_all[:k, i]).astype(np.uint32) for i, k in enumerate(sizes)]
+
+
+def _cut(flat: np.ndarray) -> list[np.ndarray]:
+    """Equal blocks (lengths differ by one at most, longer ones first)."""
+    return np.array_split(flat, max(1, -(-len(flat) // BLOCK)))
+
+
+def write_file(f, docs: Iterator[tuple[list, np.ndarray, np.ndarray]]) -> tuple[int, int, int]:
+    """One file from (document ids, their lengths, their ids on end) in order; returns (documents, ids, bytes)."""
+    f.write(MAGIC)
+    total, held, n = len(MAGIC), [], 0
+    names: list = []
+    lengths: list[np.ndarray] = []
+
+    def flush(flat: np.ndarray) -> int:
+        if int(flat.max()) > 0xFFFF:
             raise ValueError("ids from 65536 on can't be coded")
-        stop = len(flat) if last else len(flat) // (BLOCK * LANES) * (BLOCK * LANES)
-        wrote = 0
-        for at in range(0, stop, BLOCK * LANES):
-            cut = [flat[i : min(i + BLOCK, stop)] for i in range(at, min(at + BLOCK * LANES, stop), BLOCK)]
-            for ids, coded in zip(cut, encode_blocks(cut), strict=True):
-                f.write(struct.pack(_BLOCK_HEADER, len(ids), len(coded), zlib.crc32(coded), crc32_ids(ids)))
-                f.write(coded)
-                wrote += struct.calcsize(_BLOCK_HEADER) + len(coded)
-        held, n = [flat[stop:]], len(flat) - stop
+        cut, wrote = _cut(flat), 0
+        for ids, coded, d in zip(cut, *encode_blocks(cut), strict=True):
+            f.write(struct.pack(_BLOCK_HEADER, len(ids), len(coded), d, zlib.crc32(coded), crc32_ids(ids)))
+            f.write(coded)
+            wrote += struct.calcsize(_BLOCK_HEADER) + len(coded)
         return wrote
 
-    for p in parts:
-        held.append(p)
-        n += len(p)
-        if n >= BLOCK * LANES:
-            total += flush(False)
-    return total + flush(True)
+    for doc_ids, sizes, ids in docs:
+        names += doc_ids
+        lengths.append(sizes)
+        held.append(ids)
+        n += len(ids)
+        if n >= BLOCK * ENCODE_LANES:
+            flat = np.concatenate(held)
+            for at in range(0, n - BLOCK * ENCODE_LANES + 1, BLOCK * ENCODE_LANES):
+                total += flush(flat[at : at + BLOCK * ENCODE_LANES])
+            held = [flat[n - n % (BLOCK * ENCODE_LANES) :]]
+            n = len(held[0])
+    if n:
+        total += flush(np.concatenate(held))
+    size = np.concatenate(lengths) if lengths else np.empty(0, dtype=np.int64)
+    known = np.array([i is not None for i in names], dtype=np.uint8)
+    index = zlib.compress(known.tobytes() + np.array([i or 0 for i in names], dtype="<i8").tobytes() + size.astype("<i8").tobytes(), 1)
+    f.write(index)
+    f.write(struct.pack(_TAIL, len(names), int(size.sum()), len(index), zlib.crc32(index), TAIL))
+    return len(names), int(size.sum()), total + len(index) + struct.calcsize(_TAIL)
 
 
 def read_file(f) -> tuple[list, np.ndarray, Iterator[np.ndarray]]:
     """(document ids, their lengths, ids block by block), everything checked."""
-    magic, n_docs, n_ids, size = struct.unpack(_HEADER, exactly(f, struct.calcsize(_HEADER)))
-    if magic != MAGIC:
+    if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
-    (crc,) = struct.unpack("<I", exactly(f, 4))
+    end = f.seek(0, io.SEEK_END)
+    tail = struct.calcsize(_TAIL)
+    f.seek(max(0, end - tail))
+    n_docs, n_ids, size, crc, magic = struct.unpack(_TAIL, exactly(f, tail))
+    if magic != TAIL or not 0 <= size <= end - tail - len(MAGIC):
+        raise ValueError("the footer is damaged")
+    f.seek(end - tail - size)
     index = exactly(f, size)
     if zlib.crc32(index) != crc:
         raise ValueError("document index is damaged")
@@ -295,24 +545,28 @@ def read_file(f) -> tuple[list, np.ndarray, Iterator[np.ndarray]]:
     lengths = np.frombuffer(raw[9 * n_docs :], dtype="<i8")
     if int(lengths.sum()) != n_ids:
         raise ValueError("document lengths don't add up")
+    f.seek(len(MAGIC))
 
     def parts() -> Iterator[np.ndarray]:
         left = n_ids
         while left:
-            coded, sizes, crcs = [], [], []
-            while left and len(coded) < LANES:
-                n, k, crc_coded, crc_ids = struct.unpack(_BLOCK_HEADER, exactly(f, struct.calcsize(_BLOCK_HEADER)))
+            coded, sizes, distinct, crcs = [], [], [], []
+            while left and len(coded) < DECODE_LANES:
+                n, k, d, crc_coded, crc_ids = struct.unpack(_BLOCK_HEADER, exactly(f, struct.calcsize(_BLOCK_HEADER)))
+                if not (0 < d <= n <= min(left, BLOCK) and k <= 8 * BLOCK):
+                    raise ValueError("a block is damaged")
                 data = exactly(f, k)
-                if zlib.crc32(data) != crc_coded or not 0 < n <= min(left, BLOCK):
+                if zlib.crc32(data) != crc_coded:
                     raise ValueError("a block is damaged")
-                coded.append(data)
-                sizes.append(n)
-                crcs.append(crc_ids)
+                for held, v in ((coded, data), (sizes, n), (distinct, d), (crcs, crc_ids)):
+                    held.append(v)
                 left -= n
-            for got, crc_ids in zip(decode_blocks(coded, sizes), crcs, strict=True):
-                if crc32_ids(got) != crc_ids:
+            by_size = np.argsort([-n for n in sizes], kind="stable").tolist()
+            got = dict(zip(by_size, decode_blocks(*([held[i] for i in by_size] for held in (coded, sizes, distinct))), strict=True))
+            for i, crc_ids in enumerate(crcs):
+                if crc32_ids(got[i]) != crc_ids:
                     raise ValueError("a block decodes to other ids")
-                yield got
+                yield got[i]
 
     return [i if k else None for i, k in zip(ids, known, strict=True)], lengths, parts()
 
@@ -321,19 +575,20 @@ def _write(path: str, end: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        doc_ids, lengths, parts = [], [], []
-        for b in blocks(batches, "text", keep=True):
-            ids, off = encoder(path).encode(column(b, "text"), end)
-            doc_ids += column(b, "id").to_pylist()
-            lengths.append(np.diff(off))
-            parts.append(ids.astype(np.uint16) if len(ids) and ids.max() <= 0xFFFF else ids)
-        if doc_ids:
+        def docs(first):
+            for b in [first], rest:
+                for x in b:
+                    ids, off = encoder(path).encode(column(x, "text"), end)
+                    yield column(x, "id").to_pylist(), np.diff(off), ids.astype(np.uint16) if len(ids) and ids.max() <= 0xFFFF else ids
+
+        rest = (b for b in blocks(batches, "text", keep=True) if b.num_rows)
+        first = next(rest, None)
+        if first is not None:
             part = TaskContext.get().partitionId()
-            n = np.concatenate(lengths)
             with new_file(folder, f"part-{part:06d}") as (f, uri):
-                size = write_file(f, doc_ids, n, iter(parts))
+                n_docs, n_ids, size = write_file(f, docs(first))
             yield pa.record_batch(
-                [pa.array([part]), pa.array([uri]), pa.array([len(doc_ids)]), pa.array([int(n.sum())]), pa.array([size])],
+                [pa.array([part]), pa.array([uri]), pa.array([n_docs]), pa.array([n_ids]), pa.array([size])],
                 names=["part", "uri", "n_docs", "n_tokens", "bytes"],
             )
 
@@ -343,20 +598,25 @@ def _write(path: str, end: int, folder: str):
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write all documents in ascending id order; returns the committed manifest
     (part, uri, n_docs, n_tokens, bytes, start), one row a file, start = ids in earlier files."""
+    spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
-    folder = shared_dir(docs.sparkSession, "token-files")
+    folder = shared_dir(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_BYTES)
+    dealt = rows.repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     made = dealt.mapInArrow(_write(path, end_id, folder), "part long, uri string, n_docs long, n_tokens long, bytes long")
     manifest = materialize(made, "token-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # one row a file of FILE_BYTES: the driver adds up some thousand numbers where there are terabytes
+    counts = sorted((r["part"], r["n_tokens"]) for r in manifest.select("part", "n_tokens").toLocalIterator())
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    starts = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, before, strict=False)], "part long, start long")
+    return manifest.join(F.broadcast(starts), "part")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uri, start in zip(column(b, "uri").to_pylist(), column(b, "start").to_pylist(), strict=True):
-            with open_file(uri) as f:
+            with open_seekable(uri) as f:
                 doc_ids, lengths, parts = read_file(f)
                 crcs, held, have, at = [], [], 0, 0
                 for p in parts:

@@ -1,9 +1,11 @@
 """Round trips and damage of the two file formats, and the tokenizer cache."""
 
 import io
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -16,21 +18,49 @@ from stitchlake.llm import _text, _tokens, token_codec, warc
 @given(st.lists(st.lists(st.integers(0, 65535), min_size=1, max_size=700), min_size=1, max_size=4))
 def test_blocks_round_trip(parts):
     parts = sorted((np.array(p, dtype=np.uint32) for p in parts), key=len, reverse=True)
-    coded = token_codec.encode_blocks(parts)
-    for a, b in zip(parts, token_codec.decode_blocks(coded, [len(p) for p in parts]), strict=True):
+    coded, distinct = token_codec.encode_blocks(parts)
+    assert distinct == [len(set(p.tolist())) for p in parts]
+    for a, b in zip(parts, token_codec.decode_blocks(coded, [len(p) for p in parts], distinct), strict=True):
         assert (a == b).all()
 
 
+def test_blocks_of_other_kinds_round_trip():
+    rng = np.random.default_rng(1)
+    parts = [np.arange(6000), rng.integers(0, 2, 6000), np.zeros(6000), rng.permutation(65536)[:6000], np.repeat(rng.integers(0, 9, 60), 100)]
+    parts = [p.astype(np.uint32) for p in parts]
+    coded, distinct = token_codec.encode_blocks(parts)
+    assert all((a == b).all() for a, b in zip(parts, token_codec.decode_blocks(coded, [6000] * 5, distinct), strict=True))
+    assert len(coded[2]) < 100 and len(coded[1]) < 6000 / 8 * 1.15
+
+
+def test_whole_block_of_different_ids():
+    ids = np.random.default_rng(2).permutation(65536).astype(np.uint32)
+    coded, distinct = token_codec.encode_blocks([ids])
+    assert distinct == [65536] and (token_codec.decode_blocks(coded, [65536], distinct)[0] == ids).all()
+
+
 def test_blocks_do_not_depend_on_neighbours():
     rng = np.random.default_rng(0)
     parts = [rng.zipf(1.3, 3000).clip(0, 60000).astype(np.uint32) for _ in range(3)]
-    assert token_codec.encode_blocks(parts)[1] == token_codec.encode_blocks(parts[1:2])[0]
-    assert len(token_codec.encode_blocks([np.tile(parts[0][:50], 60)])[0]) < 600  # repeats are learned
+    assert token_codec.encode_blocks(parts)[0][1] == token_codec.encode_blocks(parts[1:2])[0][0]
+    assert len(token_codec.encode_blocks([np.tile(parts[0][:50], 60)])[0][0]) < 600  # repeats are learned
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_mixing_beats_the_entropy_of_order_0():
+    """Bits an id, all block resets included, against the order-0 entropy of the same ids."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    ids, _ = _tokens.Encoder(_tokens.default_tokenizer()).encode(texts, 1)
+    coded, _ = token_codec.encode_blocks(token_codec._cut(ids))
+    p = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    entropy, bits = -(p * np.log2(p)).sum(), 8 * sum(map(len, coded)) / len(ids)
+    plain = 8 * len(zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes())) / len(ids)
+    assert bits < entropy - 0.2 and bits < plain
 
 
 def _file(ids, lengths):
     f = io.BytesIO()
-    token_codec.write_file(f, [None, *range(1, len(lengths))], np.array(lengths), iter([ids]))
+    token_codec.write_file(f, iter([([None, *range(1, len(lengths))], np.array(lengths), ids)]))
     return f.getvalue()
 
 
