@@ -1,24 +1,28 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
 The network predicts a word from ``SIDE`` words on either side: their embeddings are scaled by
-gains of their positions, summed and squashed, and a two-level softmax (64 classes of 64 words)
+gains of their positions, summed and squashed, and a two-level softmax (128 classes of 128 ids)
 gives the word's probability. A document's score is the sum of the conditional log-probabilities of
 all its words, each predicted with itself masked.
 
-* Vocabulary: words (``[^ \\t-\\r]+``) are counted over all documents; the most frequent get ids
-  in order of frequency, all others one of 64 hashed ids, and one id stands outside a text. The
-  network predicts a hashed id; the word within it has the share of its count in the id's count
-  (a join with all counts), so every word has a probability of its own and they sum to one.
-* Training: every document is read in one of ``ROUNDS`` rounds. In a round each task runs
-  mini-batch Adagrad over its documents from the common parameters, with every word as a target
-  once (``TRAIN_EVERY`` = 1; a larger value takes one word in so many); the parameters of all tasks are averaged with the numbers of their
-  places as weights, in a tree of fixed fan-in. What is broadcast or returned to the driver is
-  one set of parameters (under 1 MB), whatever the input.
+* Vocabulary: words (``[^ \\t-\\r]+``) are counted over all documents; the most frequent have ids of
+  their own in order of frequency. Every other word has the id of its ending (last two characters,
+  hashed), which the network predicts as it does a word, and within it the share of its count in the
+  count of all words of that id (a join with all counts, so the table grows with the corpus). Every
+  word has a probability of its own and they sum to one. One id stands outside a text.
+* Training: documents are dealt by a hash of id and words to chunks of about ``CHUNK_WORDS`` words,
+  and chunks to ``ROUNDS`` rounds. In a round each chunk runs mini-batch Adagrad (an accumulator
+  a row) from the common parameters with every word as a target once; parameters and accumulators
+  of the chunks are averaged with their numbers of words as weights, in a tree of fixed fan-in.
+  What is trained between two averages depends on neither partitions nor cluster. What is broadcast
+  or returned to the driver is one set of parameters (4 MB), whatever the input.
 * Scoring: one pass over the coded documents.
 
 Defined cases: null text and text without words have 0 words, score 0 and a null mean; null ids
-and repeated rows are scored row by row; an empty table gives an empty result; other columns are
-not read. Seeds are fixed, so equal files give equal scores up to the rounding of sums.
+and repeated rows are scored row by row; words of equal frequency (ties) get ids by their hash; a
+very long text is scored whole, in batches; an empty table gives an empty result; other columns are
+not read. Seeds are fixed, so equal tables give equal scores up to the rounding of sums, however
+they are partitioned.
 """
 
 from __future__ import annotations
@@ -26,22 +30,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize, sum_vectors
 from ._text import blocks, column, split_words, word_hashes
 
-CLASSES, PER_CLASS = 64, 64
+CLASSES, PER_CLASS = 128, 128
 VOCAB = CLASSES * PER_CLASS
-HASHED = 64
+#: Ids of endings, for the words beyond the most frequent ones.
+ENDINGS = 1024
 OUTSIDE = VOCAB - 1
-KNOWN = VOCAB - HASHED - 1
+KNOWN = VOCAB - ENDINGS - 1
 SIDE, DIM = 2, 24
-ROUNDS = 2
-TRAIN_EVERY = 1
-BATCH, SCORE_BATCH = 4096, 1 << 15
+ROUNDS, CHUNK_WORDS = 6, 1 << 21
+BATCH, SCORE_BATCH = 8192, 1 << 15
 RATE = 0.1
 SEED = 7
 _SHAPES = {
@@ -53,8 +59,11 @@ _SHAPES = {
     "W": (CLASSES, DIM, PER_CLASS),
     "wb": (CLASSES, PER_CLASS),
 }
-_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-_SEGMENT = 1 << 13
+#: Shapes of Adagrad's accumulators: one for each row of weights.
+_ROWS = {"E": (VOCAB, 1), "P": (2 * SIDE, 1), "b": (DIM,), "C": (1, CLASSES), "cb": (CLASSES,), "W": (CLASSES, 1, PER_CLASS), "wb": (CLASSES, PER_CLASS)}
+_ALL = {**_SHAPES, **{k + "2": v for k, v in _ROWS.items()}}
+_SIZE = sum(int(np.prod(s)) for s in _ALL.values())
+_SEGMENT = 1 << 15
 _SEGMENTS = -(-(_SIZE + 1) // _SEGMENT)
 
 
@@ -69,115 +78,162 @@ def initial(counts: np.ndarray) -> dict[str, np.ndarray]:
     f = (counts + 1.0).reshape(CLASSES, PER_CLASS)
     p["cb"][:] = np.log(f.sum(axis=1) / f.sum())
     p["wb"][:] = np.log(f / f.sum(axis=1, keepdims=True))
-    return p
+    return p | {k + "2": np.full(v, 0.1, dtype=np.float32) for k, v in _ROWS.items()}
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _SHAPES])
+    return np.concatenate([p[k].ravel() for k in _ALL])
 
 
 def unflatten(v: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in _ALL.items():
         n = int(np.prod(s))
         out[k] = v[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def contexts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Ids around every place, OUTSIDE beyond its document: (places, 2 * SIDE)."""
-    n = len(ids)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out = np.full((n, 2 * SIDE), OUTSIDE, dtype=np.int32)
-    for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        lo, hi = max(0, -shift), min(n, n - shift)
-        if lo < hi:
-            same = doc[lo:hi] == doc[lo + shift : hi + shift]
-            out[lo:hi, j][same] = ids[lo + shift : hi + shift][same]
-    return out
+def padded(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents on end with ``SIDE`` ids OUTSIDE before, between and after them, and where their words stand."""
+    n = np.diff(off)
+    real = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(n)), n))
+    line = np.full(len(ids) + SIDE * (len(n) + 1), OUTSIDE, dtype=np.uint16)
+    line[real] = ids
+    return line, real
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def stretches(line: np.ndarray, real: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of a padded line with up to ``words`` words, each with ``SIDE`` neighbours on both sides,
+    and the places of the words, counted from the first that has neighbours."""
+    for lo in range(0, len(real), words):
+        at = real[lo : lo + words]
+        yield line[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exponentials of the rows. Squashed values keep scores of a row within a
+    range that one shift for all rows serves."""
+    most = x.max()
+    x -= most
+    return np.log(np.einsum("ij->i", np.exp(x, out=x))) + most
+
+
+#: Where the neighbours of a place stand, counted from SIDE before it.
+_SHIFTS = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
 
 
-def hidden(p: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
-    z = p["b"] + p["E"].take(ctx[:, 0], axis=0) * p["P"][0]
-    for j in range(1, 2 * SIDE):
-        z += p["E"].take(ctx[:, j], axis=0) * p["P"][j]
+def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
+    """Of every place but the first and last ``SIDE``, from the embeddings ``around``."""
+    n = len(around) - 2 * SIDE
+    z = around[:n] * p["P"][0]
+    for j, at in enumerate(_SHIFTS[1:], 1):
+        z += around[at : at + n] * p["P"][j]
+    z += p["b"]
     return np.tanh(z, out=z)
 
 
-def log_probs(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target given its context."""
-    h = hidden(p, ctx)
-    cls, within = target // PER_CLASS, target % PER_CLASS
-    out = _log_softmax(h @ p["C"] + p["cb"])[np.arange(len(target)), cls]
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ p["W"][c] + p["wb"][c])[np.arange(len(rows)), within[rows]]
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order of places by class, ids within the classes in that order, and (class, from, to) of each class met."""
+    order = np.argsort((target // PER_CLASS).astype(np.uint8 if CLASSES <= 256 else np.int64), kind="stable")
+    cls = target[order] // PER_CLASS
+    edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    return order, target[order] % PER_CLASS, [(c, edges[c], edges[c + 1]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+
+
+def log_probs(p: dict[str, np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of the words at the places ``at`` of a stretch, each given its neighbours."""
+    h, target = hidden(p, p["E"].take(line, axis=0))[at], line[at + SIDE].astype(np.int64)
+    x = h @ p["C"] + p["cb"]
+    out = x[np.arange(len(target)), target // PER_CLASS] - _log_sum(x)
+    order, within, met = _by_class(target)
+    h, mine = h[order], np.empty(len(target), dtype=np.float32)
+    for c, lo, hi in met:
+        x = h[lo:hi] @ p["W"][c]
+        x += p["wb"][c]
+        mine[lo:hi] = x[np.arange(hi - lo), within[lo:hi]]
+        mine[lo:hi] -= _log_sum(x)
+    out[order] += mine
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max()
+    np.exp(x, out=x)
+    x /= np.einsum("ij->i", x)[:, None]
+    return x
+
+
 class Trainer:
-    """Adagrad on mini-batches."""
+    """Adagrad on mini-batches, in place on a copy of the parameters."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.g2 = {k: np.full(v.shape, 0.1, dtype=np.float32) for k, v in p.items()}
-
-    def _step(self, k: str, g: np.ndarray, at=...) -> None:
-        self.g2[k][at] += g * g
-        self.p[k][at] -= RATE * g / np.sqrt(self.g2[k][at])
-
-    def batch(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        p, n = self.p, len(target)
-        h = hidden(p, ctx)
-        cls, within = target // PER_CLASS, target % PER_CLASS
-        d = np.exp(_log_softmax(h @ p["C"] + p["cb"]))
-        d[np.arange(n), cls] -= 1
-        dh = d @ p["C"].T
+
+    def _step(self, k: str, g: np.ndarray, at=..., axis: int | None = None) -> None:
+        rows = self.p[k + "2"]
+        rows[at] += g * g if axis is None else (g * g).mean(axis=axis, keepdims=True)
+        g *= RATE
+        g /= np.sqrt(rows[at])
+        self.p[k][at] -= g
+
+    def batch(self, line: np.ndarray, at: np.ndarray) -> None:
+        """One step on the words at the places ``at`` of a stretch."""
+        p, n, target = self.p, len(at), line[at + SIDE].astype(np.int64)
+        around = p["E"].take(line, axis=0)
+        whole = hidden(p, around)
+        h = whole[at]
+        d = _softmax(h @ p["C"] + p["cb"])
+        d[np.arange(n), target // PER_CLASS] -= 1
         scale = np.float32(1 / np.sqrt(n))
-        gc, gcb = h.T @ d * scale, d.sum(axis=0) * scale
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                hr = h[rows]
-                d = np.exp(_log_softmax(hr @ p["W"][c] + p["wb"][c]))
-                d[np.arange(len(rows)), within[rows]] -= 1
-                dh[rows] += d @ p["W"][c].T
-                self._step("W", hr.T @ d * scale, c)
-                self._step("wb", d.sum(axis=0) * scale, c)
-        self._step("C", gc)
-        self._step("cb", gcb)
-        dz = dh * (1 - h * h)
-        self._step("b", dz.sum(axis=0) * scale)
-        gp = np.zeros_like(p["P"])
-        flat = ctx.T.reshape(-1)
-        grads = np.empty((2 * SIDE, n, DIM), dtype=np.float32)
-        for j in range(2 * SIDE):
-            gp[j] = (dz * p["E"].take(ctx[:, j], axis=0)).sum(axis=0) * scale
-            np.multiply(dz, p["P"][j] * scale, out=grads[j])
-        order = np.argsort(flat, kind="stable")
-        ids = flat[order]
+        d *= scale
+        dh = d @ p["C"].T
+        gc, gcb = h.T @ d, d.sum(axis=0)
+        order, within, met = _by_class(target)
+        hs, back = h[order], np.empty_like(h)
+        gw, gwb = np.zeros_like(p["W"]), np.zeros_like(p["wb"])
+        for c, lo, hi in met:
+            x = hs[lo:hi] @ p["W"][c]
+            x += p["wb"][c]
+            d = _softmax(x)
+            d[np.arange(hi - lo), within[lo:hi]] -= 1
+            d *= scale
+            np.matmul(d, p["W"][c].T, out=back[lo:hi])
+            np.matmul(hs[lo:hi].T, d, out=gw[c])
+            d.sum(axis=0, out=gwb[c])
+        dh[order] += back
+        h *= h
+        dh *= 1 - h
+        dz = np.zeros_like(whole)
+        dz[at] = dh
+        gp, ge, m = np.zeros_like(p["P"]), np.zeros_like(around), len(whole)
+        for j, shift in enumerate(_SHIFTS):
+            gp[j] = np.einsum("ij,ij->j", dz, around[shift : shift + m])
+            ge[shift : shift + m] += dz * p["P"][j]
+        by = np.argsort(line, kind="stable")
+        ids = line[by]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        self._step("E", np.add.reduceat(grads.reshape(-1, DIM)[order], first, axis=0), ids[first])
-        self._step("P", gp)
+        self._step("W", gw, axis=1)
+        self._step("wb", gwb)
+        self._step("C", gc, axis=0)
+        self._step("cb", gcb)
+        self._step("b", dz.sum(axis=0))
+        self._step("E", np.add.reduceat(ge[by], first, axis=0), ids[first], 1)
+        self._step("P", gp, axis=1)
+
+
+def _endings(vocab: pa.Array) -> np.ndarray:
+    """The number of each word's ending."""
+    last = pc.utf8_slice_codeunits(vocab, -2, None).dictionary_encode()
+    of = word_hashes(last.dictionary) % np.uint64(ENDINGS)
+    return of.astype(np.int32)[last.indices.to_numpy(zero_copy_only=False)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches, "text"):
         vocab, codes, _ = split_words(column(b, "text"), lower=False)
         n = np.bincount(codes, minlength=len(vocab))
-        yield pa.record_batch([pa.array(word_hashes(vocab).view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "c"])
+        yield pa.record_batch([pa.array(word_hashes(vocab).view(np.int64)), pa.array(_endings(vocab)), pa.array(n.astype(np.int64))], names=["word", "ending", "c"])
 
 
 def _code(table):
@@ -189,7 +245,7 @@ def _code(table):
         for b in blocks(batches, "text"):
             vocab, codes, off = split_words(column(b, "text"), lower=False)
             h = word_hashes(vocab)
-            of = (KNOWN + (h % np.uint64(HASHED)).astype(np.int64)).astype(np.uint16)
+            of = (KNOWN + _endings(vocab)).astype(np.uint16)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h.view(np.int64)), len(known) - 1)
                 of = np.where(known[at] == h.view(np.int64), ids[at], of)
@@ -226,30 +282,32 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
         yield docs, np.concatenate(held), np.cumsum([0, *map(len, held)])
 
 
-def _train(shared, every: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _train(shared):
+    """One chunk, in the order of its documents' hashes."""
 
-        trainer, places, phase = Trainer(unflatten(shared.value)), 0, 0
-        for _, ids, off in _texts(batches, BATCH * every):
-            ctx = contexts(ids, off)[phase % every :: every]
-            target = ids[phase % every :: every].astype(np.int64)
-            phase += 1
-            for lo in range(0, len(target), BATCH):
-                trainer.batch(ctx[lo : lo + BATCH], target[lo : lo + BATCH])
-            places += len(target)
-        if places:
-            v = np.zeros(_SEGMENTS * _SEGMENT, dtype=np.float64)
-            v[:_SIZE] = flatten(trainer.p) * float(places)
-            v[_SIZE] = places
-            yield pa.record_batch(
-                [
-                    pa.array(range(_SEGMENTS), pa.int32()),
-                    pa.array([TaskContext.get().partitionId()] * _SEGMENTS, pa.int32()),
-                    pa.array([x.tobytes() for x in v.astype("<f8").reshape(_SEGMENTS, _SEGMENT)], pa.binary()),
-                ],
-                names=["seg", "part", "counts"],
-            )
+    def run(pdf):
+        pdf = pdf.sort_values(["h", "ids"], kind="stable")
+        trainer, places = Trainer(unflatten(shared.value)), 0
+        held, n = [], 0
+
+        def learn() -> None:
+            for stretch in stretches(*padded(np.concatenate(held), np.cumsum([0, *map(len, held)])), BATCH):
+                trainer.batch(*stretch)
+
+        for raw in pdf["ids"]:
+            held.append(np.frombuffer(raw, dtype="<u2"))
+            n += len(held[-1])
+            places += len(held[-1])
+            if n >= 8 * BATCH:
+                learn()
+                held, n = [], 0
+        if n:
+            learn()
+        v = np.zeros(_SEGMENTS * _SEGMENT, dtype=np.float32)
+        v[:_SIZE] = flatten(trainer.p) * np.float32(places / CHUNK_WORDS)
+        v[_SIZE] = places / CHUNK_WORDS
+        part = pdf["chunk"].iloc[0] if len(pdf) else 0
+        return pd.DataFrame({"seg": np.arange(_SEGMENTS), "part": part, "counts": [x.tobytes() for x in v.astype("<f4").reshape(_SEGMENTS, _SEGMENT)]})
 
     return run
 
@@ -261,39 +319,44 @@ def _score(shared, shares: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unflatten(shared.value)
         for docs, ids, off in _texts(batches, SCORE_BATCH):
-            ctx, target = contexts(ids, off), ids.astype(np.int64)
-            got = np.concatenate([np.zeros(0), *(log_probs(p, ctx[i : i + SCORE_BATCH], target[i : i + SCORE_BATCH]).astype(np.float64) for i in range(0, len(ids), SCORE_BATCH))])
-            got -= shares[target]
+            got = np.concatenate([np.zeros(0), *(log_probs(p, *x).astype(np.float64) for x in stretches(*padded(ids, off), SCORE_BATCH))])
+            got -= shares[ids]
             total = np.bincount(np.repeat(np.arange(len(docs)), np.diff(off)), weights=got, minlength=len(docs))
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(np.diff(off)), pa.array(total)], names=["key", "n_words", "log_prob"])
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, train_every: int = TRAIN_EVERY) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """id_col, n_words, log_prob (sum over all words), mean_log_prob of every row."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = materialize(rows.mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counted = rows.mapInArrow(_count, "word long, ending int, c long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
+    counts = materialize(counted, "counts")
     top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    lumped = counts.groupBy(F.col("word").bitwiseAND(HASHED - 1).alias("at")).agg(F.sum("c").alias("c")).collect()
     freq = np.zeros(VOCAB)
     freq[: len(top)] = [r["c"] for r in top]
-    for r in lumped:
-        freq[KNOWN + r["at"]] += r["c"]
+    for r in counts.groupBy("ending").agg(F.sum("c").alias("c")).collect():
+        freq[KNOWN + r["ending"]] += r["c"]
+    total = int(freq.sum())
     for r in top:
-        freq[KNOWN + (r["word"] & HASHED - 1)] -= r["c"]
+        freq[KNOWN + r["ending"]] -= r["c"]
+    total -= sum(r["c"] for r in top)
     shares = np.zeros(VOCAB)
-    shares[KNOWN : KNOWN + HASHED] = np.log(np.maximum(freq[KNOWN : KNOWN + HASHED], 1))
+    shares[KNOWN : KNOWN + ENDINGS] = np.log(np.maximum(freq[KNOWN : KNOWN + ENDINGS], 1))
     hashes = np.array([r["word"] for r in top], dtype=np.int64)
     order = np.argsort(hashes)
     table = sc.broadcast((hashes[order], order.astype(np.uint16)))
-    coded = materialize(rows.mapInArrow(_code(table), "key long, id long, ids binary, rare array<long>, times array<int>"), "coded")
+    chunks = max(1, -(-total // chunk_words))
+    h = F.xxhash64("id", "ids", F.when(F.col("id").isNull(), F.col("key")))
+    made = rows.mapInArrow(_code(table), "key long, id long, ids binary, rare array<long>, times array<int>")
+    coded = materialize(made.withColumn("h", h).withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int")), "coded")
     params = flatten(initial(freq))
+    rounds = min(rounds, chunks)
     for k in range(rounds):
-        part = coded.select("id", "ids").filter(F.pmod(F.xxhash64("id", F.octet_length("ids")), F.lit(rounds)) == k)
-        sent = materialize(part.mapInArrow(_train(sc.broadcast(params), train_every), "seg int, part int, counts binary"), "parameters")
-        got = sum_vectors(sent, _SEGMENT, _SEGMENTS, "<f8")
+        part = coded.filter((F.col("chunk") % rounds == k) & (F.octet_length("ids") > 0)).select("chunk", "h", "ids")
+        trained = part.repartition(3 * -(-chunks // rounds), "chunk").groupBy("chunk").applyInPandas(_train(sc.broadcast(params)), "seg int, part int, counts binary")
+        got = sum_vectors(materialize(trained, "parameters"), _SEGMENT, _SEGMENTS, "<f4")
         if got[_SIZE]:
             params = (got[:_SIZE] / got[_SIZE]).astype(np.float32)
     found = coded.select(F.col("key").alias("id"), "ids").mapInArrow(_score(sc.broadcast(params), shares), "key long, n_words long, log_prob double")
