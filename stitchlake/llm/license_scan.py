@@ -1,11 +1,13 @@
 """License scan by ordered signature rules.
 
-A few hundred regular expressions are built from the families and templates below. Texts are
-lower-cased (A-Z). One combined search for the rules' keywords decides which texts are looked at
-at all; in these, a keyword automaton names the keywords that occur and only the rules gated by
-them run. Detections are taken in order of priority, then length, then place; one that lies
-inside the interval of a detection taken before it is suppressed, so "CC BY-NC 4.0" does not also
-count as CC BY. The score is the largest confidence of a detection taken, 0 without any.
+Hundreds of hand-written regular expressions (``license_rules.py``: header blocks, clauses, SPDX
+expressions, notices) and the names of license families with their versions. Texts are lower-cased
+(A-Z). One combined search for the rules' keywords decides which texts are looked at at all; in
+these, a keyword automaton names the keywords that occur and only the rules gated by them run.
+Detections are taken in order of priority, then length, then place; one that lies inside the interval
+of a detection taken before it is suppressed, so "CC BY-NC 4.0" does not also count as CC BY. Taken
+intervals are held in a tree of largest ends, so a text with many notices costs n log n. The score is
+the largest confidence of a detection taken, 0 without any.
 
 Base phrases are found apart from the rules: places where their words
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) stand consecutively. Their labels always stay.
@@ -13,8 +15,9 @@ Base phrases are found apart from the rules: places where their words
 Whole texts are scanned where they are read; nothing is shuffled.
 
 Defined cases: null text counts as empty; a text without detections has empty labels, score 0 and
-null places; null ids and repeated rows are answered row by row; an empty table gives an empty
-result; other columns are not read.
+null places; a very long text is scanned whole; of detections alike in priority and place (ties) the
+alphabetically first label comes first, and one with the same interval is suppressed by it; null ids and
+repeated rows are answered row by row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import blocks, column
+from .license_rules import signatures
 
 #: Base phrases (words) and their labels.
 BASE = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
@@ -71,24 +75,6 @@ TEMPLATES = [
     (r"\bN{s}licen[sc]eV\b", 0.9),
     (r"\bspdx-license-identifier\s*:\s*NV", 1.0),
 ]
-#: Notices without a family: label, pattern, keyword (in every text that the pattern finds), confidence.
-NOTICES = [
-    ("reserved", r"\ball{s}rights?{s}reserved\b", "reserved", 0.8),
-    ("reserved", r"\bno{s}part{s}of{s}this{s}(?:work|book|publication|site){s}may{s}be{s}reproduced\b", "reproduced", 0.9),
-    *(
-        ("copyright", start + r"\s{0,3}(?:\(c\)|©)?\s{0,3}(?:19|20)\d\d\b", keyword, 0.6)
-        for start, keyword in ((r"\bcopyright", "copyright"), (r"\(c\)", "(c)"), (r"©", "©"))
-    ),
-    ("public-domain", r"\b(?:in|into|to){s}the{s}public{s}domain\b", "domain", 0.8),
-    ("proprietary", r"\bproprietary{s}and{s}confidential\b", "proprietary", 0.8),
-    ("proprietary", r"\bfor{s}internal{s}use{s}only\b", "internal", 0.7),
-    ("non-commercial", r"\bfor{s}(?:non{s}?commercial|personal){s}use{s}only\b", "only", 0.7),
-    ("permissive", r"\bpermission{s}is{s}hereby{s}granted\b", "permission", 0.8),
-    ("permissive", r"\bredistribution{s}and{s}use{s}in{s}source{s}and{s}binary{s}forms\b", "redistribution", 0.9),
-    ("no-warranty", r"\bprovided{s}[\"“]?as{s}is[\"”]?{s}without{s}warranty\b", "warranty", 0.5),
-]
-
-
 def _version(v: str) -> str:
     if not v:
         return ""
@@ -115,8 +101,8 @@ def build_rules() -> list[tuple[int, str, str, str, float]]:
             rules.append((30 + len(kind) + (2 if v else 0), full, r"\bcreative{s}commons{s}attribution" + tail + r"(?:{s}licen[sc]e)?" + _version(v) + r"\b", "creative", 1.0))
             if v:
                 rules.append((40 + len(kind), full, r"creativecommons\.org/licenses/by" + ("-" + kind if kind else "") + "/" + re.escape(v), "creativecommons", 1.0))
-    rules += [(10, label, pattern, keyword, sure) for label, pattern, keyword, sure in NOTICES]
     rules = [(p, label, pattern.replace("{s}", _S), k, sure) for p, label, pattern, k, sure in rules]
+    rules += signatures()
     return sorted(set(rules), key=lambda r: (-r[0], r[1], r[2]))
 
 
@@ -152,10 +138,19 @@ def detections(text: str, by_keyword: dict, words) -> list[tuple[int, int, str,
     for k in {k for _, k in words.iter(text)}:
         for p, label, rule, sure in by_keyword[k]:
             found += [(-p, m.start() - m.end(), m.start(), m.end(), label, sure) for m in rule.finditer(text)]
-    taken: list[tuple[int, int, str, float]] = []
-    for _, _, lo, hi, label, sure in sorted(found):
-        if not any(a <= lo and hi <= b for a, b, _, _ in taken):
-            taken.append((lo, hi, label, sure))
+    found.sort()
+    starts = sorted({f[2] for f in found})
+    ends, taken = [0] * (len(starts) + 1), []  # ends: Fenwick tree of the largest end by start
+    for _, _, lo, hi, label, sure in found:
+        place = i = bisect.bisect_right(starts, lo)
+        while i and ends[i] < hi:
+            i &= i - 1
+        if i:  # an interval taken before begins at or before this one and ends at or after it
+            continue
+        taken.append((lo, hi, label, sure))
+        while place < len(ends):
+            ends[place] = max(ends[place], hi)
+            place += place & -place
     return taken
 
 

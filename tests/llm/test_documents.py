@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stitchlake.llm import decontam, jaccard_join, language_id, license_scan, line_dedup, lm_score, packing, quality_rules, token_codec
+from stitchlake.llm import decontam, jaccard_join, language_id, license_rules, license_scan, line_dedup, lm_score, packing, quality_rules, token_codec
 
 from . import brute
 
@@ -223,7 +223,64 @@ def test_license_suppression():
     assert [x[2] for x in found] == ["gpl-3"]
     found = license_scan.detections("apache license 2.0 and mit license", rules, words)
     assert sorted(x[2] for x in found) == ["apache-2.0", "mit"]
-    assert len(license_scan.build_rules()) > 200
+
+
+def _all_detections(text):
+    """Every rule on the whole text, suppression by comparing all pairs."""
+    import re
+
+    found = []
+    for p, label, pattern, _, sure in license_scan.build_rules():
+        found += [(-p, m.start() - m.end(), m.start(), m.end(), label, sure) for m in re.finditer(pattern, text)]
+    taken = []
+    for _, _, lo, hi, label, sure in sorted(found):
+        if not any(a <= lo and hi <= b for a, b, _, _ in taken):
+            taken.append((lo, hi, label, sure))
+    return taken
+
+
+def test_licenses_are_those_of_all_rules_and_pairs(docs, texts):
+    """Labels and score against a scan without gates that compares all detections."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    lines = [line.split(" | ", 4)[4] for line in license_rules.SIGNATURES.strip().splitlines()]
+    said = [re.sub(r"\(\?[:=][^()]*\)\??|\\b|[?{}\[\]^]", "", x).replace("\\.", ".") for x in lines] + ["licensed under the MIT license", "Apache License 2.0", "CC BY-SA 3.0", "all rights reserved", "word"]
+    made = {i: " ".join(rng.choice(said) + rng.choice([".", ",", "\n", " (", ""]) for _ in range(40)) for i in range(60)}
+    rules, words = license_scan._scanner()
+    labels = set()
+    for t in [*made.values(), *(t or "" for t in texts.values() if len(t or "") < 5000)]:
+        t = brute.lower(t)
+        got = license_scan.detections(t, rules, words)
+        assert got == _all_detections(t)
+        labels |= {x[2] for x in got}
+    assert len(labels) > 80
+
+
+def test_license_rules_are_gated_by_words_in_them():
+    import re
+
+    found = license_rules.signatures()
+    assert len(found) > 200 and len({(x[1], x[2]) for x in found}) == len(found)
+    for line in license_rules.SIGNATURES.strip().splitlines():
+        keyword, pattern = line.split(" | ", 4)[3:]
+        bare = re.sub(r"\((?!c\\\))\?[:=](?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\]\??(?:\{[^}]*\})?", "~", pattern.replace("\\(c\\)", "(c)")).replace("\\.", ".").replace("acknowledge?ment", "acknowledgment")
+        assert keyword in bare, line
+
+
+def test_license_scan_of_a_long_text_of_notices():
+    import time
+
+    line = "copyright 2020 someone. licensed under the apache license, version 2.0. all rights reserved. mit license. cc by-nc 4.0\n"
+    rules, words = license_scan._scanner()
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        got = license_scan.detections(line * n, rules, words)
+        took.append(time.process_time() - began)
+        assert len(got) == len(license_scan.detections(line, rules, words)) * n
+    assert took[1] < 8 * took[0]  # four times the text
 
 
 @pytest.mark.parametrize(
