@@ -47,7 +47,7 @@ SIGNATURES = r"""
 86 | 1.0 | lgpl-3.0-or-later | later | lesser general public license version 3(?:\.0)? or (?:at your option )?(?:any )?later
 86 | 1.0 | agpl-3.0-or-later | later | affero general public license version 3(?:\.0)? or (?:at your option )?(?:any )?later
 86 | 0.9 | gpl-1.0-or-later | general | you should have received a copy of the gnu general public license along with this (?:program|software|library|package|file)
-86 | 0.9 | lgpl-2.0-or-later | lesser | you should have received a copy of the gnu (?:lesser|library and lesser) general public license along with this (?:program|software|library|package|file)
+86 | 0.9 | lgpl-2.0-or-later | general | you should have received a copy of the gnu (?:lesser|library and lesser) general public license along with this (?:program|software|library|package|file)
 86 | 0.9 | agpl-3.0 | affero | you should have received a copy of the gnu affero general public license along with this (?:program|software|library|package|file)
 84 | 0.9 | gpl | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details
 84 | 0.9 | lgpl | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license for more details

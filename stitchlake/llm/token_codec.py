@@ -50,7 +50,7 @@ from ._tokens import default_tokenizer, encoder
 BLOCK = 1 << 16
 ENCODE_LANES, DECODE_LANES = 256, 640
 #: Text bytes of a file; fixes the number of range partitions.
-FILE_BYTES = 96 << 20
+FILE_BYTES = 48 << 20
 END_ID = 1
 MAGIC, TAIL = b"SLTOKEN2", b"SLINDEX2"
 SLOTS = 3
