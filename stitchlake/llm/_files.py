@@ -16,13 +16,13 @@ def new_file(folder: str, name: str) -> Iterator[tuple]:
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
     full = f"{path}/{name}-{uuid.uuid4().hex[:8]}"
-    with where.open_output_stream(full) as f:
+    with where.open_output_stream(full, compression=None) as f:
         yield f, folder.rstrip("/") + full[len(path) :]
 
 
 def open_file(uri: str):
     where, path = fs.FileSystem.from_uri(uri)
-    return where.open_input_stream(path)
+    return where.open_input_stream(path, compression=None)
 
 
 def exactly(f, n: int) -> bytes:

@@ -91,14 +91,14 @@ def test_archive_round_trip_with_dictionary():
     raw = _archive([warc.record(i, f"http://x/{i}", b, None, False) for i, b in enumerate(bodies)])
     assert raw[:4] == (0x184D2A5D).to_bytes(4, "little") and int.from_bytes(raw[4:8], "little") > 1000
     got = [warc.parse(r) for r in warc.read_archive(io.BytesIO(raw))]
-    assert [g["payload"] for g in got] == bodies and [g["id"] for g in got] == list(range(600))
+    assert [g["payload"] for g in got] == bodies and [g["record_id"] for g in got] == [f"urn:page:{i}" for i in range(600)]
 
 
 def test_archive_checks():
     one = warc.record(1, None, b"body", None, False)
     raw = _archive([one, warc.record(2, "u", b"x" * 2000, 1, True)])
     ok = [warc.parse(r) for r in warc.read_archive(io.BytesIO(raw))]
-    assert ok[1]["record_type"] == "revisit" and ok[1]["refers_to"] == 1 and ok[1]["payload_bytes"] == 2000
+    assert ok[1]["record_type"] == "revisit" and ok[1]["refers_to"] == "urn:page:1" and ok[1]["payload_bytes"] is None
     for bad in (raw[:-3], raw[:6], b"\x00" * 20, raw[:20] + b"\x01" + raw[21:]):
         with pytest.raises((ValueError, zstandard.ZstdError)):
             list(warc.read_archive(io.BytesIO(bad)))
@@ -107,6 +107,61 @@ def test_archive_checks():
             warc.parse(one.replace(*change))
 
 
+def _foreign(kind, block, content_type="application/http; msgtype=response", *more):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content_type}", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """All record types, ids of any form, hex digests, folded lines, no dictionary, skippable frames anywhere."""
+    import hashlib
+
+    body = b"hello" * 9
+    records = [
+        _foreign("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "application/http; msgtype=request", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, "application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + hashlib.sha1(body).hexdigest().upper(), "X-Note: one", " two"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n", "application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"hello").hexdigest()),
+        _foreign("resource", b"plain text", "text/plain", "WARC-Block-Digest: md5:abc"),
+        _foreign("metadata", b"", "application/warc-fields"),
+        _foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "application/http; msgtype=response", "WARC-Payload-Digest: sha1:" + "A" * 32, "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+    ]
+    skip = (0x184D2A51).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+    pack = zstandard.ZstdCompressor().compress
+    raw = b"".join(pack(r) + skip for r in records)
+    got = [warc.parse(r) for r in warc.read_archive(io.BytesIO(raw))]
+    assert [g["record_type"] for g in got] == ["warcinfo", "request", "response", "response", "resource", "metadata", "revisit"]
+    assert got[2]["record_id"] == "urn:uuid:response-1" and got[2]["payload"] == body and got[4]["payload_bytes"] == 10
+    assert [warc.parse(r)["payload"] for r in warc.read_archive(io.BytesIO(skip + raw))][2] == body
+    sample = [r * 3 + bytes(str(i), "ascii") * 40 for i in range(400) for r in records[:3]]
+    trained = zstandard.train_dictionary(4096, sample)
+    packed = pack(trained.as_bytes())
+    with_dict = zstandard.ZstdCompressor(dict_data=trained).compress
+    raw2 = (0x184D2A5D).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + b"".join(map(with_dict, records))
+    assert len([warc.parse(r) for r in warc.read_archive(io.BytesIO(raw2))]) == len(records)
+    (tmp_path / "a.warc.zst").write_bytes(raw)
+    (tmp_path / "b.warc.zst").write_bytes(raw2)
+    uris = spark.createDataFrame([(f"file://{tmp_path}/{x}.warc.zst",) for x in "ab"], "uri string")
+    assert warc.read_records(uris, with_payload=True).filter("record_type = 'response'").count() == 4
+    for bad in (raw[:-4], pack(records[0])[:-1], b"\x01" + raw[1:], skip[:9]):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(warc.read_archive(io.BytesIO(bad)))
+
+
+def test_long_payloads_and_lengths_of_revisits(spark):
+    long = "é" * 3_000_000
+    pages = spark.createDataFrame([(1, "a", long), (2, "b", long), (3, "c", long[:-1])], "page_id long, url string, html string")
+    made = warc.write_archives(pages)
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, len(r.payload or b"")) for r in warc.read_archives(made, with_payload=True).collect())
+    assert got == [(1, "revisit", 6_000_000, 0), (2, "response", 6_000_000, 6_000_000), (3, "response", 5_999_998, 5_999_998)]
+
+
+def test_revisit_without_its_response_fails(spark, tmp_path):
+    (tmp_path / "a").write_bytes(_archive([warc.record(2, "u", b"x" * 2000, 1, True)]))
+    with pytest.raises(Exception, match="no response for urn:page:2"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a", 1)], "uri string, n_records long")).collect()
+
+
 def test_archives_of_a_table(spark):
     big = "<p>same</p>" * 200
     rows = [(1, "a", big), (2, "b", big), (3, None, big), (4, "c", None), (5, "d", ""), (6, "e", "é" * 499 + "x"), (7, "f", "é" * 499 + "x"), (None, "g", "no id"), (3, None, big), (None, "h", big)]
