@@ -11,14 +11,18 @@ overlap of at least ``o(n, m) = ceil(t (n + m) / (100 + t))``.
   inverted lists; so do light sets near the boundary. Sets that link share a list. The order is
   by a count sketch over the shingles of all documents and then by hash, so widely shared
   passages come last. Rarity steers cost only: any fixed order gives the same links.
-* **The boundary** is the largest size at which listing subsets costs no more rows than the
-  prefix entries times the mean list length that the sketch shows.
+* **The boundary** has the least cost: for every size up to ``LARGEST_LIGHT`` the rows that its sets
+  would list as subsets are compared with the entries of their prefixes and the lengths of the lists
+  they would be put in, as the sketch counts them for these very shingles. (Beyond that size a set
+  lists over ten thousand subsets.) Cost alone moves it: links are exact at any boundary.
 
-Documents with equal sets are one node throughout, and a worker sends an entry of a node once a
+Lists with one node are found by an aggregation with map-side combine; what remains is joined by
+element, so a hot list can be split. Documents with equal sets are one node throughout, and a worker sends an entry of a node once a
 block of text, so groups of copies neither form long lists nor pairs. Lists are read in
 rounds: members are verified against a few pivots of their lists, changing from round to round,
 and the links found become components; lists within one component are done. At last the pairs of
-a list that still lie in different components are all verified. Pairs inside a component are
+a list that still lie in different components are all verified, where their sizes, places and
+parity bits allow a link: pairs meet by list and size band. Pairs inside a component are
 never formed. No pair that could link is dropped: sizes, places in the lists and, in the last
 round, parity bits of the sets only exclude pairs that they prove apart (the bits in which two sets
 differ are no more than the shingles in which they differ). So components are exact.
@@ -48,8 +52,8 @@ WORDS = 5
 THRESHOLD_PCT = 80
 #: Counters of the sketch (8 MB in all, fixed) and of one row of it.
 SKETCH, SEGMENT = 1 << 21, 1 << 15
-#: Most subsets that a light set may list.
-MOST_SUBSETS = 128
+#: Largest size for which listing subsets is weighed against lists.
+LARGEST_LIGHT = 24
 #: Most (node, id) rows that are broadcast to pick texts where they are read; beyond it both sides shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Rounds in which lists are compared with pivots, and kinds of pivots of a round.
@@ -76,14 +80,35 @@ def subset_sizes(n: int, most: int, pct: int = THRESHOLD_PCT) -> list[int]:
     return sorted({overlap_needed(n, m, pct) for m in partner_sizes(n, pct) if m <= most})
 
 
-def light_boundary(mean_list: float, pct: int = THRESHOLD_PCT) -> int:
-    """Largest size whose subsets cost no more than scanning its lists."""
-    n = 1
-    while True:
-        rows = sum(math.comb(n, o) for o in subset_sizes(n, 100 * n // pct, pct))
-        if rows > min(MOST_SUBSETS, prefix_length(n, pct) * (1 + mean_list)):
-            return n - 1
-        n += 1
+def light_boundary(cost: dict[int, tuple[int, int]], pct: int = THRESHOLD_PCT) -> int:
+    """The boundary of least cost. ``cost``: by size, the number of sets and the rows of their prefixes
+    and of the lists that these are put in."""
+
+    def total(most: int) -> int:
+        """Rows if sets up to ``most`` list subsets; those with larger partners need their prefixes as well."""
+        rows = 0
+        for n, (sets, lists) in cost.items():
+            if n <= most:
+                rows += sets * sum(math.comb(n, o) for o in subset_sizes(n, most, pct))
+            if n > most or partner_sizes(n, pct)[-1] > most:
+                rows += lists
+        return rows
+
+    return min(range(LARGEST_LIGHT, -1, -1), key=total)
+
+
+def _list_costs(sketch, pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for b in batches:
+            found = []
+            for raw in column(b, "small"):
+                s = np.frombuffer(raw.as_py(), dtype="<u8")
+                lengths = np.sort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)])[: prefix_length(len(s), pct)]
+                found.append(int(lengths.sum(dtype=np.int64)) + len(lengths))
+            yield pa.record_batch([column(b, "n"), pa.array(found, pa.int64())], names=["n", "rows"])
+
+    return run
 
 
 def _sets(batch: pa.RecordBatch, text_col: str, words: int) -> Iterator[np.ndarray]:
@@ -113,12 +138,13 @@ def _first_pass(text_col: str, id_col: str, words: int):
 
         counts, any_rows = np.zeros(SKETCH, dtype=np.uint32), False
         for b in blocks(batches, text_col):
-            nodes, sizes, bits = [], [], []
+            nodes, sizes, bits, small = [], [], [], []
             seen: set[int] = set()
             for s in _sets(b, text_col, words):
                 sizes.append(len(s))
                 bits.append(_parity(s))
                 nodes.append(node := _node(s) if len(s) else 0)
+                small.append(_pack(s) if 0 < len(s) <= LARGEST_LIGHT else None)
                 if len(s) and node not in seen:
                     seen.add(node)
                     np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
@@ -126,16 +152,16 @@ def _first_pass(text_col: str, id_col: str, words: int):
             k = len(nodes)
             by_word = np.array(bits, dtype=np.int64).reshape(k, BIT_WORDS)
             yield pa.record_batch(
-                [column(b, id_col), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(by_word[:, i]) for i in range(BIT_WORDS)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["id", "node", "n", *BITS, "seg", "part", "counts"],
+                [column(b, id_col), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(by_word[:, i]) for i in range(BIT_WORDS)), pa.array(small, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["id", "node", "n", *BITS, "small", "seg", "part", "counts"],
             )
         if any_rows:
             part = TaskContext.get().partitionId()
             rows = SKETCH // SEGMENT
-            small = counts.astype("<u4").reshape(rows, SEGMENT)
+            cut = counts.astype("<u4").reshape(rows, SEGMENT)
             yield pa.record_batch(
-                [*(pa.nulls(rows, pa.int64()) for _ in range(3 + BIT_WORDS)), pa.array(range(rows), pa.int32()), pa.array([part] * rows, pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
-                names=["id", "node", "n", *BITS, "seg", "part", "counts"],
+                [*(pa.nulls(rows, pa.int64()) for _ in range(3 + BIT_WORDS)), pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array([part] * rows, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())],
+                names=["id", "node", "n", *BITS, "small", "seg", "part", "counts"],
             )
 
     return run
@@ -224,24 +250,17 @@ def jaccard_classes(
     pct = threshold_pct
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = materialize(
-        rows.mapInArrow(_first_pass("text", "id", words), "id long, node long, n long, " + "".join(f"{c} long, " for c in BITS) + "seg int, part int, counts binary"), "sets"
+        rows.mapInArrow(_first_pass("text", "id", words), "id long, node long, n long, " + "".join(f"{c} long, " for c in BITS) + "small binary, seg int, part int, counts binary"), "sets"
     )
     sketch = sum_vectors(first.filter("seg is not null").select("seg", "part", "counts"), SEGMENT, SKETCH // SEGMENT, "<u4").astype(np.uint32)
     members = first.filter("seg is null").select("id", "node", "n")
-    total = int(sketch.sum(dtype=np.int64))
-    boundary = light_boundary(total / SKETCH, pct)
     order = spark.sparkContext.broadcast(sketch)
+    cost = first.filter("small is not null").dropDuplicates(["node"]).select("n", "small").mapInArrow(_list_costs(order, pct), "n long, rows long")
+    boundary = light_boundary({r["n"]: (r["sets"], r["rows"]) for r in cost.groupBy("n").agg(F.count("*").alias("sets"), F.sum("rows").alias("rows")).collect()}, pct)
 
-    entry = rows.mapInArrow(_entries("text", words, pct, boundary, order), "elem long, node long, n int, place int")
-    entry = entry.repartition("elem")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("elem")
-    lists = materialize(
-        entry.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo <> hi").select("elem", "node", "n", "place"),
-        "lists",
-    ).dropDuplicates(["elem", "node"])
-    lists = materialize(lists, "lists")
+    entry = materialize(rows.mapInArrow(_entries("text", words, pct, boundary, order), "elem long, node long, n int, place int"), "entries")
+    shared = entry.groupBy("elem").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("elem")
+    lists = materialize(entry.join(shared, "elem", "left_semi").dropDuplicates(["elem", "node"]), "lists")
 
     one = lists.select("elem", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
     # one row a node, by an aggregation that combines copies before they meet
@@ -251,13 +270,19 @@ def jaccard_classes(
         rest = verify.apart(one)
         pivot = rest.groupBy("elem").agg(F.min(F.struct(F.xxhash64("x", F.col("elem") % PIVOTS, F.lit(seed)).alias("r"), "x", "xn", "xp", "xc")).alias("p"))
         pivot = pivot.select("elem", F.col("p.x").alias("y"), F.col("p.xn").alias("yn"), F.col("p.xp").alias("yp"), F.col("p.xc").alias("yc"))
-        verify(rest.join(pivot, "elem").filter((F.col("xc") != F.col("yc")) & _possible(pct)))
+        if not verify(rest.join(pivot, "elem").filter((F.col("xc") != F.col("yc")) & _possible(pct))):
+            break
     parity = first.filter("n > 0").groupBy(F.col("node").alias("x")).agg(*[F.first(c).alias(c) for c in BITS])
     rest = materialize(verify.apart(one).join(parity, "x"), "rest")
-    other = rest.select("elem", *[F.col(f"x{c}").alias(f"y{c}") for c in "npc"], F.col("x").alias("y"), *[F.col(c).alias(f"y{c}") for c in BITS])
+    # the smaller of two sets that link has at least pct percent of the other's size: its band or the one below
+    band = F.floor(F.log(F.col("xn")) / math.log(100 / pct) + F.lit(1e-9)).cast("int")
+    rest = rest.withColumn("band", band)
+    other = rest.select("elem", "band", *[F.col(f"x{c}").alias(f"y{c}") for c in "npc"], F.col("x").alias("y"), *[F.col(c).alias(f"y{c}") for c in BITS])
+    less = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"y{c}"))) for c in BITS), F.lit(0))
     near = (100 + pct) * apart <= (100 - pct) * (F.col("xn") + F.col("yn"))
-    verify(rest.join(other, "elem").filter((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & _possible(pct) & near))
+    smaller = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
+    verify(less.join(other, ["elem", "band"]).filter(smaller & (F.col("xc") != F.col("yc")) & _possible(pct) & near))
     label = verify.label
 
     of = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -290,7 +315,8 @@ class _Verifier:
         lists = of.groupBy("elem").agg(F.min("xc").alias("lo"), F.max("xc").alias("hi")).filter("lo <> hi").select("elem")
         return materialize(of.join(lists, "elem"), "rest")
 
-    def __call__(self, found: DataFrame) -> None:
+    def __call__(self, found: DataFrame) -> bool:
+        """Verify the pairs of entries; whether any links."""
         pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = materialize(pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -298,8 +324,10 @@ class _Verifier:
         self.tried = self.tried.unionByName(pairs)
         links = materialize(_verified(pairs, self.hashes, self.pct), "links")
         self.links = self.links.unionByName(links)
-        if links.limit(1).count():
+        linked = bool(links.limit(1).count())
+        if linked:
             self.label = components(self.links)
+        return linked
 
     def _hashed(self, wanted: DataFrame) -> DataFrame:
         """(node, hashes) of the wanted nodes, each from one of its documents."""

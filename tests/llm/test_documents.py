@@ -101,7 +101,33 @@ def test_subsets_and_prefixes_cover_every_link():
             o = jaccard_join.overlap_needed(n, m)
             assert 100 * o >= 80 * (n + m - o) and 100 * (o - 1) < 80 * (n + m - o + 1)
             assert n - o < jaccard_join.prefix_length(n) and m - o < jaccard_join.prefix_length(m)
-    assert jaccard_join.light_boundary(0.0) < jaccard_join.light_boundary(100.0)
+
+
+def test_boundary_follows_the_costs_of_lists():
+    """Long lists move the boundary up, short ones down, and it has the least cost."""
+    sizes = range(1, 30)
+    prefix = jaccard_join.prefix_length
+    short = jaccard_join.light_boundary({n: (10, 10 * prefix(n)) for n in sizes})
+    middle = jaccard_join.light_boundary({n: (10, 10 * prefix(n) * 50) for n in sizes})
+    long = jaccard_join.light_boundary({n: (10, 10 * prefix(n) * 5000) for n in sizes})
+    assert short < middle < long <= jaccard_join.LARGEST_LIGHT
+    assert jaccard_join.light_boundary({}) == jaccard_join.LARGEST_LIGHT
+
+
+@pytest.mark.parametrize("boundary", [0, 3, 9, 15])
+def test_any_boundary_gives_the_same_links(spark, monkeypatch, boundary):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g, size in enumerate((1, 6, 10, 13, 19, 30)):
+        base = [f"g{g}w{i}" for i in range(size)]
+        for k in range(8):
+            w = list(base)
+            if size > 5 and k:
+                w[rng.integers(0, size)] = f"x{rng.integers(0, 2)}"
+            rows.append((g * 100 + k, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "light_boundary", lambda *a: boundary)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_classes(dict(rows))
 
 
 def test_line_dedup(docs, texts):
