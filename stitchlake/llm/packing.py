@@ -1,19 +1,23 @@
 """Lexical retrieval packing: fills training windows with documents that BM25 finds alike.
 
-Documents are tokenized (``end_id`` after each) and dealt, as they were read, into index shards of
-about ``shard_tokens`` tokens. A shard is an inverted index over token ids with BM25 weights; the
-document frequencies and the mean length behind the weights are counted over all documents. A
-window starts from a seed document; its heaviest ``query_terms`` terms query the shard, and the
-unused neighbours fill the window from the best down. Where none is left, the next unused document
-is the next seed. The document that reaches a window's end is cut there and its rest seeds the
-following window, so windows are full. What a task has left at its end is cut into sequences whose
-lengths are powers of two, which need no padding. Each id lies in exactly one piece.
-
-Documents are not shuffled: a task packs the shards of its own rows, of bounded size. The token
-table is written once to the shared folder, so a lost task is repeated with the same result.
+Documents are tokenized (``end_id`` after each) and dealt to index shards of about ``shard_tokens``
+tokens by content: a document's ``TOPIC_TERMS`` heaviest terms are MinHashed, documents are range
+partitioned and sorted by the two smallest hashes (and a hash of the id, so that a topic of any size
+can be split), and consecutive ones share a shard. A shard is an inverted index over token ids with
+BM25 weights; the document frequencies and the mean length behind the weights are counted over all
+documents. A window starts from a seed document; all its terms query the shard, and the unused
+neighbours fill the window from the best down. Where none is left, the next unused document is the
+next seed. The document that reaches a window's end is cut there and its rest seeds the following
+window, so windows are full. What a task has left at its end is cut into sequences whose lengths are
+powers of two, which need no padding. Each id lies in exactly one piece.
+
+Shards steer neighbours only, never which ids are packed: a neighbour in another shard is not found
+(README gives the share). The token table is written once to the shared folder and shuffled once by
+topic; a lost task is repeated from both with the same result.
 
 Defined cases: a null or empty text is the end id alone; repeated rows and null ids are packed as
-rows of their own; an empty table gives an empty result; other columns are not read.
+rows of their own; equal BM25 scores (ties) go in the order of the shard; a very long text fills
+windows of its own from start to end; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,28 +36,43 @@ from ._tokens import default_tokenizer, encoder
 WINDOW = 4096
 END_ID = 2
 K1, B = 1.2, 0.75
-QUERY_TERMS = 8
+#: Heaviest terms that query a shard (None: all), and those that a topic is hashed from.
+QUERY_TERMS, TOPIC_TERMS = None, 8
+#: Tokens of a range partition.
+PART_TOKENS = 1 << 24
 SHARD_TOKENS = 1 << 21
 _SEGMENT = 1 << 13
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _topic(terms: np.ndarray, times: np.ndarray, df: np.ndarray, n: int) -> tuple[int, int]:
+    """The two smallest hashes of a document's heaviest terms, weighed within the block it was read in."""
+    if len(terms) > TOPIC_TERMS:
+        weight = times / (times + K1) * np.log1p(n / df[terms])
+        terms = terms[np.argpartition(-weight, TOPIC_TERMS)[:TOPIC_TERMS]]
+    h = np.sort((terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16))
+    return int(h[0]), int(h[min(1, len(h) - 1)])
+
+
 def _tokenize(path: str, end: int, vocab: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         df = np.zeros(vocab, dtype=np.uint64)
-        names = ["id", "n", "ids", "seg", "part", "counts"]
+        names = ["id", "n", "s1", "s2", "ids", "seg", "part", "counts"]
         for b in blocks(batches, "text", keep=True):
             ids, off = encoder(path).encode(column(b, "text"), end)
-            for i in range(b.num_rows):
-                df[np.unique(ids[off[i] : off[i + 1]])] += np.uint64(1)
+            terms = [np.unique(ids[off[i] : off[i + 1]], return_counts=True) for i in range(b.num_rows)]
+            here = np.bincount(np.concatenate([t for t, _ in terms]), minlength=vocab)
+            df += here.astype(np.uint64)
+            topics = np.array([_topic(t, n, here, b.num_rows) for t, n in terms]).reshape(-1, 2)
             raw = ids.astype("<u4" if vocab > 1 << 16 else "<u2")
             k = b.num_rows
             yield pa.record_batch(
                 [
                     column(b, "id"),
                     pa.array(np.diff(off)),
+                    pa.array(topics[:, 0]), pa.array(topics[:, 1]),
                     pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((off * raw.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]),
                     pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                 ],
@@ -62,7 +81,7 @@ def _tokenize(path: str, end: int, vocab: int):
         rows = vocab // _SEGMENT
         yield pa.record_batch(
             [
-                pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
+                *(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.nulls(rows, pa.binary()),
                 pa.array(range(rows), pa.int32()),
                 pa.array([TaskContext.get().partitionId()] * rows, pa.int32()),
                 pa.array([x.tobytes() for x in df.astype("<u8").reshape(rows, _SEGMENT)], pa.binary()),
@@ -76,7 +95,7 @@ def _tokenize(path: str, end: int, vocab: int):
 class Shard:
     """BM25 over the documents of one shard."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None):
         self.n = len(docs)
         terms, owners, weights, self.query = [], [], [], []
         for d, ids in enumerate(docs):
@@ -85,7 +104,7 @@ class Shard:
             terms.append(t)
             weights.append(w)
             owners.append(np.full(len(t), d, dtype=np.int32))
-            self.query.append(t[np.argpartition(-w, query_terms)[:query_terms]] if len(t) > query_terms else t)
+            self.query.append(t[np.argpartition(-w, query_terms)[:query_terms]] if query_terms and len(t) > query_terms else t)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
@@ -174,7 +193,7 @@ def _pack_shard(packer: _Packer, ids_of: list, docs: list[np.ndarray], shard: Sh
             found, at_found = shard.neighbours(pick), 0
 
 
-def _pack(idf, mean_length: float, window: int, query_terms: int, shard_tokens: int, width: int):
+def _pack(idf, mean_length: float, window: int, query_terms: int | None, shard_tokens: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -211,7 +230,7 @@ def pack(
     tokenizer: str | None = None,
     window: int = WINDOW,
     end_id: int = END_ID,
-    query_terms: int = QUERY_TERMS,
+    query_terms: int | None = QUERY_TERMS,
     shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
@@ -221,7 +240,7 @@ def pack(
     vocab = -(-Tokenizer.from_file(path).get_vocab_size() // _SEGMENT) * _SEGMENT
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(
-        rows.mapInArrow(_tokenize(path, end_id, vocab), "id long, n long, ids binary, seg int, part int, counts binary"), "tokens"
+        rows.mapInArrow(_tokenize(path, end_id, vocab), "id long, n long, s1 long, s2 long, ids binary, seg int, part int, counts binary"), "tokens"
     )
     df = sum_vectors(made.filter("seg is not null").select("seg", "part", "counts"), _SEGMENT, vocab // _SEGMENT).astype(np.float64)
     tokens = made.filter("seg is null")
@@ -230,5 +249,8 @@ def pack(
     mean_length = (total or 0) / max(n, 1) or 1.0
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     width = 4 if vocab > 1 << 16 else 2
-    found = tokens.select("id", "ids").mapInArrow(_pack(shared, mean_length, window, query_terms, shard_tokens, width), SCHEMA)
+    parts = max(-(-(total or 1) // PART_TOKENS), min(8, -(-(total or 1) // shard_tokens)))
+    by = ["s1", "s2", F.xxhash64("id")]
+    dealt = tokens.select("id", "ids", "s1", "s2").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    found = dealt.select("id", "ids").mapInArrow(_pack(shared, mean_length, window, query_terms, shard_tokens, width), SCHEMA)
     return found.withColumnRenamed("id", id_col)

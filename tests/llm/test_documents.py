@@ -173,6 +173,37 @@ def test_packing_prefers_neighbours():
     assert shard.neighbours(0)[:2].tolist() == [0, 2]
 
 
+def test_packing_weights_are_bm25():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint16) for _ in range(25)]
+    df = np.array([sum(t in d for d in docs) for t in range(30)])
+    idf = np.log1p((25 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = sum(map(len, docs)) / 25
+    shard = packing.Shard(docs, idf, mean, None)
+    for seed in range(25):
+        score = []
+        for d in docs:
+            terms = set(docs[seed].tolist())
+            score.append(sum(idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in terms))
+        got = shard.neighbours(seed)
+        assert set(got.tolist()) == {i for i in range(25) if score[i] > 0}
+        assert np.diff(np.array(score)[got]).max(initial=0) < 1e-5
+
+
+def test_packing_keeps_topics_together(spark):
+    """Documents of one topic, dealt over the table, share windows far more than by chance."""
+    rng = np.random.default_rng(3)
+    # words of two syllables that only the topic has
+    topics = [["".join(rng.choice(list("bcdfglmnprstvz"), 1)[0] + rng.choice(list("aeiou")) for _ in range(4)) for _ in range(12)] for _ in range(20)]
+    rows = [(i, " ".join(rng.choice(topics[i % 20], 60))) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seqs = {}
+    for r in packing.pack(d, window=1024, shard_tokens=20_000).collect():
+        seqs.setdefault(r.sequence_id, set()).add(r.doc_id % 20)
+    big = [len(x) for x in seqs.values()]
+    assert sum(big) / len(big) < 4  # of 20 topics; a window holds some five documents
+
+
 def test_token_files(docs, texts, tok):
     at, want = 0, {}
     for i in sorted(texts):
