@@ -1,9 +1,9 @@
 """Lexical retrieval packing: fills training windows with documents that BM25 finds alike.
 
 Documents are tokenized (``end_id`` after each) and dealt to index shards of about ``shard_tokens``
-tokens by content: a document's ``TOPIC_TERMS`` heaviest terms are MinHashed, documents are range
-partitioned and sorted by the two smallest hashes (and a hash of the id, so that a topic of any size
-can be split), and consecutive ones share a shard. A shard is an inverted index over token ids with
+tokens by content: documents are range partitioned and sorted by their most frequent id, which tells
+languages and styles apart, then by the MinHash of their ``TOPIC_TERMS`` heaviest terms, then by a hash
+of the id, so that a topic of any size can be split; consecutive ones share a shard. A shard is an inverted index over token ids with
 BM25 weights; the document frequencies and the mean length behind the weights are counted over all
 documents. A window starts from a seed document; all its terms query the shard, and the unused
 neighbours fill the window from the best down. Where none is left, the next unused document is the
@@ -46,12 +46,13 @@ SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 
 
 def _topic(terms: np.ndarray, times: np.ndarray, df: np.ndarray, n: int) -> tuple[int, int]:
-    """The two smallest hashes of a document's heaviest terms, weighed within the block it was read in."""
+    """A document's most frequent id (the smallest on ties), and the smallest hash of its heaviest terms,
+    weighed within the block it was read in."""
+    lead = int(terms[np.argmax(times)])
     if len(terms) > TOPIC_TERMS:
         weight = times / (times + K1) * np.log1p(n / df[terms])
         terms = terms[np.argpartition(-weight, TOPIC_TERMS)[:TOPIC_TERMS]]
-    h = np.sort((terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16))
-    return int(h[0]), int(h[min(1, len(h) - 1)])
+    return lead, int(((terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)).min())
 
 
 def _tokenize(path: str, end: int, vocab: int):
@@ -59,7 +60,7 @@ def _tokenize(path: str, end: int, vocab: int):
         from pyspark import TaskContext
 
         df = np.zeros(vocab, dtype=np.uint64)
-        names = ["id", "n", "s1", "s2", "ids", "seg", "part", "counts"]
+        names = ["id", "n", "lead", "topic", "ids", "seg", "part", "counts"]
         for b in blocks(batches, "text", keep=True):
             ids, off = encoder(path).encode(column(b, "text"), end)
             terms = [np.unique(ids[off[i] : off[i + 1]], return_counts=True) for i in range(b.num_rows)]
@@ -240,7 +241,7 @@ def pack(
     vocab = -(-Tokenizer.from_file(path).get_vocab_size() // _SEGMENT) * _SEGMENT
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(
-        rows.mapInArrow(_tokenize(path, end_id, vocab), "id long, n long, s1 long, s2 long, ids binary, seg int, part int, counts binary"), "tokens"
+        rows.mapInArrow(_tokenize(path, end_id, vocab), "id long, n long, lead long, topic long, ids binary, seg int, part int, counts binary"), "tokens"
     )
     df = sum_vectors(made.filter("seg is not null").select("seg", "part", "counts"), _SEGMENT, vocab // _SEGMENT).astype(np.float64)
     tokens = made.filter("seg is null")
@@ -250,7 +251,7 @@ def pack(
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     width = 4 if vocab > 1 << 16 else 2
     parts = max(-(-(total or 1) // PART_TOKENS), min(8, -(-(total or 1) // shard_tokens)))
-    by = ["s1", "s2", F.xxhash64("id")]
-    dealt = tokens.select("id", "ids", "s1", "s2").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    by = ["lead", "topic", F.xxhash64("id")]
+    dealt = tokens.select("id", "ids", "lead", "topic").repartitionByRange(parts, *by).sortWithinPartitions(*by)
     found = dealt.select("id", "ids").mapInArrow(_pack(shared, mean_length, window, query_terms, shard_tokens, width), SCHEMA)
     return found.withColumnRenamed("id", id_col)
