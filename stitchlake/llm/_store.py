@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +14,13 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder of this machine.
+    A session without that setting gets a temporary folder of this machine if it runs on one machine
+    (a local test), and an error otherwise: executors elsewhere would write to their own disks.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="stitchlake-")
@@ -38,7 +42,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Folders of materialized tables that are still referred to.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader has run."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -69,16 +88,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min("c").alias("c"))
         )
         up = label.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = (
+        held, new = label, (
             label.join(nbr, "node")
             .join(up, "component", "left")
             .select("node", F.col("component").alias("old"), F.least("component", "c", "root").alias("component"))
         )
         new = materialize(new, "label")
         moved = new.filter("old <> component").limit(1).count()
-        label = new.select("node", "component")
+        discard(held)
+        label = new
         if not moved:
-            return label
+            discard(both)
+            return label.select("node", "component")
 
 
 #: Rows of partial vectors that one task adds up.

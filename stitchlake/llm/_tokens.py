@@ -1,7 +1,9 @@
 """Fast use of a public tokenizer on whole texts.
 
-The tokenizer's own steps (normalize, split, merge) never look across white space, so a text's ids
-are the ids of its space-separated pieces, and every distinct piece is encoded once a worker. A
+Where a tokenizer's own steps (normalize, split, merge) never look across white space and lower-case
+letters, as those of ``word_bpe_49k.json`` (recognized by these steps in its file; any other tokenizer
+encodes whole texts), a text's ids are the ids of its space-separated pieces, and every distinct piece
+is encoded once a worker. A
 piece of letters with a tail of ASCII punctuation is the letters' ids and the tail's. Texts with
 ``<|``, which may name special tokens, are encoded whole.
 """
@@ -35,6 +37,32 @@ def encoder(path: str) -> "Encoder":
     return held.encoder
 
 
+#: The steps of a tokenizer whose texts may be cut at blanks.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file has the steps that allow texts to be encoded piece by piece."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        steps = json.load(f)
+    normal = (steps.get("normalizer") or {}).get("normalizers", [])
+    split = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in normal] == _NORMALIZER
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        and split[0]["pattern"] == {"Regex": _SPLIT}
+        and not split[1]["add_prefix_space"]
+        and steps["model"]["type"] == "BPE"
+        and not steps["model"].get("dropout")
+        and steps.get("post_processor") is None
+        and all(x["content"].startswith("<|") for x in steps["added_tokens"])
+    )
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -43,6 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_pieces = cuts_at_blanks(path)
         self.forget()
 
     def forget(self) -> None:
@@ -111,6 +140,10 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; offsets by text). Null counts as empty."""
         texts = texts.fill_null("")
+        if not self.by_pieces:
+            got = self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            off = np.cumsum([0, *(len(e.ids) + 1 for e in got)])
+            return np.fromiter((i for e in got for i in (*e.ids, end)), dtype=np.uint32, count=int(off[-1])), off
         odd = np.flatnonzero(np.asarray(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False), dtype=bool))
         plain = texts
         if len(odd):

@@ -29,7 +29,8 @@ differ are no more than the shingles in which they differ). So components are ex
 Sets are compared by 64-bit hashes of shingles.
 
 Defined cases: null text, empty text and text without words give an empty set, linked with
-nothing (component: its own id). Rows that share an id are one document. A null id keeps its row;
+nothing (component: its own id). A very long text is one set, whole. Documents with equal sets (ties) are
+one node; of equally rare shingles the smaller hash comes first. Rows that share an id are one document. A null id keeps its row;
 it counts for no smallest id. Empty tables give empty results; other columns are not read.
 """
 
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, materialize, sum_vectors
+from ._store import components, discard, materialize, sum_vectors
 from ._text import blocks, column, shingle_hashes, split_words, word_hashes
 
 WORDS = 5
@@ -261,6 +262,7 @@ def jaccard_classes(
     entry = materialize(rows.mapInArrow(_entries("text", words, pct, boundary, order), "elem long, node long, n int, place int"), "entries")
     shared = entry.groupBy("elem").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("elem")
     lists = materialize(entry.join(shared, "elem", "left_semi").dropDuplicates(["elem", "node"]), "lists")
+    discard(entry)
 
     one = lists.select("elem", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"))
     # one row a node, by an aggregation that combines copies before they meet
@@ -272,6 +274,7 @@ def jaccard_classes(
         pivot = pivot.select("elem", F.col("p.x").alias("y"), F.col("p.xn").alias("yn"), F.col("p.xp").alias("yp"), F.col("p.xc").alias("yc"))
         if not verify(rest.join(pivot, "elem").filter((F.col("xc") != F.col("yc")) & _possible(pct))):
             break
+        discard(rest)
     parity = first.filter("n > 0").groupBy(F.col("node").alias("x")).agg(*[F.first(c).alias(c) for c in BITS])
     rest = materialize(verify.apart(one).join(parity, "x"), "rest")
     # the smaller of two sets that link has at least pct percent of the other's size: its band or the one below

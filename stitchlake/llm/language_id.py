@@ -14,7 +14,7 @@ Counting is one aggregation with partial sums in the workers and in Spark; the m
 bound (languages x parameters) and is broadcast; prediction reads each text where it lies.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with score 0, and so is
-everything if no labelled text was given; ties go to the alphabetically first language; a null id
+everything if no labelled text was given; a very long text is read whole; ties go to the alphabetically first language; a null id
 belongs to no held-out part; repeated rows are counted and answered row by row; empty tables give
 empty results; other columns are not read.
 """
@@ -173,7 +173,7 @@ def word_vectors(vocab: list[str], words: tuple[dict[str, int], np.ndarray], gra
     return out, n
 
 
-def _predict(shared, text_col: str, carry: list[str]):
+def _predict(shared, text_col: str, carry: list[str], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model["langs"]
@@ -197,23 +197,24 @@ def _predict(shared, text_col: str, carry: list[str]):
                     pred[i] = langs[best[i]]
                     score[i] = p[i, best[i]]
             rest = [column(b, c) for c in carry]
-            yield pa.record_batch([*rest, pa.array(pred, pa.string()), pa.array(score)], names=[*carry, "__lang", "__score"])
+            yield pa.record_batch([*rest, pa.array(pred, pa.string()), pa.array(score)], names=[*carry, *names])
 
     return run
 
 
-def with_language(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all if not given) of every row, with ``__lang`` and ``__score``."""
+def with_language(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``carry`` (all if not given) of every row, with the predicted language and its score,
+    named ``names``."""
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in carry]).add("__lang", "string").add("__score", "double")
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_predict(shared, text_col, carry), schema)
+    schema = T.StructType([docs.schema[c] for c in carry]).add(names[0], "string").add(names[1], "double")
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_predict(shared, text_col, carry, names), schema)
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score for every row."""
     return with_language(docs, model, text_col, [id_col]).select(
-        id_col, held_out(id_col).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
+        id_col, held_out(id_col).alias("held_out"), "lang_pred", "score"
     )
 
 

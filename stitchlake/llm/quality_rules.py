@@ -13,7 +13,8 @@ included); n_letters, n_upper (ASCII letters, upper-case ones); n_exclaim; n_alp
 with a letter); n_echo_words (words equal to the word before them). Whole texts are measured where they are read; nothing is shuffled.
 
 Defined cases: null, empty and blank texts have no words and fail ``few_words``; null ids and
-repeated rows are judged row by row; an empty table gives an empty ledger; other columns are not
+repeated rows are judged row by row; a very long text is measured whole; measures that equal a limit
+(ties) do not fail the rule; an empty table gives an empty ledger; other columns are not
 read.
 """
 

@@ -182,6 +182,25 @@ def test_cached_ids_are_the_tokenizers(text):
         assert ids[off[i] : off[i + 1]].tolist() == [*e.tok.encode(t or "", add_special_tokens=False).ids, 7]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """One file with cased letters, one with other splits: ids are those of the tokenizer itself."""
+    import json
+
+    import public_tokenizers
+
+    cased = json.loads(Path(_tokens.default_tokenizer()).read_text())
+    cased["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    assert _tokens.cuts_at_blanks(_tokens.default_tokenizer())
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        assert not _tokens.cuts_at_blanks(path)
+        e = _tokens.Encoder(path)
+        texts = pa.array(["Hello World  again,\nand\tAGAIN!", None, "", "x  y"])
+        ids, off = e.encode(texts, 7)
+        for i, t in enumerate(texts.to_pylist()):
+            assert ids[off[i] : off[i + 1]].tolist() == [*e.tok.encode(t or "", add_special_tokens=False).ids, 7]
+
+
 def test_blocks_keep_rows():
     b = pa.record_batch([pa.array(range(50)), pa.array(["é" * (i * 37 % 500) for i in range(49)] + [None])], names=["k", "text"])
     got = list(_text.blocks(iter([b.slice(0, 20), b.slice(20)]), "text", 2000))

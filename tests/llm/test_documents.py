@@ -17,7 +17,7 @@ from stitchlake.llm import decontam, jaccard_join, language_id, license_rules, l
 
 from . import brute
 
-CLASH = ["id", "node", "n", "elem", "h", "seg", "part", "counts", "bits", "ids", "f", "lo", "score", "component", "n_words", "fail_bits"]
+CLASH = ["id", "node", "n", "elem", "h", "seg", "part", "counts", "bits", "ids", "f", "lo", "score", "component", "n_words", "fail_bits", "__did", "__th", "__dead", "__leak", "leak", "__lang", "__score", "did", "th", "dead", "row", "key", "lead", "topic", "chunk", "small", "lang_pred", "copy", "__copy"]
 
 
 @pytest.fixture(scope="module")
@@ -388,6 +388,51 @@ def test_leaks_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs, items).collect())) == whole
 
 
+def test_language_against_a_plain_scorer(spark):
+    """Every prediction and score against words and n-grams counted and looked up in plain Python."""
+    import re
+    from collections import defaultdict
+
+    rng = np.random.default_rng(8)
+    syllables = {"xa": ["ka", "lo", "mi", "tu"], "xb": ["ren", "sol", "tav", "lo"], "xc": ["bi", "do", "fu", "ka"]}
+    rows = []
+    for i in range(90):
+        lang = ("xa", "xb", "xc")[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(12)) + " Und 12!", lang if i % 10 else None, None, None))
+    rows += [(900, "kalo renkalo zzz", None, None, None), (901, "ÉTÉ été", "xc", None, None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
+    letters = re.compile(r"[^\W\d_]+")
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for i, t, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            words[lang].update(letters.findall(t.lower()))
+    langs = sorted(words)
+    for lang in langs:
+        for w in words[lang]:
+            p = f" {w} "
+            for n in range(1, language_id.LONGEST + 1):
+                for k in range(len(p) - n + 1):
+                    grams[lang, n][p[k : k + n]] += 1
+    smooth = language_id._SMOOTH
+
+    def word_vector(w):
+        if any(w in words[x] for x in langs):
+            return [math.log((words[x][w] + smooth) / (words[x].total() + smooth * language_id.WORDS_PER_LANG)) for x in langs]
+        p, found = f" {w} ", []
+        for a in range(len(p)):
+            for b in range(min(a + language_id.LONGEST, len(p)), a, -1):
+                if any(p[a:b] in grams[x, b - a] for x in langs):
+                    found.append([math.log((grams[x, b - a][p[a:b]] + smooth) / (grams[x, b - a].total() + smooth * language_id.GRAMS_PER_LANG)) for x in langs])
+                    break
+        return list(np.mean(found, axis=0)) if found else [0.0] * len(langs)
+
+    for i, t, *_ in rows:
+        parts = letters.findall(t.lower())
+        mean = np.sum([word_vector(w) for w in parts], axis=0) / len(parts) * min(len(parts), language_id.SHARPEN)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].lang_pred == langs[int(p.argmax())] and got[i].score == pytest.approx(p.max(), rel=1e-4)
+
+
 def _phrases(n, seed=0):
     """Texts of pairs of words that belong together, and one text of pairs that do not."""
     rng = np.random.default_rng(seed)
