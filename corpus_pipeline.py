@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stitchlake.llm._store import materialize
+from stitchlake.llm._store import discard, materialize, unused
 from stitchlake.llm.decontam import decontaminate
 from stitchlake.llm.jaccard_join import jaccard_classes
 from stitchlake.llm.language_id import UNKNOWN, held_out, train, with_language
@@ -22,31 +22,37 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognized language go: no letters, or no language with half the score."""
+    """Documents without a recognized language go: no letters (null, empty and blank texts too), or no
+    language with half the score. Without labelled rows all go. Repeated rows are judged one by one."""
     model = train(docs.filter(~held_out("doc_id")))
-    found = with_language(docs, model)
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = with_language(docs, model, names=(lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words and more go; a document left without a word goes."""
+    """Later copies of line runs of 50 words and more go; a document left without a word goes (a null text
+    too). ``n_chars`` follows the text. Repeated rows are one document and both stay."""
     clean = line_dedup(docs).filter(F.col("text").rlike(WORD))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the n-gram Jaccard join the document with the smallest id stays."""
-    others = jaccard_classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(others, docs["doc_id"] == F.col("__copy"), "left_anti")
+    """Of each class of the n-gram Jaccard join the document with the smallest id stays. Rows that share an
+    id are one document and stay together; rows without an id stay."""
+    copy = unused(docs, "copy")
+    others = jaccard_classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(others, docs["doc_id"] == others[copy], "left_anti")
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 80 % of a benchmark item's shingles go."""
+    """Documents that hold 80 % of a benchmark item's shingles go; an empty benchmark removes nothing; rows
+    without an id stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null text is its end id, a very long one many pieces."""
     return pack(docs)
 
 
@@ -63,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted once the next stage has been written; the last one
+    that is read lazily stays. Columns of any name besides those of documents pass through."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
