@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
 The network predicts a word from ``SIDE`` words on either side: their embeddings are scaled by
-gains of their positions, summed and squashed, and a two-level softmax (128 classes of 128 ids)
+gains of their positions, summed and squashed, and a two-level softmax (64 classes of 64 ids)
 gives the word's probability. A document's score is the sum of the conditional log-probabilities of
 all its words, each predicted with itself masked.
 
@@ -15,7 +15,7 @@ all its words, each predicted with itself masked.
   a row) from the common parameters with every word as a target once; parameters and accumulators
   of the chunks are averaged with their numbers of words as weights, in a tree of fixed fan-in.
   What is trained between two averages depends on neither partitions nor cluster. What is broadcast
-  or returned to the driver is one set of parameters (4 MB), whatever the input.
+  or returned to the driver is one set of parameters (1 MB), whatever the input.
 * Scoring: one pass over the coded documents.
 
 Defined cases: null text and text without words have 0 words, score 0 and a null mean; null ids
@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from ._store import materialize, sum_vectors
 from ._text import blocks, column, split_words, word_hashes
 
-CLASSES, PER_CLASS = 128, 128
+CLASSES, PER_CLASS = 64, 64
 VOCAB = CLASSES * PER_CLASS
 #: Ids of endings, for the words beyond the most frequent ones.
-ENDINGS = 1024
+ENDINGS = 512
 OUTSIDE = VOCAB - 1
 KNOWN = VOCAB - ENDINGS - 1
 SIDE, DIM = 2, 24
