@@ -10,19 +10,35 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
+def last_tile(length: int, size: int, overlap: int) -> int:
+    """Length of the last tile of an axis cut into tiles of ``size``."""
+    last = overlap + int(math.fmod(length - 2 * (size - overlap) - overlap, size - overlap))
+    return last if last >= 0 else length + last
+
+
+def tile_size(length: int, target: int, overlap: int, step: int = 64) -> int:
+    """Size near ``target`` with a well-filled last tile: if at ``target`` the last tile is at most half a
+    tile, sizes grow by ``step`` until the last tile stops getting shorter; otherwise they shrink as long
+    as it gets longer."""
+    if length <= target or last_tile(length, target, overlap) == target:
+        return min(length, target)
+    grow, size, last = last_tile(length, target, overlap) <= target // 2, target, last_tile(length, target, overlap)
+    while True:
+        following = size + (step if grow else -step)
+        if following <= overlap:
+            return size
+        now = last_tile(length, following, overlap)
+        if grow and now >= last:
+            return following
+        if not grow and now <= last:
+            return size
+        size, last = following, now
+
+
 def split_axis(length: int, target: int, overlap: int, step: int = 64) -> list[tuple[int, int]]:
-    """Intervals [lo, hi] (ends included) that cover an axis with tiles of about ``target`` and fixed
-    overlap. The size grows by ``step`` while that makes the last tile fuller. An axis no longer than
-    the target is one interval."""
-    if length <= target:
-        return [(0, length - 1)]
-    rest = lambda s: (length - 2 * (s - overlap) - overlap) % (s - overlap)
-    size = target
-    while size + step < length and size - overlap > 0:
-        now, then = rest(size), rest(size + step)
-        if now == 0 or (then != 0 and then <= now):
-            break
-        size += step
+    """Intervals [lo, hi] (ends included) that cover an axis with tiles of ``tile_size`` and fixed
+    overlap. An axis no longer than the target is one interval."""
+    size = tile_size(length, target, overlap, step)
     out, at = [], 0
     while True:
         hi = min(at + size, length) - 1
@@ -32,26 +48,44 @@ def split_axis(length: int, target: int, overlap: int, step: int = 64) -> list[t
         at += size - overlap
 
 
+def split_table(df: DataFrame, length: str, target: int, overlap: int, step: int = 64) -> DataFrame:
+    """``df`` with the tile size (``tile``) and the ``intervals`` of each row's axis length. Each distinct
+    length is split once, where it lies after the shuffle."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(int(n), tile_size(int(n), target, overlap, step), [{"lo": a, "hi": b} for a, b in split_axis(int(n), target, overlap, step)]) for n in f[length]]
+            yield pd.DataFrame(rows, columns=[length, "tile", "intervals"])
+
+    found = df.select(length).distinct().mapInPandas(run, f"{length} {df.schema[length].dataType.simpleString()}, tile int, intervals array<struct<lo: int, hi: int>>")
+    return df.join(found, length)
+
+
+#: Parts that a view may have; part numbers take that many places in the new ids.
+PARTS = 1 << 16
+
+
 def split_views(setups: DataFrame, target: tuple[int, int, int], overlap: tuple[int, int, int], step: int = 64) -> DataFrame:
     """Sub-tiles of each view setup (id, size): id, new_id, lower, upper. Targets and overlaps are
-    rounded up to ``step``; a view's intervals follow from its size, so the distinct sizes (few) are
-    split once on the driver and joined back."""
+    rounded up to ``step``. A view of more than ``PARTS`` parts is an error: its ids would be another's."""
     up = lambda v: -(-v // step) * step
-    rows = []
-    for r in setups.select("size").distinct().toLocalIterator():
-        axes = [split_axis(n, up(t), up(o), step) for n, t, o in zip(r.size, target, overlap, strict=True)]
-        boxes = [(x, y, z) for z in axes[2] for y in axes[1] for x in axes[0]]
-        rows.append((list(r.size), [([a[0] for a in b], [a[1] for a in b]) for b in boxes]))
-    table = setups.sparkSession.createDataFrame(rows, "size array<int>, boxes array<struct<lower: array<int>, upper: array<int>>>")
-    found = setups.join(F.broadcast(table), "size").select("id", "size", F.posexplode("boxes").alias("part", "b"))
-    most = F.lit(1 << 16)  # parts of a view
-    return found.select("id", (F.col("id").cast("long") * most + F.col("part")).alias("new_id"), F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper"))
+    found = setups.select("id", *[F.get("size", F.lit(i)).alias(f"s{i}") for i in range(3)])
+    for i, (t, o) in enumerate(zip(target, overlap, strict=True)):
+        found = split_table(found, f"s{i}", up(t), up(o), step).drop("tile", f"s{i}").withColumnRenamed("intervals", f"v{i}")
+    for i in (2, 1, 0):
+        found = found.select(*[c for c in found.columns if c != f"v{i}"], F.posexplode(f"v{i}").alias(f"n{i}", f"b{i}"), F.size(f"v{i}").cast("long").alias(f"c{i}"))
+    part = F.col("n0") + F.col("c0") * (F.col("n1") + F.col("c1") * F.col("n2"))
+    part = F.when(part < PARTS, part).otherwise(F.raise_error(F.lit(f"a view has more than {PARTS} parts")).cast("long"))
+    return found.select("id", (F.col("id").cast("long") * PARTS + part).alias("new_id"), *[F.array(*[F.col(f"b{i}.{e}") for i in range(3)]).alias(n) for n, e in (("lower", "lo"), ("upper", "hi"))])
 
 
 def points_in_parts(points: DataFrame, parts: DataFrame) -> DataFrame:
-    """Points (setup, x, y, z, ..) in local coordinates of every part that contains them."""
+    """Points (setup, x, y, z, ..) in local coordinates of every part that contains them: an equi-join on
+    the setup whose strategy is Spark's choice."""
     inside = G.contains_point([F.get("lower", F.lit(i)) for i in range(3)], [F.get("upper", F.lit(i)) for i in range(3)], [F.col(a) for a in "xyz"])
-    found = points.join(F.broadcast(parts.withColumnRenamed("id", "setup")), "setup").filter(inside)
+    found = points.join(parts.withColumnRenamed("id", "setup"), "setup").filter(inside)
     local = {a: F.col(a) - F.get("lower", F.lit(i)) for i, a in enumerate("xyz")}
     keep = [c for c in points.columns if c not in local]
     return found.select("new_id", *keep, *[v.alias(a) for a, v in local.items()])

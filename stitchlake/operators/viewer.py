@@ -51,3 +51,78 @@ def state(found: DataFrame, voxel: tuple[float, float, float], unit: str = "m",
     )
     size = F.struct(*[F.array(F.lit(str(v)), F.lit(unit)).alias(a) for a, v in zip("xyz", voxel, strict=True)])
     return found.agg(F.sort_array(F.collect_list(layer)).alias("layers")).select(F.to_json(F.struct(F.lit(title).alias("title"), size.alias("dimensions"), "layers")).alias("state"))
+
+
+#: Upper bound of a wavelength band (nm, exclusive) and its colour.
+WAVELENGTH_COLOURS = [
+    (460, 0x690AFE),
+    (470, 0x3F2EFE),
+    (480, 0x4B90FE),
+    (490, 0x59D5F8),
+    (500, 0x5DF8D6),
+    (520, 0x5AFEB8),
+    (540, 0x58FEA1),
+    (560, 0x51FF1E),
+    (565, 0xBBFB01),
+    (575, 0xE9EC02),
+    (580, 0xF5C503),
+    (590, 0xF39107),
+    (600, 0xF15211),
+    (620, 0xF0121E),
+    (750, 0xF00050),
+]
+
+
+def wavelength_colour(nm: Column) -> Column:
+    """Colour of the first band whose bound exceeds the wavelength, else of the last band."""
+    pick = F
+    for upper, colour in WAVELENGTH_COLOURS:
+        pick = pick.when(nm < upper, F.lit(colour).cast("long"))
+    return pick.otherwise(F.lit(WAVELENGTH_COLOURS[-1][1]).cast("long"))
+
+
+_PREFIXES = {"": 1.0, "kilo": 1e3, "centi": 1e-2, "milli": 1e-3, "micro": 1e-6, "nano": 1e-9, "pico": 1e-12}
+_SYMBOLS = {"": "", "kilo": "k", "centi": "c", "milli": "m", "micro": "u", "nano": "n", "pico": "p"}
+_BASES = {"m": ("meter", "metre"), "s": ("second",)}
+
+
+def _units() -> dict[str, tuple[float, str]]:
+    """Names of lengths and times with their factors to metres and seconds."""
+    units = {"micron": (1e-6, "m"), "microns": (1e-6, "m"), "angstrom": (1e-10, "m"), "inch": (0.0254, "m"), "foot": (0.3048, "m"), "minute": (60.0, "s"), "hour": (3600.0, "s"), "day": (86400.0, "s")}
+    for prefix, factor in _PREFIXES.items():
+        for base, names in _BASES.items():
+            units[_SYMBOLS[prefix] + base] = factor, base
+            for n in names:
+                units[prefix + n] = units[prefix + n + "s"] = factor, base
+    return units | {"µm": (1e-6, "m"), "µs": (1e-6, "s")}
+
+
+UNITS = _units()
+
+
+def unit_factor(unit: str) -> float:
+    return UNITS[unit][0]
+
+
+def unit_base(unit: str) -> str:
+    return UNITS[unit][1]
+
+
+def in_base_unit(value: Column, unit: Column) -> tuple[Column, Column]:
+    """A quantity in metres or seconds, and which of them; null for an unknown unit."""
+    table = lambda i: F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, v[i])])
+    return value * table(0)[unit], table(1)[unit]
+
+
+def voxel_resolution(acquisition: Column) -> Column:
+    """[z, y, x] of an acquisition's JSON text: the scale of the first tile of version 1 (``tiles``), or
+    of the first image of version 2 and later (``data_streams``); null where there is none."""
+    old = F.from_json(acquisition, "schema_version string, tiles array<struct<coordinate_transformations: array<struct<type: string, scale: array<double>>>>>")
+    scales = F.flatten(F.transform(old["tiles"], lambda t: F.filter(t["coordinate_transformations"], lambda c: c["type"] == "scale")))
+    images = "array<struct<image_to_acquisition_transform: array<struct<object_type: string, scale: array<double>>>>>"
+    new = F.from_json(acquisition, f"data_streams array<struct<configurations: array<struct<images: {images}>>>>")
+    nested = F.flatten(F.transform(new["data_streams"], lambda s: F.flatten(F.transform(s["configurations"], lambda c: F.coalesce(c["images"], F.array().cast(images))))))
+    placed = F.flatten(F.transform(nested, lambda i: F.filter(i["image_to_acquisition_transform"], lambda c: F.lower(c["object_type"]) == "scale")))
+    major = F.try_element_at(F.split(old["schema_version"], r"\\."), F.lit(1)).try_cast("int")
+    found = F.when(major >= 2, F.get(placed, F.lit(0))["scale"]).otherwise(F.get(scales, F.lit(0))["scale"])
+    return F.reverse(found)

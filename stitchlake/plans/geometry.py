@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import layout, viewer
+from ..operators import transforms as T
 from ._base import BOXES, EVT, PTS, TILES, boxes, evt, pts, query, r6, table, tiles
 
 M = [1.0, 0.1, 0.0, 5.0, 0.0, 1.0, 0.2, -3.0, 0.1, 0.0, 1.0, 7.0]
@@ -42,17 +44,86 @@ def q_affine_compose(spark, sf):
     return out.select("view_id", *[r6(F.get("m", F.lit(4 * r + c)), f"m{r}{c}") for r, c in ((0, 0), (0, 3), (1, 3), (2, 3))])
 
 
-@query("""
-WITH o AS (SELECT o_custkey AS view_id, o_orderkey AS seq, o_orderstatus AS kind, 1 + (o_orderkey % 5) / 10 AS s FROM orders),
-g AS (SELECT view_id, max_by(s, seq) FILTER (WHERE kind = 'F') AS cal, max_by(s, seq) FILTER (WHERE kind = 'O') AS rot,
-  exp(sum(ln(s)) FILTER (WHERE kind IN ('F', 'O'))) AS whole FROM o GROUP BY view_id)
-SELECT view_id, round(coalesce(rot, 1) * coalesce(cal, 1), 6) AS last_of_kind, round(coalesce(whole, 1), 6) AS composed FROM g""")
+def _kinds(k):
+    """Models that do not commute, by a key: a stretch, a quarter turn, a shear with a mirrored axis."""
+    n = lambda v: F.lit(float(v))
+    d = lambda v: v.cast("double")
+    stretch = [d(1 + k % 5 * 0.25), n(0), n(0), d(k % 7), n(0), n(1), n(0), d(k % 3), n(0), n(0), d(0.5 + k % 2), n(1)]
+    turn = [n(0), n(-1), n(0), n(1), n(1), n(0), n(0), n(0), n(0), n(0), n(1), d(k % 2)]
+    shear = [n(1), n(0), n(0.5), d(k % 4), n(0), n(1), n(0), n(2), n(0), n(0), n(-1), n(0)]
+    return F.array(*[F.when(k % 3 == 0, x).when(k % 3 == 1, y).otherwise(z) for x, y, z in zip(stretch, turn, shear, strict=True)])
+
+
+_AT = [f"m{r}{c}" for r in range(3) for c in range(4)]
+
+
+def _kinds_sql(k: str) -> str:
+    """The same models as columns m00..m23."""
+    stretch = [f"1 + {k} % 5 * 0.25", "0", "0", f"{k} % 7", "0", "1", "0", f"{k} % 3", "0", "0", f"0.5 + {k} % 2", "1"]
+    turn = ["0", "-1", "0", "1", "1", "0", "0", "0", "0", "0", "1", f"{k} % 2"]
+    shear = ["1", "0", "0.5", f"{k} % 4", "0", "1", "0", "2", "0", "0", "-1", "0"]
+    return ", ".join(f"CAST(CASE {k} % 3 WHEN 0 THEN {x} WHEN 1 THEN {y} ELSE {z} END AS DOUBLE) AS {n}" for n, x, y, z in zip(_AT, stretch, turn, shear, strict=True))
+
+
+def _product_sql(a: str, b: str, linear: bool = False) -> str:
+    def at(r, c):
+        terms = [f"{a}.m{r}{i} * {b}.m{i}{c}" for i in range(3)]
+        if c == 3:
+            terms = [f"{a}.m{r}3 + {b}.m{r}3"] if linear else [*terms, f"{a}.m{r}3"]
+        return " + ".join(terms)
+
+    return ", ".join(f"{at(r, c)} AS m{r}{c}" for r in range(3) for c in range(4))
+
+
+def _chain_sql(name: str, rows: str, linear: bool = False) -> str:
+    """CTEs ``name``: the ordered product of the models of every v in ``rows`` (v, seq, m00..)."""
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY seq) AS r FROM ({rows})),
+{name}_c AS (SELECT v, r, {', '.join(_AT)} FROM {name}_r WHERE r = 1
+  UNION ALL SELECT b.v, b.r, {_product_sql('a', 'b', linear)} FROM {name}_c a JOIN {name}_r b ON a.v = b.v AND b.r = a.r + 1),
+{name} AS (SELECT v, {', '.join(f'max_by({n}, r) AS {n}' for n in _AT)} FROM {name}_c GROUP BY v)"""
+
+
+_ORDERS = f"o AS (SELECT o_custkey AS v, o_orderkey AS seq, o_orderstatus AS kind, {_kinds_sql('o_orderkey')} FROM orders), e AS (SELECT {', '.join(f'CAST({float(v)} AS DOUBLE) AS {n}' for n, v in zip(_AT, G.IDENTITY, strict=True))})"
+_OUT = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in _AT)
+
+
+def _or_identity(name: str) -> str:
+    return f"(SELECT u.v, {', '.join(f'coalesce(x.{n}, e.{n}) AS {n}' for n in _AT)} FROM (SELECT DISTINCT v FROM o) u CROSS JOIN e LEFT JOIN {name} x ON x.v = u.v)"
+
+
+def _orders(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("view_id"), k.alias("seq"), F.col("o_orderstatus").alias("kind"), _kinds(k).alias("affine"))
+
+
+def _numbers(df):
+    return df.select("view_id", *[r6(F.get("affine", F.lit(i)), n) for i, n in enumerate(_AT)])
+
+
+def _last_sql(kind: str) -> str:
+    return f"SELECT v, {', '.join(f'max_by({n}, seq) AS {n}' for n in _AT)} FROM o WHERE kind = '{kind}' GROUP BY v"
+
+
+@query(f"""WITH {_ORDERS}, lr AS ({_last_sql('O')}), lc AS ({_last_sql('F')}), a AS {_or_identity('lr')}, b AS {_or_identity('lc')},
+p AS (SELECT a.v, {_product_sql('a', 'b')} FROM a JOIN b ON a.v = b.v)
+SELECT v AS view_id, {_OUT} FROM p""")
 def q_calibration_rotation(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("view_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("kind"), (1 + (F.col("o_orderkey") % 5) / 10).alias("s"))
-    last = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("s")), F.when(F.col("kind") == k, F.col("seq")))
-    g = o.groupBy("view_id").agg(last("F").alias("cal"), last("O").alias("rot"), F.exp(F.sum(F.when(F.col("kind").isin("F", "O"), F.ln("s")))).alias("whole"))
-    one = F.lit(1.0)
-    return g.select("view_id", r6(F.coalesce("rot", one) * F.coalesce("cal", one), "last_of_kind"), r6(F.coalesce("whole", one), "composed"))
+    """The last rotation times the last calibration of a view."""
+    return _numbers(T.rotation_after_calibration(_orders(spark, sf), ["view_id"], F.col("kind") == "F", F.col("kind") == "O"))
+
+
+@query(f"""WITH RECURSIVE {_ORDERS}, {_chain_sql('rot', "SELECT * FROM o WHERE kind = 'O'")}, {_chain_sql('grid', "SELECT * FROM o WHERE kind = 'F'")},
+a AS {_or_identity('rot')}, b AS {_or_identity('grid')}, p AS (SELECT a.v, {_product_sql('a', 'b')} FROM a JOIN b ON a.v = b.v)
+SELECT v AS view_id, {_OUT} FROM p""")
+def q_solver_transform(spark, sf):
+    """All rotations of a view in order, times all its moves to the nominal grid in order."""
+    return _numbers(T.rotations_after_grid(_orders(spark, sf), ["view_id"], F.col("kind") == "O", F.col("kind") == "F"))
+
+
+@query(f"""WITH RECURSIVE {_ORDERS}, {_chain_sql('whole', "SELECT * FROM o")} SELECT v AS view_id, {_OUT} FROM whole""")
+def q_transform_chain(spark, sf):
+    """All models of a view in order."""
+    return _numbers(_orders(spark, sf).groupBy("view_id").agg(T.composed().alias("affine")))
 
 
 def _supplier_model(k):
@@ -187,11 +258,12 @@ def q_last_tile_size(spark, sf):
     return boxes(spark, sf).select("k", G.last_tile(F.col("n") * 3, F.lit(16), F.lit(4)).alias("last"))
 
 
-@query("""SELECT s_nationkey AS view_id, CAST(sum(s_suppkey % 7) AS DOUBLE) AS tx, CAST(sum(s_suppkey % 5) AS DOUBLE) AS ty, round(exp(sum(ln(1 + (s_suppkey % 3) * 0.25))), 6) AS scale FROM supplier GROUP BY 1""")
+@query(f"""WITH RECURSIVE o AS (SELECT s_nationkey AS v, s_suppkey AS seq, {_kinds_sql('s_suppkey')} FROM supplier), {_chain_sql('whole', "SELECT * FROM o", True)} SELECT v AS view_id, {_OUT} FROM whole""")
 def q_net_transform(spark, sf):
+    """Product of the linear parts in order with the sum of the translations."""
     k = F.col("s_suppkey")
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("view_id"))
-    return s.agg(F.sum(k % 7).cast("double").alias("tx"), F.sum(k % 5).cast("double").alias("ty"), r6(F.exp(F.sum(F.ln(1 + (k % 3) * 0.25))), "scale"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("view_id"), k.alias("seq"), _kinds(k).alias("affine"))
+    return _numbers(T.net(s, ["view_id"]))
 
 
 @query(f"WITH {_SUP} SELECT k, i AS e00, h AS e01, z AS e05, c AS e20, x AS e25 FROM sup")
@@ -207,30 +279,23 @@ def q_matrix_embed(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("k"), embed.alias("e")).select("k", at(0, 2).alias("e00"), at(0, 3).alias("e01"), at(0, 5).alias("e05"), at(2, 2).alias("e20"), at(2, 5).alias("e25"))
 
 
-#: Upper bound of a band (nm) and its colour.
-BANDS = [(430, "violet"), (470, "blue"), (500, "cyan"), (550, "green"), (590, "yellow"), (620, "orange"), (700, "red")]
-
-
-@query(f"""WITH {BOXES}, b AS (SELECT * FROM (VALUES {', '.join(f"({a}, '{c}')" for a, c in BANDS)}) t(upper, colour)), w AS (SELECT k, 380 + n * 7 AS nm FROM boxes)
-SELECT k, coalesce((SELECT arg_min(colour, upper) FROM b WHERE b.upper > w.nm), 'red') AS colour FROM w""")
+@query(f"""WITH {BOXES}, b AS (SELECT * FROM (VALUES {', '.join(f"({a}, {c})" for a, c in viewer.WAVELENGTH_COLOURS)}) t(upper, colour)), w AS (SELECT k, 380 + n * 8 AS nm FROM boxes)
+SELECT k, CAST(coalesce((SELECT arg_min(colour, upper) FROM b WHERE b.upper > w.nm), {viewer.WAVELENGTH_COLOURS[-1][1]}) AS BIGINT) AS colour FROM w""")
 def q_bucket_lookup(spark, sf):
-    """First band whose bound exceeds the value, else the last: a fixed table, so a CASE."""
-    nm = 380 + F.col("n") * 7
-    pick = None
-    for upper, colour in BANDS:
-        pick = F.when(nm < upper, colour) if pick is None else pick.when(nm < upper, colour)
-    return boxes(spark, sf).select("k", pick.otherwise(BANDS[-1][1]).alias("colour"))
+    """Colour of a wavelength."""
+    return boxes(spark, sf).select("k", viewer.wavelength_colour(380 + F.col("n") * 8).alias("colour"))
 
 
-UNITS = {"nm": 1e-9, "um": 1e-6, "mm": 1e-3, "s": 1.0, "ms": 1e-3}
+_UNITS = ["nanometer", "um", "millimeters", "second", "ms", "microns", "inch"]
 
 
-@query(f"""WITH {BOXES}, u AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', {v})" for i, (k, v) in enumerate(UNITS.items()))}) t(i, unit, factor))
-SELECT k, unit, round(n * factor::DOUBLE * 1e6, 6) AS micro FROM boxes JOIN u ON k % 5 = i""")
+@query(f"""WITH {BOXES}, u AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{u}', {viewer.unit_factor(u)}, '{viewer.unit_base(u)}')" for i, u in enumerate(_UNITS))}) t(i, unit, factor, base))
+SELECT k, unit, round(n * factor::DOUBLE * 1e6, 6) AS micro, base FROM boxes JOIN u ON k % {len(_UNITS)} = i""")
 def q_unit_lookup(spark, sf):
-    factors = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (F.col("k") % 5 + 1).cast("int"))
-    return boxes(spark, sf).withColumn("unit", unit).select("k", "unit", r6(F.col("n") * factors[F.col("unit")] * 1e6, "micro"))
+    """Sizes in metres or seconds."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (F.col("k") % len(_UNITS) + 1).cast("int"))
+    value, base = viewer.in_base_unit(F.col("n"), F.col("unit"))
+    return boxes(spark, sf).withColumn("unit", unit).select("k", "unit", r6(value * 1e6, "micro"), base.alias("base"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -271,3 +336,22 @@ def _global_rank(df, key: str, width: int = 4096):
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
     return own.join(before.select("__p", "__before"), "__p").withColumn("rank", F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+
+
+_LENGTH, _TARGET, _OVERLAP, _STEP = "200 + n * 37", 512, 64, 64
+
+
+@query(f"""WITH RECURSIVE {BOXES}, b AS (SELECT k, {_LENGTH} AS l FROM boxes),
+f AS (SELECT k, l, s, CASE WHEN o + r < 0 THEN l + o + r ELSE o + r END AS last FROM (SELECT *, (l - 2 * (s - o) - o) - (s - o) * CAST(trunc((l - 2 * (s - o) - o) / (s - o)) AS BIGINT) AS r
+  FROM b, (SELECT unnest(generate_series({_OVERLAP + _STEP}, 4096, {_STEP})) AS s, {_OVERLAP} AS o))),
+g AS (SELECT a.k, a.l, a.last <= {_TARGET} // 2 AS grow, a.last AS last FROM f a WHERE a.s = {_TARGET}),
+n AS (SELECT f.k, f.s, f.last, f.last - lag(f.last) OVER (PARTITION BY f.k ORDER BY f.s) AS up, f.last - lead(f.last) OVER (PARTITION BY f.k ORDER BY f.s) AS down FROM f),
+t AS (SELECT g.k, g.l, CASE WHEN g.l <= {_TARGET} THEN g.l WHEN g.last = {_TARGET} THEN {_TARGET}
+  WHEN g.grow THEN (SELECT min(s) FROM n WHERE n.k = g.k AND n.s > {_TARGET} AND n.up >= 0)
+  ELSE (SELECT max(s) FROM n WHERE n.k = g.k AND n.s < {_TARGET} AND n.down <= 0) + {_STEP} END AS s FROM g)
+SELECT k, CAST(s AS BIGINT) AS size, CAST(CASE WHEN l <= {_TARGET} THEN 1 ELSE greatest(1, ceil((l - {_OVERLAP}) / (s - {_OVERLAP}))) END AS BIGINT) AS tiles FROM t""")
+def q_split_sizes(spark, sf):
+    """Tile size along an axis, and how many tiles cover it."""
+    return layout.split_table(boxes(spark, sf).select("k", (200 + F.col("n") * 37).cast("int").alias("length")), "length", _TARGET, _OVERLAP, _STEP).select(
+        "k", F.col("tile").cast("long").alias("size"), F.size("intervals").cast("long").alias("tiles")
+    )
