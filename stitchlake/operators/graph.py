@@ -15,9 +15,12 @@ def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; a session without one (a local test) gets a temporary folder."""
+    """Checkpoint in the folder of ``spark.checkpoint.dir``; a session on one machine without that setting (a
+    local test) gets a temporary folder, any other must have it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stitchlake-checkpoint-"))
     return df.checkpoint()
 

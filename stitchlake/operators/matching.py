@@ -7,6 +7,8 @@ that a detector keeps of a view.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,30 +65,73 @@ def fit_model(kind: str, p: np.ndarray, q: np.ndarray, regularization: float = 0
     return None if a is None else (1 - regularization) * a + regularization * r
 
 
+def _fit_all(kind: str, w: np.ndarray, p: np.ndarray, q: np.ndarray, regularization: float = 0.0) -> np.ndarray:
+    """One model (12 numbers) for each row of weights ``w`` (0 or 1) over the matches; NaN where none can be fitted."""
+    n = w.sum(axis=1)
+    sp, sq = w @ p, w @ q
+    s = w @ (p[:, :, None] * q[:, None, :]).reshape(len(p), 9)
+    out = fit.rigid_from_moments(n, sp, sq, s)
+    if kind != "rigid":
+        with np.errstate(all="ignore"):
+            mp, mq = sp / n[:, None], sq / n[:, None]
+            a = (w @ (p[:, :, None] * p[:, None, :]).reshape(len(p), 9)).reshape(-1, 3, 3) - n[:, None, None] * mp[:, :, None] * mp[:, None, :]
+            b = s.reshape(-1, 3, 3) - n[:, None, None] * mp[:, :, None] * mq[:, None, :]
+            fine = np.abs(np.linalg.det(a)) > 1e-12 * np.prod(np.diagonal(a, axis1=1, axis2=2), axis=1)
+        m = np.full((len(w), 3, 4), np.nan)
+        if fine.any():
+            linear = np.linalg.solve(a[fine], b[fine]).transpose(0, 2, 1)
+            m[fine] = np.concatenate([linear, (mq[fine] - np.einsum("tij,tj->ti", linear, mp[fine]))[:, :, None]], axis=2)
+        out = (1 - regularization) * m.reshape(-1, 12) + regularization * out
+    out[n < (3 if kind == "rigid" else 4)] = np.nan
+    return out
+
+
+def _samples(rng: np.random.Generator, n: int, k: int, trials: int) -> np.ndarray:
+    """``trials`` rows of k different places."""
+    pick = rng.integers(0, n, (trials, k))
+    while len(bad := np.flatnonzero((np.diff(np.sort(pick, axis=1), axis=1) == 0).any(axis=1))):
+        pick[bad] = rng.integers(0, n, (len(bad), k))
+    return pick
+
+
+#: Distances that are held at once.
+_DISTANCES = 1 << 20
+
+
 def consensus(p: np.ndarray, q: np.ndarray, kind: str, trials: int, epsilon: float, least: int, ratio: float, seed: int, sample: int | None = None) -> np.ndarray:
     """Mask of the largest inlier set found (strictly below epsilon), grown by refitting; empty if
-    it is smaller than ``least`` or not more than ``ratio`` of the candidates."""
+    it is smaller than ``least`` or not more than ``ratio`` of the candidates. Trials are fitted and grown
+    many at a time."""
     n, k = len(p), sample or (3 if kind == "rigid" else 4)
     best = np.zeros(n, dtype=bool)
     if n < max(least, k):
         return best
     rng = np.random.default_rng(seed)
-    for _ in range(trials):
-        pick = rng.choice(n, k, replace=False)
-        m = fit_model(kind, p[pick], q[pick])
-        inside = np.zeros(n, dtype=bool)
-        while m is not None:
-            now = np.linalg.norm(p @ m[:, :3].T + m[:, 3] - q, axis=1) < epsilon
-            if now.sum() <= inside.sum():
-                break
-            inside = now
-            m = fit_model(kind, p[inside], q[inside])
-        if inside.sum() > best.sum():
-            best = inside
+    shift = p.mean(axis=0), q.mean(axis=0)
+    p, q = p - shift[0], q - shift[1]  # moments of centred points keep their digits
+    at_once = max(1, _DISTANCES // n)
+    for lo in range(0, trials, at_once):
+        pick = _samples(rng, n, k, min(at_once, trials - lo))
+        w = np.zeros((len(pick), n))
+        np.put_along_axis(w, pick, 1.0, axis=1)
+        inside = np.zeros(w.shape, dtype=bool)
+        size, active = np.zeros(len(w), dtype=int), np.arange(len(w))
+        while len(active):
+            m = _fit_all(kind, w, p, q).reshape(-1, 3, 4)
+            far = np.einsum("tij,nj->tni", m[:, :, :3], p) + m[:, None, :, 3] - q
+            with np.errstate(invalid="ignore"):
+                now = np.einsum("tni,tni->tn", far, far) < epsilon * epsilon
+            grown = now.sum(axis=1) > size[active]
+            active, now = active[grown], now[grown]
+            inside[active], size[active] = now, now.sum(axis=1)
+            w = now.astype(float)
+        first = int(size.argmax())
+        if size[first] > best.sum():
+            best = inside[first]
     return best if best.sum() >= least and best.sum() > ratio * n else np.zeros(n, dtype=bool)
 
 
-def ransac(matches: DataFrame, pair: str, key: str, kind: str = "rigid", trials: int = 200, epsilon: float = 10.0, least: int = 6, ratio: float = 0.1, trim: float = 4.0, seed: int = 0) -> DataFrame:
+def ransac(matches: DataFrame, pair: str, key: str, kind: str = "rigid", trials: int = 10_000, epsilon: float = 10.0, least: int = 6, ratio: float = 0.1, trim: float = 4.0, seed: int = 0) -> DataFrame:
     """(pair, key, error) of each pair's inliers, trimmed at ``trim`` times their median error.
     Seeds depend on the pair alone, so a repeated task gives the same rows."""
     kinds = {c: matches.schema[c].dataType.simpleString() for c in (pair, key)}
@@ -94,7 +139,7 @@ def ransac(matches: DataFrame, pair: str, key: str, kind: str = "rigid", trials:
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key)
         p, q = f[["px", "py", "pz"]].to_numpy(float), f[["qx", "qy", "qz"]].to_numpy(float)
-        inside = consensus(p, q, kind, trials, epsilon, least, ratio, seed + int(f[pair].iloc[0]))
+        inside = consensus(p, q, kind, trials, epsilon, least, ratio, seed + zlib.crc32(str(f[pair].iloc[0]).encode()))
         m = fit_model(kind, p[inside], q[inside])
         err = np.full(len(p), np.inf)
         if m is not None:

@@ -111,3 +111,19 @@ def gates(stats: DataFrame, bounds: dict[str, tuple[float | None, float | None]]
             here = here & (F.col("value") <= hi)
         ok = ok & ((F.col("gate") != name) | here)
     return stats.withColumn("ok", ok)
+
+
+def alignment_gate(metrics: str, least: float | None = None, most: float | None = None) -> list[str]:
+    """What an alignment violates, from the JSON text of its metrics (``alignment errors``: minimum and
+    maximum): nothing if it passes. Metrics without that entry are an error."""
+    import json
+
+    found = json.loads(metrics).get("alignment errors")
+    if found is None:
+        raise KeyError("no alignment errors have been saved")
+    out = []
+    if least is not None and found["minimum error"] < least:
+        out.append(f"minimum error {found['minimum error']} is below {least}")
+    if most is not None and found["maximum error"] > most:
+        out.append(f"maximum error {found['maximum error']} is above {most}")
+    return out

@@ -8,6 +8,9 @@ stopping; matches are read, never collected.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,23 @@ def tile_errors(links: DataFrame, models: DataFrame) -> DataFrame:
     return w.groupBy("tile").agg(F.avg(F.sqrt(G.distance2([F.col(f"w{a}") for a in "xyz"], [F.col(f"v{a}") for a in "xyz"]))).alias("error"))
 
 
-def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int = 30, damp: float = 1.0, plateau: int = 5, slope: float = 1e-4, share: float = 0.1, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+def settled(errors: list[float], plateau: int, allowed: float = math.inf, slope: float = 1e-4) -> bool:
+    """Whether a search may end: more than ``plateau`` + 1 errors, the last one allowed, and no slope over
+    the last plateau, half of it, a quarter, .. down to one step, beyond ``slope``."""
+    if len(errors) < plateau + 2 or errors[-1] > allowed:
+        return False
+    width = float(plateau)
+    while width >= 1:
+        if abs(errors[-1] - errors[-1 - int(width)]) / int(width) > slope:
+            return False
+        width /= 2
+    return True
+
+
+def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int = 10_000, damp: float = 1.0, plateau: int = 200, slope: float = 1e-4, share: float = 0.1, start: DataFrame | None = None, allowed: float = math.inf) -> tuple[DataFrame, list[float]]:
     """(models, mean error of each iteration). ``matches``: tile, other, px.., qx..; fixed tiles keep
-    the identity. ``affine`` fits are drawn towards the rigid ones by ``share``. A plateau of the
-    error over ``plateau`` iterations ends the search. ``start`` gives first models, as those of
+    the identity. ``affine`` fits are drawn towards the rigid ones by ``share``. The search ends when
+    ``settled``. ``start`` gives first models, as those of
     ``prealign``: far from the solution simultaneous steps can swing."""
     links = graph.both_ways(matches, [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]).persist()
     models = identity(links.select("tile").distinct())
@@ -61,7 +77,7 @@ def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int
             new = new.select("tile", *[F.col(n).alias(f"n_{n}") for n in NAMES])
             models = graph.cut(models.join(new, "tile", "left").select("tile", *[F.coalesce(f"n_{n}", n).alias(n) for n in NAMES]))
             errors.append(tile_errors(links, models).agg(F.avg("error")).first()[0])
-            if i >= plateau and all(abs(errors[-1] - errors[-1 - d]) / d <= slope for d in range(1, plateau + 1)):
+            if settled(errors, plateau, allowed, slope):
                 break
     finally:
         links.unpersist()
@@ -91,3 +107,45 @@ def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
     both = a.join(b, "tile", "full")
     fill = both.select("tile", *[F.coalesce(f"{p}{n}", F.lit(float(v))).alias(f"{p}{n}") for p in ("a_", "b_") for n, v in zip(NAMES, G.IDENTITY, strict=True)])
     return fill.select("tile", *[v.alias(n) for v, n in zip(G.compose(G.model("b_"), G.model("a_")), NAMES, strict=True)])
+
+
+def observed(errors: list[float]) -> list[dict]:
+    """Statistics of the error curve after each iteration: last, mean, least, most, square root of the mean square."""
+    out, total, squares = [], 0.0, 0.0
+    for i, e in enumerate(errors):
+        total, squares = total + e, squares + e * e
+        out.append({"iteration": i, "error": e, "mean": total / (i + 1), "min": min(errors[: i + 1]), "max": max(errors[: i + 1]), "rms": math.sqrt(squares / (i + 1))})
+    return out
+
+
+def metrics(errors: list[float], per_tile: DataFrame | None = None) -> str:
+    """JSON text of a run: the curve and its statistics, and the last error of each tile (few rows)."""
+    tiles = {} if per_tile is None else {str(r.tile): r.error for r in per_tile.toLocalIterator()}
+    return json.dumps({"solver_metrics_per_tile": {"stats": observed(errors)}, "tile_errors": tiles}, indent=2)
+
+
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """view, group of overlapping groups (group, view): groups that share a view become one, named by the
+    smallest, until none do."""
+    views = groups.select("group", "view").distinct()
+    least = views.groupBy("view").agg(F.min("group").alias("a"))
+    edges = views.join(least, "view").filter("group <> a").select("a", F.col("group").alias("b"))
+    found = graph.components(edges).select(F.col("node").alias("group"), "component")
+    return views.join(found, "group", "left").select("view", F.coalesce("component", "group").alias("group")).distinct()
+
+
+def two_rounds(matches: DataFrame, weak: DataFrame, fixed, kind: str = "rigid", iterations: int = 10_000, plateau: int = 200) -> tuple[DataFrame, dict[str, list[float]]]:
+    """Split alignment. Round 1 aligns the tiles of each component of the strong matches with its smallest tile
+    fixed; round 2 moves whole components by the weak matches (tile, other, px.., qx.. as ``matches``), with
+    the component of ``fixed`` fixed. A tile's model is its component's after its own."""
+    group = graph.cut(graph.components(matches.select(F.col("tile").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("tile"), "component"))
+    seeds = [r.component for r in group.select("component").distinct().toLocalIterator()]  # one number a component
+    first, errors = relax(matches, seeds, kind, iterations, plateau=plateau)
+    moved = _world(weak.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), first)
+    of = lambda c, name: group.select(F.col("tile").alias(c), F.col("component").alias(name))
+    between = moved.join(of("tile", "ga"), "tile").join(of("other", "gb"), "other").filter("ga <> gb")
+    links = between.select(F.col("ga").alias("tile"), F.col("gb").alias("other"), *[F.col(f"w{a}").alias(f"p{a}") for a in "xyz"], *[F.col(f"v{a}").alias(f"q{a}") for a in "xyz"])
+    anchor = group.filter(F.col("tile") == fixed).first()
+    second, more = relax(links, [anchor.component if anchor else fixed], "rigid", iterations, plateau=plateau)
+    by_tile = group.join(second.withColumnRenamed("tile", "component"), "component").drop("component")
+    return concatenate(first, by_tile.select("tile", *NAMES)), {"tiles": errors, "components": more}

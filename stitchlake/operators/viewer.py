@@ -117,12 +117,12 @@ def in_base_unit(value: Column, unit: Column) -> tuple[Column, Column]:
 def voxel_resolution(acquisition: Column) -> Column:
     """[z, y, x] of an acquisition's JSON text: the scale of the first tile of version 1 (``tiles``), or
     of the first image of version 2 and later (``data_streams``); null where there is none."""
-    old = F.from_json(acquisition, "schema_version string, tiles array<struct<coordinate_transformations: array<struct<type: string, scale: array<double>>>>>")
+    old = F.from_json(acquisition, "schema_version string, tiles array<struct<coordinate_transformations: array<struct<type: string, scale: array<string>>>>>")
     scales = F.flatten(F.transform(old["tiles"], lambda t: F.filter(t["coordinate_transformations"], lambda c: c["type"] == "scale")))
-    images = "array<struct<image_to_acquisition_transform: array<struct<object_type: string, scale: array<double>>>>>"
+    images = "array<struct<image_to_acquisition_transform: array<struct<object_type: string, scale: array<string>>>>>"
     new = F.from_json(acquisition, f"data_streams array<struct<configurations: array<struct<images: {images}>>>>")
     nested = F.flatten(F.transform(new["data_streams"], lambda s: F.flatten(F.transform(s["configurations"], lambda c: F.coalesce(c["images"], F.array().cast(images))))))
     placed = F.flatten(F.transform(nested, lambda i: F.filter(i["image_to_acquisition_transform"], lambda c: F.lower(c["object_type"]) == "scale")))
-    major = F.try_element_at(F.split(old["schema_version"], r"\\."), F.lit(1)).try_cast("int")
+    major = F.try_element_at(F.split(old["schema_version"], r"\."), F.lit(1)).try_cast("int")
     found = F.when(major >= 2, F.get(placed, F.lit(0))["scale"]).otherwise(F.get(scales, F.lit(0))["scale"])
-    return F.reverse(found)
+    return F.reverse(F.transform(found, lambda v: v.try_cast("double")))

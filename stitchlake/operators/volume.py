@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +50,27 @@ def radial_shift(x: Column, y: Column, cx: float, cy: float, cutoff: float, shif
 # ---- numpy kernels on one block ----
 
 
+#: Most window values that are held at once.
+_WINDOW_VALUES = 1 << 23
+
+
 def background_subtract(v: np.ndarray, radius: int) -> np.ndarray:
-    """Minus the median of the (2r+1) x (2r+1) window in the first two axes; edges mirrored."""
+    """Minus the median of the (2r+1) x (2r+1) window in the first two axes; edges mirrored. Windows are
+    taken of a few rows and planes at a time, so memory does not grow with the block."""
     if radius <= 0:
         return v
     w = 2 * radius + 1
     padded = np.pad(v, ((radius, radius), (radius, radius), (0, 0)), mode="reflect")
     windows = np.lib.stride_tricks.sliding_window_view(padded, (w, w), axis=(0, 1))
-    return v - np.median(windows, axis=(-2, -1))
+    out = np.empty(v.shape, dtype=np.result_type(v, np.float32))
+    planes = max(1, _WINDOW_VALUES // (w * w * v.shape[1]))
+    rows = max(1, planes // v.shape[2])
+    planes = min(planes, v.shape[2])
+    for x in range(0, v.shape[0], rows):
+        for z in range(0, v.shape[2], planes):
+            at = slice(x, x + rows), slice(None), slice(z, z + planes)
+            out[at] = v[at] - np.median(windows[at], axis=(-2, -1))
+    return out
 
 
 def gaussian(v: np.ndarray, sigma: float) -> np.ndarray:
@@ -90,28 +104,31 @@ def peaks(v: np.ndarray, least: float) -> np.ndarray:
 
 
 def refine(v: np.ndarray, at: np.ndarray, moves: int = 10) -> np.ndarray:
-    """Sub-voxel places by a quadratic fit; a fit that leaves its voxel moves to the neighbour."""
-    out = at.astype(np.float64)
-    for row, p in enumerate(at):
-        p = p.copy()
-        for move in range(moves):
-            x, y, z = p
-            c = v[x - 1 : x + 2, y - 1 : y + 2, z - 1 : z + 2].astype(np.float64)
-            g = np.array([c[2, 1, 1] - c[0, 1, 1], c[1, 2, 1] - c[1, 0, 1], c[1, 1, 2] - c[1, 1, 0]]) / 2
-            h = np.empty((3, 3))
-            for i in range(3):
-                e = np.eye(3, dtype=int)[i]
-                h[i, i] = c[tuple(1 + e)] + c[tuple(1 - e)] - 2 * c[1, 1, 1]
-                for j in range(i):
-                    f = np.eye(3, dtype=int)[j]
-                    h[i, j] = h[j, i] = (c[tuple(1 + e + f)] - c[tuple(1 + e - f)] - c[tuple(1 - e + f)] + c[tuple(1 - e - f)]) / 4
-            if abs(np.linalg.det(h)) < 1e-12:
-                break
-            step = -np.linalg.solve(h, g)
-            if np.all(np.abs(step) <= 0.5 + 0.1 * move):
-                out[row] = p + step
-                break
-            p = np.clip(p + np.sign(step).astype(int) * (np.abs(step) > 0.5), 1, np.array(v.shape) - 2)
+    """Sub-voxel places by a quadratic fit; a fit that leaves its voxel moves to the neighbour. All
+    places that still move are fitted together."""
+    out, p = at.astype(np.float64), at.copy()
+    active = np.arange(len(at))
+    axes = np.eye(3, dtype=int)
+    for move in range(moves):
+        if not len(active):
+            break
+        c = lambda d: v[tuple((p[active] + d).T)].astype(np.float64)  # noqa: E731, B023
+        centre, g, h = c(0), np.empty((len(active), 3)), np.empty((len(active), 3, 3))
+        for i, e in enumerate(axes):
+            up, down = c(e), c(-e)
+            g[:, i], h[:, i, i] = (up - down) / 2, up + down - 2 * centre
+            for j in range(i):
+                f = axes[j]
+                h[:, i, j] = h[:, j, i] = (c(e + f) - c(e - f) - c(f - e) + c(-e - f)) / 4
+        solvable = np.abs(np.linalg.det(h)) >= 1e-12
+        active, g, h = active[solvable], g[solvable], h[solvable]
+        if not len(active):
+            break
+        step = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        settled = np.all(np.abs(step) <= 0.5 + 0.1 * move, axis=1)
+        out[active[settled]] = p[active[settled]] + step[settled]
+        active, step = active[~settled], step[~settled]
+        p[active] = np.clip(p[active] + np.sign(step).astype(int) * (np.abs(step) > 0.5), 1, np.array(v.shape) - 2)
     return out
 
 
@@ -127,28 +144,6 @@ def sample_linear(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def detect_points(blocks: DataFrame, sigma: float, threshold: float, median_radius: int = 0) -> DataFrame:
-    """Interest points of volume blocks (block_id, x0, y0, z0, nx, ny, nz, data: float32 bytes, x
-    slowest). Blocks carry a halo of one voxel more than the filter reaches. The intensity is that of
-    the background-subtracted block at the refined place."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for b in f.itertuples(index=False):
-                v = np.frombuffer(b.data, dtype="<f4").reshape(b.nx, b.ny, b.nz)
-                plain = background_subtract(v.astype(np.float64), median_radius)
-                dog = difference_of_gaussian(plain, sigma)
-                at = refine(dog, peaks(dog, threshold / 3))
-                for p, value in zip(at, sample_linear(plain, at), strict=True):
-                    rows.append((b.block_id, b.x0 + p[0], b.y0 + p[1], b.z0 + p[2], float(value)))
-            yield pd.DataFrame(rows, columns=["block_id", "x", "y", "z", "intensity"])
-
-    return blocks.mapInPandas(run, "block_id long, x double, y double, z double, intensity double")
-
-
 def resample_nearest(v: np.ndarray, inverse: np.ndarray, shape: tuple[int, int, int], origin=(0, 0, 0)) -> np.ndarray:
     """Output block whose voxels take the nearest input voxel under the inverse model; 0 outside."""
     grid = np.stack(np.meshgrid(*[np.arange(n) + o for n, o in zip(shape, origin, strict=True)], indexing="ij"), axis=-1)
@@ -156,3 +151,13 @@ def resample_nearest(v: np.ndarray, inverse: np.ndarray, shape: tuple[int, int,
     inside = np.all((at >= 0) & (at < np.array(v.shape)), axis=-1)
     at = np.clip(at, 0, np.array(v.shape) - 1)
     return np.where(inside, v[at[..., 0], at[..., 1], at[..., 2]], 0)
+
+
+def block_sum(data: str) -> Column:
+    """Sum of a block of float64."""
+
+    @F.pandas_udf("double")
+    def total(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda b: float(np.frombuffer(b, dtype="<f8").sum()))
+
+    return total(data)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchlake.functions import geometry as G
-from stitchlake.operators import fit, graph, layout, matching, quality, solver, spatial, volume
+from stitchlake.operators import detection, fit, fusion, graph, layout, matching, quality, solver, spatial, transforms, viewer, volume
 
 
 def frame(spark, rows, schema):
@@ -165,12 +165,18 @@ def test_golden_match_statistics(spark):
     assert (v.cells, v.occupied, v.total) == (27, 3, 5)
 
 
+def volume_frame(spark, v):
+    """A dense volume as voxels of view 1."""
+    rows = [(1, *map(int, at), float(v[tuple(at)])) for at in np.argwhere(v != 0)]
+    return spark.createDataFrame(rows, "view long, x long, y long, z long, value double")
+
+
 def test_detection_finds_blobs(spark):
     n, centres = 40, [(12.0, 14.0, 20.0), (27.3, 25.6, 12.2)]
     g = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), axis=-1)
     v = sum(np.exp(-((g - c) ** 2).sum(-1) / (2 * 2.0**2)) for c in centres).astype("<f4")
-    blocks = spark.createDataFrame([(1, 100, 200, 300, n, n, n, bytearray(v.tobytes()))], "block_id long, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary")
-    found = [(r.x - 100, r.y - 200, r.z - 300) for r in volume.detect_points(blocks, 1.8, 0.05).collect()]
+    blocks = detection.rasterize(volume_frame(spark, v), "view", (n,) * 3, (n,) * 3, 0)
+    found = [(r.x, r.y, r.z) for r in detection.detect_points(blocks, "view", 1.8, 0.05).collect()]
     assert len(found) == 2 and all(min(math.dist(c, f) for f in found) < 0.5 for c in centres)
 
 
@@ -178,12 +184,220 @@ def test_detection_intensity_is_sampled(spark):
     n = 40
     g = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), axis=-1)
     v = (7 + np.exp(-((g - (12.3, 14.4, 20.2)) ** 2).sum(-1) / (2 * 2.0**2))).astype("<f4")
-    blocks = spark.createDataFrame([(1, 0, 0, 0, n, n, n, bytearray(v.tobytes()))], "block_id long, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary")
+    blocks = detection.rasterize(volume_frame(spark, v), "view", (n,) * 3, (n,) * 3, 0)
     for radius, base in ((0, 7), (9, 0)):
-        (r,) = volume.detect_points(blocks, 1.8, 0.05, radius).collect()
+        (r,) = detection.detect_points(blocks, "view", 1.8, 0.05, radius).collect()
         assert abs(r.intensity - base - 1) < 0.1
 
 
+@pytest.mark.parametrize("radius", [0, 2])
+def test_detection_in_blocks_equals_the_whole(spark, radius):
+    rng = np.random.default_rng(11)
+    v = volume.gaussian(rng.uniform(0, 100, (36, 30, 26)), 1.0).astype("<f4")
+    found, response, at, intensity = detection.detect_block(v, 1.5, 3.0, radius)
+    want = {tuple(map(int, p)): (round(float(r), 3), *np.round(q, 3), round(float(i), 3)) for p, r, q, i in zip(found, response, at, intensity)}
+    halo = detection.reach(1.5, radius, moves=8)
+    got = detection.detect_points(detection.rasterize(volume_frame(spark, v), "view", v.shape, (16, 14, 13), halo), "view", 1.5, 3.0, radius).collect()
+    assert len(want) > 20 and len(got) == len(want)
+    mine = {(r.px, r.py, r.pz): (r.response, r.x, r.y, r.z, r.intensity) for r in got}
+    assert set(mine) == set(want) and all(mine[k] == pytest.approx(want[k], abs=2e-3) for k in want)
+
+
+def test_refinement_of_a_paraboloid():
+    g = np.stack(np.meshgrid(*[np.arange(12)] * 3, indexing="ij"), axis=-1)
+    peaks = np.array([(4.3, 5.2, 6.4), (6.0, 5.6, 5.1)])
+    for p in peaks:
+        v = 50 - ((g - p) ** 2 * (1, 2, 0.5)).sum(axis=-1)
+        start = np.array([np.rint(p).astype(int), np.rint(p).astype(int) + (1, 0, -1)])
+        assert np.allclose(volume.refine(v, start), p)
+    assert np.array_equal(volume.refine(np.ones((5, 5, 5)), np.array([[2, 2, 2]])), [[2.0, 2, 2]])
+    assert volume.refine(np.ones((5, 5, 5)), np.empty((0, 3), dtype=int)).shape == (0, 3)
+
+
+def test_background_does_not_depend_on_slabs(monkeypatch):
+    v = np.random.default_rng(3).uniform(size=(14, 13, 6))
+    whole = volume.background_subtract(v, 3)
+    monkeypatch.setattr(volume, "_WINDOW_VALUES", 700)
+    assert np.array_equal(volume.background_subtract(v, 3), whole)
+    x, y = 7, 6
+    assert whole[x, y, 2] == pytest.approx(v[x, y, 2] - np.median(v[x - 3 : x + 4, y - 3 : y + 4, 2]))
+
+
+def test_downsampled_detection_coordinates(spark):
+    v = volume_frame(spark, np.arange(1, 65, dtype=float).reshape(4, 4, 4))
+    small = {(r.x, r.y, r.z): r.value for r in detection.downsample(v, "view", 2, 4).collect()}
+    assert small[0, 0, 0] == np.arange(1, 65).reshape(4, 4, 4)[:2, :2].mean() and len(small) == 4
+    p = detection.upsampled(spark.createDataFrame([(1, 1.0, 0.0, 0.0)], "view long, x double, y double, z double"), 2, 4).first()
+    assert (p.x, p.y, p.z) == (2.5, 0.5, 1.5)
+    chunks = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "view long, chunk string")
+    assert {r.view: r.chunks for r in detection.by_view(chunks, ["view"], "chunk").collect()} == {1: ["a", "b"], 2: ["c"]}
+
+
+@pytest.mark.parametrize("kind", ["rigid", "affine"])
+def test_consensus_of_many_trials(kind):
+    rng = np.random.default_rng(12)
+    m = np.column_stack([rotation(rng) if kind == "rigid" else np.eye(3) + rng.uniform(-0.2, 0.2, (3, 3)), rng.uniform(-500, 500, 3)])
+    p = rng.uniform(0, 1000, (300, 3))
+    q = p @ m[:, :3].T + m[:, 3] + rng.normal(0, 0.1, (300, 3))
+    q[:200] = rng.uniform(0, 1000, (200, 3))
+    inside = matching.consensus(p, q, kind, 2000, 5.0, 12, 0.1, 1)
+    assert inside[200:].all() and inside[:200].sum() <= 2
+    assert not matching.consensus(p[:200], q[:200], kind, 500, 2.0, 12, 0.1, 1).any()
+    w = np.zeros((1, 300))
+    w[0, 200:] = 1
+    assert np.allclose(matching._fit_all(kind, w, p, q).reshape(3, 4), matching.fit_model(kind, p[200:], q[200:]), atol=1e-6)
+
+
+def test_ransac_takes_text_pairs(spark):
+    m = matches(spark, [np.eye(3, 4)], n=20).withColumn("pair", F.lit("left-right"))
+    assert matching.ransac(m, "pair", "match_id", trials=50).count() == 20
+
+
+def test_tile_sizes_grow_and_shrink():
+    # 1100 by 512 with 64 shared: the last tile has 64 + (1100 - 896 - 64) % 448 = 204, at most half, so sizes grow:
+    # 576 leaves 64 + 12 = 76 (shorter), at 640 two tiles reach beyond the end (1100 - 52)
+    assert [layout.last_tile(1100, s, 64) for s in (512, 576, 640)] == [204, 76, 1048] and layout.tile_size(1100, 512, 64) == 640
+    # 1300: 64 + 340 = 404, more than half, so sizes shrink while the last tile gets longer: 448 leaves 64 + 84 = 148
+    assert [layout.last_tile(1300, s, 64) for s in (512, 448)] == [404, 148] and layout.tile_size(1300, 512, 64) == 512
+    # 1700: 64 + 292 = 356; 448 leaves 64 + 100 = 164
+    assert layout.tile_size(1700, 512, 64) == 512
+    # 1350: 64 + 6 + .. at 512: 1350 - 960 = 390 -> 454; 448: 1350 - 832 = 518 % 384 = 134 -> 198
+    assert layout.tile_size(1350, 512, 64) == 512
+    assert layout.tile_size(960, 512, 64) == 512 and layout.tile_size(300, 512, 64) == 300
+    grown = [n for n in range(513, 3000) if layout.tile_size(n, 512, 64) > 512]
+    shrunk = [n for n in range(513, 3000) if layout.tile_size(n, 512, 64) < 512]
+    assert grown and shrunk
+
+
+def test_split_views_number_parts(spark):
+    setups = spark.createDataFrame([(0, [1100, 600, 100]), (3, [100, 100, 100])], "id int, size array<int>")
+    parts = layout.split_views(setups, (512, 512, 512), (64, 64, 64)).collect()
+    assert [r.new_id for r in parts if r.id == 3] == [3 * layout.PARTS]
+    mine = sorted((r.new_id, r.lower, r.upper) for r in parts if r.id == 0)
+    assert [m[0] for m in mine] == list(range(len(mine))) and mine[0][1] == [0, 0, 0] and mine[1][1] == [576, 0, 0]
+
+
+def test_fusion_of_turned_tiles(spark):
+    rng = np.random.default_rng(13)
+    whole = (9, 8, 5)
+    tiles = {k: rng.uniform(1, 9, whole) for k in range(3)}
+    models = {0: np.eye(3, 4), 1: np.column_stack([[[0, -1, 0], [1, 0, 0], [0, 0, 1]], [12.0, 3, 1]]), 2: np.column_stack([rotation(rng), [4.0, 5, 2]])}
+    rows = []
+    for k, v in tiles.items():
+        for x in range(0, 9, 5):
+            part = v[x : x + 5]
+            rows.append((k, [x, 0, 0], list(part.shape), bytearray(np.ascontiguousarray(part).tobytes())))
+    blocks = spark.createDataFrame(rows, fusion.BLOCK)
+    model_rows = frame(spark, [(k, *m.ravel()) for k, m in models.items()], "tile long, " + ", ".join(f"{n} double" for n in G.NAMES))
+    shapes = spark.createDataFrame([(k, list(whole)) for k in tiles], "tile long, whole array<int>")
+    for blend in fusion.BLENDS:
+        got = {}
+        for r in fusion.fuse(blocks, model_rows, shapes, (6, 6, 6), (-12, -12, -12), blend).collect():
+            v = np.frombuffer(r.data).reshape(r.shape)
+            got |= {tuple(np.add(at, r.origin)): v[at] for at in np.ndindex(*r.shape)}
+        for at in itertools.product(range(-10, 16, 3), range(-10, 16, 2), range(-8, 10)):
+            seen = []
+            for k, m in models.items():
+                p = np.linalg.solve(m[:, :3], np.array(at) - m[:, 3])
+                i = np.floor(p + 0.5).astype(int)
+                if np.all((i >= 0) & (i < whole)):
+                    seen.append((tiles[k][tuple(i)], max(1e-6, min((p + 1).min(), (np.array(whole) - p).min()))))
+            want = {"max": lambda: max(v for v, _ in seen), "first": lambda: seen[0][0], "mean": lambda: np.mean([v for v, _ in seen]), "weighted": lambda: sum(v * w for v, w in seen) / sum(w for _, w in seen)}[blend]() if seen else 0.0
+            assert got.get(at, 0.0) == pytest.approx(want), (blend, at)
+    with pytest.raises(ValueError, match="blend"):
+        fusion.fuse(blocks, model_rows, shapes, (6, 6, 6), blend="sum")
+
+
+def test_pyramid_of_blocks(spark):
+    v = np.random.default_rng(14).uniform(size=(8, 8, 4))
+    rows = [([x, y, 0], [4, 4, 4], bytearray(np.ascontiguousarray(v[x : x + 4, y : y + 4]).tobytes())) for x in (0, 4) for y in (0, 4)]
+    blocks = spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary")
+    levels = dict(fusion.pyramid(blocks, (4, 4, 4), 3))
+    (r,) = levels[1].collect()
+    want = v.reshape(4, 2, 4, 2, 2, 2).mean(axis=(1, 3, 5))
+    assert np.allclose(np.frombuffer(r.data).reshape(4, 4, 4)[:, :, :2], want)
+    (r,) = levels[2].collect()
+    assert np.frombuffer(r.data).reshape(4, 4, 4)[1, 1, 0] == pytest.approx(v[4:, 4:].mean())
+
+
+def test_zoom_and_radial_planes():
+    labels = np.arange(24).reshape(4, 3, 2)
+    assert np.array_equal(fusion.zoom_labels(labels, (1, 1, 1)), labels)
+    big = fusion.zoom_labels(labels, (2, 2, 2))
+    assert big.shape == (8, 6, 4) and set(big.ravel()) == set(range(24)) and big[-1, -1, -1] == 23
+    v = np.fromfunction(lambda x, y: 2 * x + y, (21, 31))
+    assert np.allclose(fusion.radial_correct(v, 100.0, 3.0, 2), v[2:-2, 2:-2])
+    moved = fusion.radial_correct(v, 5.0, -2.0, 0)
+    assert moved[10, 15] == v[10, 15] and moved[0, 0] > v[0, 0]
+
+
+def test_settled_needs_every_slope():
+    assert not solver.settled([1.0] * 6, 5) and solver.settled([1.0] * 7, 5)
+    assert not solver.settled([5.0] * 7, 5, allowed=2.0)
+    assert not solver.settled([1.0] * 6 + [1.001], 5)
+    assert solver.settled([9.0] * 3 + [1.0] * 7, 5)
+
+
+def test_solver_metrics(spark):
+    import json
+
+    m = json.loads(solver.metrics([4.0, 2.0], frame(spark, [(0, 1.5)], "tile long, error double")))
+    assert m["tile_errors"] == {"0": 1.5} and m["solver_metrics_per_tile"]["stats"][1] == {"iteration": 1, "error": 2.0, "mean": 3.0, "min": 2.0, "max": 4.0, "rms": math.sqrt(10)}
+
+
+def test_groups_that_overlap_become_one(spark):
+    g = frame(spark, [(1, 10), (1, 11), (2, 11), (2, 12), (3, 12), (7, 70), (8, 80)], "group long, view long")
+    assert sorted((r.view, r.group) for r in solver.merged_groups(g).collect()) == [(10, 1), (11, 1), (12, 1), (70, 7), (80, 8)]
+
+
+def test_two_rounds_put_components_in_place(spark):
+    rng = np.random.default_rng(15)
+    at = {0: np.zeros(3), 1: np.array([50.0, 2, 1]), 5: np.array([0.0, 80, 3]), 6: np.array([52.0, 81, 2])}
+
+    def link(a, b, n):
+        return [(a, b, *(w - at[a]), *(w - at[b])) for w in rng.uniform(0, 30, (n, 3)) + at[b]]
+
+    schema = "tile long, other long, px double, py double, pz double, qx double, qy double, qz double"
+    strong = frame(spark, link(0, 1, 12) + link(5, 6, 12), schema)
+    weak = frame(spark, link(0, 5, 8) + link(1, 6, 8) + link(0, 1, 3), schema)
+    models, errors = solver.two_rounds(strong, weak, 0, iterations=60, plateau=5)
+    got = models_of(models, "tile")
+    assert all(np.allclose(got[t], np.column_stack([np.eye(3), v]), atol=0.1) for t, v in at.items())
+    assert errors["tiles"][-1] < 0.1 and errors["components"][-1] < 0.1
+
+
+def test_alignment_gate():
+    text = '{"alignment errors": {"minimum error": 0.5, "maximum error": 4.0}}'
+    assert quality.alignment_gate(text) == [] and quality.alignment_gate(text, 0.5, 4.0) == []
+    assert len(quality.alignment_gate(text, 0.6, 3.9)) == 2
+    with pytest.raises(KeyError):
+        quality.alignment_gate("{}")
+
+
+def test_acquisition_resolution_and_units(spark):
+    one = '{"schema_version": "1.0.4", "tiles": [{"coordinate_transformations": [{"type": "translation", "translation": [1]}, {"type": "scale", "scale": ["0.5", 0.6, 2.0]}]}]}'
+    two = '{"schema_version": "2.1.0", "data_streams": [{"configurations": [{"device": 1}, {"images": [{"image_to_acquisition_transform": [{"object_type": "Rotation"}, {"object_type": "Scale", "scale": [1.0, 1.5, 4.0]}]}]}]}]}'
+    rows = spark.createDataFrame([(one,), (two,), ("{}",)], "j string").select(viewer.voxel_resolution(F.col("j")).alias("r")).collect()
+    assert [r.r for r in rows] == [[2.0, 0.6, 0.5], [4.0, 1.5, 1.0], None]
+    value, base = viewer.in_base_unit(F.col("v"), F.col("u"))
+    got = spark.createDataFrame([(2.0, "microns"), (3.0, "ms"), (1.0, "parsec")], "v double, u string").select(value.alias("x"), base.alias("b")).collect()
+    assert [(r.x and round(r.x, 9), r.b) for r in got] == [(2e-6, "m"), (0.003, "s"), (None, None)]
+
+
+def test_transform_lists(spark):
+    turn, move, mirror = [0, -1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0], [1, 0, 0, 5, 0, 1, 0, 6, 0, 0, 1, 7], [1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 1, 2]
+    rows = [(1, 0, "grid", move), (1, 1, "turn", turn), (1, 2, "turn", mirror), (2, 0, "turn", turn)]
+    t = spark.createDataFrame([(a, b, c, list(map(float, m))) for a, b, c, m in rows], "view long, seq long, kind string, affine array<double>")
+    full = lambda m: np.vstack([np.reshape(m, (3, 4)), [0, 0, 0, 1]])
+    found = lambda df: {r.view: np.reshape(r.affine, (3, 4)) for r in df.collect()}
+    a = found(transforms.rotation_after_calibration(t, ["view"], F.col("kind") == "grid", F.col("kind") == "turn"))
+    assert np.allclose(a[1], (full(mirror) @ full(move))[:3]) and np.allclose(a[2], full(turn)[:3])
+    b = found(transforms.rotations_after_grid(t, ["view"], F.col("kind") == "turn", F.col("kind") == "grid"))
+    assert np.allclose(b[1], (full(turn) @ full(mirror) @ full(move))[:3])
+    c = found(transforms.net(t, ["view"]))
+    assert np.allclose(c[1][:, :3], full(turn)[:3, :3] @ full(mirror)[:3, :3]) and np.allclose(c[1][:, 3], [6, 6, 9])
+
+
 def test_sample_linear():
     rng = np.random.default_rng(4)
     g = np.stack(np.meshgrid(*[np.arange(k) for k in (5, 6, 7)], indexing="ij"), axis=-1).astype(float)
