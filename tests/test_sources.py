@@ -5,7 +5,9 @@ import json
 import numpy as np
 import pytest
 
-from stitchlake.sources import project, store
+from pyspark.sql import functions as F
+
+from stitchlake.sources import arrays, precomputed, project, store
 
 
 def descriptor(files=14, setups=7, registrations=14, sections=project.SECTIONS):
@@ -125,3 +127,126 @@ def test_curation_and_metrics(spark, tmp_path):
 def test_markers(spark, tmp_path):
     path = put(tmp_path, "<r><Marker><MarkerX>1</MarkerX><MarkerY>2</MarkerY><MarkerZ>3</MarkerZ></Marker></r>")
     assert tuple(project.markers(spark, path).first()) == (1.0, 2.0, 3.0)
+
+
+def _tiff(v, deflate):
+    """A stack of pages of uint16 in strips of 4 rows, little-endian."""
+    import struct
+    import zlib
+
+    out, after = bytearray(b"II" + struct.pack("<HI", 42, 0)), 4
+    for z in range(v.shape[2]):
+        rows = v[:, :, z].T.astype("<u2")
+        strips = [rows[i : i + 4].tobytes() for i in range(0, len(rows), 4)]
+        strips = [zlib.compress(s) if deflate else s for s in strips]
+        places = []
+        for s in strips:
+            places.append(len(out))
+            out += s
+        lists = []
+        for values in (places, [len(s) for s in strips]):
+            lists.append(len(out) if len(values) > 1 else values[0])
+            if len(values) > 1:
+                out += struct.pack(f"<{len(values)}I", *values)
+        tags = [(256, 3, 1, v.shape[0]), (257, 3, 1, v.shape[1]), (258, 3, 1, 16), (259, 3, 1, 8 if deflate else 1), (273, 4, len(strips), lists[0]), (277, 3, 1, 1), (278, 3, 1, 4), (279, 4, len(strips), lists[1])]
+        struct.pack_into("<I", out, after, len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        after = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def _blocks_to_volume(rows, shape):
+    v, seen = np.full(shape, np.nan), np.zeros(shape, int)
+    for r in rows:
+        b = np.frombuffer(r.data, dtype="<f4").reshape(r.nx, r.ny, r.nz)
+        core = [slice(a - o, e - o) for a, e, o in zip((r.cx0, r.cy0, r.cz0), (r.cx1, r.cy1, r.cz1), (r.x0, r.y0, r.z0), strict=True)]
+        at = tuple(slice(a, e) for a, e in zip((r.cx0, r.cy0, r.cz0), (r.cx1, r.cy1, r.cz1), strict=True))
+        v[at] = b[tuple(core)]
+        seen[at] += 1
+    assert (seen == 1).all()
+    return v
+
+
+@pytest.mark.parametrize("form", ["tiff", "deflated tiff", "zarr", "raw zarr", "folder"])
+def test_volumes_are_read_in_blocks(spark, tmp_path, form):
+    v = np.random.default_rng(5).integers(0, 60000, (14, 11, 7)).astype("<u2")
+    uri = f"file://{tmp_path}/a"
+    if "tiff" in form:
+        uri += ".tif"
+        (tmp_path / "a.tif").write_bytes(_tiff(v, "deflated" in form))
+    elif "zarr" in form:
+        arrays.create_zarr(uri, v.shape, (5, 4, 4), "<u2", None if "raw" in form else "zstd")
+        rows = [([x, 0, 0], [min(10, 14 - x), 11, 7], bytearray(np.ascontiguousarray(v[x : x + 10].astype("<f8")).tobytes())) for x in (0, 10)]
+        assert arrays.write_blocks(spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary"), uri) == 2
+    else:
+        store.write_array(v, uri, (5, 4, 3))
+    shape = tuple(arrays.open_array(uri).shape)
+    assert all(a >= b for a, b in zip(shape, v.shape, strict=True))
+    whole = np.zeros(shape)
+    whole[:14, :11, :7] = v
+    rows = arrays.read_blocks(spark, uri, (6, 5, 3), halo=2).collect()
+    assert np.array_equal(_blocks_to_volume(rows, shape), whole)
+    r = next(r for r in rows if (r.cx0, r.cy0, r.cz0) == (6, 5, 3))
+    assert (r.x0, r.y0, r.z0) == (4, 3, 1) and np.array_equal(np.frombuffer(r.data, "<f4").reshape(r.nx, r.ny, r.nz), whole[4 : 4 + r.nx, 3 : 3 + r.ny, 1 : 1 + r.nz])
+    small = arrays.read_blocks(spark, uri, (3, 2, 2), factor=(2, 2, 3)).collect()
+    assert np.allclose(_blocks_to_volume(small, [n // f for n, f in zip(shape, (2, 2, 3), strict=True)]), arrays.averaged(whole, (2, 2, 3)))
+    (s,) = arrays.shapes(spark, spark.createDataFrame([(uri,)], "uri string")).collect()
+    assert tuple(s.shape) == shape and s.kind == "uint16"
+
+
+def test_detection_over_a_store(spark, tmp_path):
+    from stitchlake.operators import detection, volume
+
+    v = volume.gaussian(np.random.default_rng(6).uniform(0, 200, (30, 28, 20)), 1.0)
+    uri = f"file://{tmp_path}/v"
+    arrays.create_zarr(uri, v.shape, (10, 14, 10), "<f4")
+    rows = [([0, 0, 0], list(v.shape), bytearray(np.ascontiguousarray(v).tobytes()))]
+    arrays.write_blocks(spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary"), uri)
+    blocks = arrays.read_blocks(spark, uri, (16, 16, 20), halo=detection.reach(1.5)).withColumn("view", F.lit(3))
+    got = {(r.px, r.py, r.pz) for r in detection.detect_points(blocks, "view", 1.5, 6.0).collect()}
+    found, *_ = detection.detect_block(v.astype("<f4"), 1.5, 6.0)
+    assert got == {tuple(map(int, p)) for p in found} and len(got) > 10
+
+
+def test_unknown_arrays_are_refused(tmp_path):
+    (tmp_path / "x.tif").write_bytes(b"not a tiff file")
+    for name, error in (("x.tif", "TIFF"), ("none", "no array")):
+        with pytest.raises(ValueError, match=error):
+            arrays.open_array(f"file://{tmp_path}/{name}")
+    arrays.create_zarr(f"file://{tmp_path}/b", (4, 4, 4), (2, 2, 2), compressor="blosc")
+    (tmp_path / "b/0/0/0/0").mkdir(parents=True)
+    (tmp_path / "b/0/0/0/0/0").write_bytes(b"x")
+    with pytest.raises(ValueError, match="blosc"):
+        arrays.open_array(f"file://{tmp_path}/b").read_chunk((0, 0, 0))
+
+
+def test_annotations_by_cell(spark, tmp_path):
+    import json
+    import struct
+
+    p = np.random.default_rng(7).uniform(0, 100, (200, 3)).astype("f4").astype(float)
+    d = spark.createDataFrame([tuple(map(float, q)) for q in p], "x double, y double, z double")
+    info = precomputed.write_annotations(d, f"file://{tmp_path}/a", (30.0, 30.0, 30.0))
+    assert json.loads((tmp_path / "a/info").read_text()) == info and np.allclose(info["lower_bound"], p.min(axis=0))
+    found = []
+    for f in (tmp_path / "a/spatial0").iterdir():
+        raw = f.read_bytes()
+        (n,) = struct.unpack_from("<Q", raw)
+        xyz = np.frombuffer(raw, "<f4", 3 * n, 8).reshape(n, 3)
+        assert len(raw) == 8 + 20 * n and n <= info["spatial"][0]["limit"]
+        assert f.name == "_".join(str(int(v)) for v in np.floor((xyz[0] - info["lower_bound"]) / 30))
+        found += map(tuple, xyz)
+    assert sorted(found) == sorted(map(tuple, p.astype("f4")))
+
+
+@pytest.mark.parametrize("kind", ["uint32", "uint64"])
+def test_segmentation_round_trip(spark, tmp_path, kind):
+    rng = np.random.default_rng(8)
+    for values in (1, 2, 5, 300, 4000):
+        v = rng.integers(0, values, (13, 9, 17)).astype(kind)
+        assert np.array_equal(precomputed.decode_segmentation(precomputed.encode_segmentation(v), v.shape, kind), v)
+    rows = [([0, 0, 0], [13, 9, 17], bytearray(v.tobytes()))]
+    info = precomputed.write_segmentation(spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary"), f"file://{tmp_path}/s", v.shape, v.shape, kind)
+    raw = (tmp_path / "s" / info["scales"][0]["key"] / "0-13_0-9_0-17").read_bytes()
+    assert np.array_equal(precomputed.decode_segmentation(raw, v.shape, kind), v)
