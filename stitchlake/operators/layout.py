@@ -138,6 +138,14 @@ def to_rank(shape: tuple[int, ...], rank: int = 5) -> tuple[int, ...]:
     return (1,) * (rank - len(shape)) + shape
 
 
+def channel_metadata(names: list[str], colours: list[int], ranges: list[tuple[float, float, float, float]]) -> dict:
+    """Display settings of channels: label, colour (RGB number), and the window (min, max, start, end)."""
+    shown = []
+    for name, colour, (lo, hi, start, end) in zip(names, colours, ranges, strict=True):
+        shown.append({"active": True, "coefficient": 1, "color": f"{colour:06X}", "family": "linear", "inverted": False, "label": name, "window": {"min": lo, "max": hi, "start": start, "end": end}})
+    return {"omero": {"channels": shown, "rdefs": {"defaultT": 0, "defaultZ": 0, "model": "color"}, "version": "0.4"}}
+
+
 def pyramid_metadata(name: str, levels: int, scale: tuple[float, float, float], factor: int = 2) -> dict:
     """Multiscale metadata (z, y, x): scale and origin of each level."""
     sets = []

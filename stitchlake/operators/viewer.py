@@ -53,6 +53,18 @@ def state(found: DataFrame, voxel: tuple[float, float, float], unit: str = "m",
     return found.agg(F.sort_array(F.collect_list(layer)).alias("layers")).select(F.to_json(F.struct(F.lit(title).alias("title"), size.alias("dimensions"), "layers")).alias("state"))
 
 
+def other_layers(rows: DataFrame) -> DataFrame:
+    """name, type, layer (JSON) of segmentation and annotation layers (name, type, source, tab, segments): the
+    first with the precomputed source and the chosen segments, the second with its tab open."""
+    segments = F.transform(F.coalesce("segments", F.array().cast("array<long>")), lambda s: s.cast("string"))
+    source = F.when(F.col("source").startswith("precomputed://"), F.col("source")).otherwise(F.concat(F.lit("precomputed://"), "source"))
+    segmentation = F.struct("name", "type", source.alias("source"), segments.alias("segments"), F.coalesce("tab", F.lit("segments")).alias("tab"))
+    annotation = F.struct("name", "type", source.alias("source"), F.coalesce("tab", F.lit("annotations")).alias("tab"), F.lit("#ffff00").alias("annotationColor"))
+    layer = F.when(F.col("type") == "segmentation", F.to_json(segmentation)).when(F.col("type") == "annotation", F.to_json(annotation))
+    layer = layer.otherwise(F.raise_error(F.concat(F.lit("unknown layer type: "), "type")))
+    return rows.select("name", "type", layer.alias("layer"))
+
+
 #: Upper bound of a wavelength band (nm, exclusive) and its colour.
 WAVELENGTH_COLOURS = [
     (460, 0x690AFE),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import store
 
 
-def _put(uri: str, data: bytes) -> None:
+def put(uri: str, data: bytes) -> None:
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(uri)
@@ -38,7 +38,7 @@ def write_annotations(points: DataFrame, folder: str, cell: tuple[float, float,
         f = f.drop_duplicates("id").sort_values(["x", "y", "z"])
         key = "_".join(str(int(f[f"c{a}"].iloc[0])) for a in "xyz")
         body = f[["x", "y", "z"]].to_numpy("<f4").tobytes() + f["id"].to_numpy().view("<u8").tobytes()
-        _put(f"{folder}/spatial0/{key}", struct.pack("<Q", len(f)) + body)
+        put(f"{folder}/spatial0/{key}", struct.pack("<Q", len(f)) + body)
         return pd.DataFrame({"key": [key], "n": [len(f)]})
 
     made = placed.groupBy("cx", "cy", "cz").applyInPandas(run, "key string, n long").agg(F.max("n")).first()[0] or 0
@@ -47,7 +47,7 @@ def write_annotations(points: DataFrame, folder: str, cell: tuple[float, float,
         "lower_bound": lower, "upper_bound": upper, "properties": [], "relationships": [], "by_id": {"key": "by_id"},
         "spatial": [{"key": "spatial0", "grid_shape": shape, "chunk_size": list(cell), "limit": made}],
     }
-    _put(f"{folder}/info", json.dumps(info).encode())
+    put(f"{folder}/info", json.dumps(info).encode())
     return info
 
 
@@ -106,9 +106,9 @@ def write_segmentation(blocks: DataFrame, folder: str, shape: tuple[int, int, in
             for b in f.itertuples(index=False):
                 v = np.frombuffer(b.data, dtype=kind).reshape(tuple(b.shape))
                 name = "_".join(f"{o}-{o + n}" for o, n in zip(b.origin, b.shape, strict=True))
-                _put(f"{folder}/{key}/{name}", encode_segmentation(v))
+                put(f"{folder}/{key}/{name}", encode_segmentation(v))
             yield pd.DataFrame({"n": [len(f)]})
 
     blocks.select("origin", "shape", "data").mapInPandas(run, "n long").agg(F.sum("n")).first()
-    _put(f"{folder}/info", json.dumps(info).encode())
+    put(f"{folder}/info", json.dumps(info).encode())
     return info

@@ -108,14 +108,66 @@ def with_models(transforms: DataFrame, models: DataFrame, name: str) -> DataFram
     return first.unionByName(transforms.withColumn("seq", F.col("seq") + 1))
 
 
-def to_xml(views_df: DataFrame, setups: DataFrame, transforms: DataFrame, points: DataFrame | None = None, base: str = ".") -> str:
-    """A descriptor from its tables. Descriptors are small metadata (a few rows a view), streamed to
-    the driver, which alone writes the one file."""
+def split_tables(views_df: DataFrame, setups: DataFrame, transforms: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(setups, transforms) of a descriptor whose views are the ``parts`` (id, new_id, lower, upper) of
+    others: a part has its own size, the attributes of its whole and its number as ``tile``; its
+    transforms are those of the whole, then its place in it."""
+    of = parts.select("id", "new_id", "lower", "upper")
+    size = F.transform(F.arrays_zip("lower", "upper"), lambda b: (b["upper"] - b["lower"] + 1).cast("int"))
+    tile = F.map_from_arrays(F.array(F.lit("tile")), F.array(F.col("new_id").cast("string")))
+    kept = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, v: k != "tile")
+    new_setups = setups.join(of, "id").select(F.col("new_id").cast("long").alias("id"), F.concat_ws(" part ", "name", "new_id").alias("name"), size.alias("size"), "voxel_unit", "voxel_size", F.map_concat(kept, tile).alias("attributes"))
+    own = transforms.join(of.withColumnRenamed("id", "setup"), "setup")
+    moved = own.select("timepoint", F.col("new_id").alias("setup"), "seq", "type", "name", "affine")
+    shift = F.array(*[F.lit(float(i % 5 == 0)) if i % 4 < 3 else F.get("lower", F.lit(i // 4)).cast("double") for i in range(12)])
+    last = own.groupBy("timepoint", "new_id").agg((F.max("seq") + 1).alias("seq"), F.first("lower").alias("lower"))
+    place = last.select("timepoint", F.col("new_id").alias("setup"), "seq", F.lit("affine").alias("type"), F.lit("part of the whole view").alias("name"), shift.alias("affine"))
+    return new_setups, moved.unionByName(place)
+
+
+def _split_loader(inner: list[str], parts: DataFrame) -> list[str]:
+    """The loader of the whole views wrapped with the parts that come from them."""
+    out = ['    <ImageLoader format="split.viewerimgloader">', *["  " + x for x in inner], "      <SetupIds>"]
+    text = lambda vs: " ".join(str(v) for v in vs)
+    for r in parts.orderBy("new_id").toLocalIterator():
+        out.append(f"        <SetupIdDefinition><NewId>{r.new_id}</NewId><OldId>{r.id}</OldId><min>{text(r.lower)}</min><max>{text(r.upper)}</max></SetupIdDefinition>")
+    return [*out, "      </SetupIds>", "    </ImageLoader>"]
+
+
+def split_parts(spark: SparkSession, path: str) -> DataFrame:
+    """id, new_id, lower, upper of a descriptor of parts."""
+    d = _scan(spark, path, "SetupIdDefinition", "NewId long, OldId long, min string, max string")
+    box = lambda c: F.transform(numbers(F.col(c)), lambda v: v.cast("int"))
+    return d.select(F.col("OldId").alias("id"), F.col("NewId").alias("new_id"), box("min").alias("lower"), box("max").alias("upper"))
+
+
+def tiles_in(spark: SparkSession, folder: str) -> DataFrame:
+    """name, channel of the tile folders (*.zarr) directly below a folder, in order of names. The driver lists
+    one folder; its rows are metadata."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(folder)
+    names = sorted(i.base_name for i in where.get_file_info(fs.FileSelector(path, recursive=False)) if i.base_name.endswith(".zarr"))
+    found = spark.createDataFrame([(n,) for n in names], "name string")
+    channel = F.regexp_extract("name", r"(?:ch|CH)_(\d+)", 1)
+    return found.select("name", F.when(channel != "", channel.cast("int")).alias("channel"))
+
+
+def channels(tiles: DataFrame) -> DataFrame:
+    """channel, first (name): the channels of tiles, in the order in which they first appear."""
+    return tiles.filter("channel IS NOT NULL").groupBy("channel").agg(F.min("name").alias("first")).orderBy("first")
+
+
+def to_xml(views_df: DataFrame, setups: DataFrame, transforms: DataFrame, points: DataFrame | None = None, base: str = ".", parts: DataFrame | None = None) -> str:
+    """A descriptor from its tables; with ``parts`` one of a split project, whose ``views_df`` are the whole
+    views. Descriptors are small metadata (a few rows a view), streamed to the driver, which alone
+    writes the one file."""
     out = ['<?xml version="1.0" encoding="UTF-8"?>', '<SpimData version="0.2">', f'  <BasePath type="relative">{escape(base)}</BasePath>', "  <SequenceDescription>"]
-    out += ['    <ImageLoader format="spimreconstruction.filemap2">', "      <files>"]
+    loader = ['    <ImageLoader format="spimreconstruction.filemap2">', "      <files>"]
     for r in views_df.orderBy("timepoint", "setup").toLocalIterator():
-        out.append(f'        <FileMapping view_setup="{r.setup}" timepoint="{r.timepoint}" series="{r.series}" channel={quoteattr(str(r.channel))}><file type="relative">{escape(r.file_path)}</file></FileMapping>')
-    out += ["      </files>", "    </ImageLoader>", "    <ViewSetups>"]
+        loader.append(f'        <FileMapping view_setup="{r.setup}" timepoint="{r.timepoint}" series="{r.series}" channel={quoteattr(str(r.channel))}><file type="relative">{escape(r.file_path)}</file></FileMapping>')
+    loader += ["      </files>", "    </ImageLoader>"]
+    out += [*(loader if parts is None else _split_loader(loader, parts)), "    <ViewSetups>"]
     text = lambda vs: " ".join(str(v) for v in vs)
     for r in setups.orderBy("id").toLocalIterator():
         attributes = "".join(f"<{k}>{escape(v)}</{k}>" for k, v in sorted((r.attributes or {}).items()))

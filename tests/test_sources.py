@@ -250,3 +250,42 @@ def test_segmentation_round_trip(spark, tmp_path, kind):
     info = precomputed.write_segmentation(spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary"), f"file://{tmp_path}/s", v.shape, v.shape, kind)
     raw = (tmp_path / "s" / info["scales"][0]["key"] / "0-13_0-9_0-17").read_bytes()
     assert np.array_equal(precomputed.decode_segmentation(raw, v.shape, kind), v)
+
+
+def test_split_project_round_trip(spark, tmp_path):
+    from stitchlake.operators import layout
+
+    path = put(tmp_path, descriptor())
+    views, setups, lists = project.views(spark, path), project.view_setups(spark, path), project.view_transforms(spark, path)
+    parts = layout.split_views(setups, (704, 1088, 128), (64, 64, 64)).cache()
+    new_setups, new_lists = project.split_tables(views, setups, lists, parts)
+    text = project.to_xml(views, new_setups, new_lists, parts=parts)
+    (tmp_path / "split.xml").write_text(text)
+    again = f"file://{tmp_path}/split.xml"
+    want = sorted((r.id, r.new_id, r.lower, r.upper) for r in parts.collect())
+    assert sorted((r.id, r.new_id, r.lower, r.upper) for r in project.split_parts(spark, again).collect()) == want and len(want) > 7
+    sizes = {r.id: (r.size, r.attributes["tile"], r.attributes["angle"]) for r in project.view_setups(spark, again).collect()}
+    assert sizes == {n: ([b - a + 1 for a, b in zip(lo, hi, strict=True)], str(n), str(i)) for i, n, lo, hi in want}
+    last = {(r.timepoint, r.setup): r.affine for r in project.view_transforms(spark, again).filter("seq = 2").collect()}
+    assert all(last[t, n][3::4] == list(map(float, lo)) for _, n, lo, _ in want for t in (18, 30))
+    assert project.views(spark, again).count() == views.count()
+
+
+def test_tiles_and_channels_of_a_folder(spark, tmp_path):
+    for n in ("tile_1_ch_561.zarr", "tile_0_ch_488.zarr", "tile_0_CH_561.zarr", "plain.zarr", "other.txt"):
+        (tmp_path / n).mkdir()
+    tiles = project.tiles_in(spark, f"file://{tmp_path}")
+    assert [(r.name, r.channel) for r in tiles.collect()] == [("plain.zarr", None), ("tile_0_CH_561.zarr", 561), ("tile_0_ch_488.zarr", 488), ("tile_1_ch_561.zarr", 561)]
+    assert [r.channel for r in project.channels(tiles).collect()] == [561, 488]
+
+
+def test_viewer_layers_of_other_types(spark):
+    from stitchlake.operators import layout, viewer
+
+    rows = spark.createDataFrame([("cells", "segmentation", "s3://b/seg", None, [3, 5]), ("marks", "annotation", "precomputed://x", "rendering", None)], "name string, type string, source string, tab string, segments array<long>")
+    a, b = (json.loads(r.layer) for r in viewer.other_layers(rows).collect())
+    assert a == {"name": "cells", "type": "segmentation", "source": "precomputed://s3://b/seg", "segments": ["3", "5"], "tab": "segments"} and b["tab"] == "rendering"
+    with pytest.raises(Exception, match="unknown layer type"):
+        viewer.other_layers(rows.withColumn("type", F.lit("mesh"))).collect()
+    shown = layout.channel_metadata(["a"], [0x0AFE], [(0, 65535, 10, 900)])["omero"]["channels"][0]
+    assert shown["color"] == "000AFE" and shown["window"] == {"min": 0, "max": 65535, "start": 10, "end": 900}
