@@ -105,17 +105,30 @@ class Shard:
             terms.append(t)
             weights.append(w)
             owners.append(np.full(len(t), d, dtype=np.int32))
+            t = t.astype(np.int64)
             self.query.append(t[np.argpartition(-w, query_terms)[:query_terms]] if query_terms and len(t) > query_terms else t)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
+        # the types that bincount works with, so that a query converts nothing
+        self.owner, self.weight = np.concatenate(owners)[order].astype(np.int64), np.concatenate(weights)[order].astype(np.float64)
         self.first = np.zeros(len(idf) + 1, dtype=np.int64)
         np.cumsum(np.bincount(term, minlength=len(idf)), out=self.first[1:])
-        self.used = np.zeros(self.n, dtype=bool)
+        self.used, self.dropped = np.zeros(self.n, dtype=bool), 0
+
+    def drop_used(self) -> None:
+        """Leave used documents out of the lists."""
+        keep = ~self.used[self.owner]
+        self.owner, self.weight = self.owner[keep], self.weight[keep]
+        before = np.zeros(len(keep) + 1, dtype=np.int64)
+        np.cumsum(keep, out=before[1:])
+        self.first = before[self.first]
+        self.dropped = int(self.used.sum())
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share a query term with ``seed``, best first."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
+        if 4 * int(self.used.sum()) > self.n + 3 * self.dropped:  # a quarter of those in the lists are used
+            self.drop_used()
+        spans = [slice(a, b) for a, b in zip(self.first[self.query[seed]].tolist(), self.first[self.query[seed] + 1].tolist(), strict=True)]
         score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
         score[self.used] = 0
         found = np.flatnonzero(score > 0)
