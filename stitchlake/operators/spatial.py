@@ -74,6 +74,19 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def top_scaled(df: DataFrame, group: str, order: list, most: float) -> DataFrame:
+    """The first rows of each group, ``most`` of the largest group and as many of the others as their share
+    of its size gives; a group whose share rounds to none or to all of it stays whole. Sizes are counted
+    first, with map-side combine; the rank then needs the rows of a group together, as a group may be
+    kept whole."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n_of_group"))
+    largest = sizes.agg(F.max("n_of_group").alias("n_of_largest"))
+    keep = F.rint(most * F.col("n_of_group") / F.col("n_of_largest"))
+    sizes = sizes.join(F.broadcast(largest)).select(group, F.when(keep.between(1, F.col("n_of_group") - 1), keep).otherwise(F.col("n_of_group")).alias("n_kept"))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.join(sizes, group).filter("rank <= n_kept").select(*df.columns, "rank")
+
+
 def knn_self(points: DataFrame, group: str, key: str, p: list[str], k: int) -> DataFrame:
     """(group, key, neighbour, d2, rank) of the k nearest other points of the same group.
 

@@ -15,15 +15,8 @@ from .geometry import _global_rank
 r AS (SELECT event_id, view_id, row_number() OVER (PARTITION BY view_id ORDER BY x DESC, event_id) AS r FROM evt)
 SELECT event_id, view_id FROM r JOIN s USING (view_id), m WHERE r <= CASE WHEN round_even(100.0::DOUBLE * n / mx, 0) BETWEEN 1 AND n - 1 THEN round_even(100.0::DOUBLE * n / mx, 0) ELSE n END""")
 def q_topn_scaled(spark, sf):
-    """Brightest points of each view, their number in proportion to the view's size. No view keeps
-    more than its share of 100, so the rank is pruned there before the shuffle."""
-    e = evt(spark, sf)
-    sizes = e.groupBy("view_id").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n").alias("mx"))
-    keep = F.rint(100.0 * F.col("n") / F.col("mx"))
-    sizes = sizes.join(F.broadcast(most)).select("view_id", F.when(keep.between(1, F.col("n") - 1), keep).otherwise(F.col("n")).alias("keep"))
-    r = F.row_number().over(Window.partitionBy("view_id").orderBy(F.desc("x"), "event_id"))
-    return e.withColumn("r", r).join(sizes, "view_id").filter("r <= keep").select("event_id", "view_id")
+    """Brightest points of each view, their number in proportion to the view's size."""
+    return S.top_scaled(evt(spark, sf), "view_id", [F.desc("x"), "event_id"], 100.0).select("event_id", "view_id")
 
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
