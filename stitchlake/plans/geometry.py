@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import layout, viewer
+from ..operators import layout, ordered, viewer
 from ..operators import transforms as T
 from ._base import BOXES, EVT, PTS, TILES, boxes, evt, pts, query, r6, table, tiles
 
@@ -325,17 +324,7 @@ def q_channel_regex(spark, sf):
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS worker FROM orders")
 def q_round_robin(spark, sf):
     """index mod 7 over the sorted keys: ranks within key buckets plus the sizes of earlier ones."""
-    return _global_rank(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", ((F.col("rank") - 1) % 7).alias("worker"))
-
-
-def _global_rank(df, key: str, width: int = 4096):
-    """Rank of every row in the order of an integer key without moving all rows to one task: ranks
-    within buckets of the key plus the number of rows in earlier buckets."""
-    dealt = df.withColumn("__p", F.floor(F.col(key) / width))
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    return own.join(before.select("__p", "__before"), "__p").withColumn("rank", F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+    return ordered.round_robin(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
 _LENGTH, _TARGET, _OVERLAP, _STEP = "200 + n * 37", 512, 64, 64

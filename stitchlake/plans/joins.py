@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import graph
+from ..operators import graph, ordered
 from ..operators import spatial as S
 from ._base import EVT, MATCHED, PTS, TILES, evt, matched, pts, query, r6, table, tiles
 
@@ -205,15 +204,14 @@ def q_id_map(spark, sf):
     """0-based ids of each view's partners in the order of their text keys."""
     e = graph.both_ways(matched(spark, sf).select(F.col("pair").alias("v"), (F.col("pair") + 1).alias("o")), [("v", "o")]).distinct()
     e = e.select("v", F.format_string("0,%d,beads", "o").alias("key"))
-    return e.select("v", "key", (F.dense_rank().over(Window.partitionBy("v").orderBy("key")) - 1).cast("long").alias("id"))
+    return e.select("v", "key", ordered.id_of("v", "key").alias("id"))
 
 
 @query(f"""WITH {MATCHED}, e AS (SELECT pair AS v, pair + 1 AS o, id_a AS ia, id_b AS ib FROM matched UNION ALL SELECT pair + 1, pair, id_b, id_a FROM matched)
 SELECT v, ia, ib, dense_rank() OVER (PARTITION BY v ORDER BY '0,' || o || ',beads') - 1 AS group_id FROM e""")
 def q_directed_expand(spark, sf):
     e = graph.both_ways(matched(spark, sf).select(F.col("pair").alias("v"), (F.col("pair") + 1).alias("o"), F.col("id_a").alias("ia"), F.col("id_b").alias("ib")), [("v", "o"), ("ia", "ib")])
-    rank = F.dense_rank().over(Window.partitionBy("v").orderBy(F.format_string("0,%d,beads", "o"))) - 1
-    return e.select("v", "ia", "ib", rank.cast("long").alias("group_id"))
+    return e.select("v", "ia", "ib", ordered.id_of("v", F.format_string("0,%d,beads", "o")).alias("group_id"))
 
 
 @query(f"WITH {MATCHED} SELECT id_a AS id, round(px, 6) + 0.0 AS x FROM matched UNION ALL SELECT id_b, round(qx, 6) + 0.0 FROM matched")

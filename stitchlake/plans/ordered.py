@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..operators import spatial as S
 from ..operators import volume as V
 from ._base import EVT, PTS, TILES, evt, pts, query, r6, table, tiles
-from .geometry import _global_rank
 
 
 @query(f"""WITH {EVT}, s AS (SELECT view_id, count(*) AS n FROM evt GROUP BY view_id), m AS (SELECT max(n) AS mx FROM s),
@@ -46,49 +46,40 @@ def q_slope(spark, sf):
 @query("""WITH k AS (SELECT DISTINCT o_custkey AS c, o_orderkey // 200 AS s FROM orders), i AS (SELECT c, s, s - row_number() OVER (PARTITION BY c ORDER BY s) AS island FROM k)
 SELECT c, min(s) AS first, max(s) AS last, CAST(min(s) AS VARCHAR) || ' >-> ' || CAST(max(s) AS VARCHAR) AS label FROM i GROUP BY c, island""")
 def q_islands(spark, sf):
-    k = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.floor(F.col("o_orderkey") / 200).alias("s")).distinct()
-    island = F.col("s") - F.row_number().over(Window.partitionBy("c").orderBy("s"))
-    out = k.withColumn("island", island).groupBy("c", "island").agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    return out.select("c", "first", "last", F.format_string("%d >-> %d", "first", "last").alias("label"))
+    k = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.floor(F.col("o_orderkey") / 200).alias("s"))
+    return O.islands(k, "c", "s")
 
 
 @query(f"WITH {TILES} SELECT grp, min(k) AS k, min_by(l0, k) AS l0 FROM tiles GROUP BY grp")
 def q_representative(spark, sf):
-    return tiles(spark, sf).groupBy("grp").agg(F.min("k").alias("k"), F.min_by("l0", "k").alias("l0"))
+    return O.representative(tiles(spark, sf), "grp", "k", "l0")
 
 
 @query("SELECT o_custkey AS view_id, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS point_id FROM orders")
 def q_positional_ids(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("view_id"), F.col("o_orderkey").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("point_id"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("view_id"), F.col("o_orderkey").alias("key"))
+    return rows.withColumn("point_id", O.position("view_id", "key"))
 
 
 @query("SELECT s_nationkey AS grp, string_agg('z' || s_suppkey, ',' ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1")
 def q_natural_sort(spark, sf):
     """Names in the order of the numbers in them."""
     named = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("grp"), F.concat(F.lit("z"), "s_suppkey").alias("name"))
-    number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
-    out = named.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), F.col("name")))).alias("s"))
-    return out.select("grp", F.array_join(F.transform("s", lambda v: v["name"]), ",").alias("names"))
+    return O.natural_order(named, "grp", "name", "names")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders QUALIFY i >= 100 AND i < 350")
 def q_slice(spark, sf):
     """Rows [100, 350) in key order."""
-    ranked = _global_rank(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
-    return ranked.withColumn("i", (F.col("rank") - 1).cast("long")).filter("i >= 100 AND i < 350").select("o_orderkey", "i")
+    return O.rows_between(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100, 350)
 
 
 @query("""WITH b AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) * 3 AS n FROM part), c AS (SELECT k, n, unnest(generate_series(0, 6)) AS i FROM b)
 SELECT k, i, greatest(i * (n // 7) + least(i, n % 7) - 4, 0) AS lo, least((i + 1) * (n // 7) + least(i + 1, n % 7) + 4, n) AS hi FROM c WHERE n // 7 + (CASE WHEN i < n % 7 THEN 1 ELSE 0 END) > 0""")
 def q_chunk_halo(spark, sf):
     """Seven near-equal parts with a halo of 4, empty parts left out."""
-    n = F.col("n")
     b = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size").cast("long") * 3).alias("n"))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
-    edge = lambda i: i * F.floor(n / 7) + F.least(i, n % 7)
-    lo, hi = edge(F.col("i")), edge(F.col("i") + 1)
-    return b.filter(hi > lo).select("k", "i", F.greatest(lo - 4, F.lit(0)).cast("long").alias("lo"), F.least(hi + 4, n).alias("hi"))
+    return O.near_equal_parts(b, "n", 7, 4).select("k", "i", "lo", "hi")
 
 
 @query(f"""WITH {EVT}, g AS (SELECT CAST(floor(x / 50) AS BIGINT) AS gx, CAST(y AS BIGINT) AS gy, CAST(z AS BIGINT) AS gz, count(*) AS n FROM evt GROUP BY 1, 2, 3)
