@@ -12,7 +12,10 @@ from .license_scan import scan_licenses
 from .line_dedup import MIN_WORDS, line_dedup
 from .lm_score import pseudo_likelihood
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_rules import RULES, ledger, passes
+from .simhash_dedup import simhash_classes
+from .source_divergence import MIN_DOCS, SCALE, TOP, source_divergence
 from .token_codec import read_tokens, write_tokens
 from .warc import read_archives, write_archives
 
@@ -65,6 +68,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
@@ -76,10 +91,14 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Words of a text as lower-case (A-Z) strings, and its distinct 5-word shingles, in DuckDB.
-_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+')"
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = f"regexp_extract_all({_LOWER_SQL}, '[^ \\t-\\r]+')"
 
 
 def _shingles_sql(table: str, key: str) -> str:
@@ -87,7 +106,40 @@ def _shingles_sql(table: str, key: str) -> str:
         ELSE list_transform(generate_series(1, len(w) - 4), lambda i: w[i:i + 4]) END) AS s FROM (SELECT {key}, {_WORDS_SQL} AS w FROM {table})))"""
 
 
+#: crc32 of c's decimal digits, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_transform(generate_series(0, 7), lambda i: (ascii(x) >> i::INT & 1)::BIGINT)))),
+        lambda s, x: xor(s >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295)"""
+
+_P_SQL = f"(1 + {SCALE}::HUGEINT * (count + 1) // (sum(count) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))"
+
 ORACLES = {
+    "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER_SQL} AS t FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[a-zA-Z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS every FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS count FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT *, {_P_SQL} AS p FROM a),
+q AS (SELECT lang, term, {_P_SQL} AS q FROM (SELECT lang, NULL AS source, term, every AS count FROM k)),
+x AS (SELECT p.lang, p.source, o.source AS item, sum((p.p - o.p) * (p.p - o.p) // o.p) AS value FROM p JOIN p o ON o.lang = p.lang AND o.term = p.term AND o.source <> p.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value FROM g JOIN g o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source
+  UNION ALL SELECT p.lang, source, 'term', p.term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE count > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= {TOP}
+""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+v AS MATERIALIZED (SELECT c, list([role, text] ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text)) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, {_CRC_SQL} % 9 AS h FROM v),
+q AS MATERIALIZED (SELECT h.c, list_concat(list_slice(coalesce(b.l, []), 1, h.h), list_slice(h.l, h.h + 1, len(h.l))) AS l FROM h LEFT JOIN v b ON b.c = h.c - h.c % 5),
+x AS MATERIALIZED (SELECT c, d, list_slice(l, 1, d) AS k, CASE WHEN d > 0 THEN list_slice(l, 1, d - 1) END AS up, CASE WHEN d > 0 THEN strlen(l[d][2]) ELSE 0 END AS bytes, len(l) AS size
+      FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM q)),
+m AS MATERIALIZED (SELECT k, any_value(up) AS up, d, min(c) AS c, count(*) AS n, (count(*) - 1) * min(bytes) AS own, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = size) AS ends FROM x GROUP BY k, d),
+p AS MATERIALIZED (SELECT m.*, o.c AS above, (SELECT count(*) FROM m z WHERE z.up = m.k) AS kids FROM m LEFT JOIN m o ON o.k = m.up),
+s AS (SELECT x.k, sum(p.own) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM p JOIN x ON x.c = p.c AND x.d <= p.d GROUP BY x.k)
+SELECT p.c AS conv_id, p.d::BIGINT AS depth, above AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM p JOIN s ON s.k = p.k
+""",
     "op4_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)

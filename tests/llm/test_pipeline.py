@@ -47,6 +47,6 @@ def test_stages_on_repeats_nulls_and_nothing(spark, folder):
 def test_registered():
     import __spark_entry__ as e
 
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in e.queries()) == 1 for n in names) and "pipeline" in e.queries()
     assert [n for n, _ in cp.STAGES] == ["language", "line_dedup", "near_copies", "decontamination", "packing"]
