@@ -10,15 +10,21 @@ piece of letters with a tail of ASCII punctuation is the letters' ids and the ta
 
 from __future__ import annotations
 
+import re
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 600_000
+#: Pieces, and ids of them, that a worker remembers before it starts anew; bounds its memory.
+REMEMBERED, REMEMBERED_IDS = 600_000, 1 << 25
+#: Characters beyond which a piece is cut between digits, and that are given to the tokenizer together.
+LONG, TOGETHER = 1 << 16, 1 << 20
+#: Each digit is a token of its own, so a piece may be cut between two of them.
+_DIGITS = re.compile(r"(?<=[0-9])(?=[0-9])")
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -63,6 +69,15 @@ def cuts_at_blanks(path: str) -> bool:
     )
 
 
+def _cut(piece: str) -> Iterator[str]:
+    """The piece in parts of some ``LONG`` characters, where digits allow it."""
+    at = 0
+    while m := _DIGITS.search(piece, at + LONG):
+        yield piece[at : m.start()]
+        at = m.start()
+    yield piece[at:]
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -75,29 +90,58 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # piece -> start << 24 | length, into pool
+        self.known: dict[str, int] = {"": 0}  # piece -> its number; its ids stand between two bounds, in the pool
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
+        self.bounds = np.zeros(1 << 10, dtype=np.int64)
+        self.n = 1
+
+    @property
+    def used(self) -> int:
+        return int(self.bounds[self.n])
 
     def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remember pieces whose ids stand one after another."""
-        n = len(ids)
-        while self.used + n > len(self.pool):
+        used, n, k = self.used, len(ids), len(pieces)
+        while used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype=np.uint32)])
-        self.pool[self.used : self.used + n] = ids
-        start = self.used + np.cumsum(lengths) - lengths
-        self.known.update(zip(pieces, (start << 24 | lengths).tolist(), strict=True))
-        self.used += n
+        while self.n + k >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), dtype=np.int64)])
+        self.pool[used : used + n] = ids
+        self.bounds[self.n + 1 : self.n + k + 1] = used + np.cumsum(lengths)
+        self.known.update(zip(pieces, range(self.n, self.n + k), strict=True))
+        self.n += k
 
     def _places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        return at >> 24, at & 0xFFFFFF
+        return self.bounds[at], self.bounds[at + 1] - self.bounds[at]
 
     def _gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         before = np.cumsum(length) - length
         total = int(before[-1] + length[-1]) if len(length) else 0
         return self.pool[np.repeat(start - before, length) + np.arange(total)]
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces one after another, how many each has); long pieces are given to the tokenizer in parts."""
+        parts, owner = [], []
+        for i, p in enumerate(pieces):
+            got = list(_cut(p)) if len(p) > LONG else [p]
+            parts += got
+            owner += [i] * len(got)
+        found, sizes, at = [], [], 0
+        while at < len(parts):
+            to, chars = at, 0
+            while to < len(parts) and to - at < 20_000 and (to == at or chars + len(parts[to]) <= TOGETHER):
+                chars += len(parts[to])
+                to += 1
+            for e in self.tok.encode_batch(parts[at:to], add_special_tokens=False):
+                got = np.array(e.ids, dtype=np.uint32)
+                found.append(got)
+                sizes.append(len(got))
+            at = to
+        lengths = np.zeros(len(pieces), dtype=np.int64)
+        np.add.at(lengths, owner, sizes)
+        return np.concatenate([np.empty(0, dtype=np.uint32), *found]), lengths
+
     def _learn(self, pieces: list[str]) -> None:
         known, merge = self.known, self.tok.model.tokenize
         cut, bases, tails = [], [], []
@@ -125,13 +169,8 @@ class Encoder:
             sizes.append(len(got))
             ids += [t.id for t in got]
         names = [*fast, *slow]
-        rest = list(slow)
-        for i in range(0, len(rest), 20_000):
-            for e in self.tok.encode_batch(rest[i : i + 20_000], add_special_tokens=False):
-                got = e.ids
-                sizes.append(len(got))
-                ids += got
-        self._keep(names, np.array(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64))
+        rest, lengths = self._encoded(list(slow))
+        self._keep(names, np.concatenate([np.array(ids, dtype=np.uint32), rest]), np.concatenate([np.array(sizes, dtype=np.int64), lengths]))
         if cut:
             (bs, bn), (ts, tn) = self._places(bases), self._places(tails)
             both = self._gather(np.stack([bs, ts], axis=1).ravel(), np.stack([bn, tn], axis=1).ravel())
@@ -155,7 +194,7 @@ class Encoder:
         off -= off[0]
         coded = pieces.flatten().dictionary_encode()
         vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.forget()
         known = self.known
         self._learn([p for p in vocab if p not in known])

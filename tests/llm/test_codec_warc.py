@@ -205,3 +205,19 @@ def test_blocks_keep_rows():
     b = pa.record_batch([pa.array(range(50)), pa.array(["é" * (i * 37 % 500) for i in range(49)] + [None])], names=["k", "text"])
     got = list(_text.blocks(iter([b.slice(0, 20), b.slice(20)]), "text", 2000))
     assert [x for g in got for x in g.column(0).to_pylist()] == list(range(50)) and len(got) > 5
+
+
+def test_pieces_of_any_length(monkeypatch):
+    """Long pieces are cut between digits, and a piece may have more ids than 24 bits count."""
+
+    e = _tokens.Encoder(_tokens.default_tokenizer())
+    texts = ["a b " + "12" * 300 + "x7" * 90 + "...", "9" * 1000, "z" * 700, "1é2\u03013" * 50, "5" * 100 + " 's5's"]
+    want = [[*e.tok.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    monkeypatch.setattr(_tokens, "LONG", 16)
+    monkeypatch.setattr(_tokens, "TOGETHER", 100)
+    ids, off = e.encode(pa.array(texts), 7)
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == want
+    n = (1 << 24) + 5
+    e._keep(["huge", "next"], np.arange(n + 2, dtype=np.uint32), np.array([n, 2]))
+    start, length = e._places(["huge", "next"])
+    assert length.tolist() == [n, 2] and e._gather(start, length)[-3:].tolist() == [n - 1, n, n + 1]
