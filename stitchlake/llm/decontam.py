@@ -123,9 +123,10 @@ def _search(block, words: int, pct: int):
                     lo = np.searchsorted(key, got[sketch])
                     here = key[np.minimum(lo, len(key) - 1)] == got[sketch]
                     sketch, lo = sketch[here], lo[here]
-                    docs = np.searchsorted(start, sketch, side="right") - 1
-                    for d in np.unique(docs).tolist():
-                        hits = np.unique(got[sketch[docs == d]])
+                    docs, first = np.unique(np.searchsorted(start, sketch, side="right") - 1, return_index=True)
+                    ends = np.append(first, len(sketch))[1:]
+                    for d, begin, end in zip(docs.tolist(), first.tolist(), ends.tolist(), strict=True):
+                        hits = np.unique(got[sketch[begin:end]])
                         lo, hi = np.searchsorted(key, hits), np.searchsorted(key, hits, side="right")
                         items, shared = np.unique(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), return_counts=True)
                         for i in items[shared >= index.least[items]].tolist():
