@@ -1,6 +1,6 @@
 """Language identification by words first, with backoff to character n-grams.
 
-Words are the maximal runs of letters, lower-cased. Training counts every word of every labelled
+Words are the maximal runs of letters (Unicode categories L*), lower-cased. Training counts every word of every labelled
 training document by language; the model keeps the ``words_per_lang`` most frequent words of each
 language with their log frequencies, and, from the distinct words of the corpus, the
 ``grams_per_lang`` most frequent character n-grams of each length 1 to 4 (words padded with a
@@ -39,10 +39,19 @@ GRAMS_PER_LANG = 20_000
 LONGEST = 4
 SHARPEN = 10
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
 
 
+def letter_runs(word: str) -> list[str]:
+    """Maximal runs of letters (Unicode categories L*); ``[^\\W\\d_]`` alone takes superscripts, fractions,
+    circled and Roman numerals too."""
+    runs = _RUNS.findall(word)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for r in runs for x in "".join(c if c.isalpha() else " " for c in r).split()]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -53,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, codes, off = split_words(column(b, "text"), lower=False)
         langs = column(b, "lang").dictionary_encode()
         by_word = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(off))
-        parts = [_LETTERS.findall(w.lower()) for w in vocab.to_pylist()]
+        parts = [letter_runs(w.lower()) for w in vocab.to_pylist()]
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             times = np.bincount(codes[by_word == k], minlength=len(vocab))
             total: Counter[str] = Counter()
@@ -141,7 +150,7 @@ def word_vectors(vocab: list[str], words: tuple[dict[str, int], np.ndarray], gra
     n = np.zeros(len(vocab), dtype=np.int64)
     at_known, rows_known, at_unseen, found, lengths = [], [], [], [], []
     for i, w in enumerate(vocab):
-        for part in _LETTERS.findall(w.lower()):
+        for part in letter_runs(w.lower()):
             n[i] += 1
             k = known.get(part)
             if k is not None:
