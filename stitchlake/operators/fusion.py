@@ -1,67 +1,151 @@
-"""Affine fusion: tiles as rows of blocks, resampled and blended cell by cell of the output.
+"""Affine fusion: tiles resampled and blended cell by cell of the output.
 
-A block of a tile is sent to the output cells that its image reaches (an explode and a shuffle by cell, no
-pairs of all cells and tiles); a cell is filled by one task from the blocks it was sent, each resampled
-by the inverse model to the nearest voxel. A cell receives no more than the blocks that overlap it.
+A tile's image names the output cells that it reaches (an explode and a shuffle by cell, no pairs of all
+cells and tiles); one task fills a cell from the tiles that reach it, each resampled by the inverse model to
+the nearest voxel, a slab at a time.
+
+* ``fuse`` takes blocks as rows. A block is cut down to what each cell needs of it, in its own kind, before
+  anything is shuffled, so little more than the overlap of blocks and cells moves.
+* ``fuse_tiles`` takes tiles in stores: a row is the name of a tile for a cell, and the cell's task reads
+  just the chunks that it needs. No voxel is shuffled.
+* ``fuse_to_store`` writes the cells as chunks of a Zarr array, level by level of a pyramid. Every finished
+  cell leaves a mark, so a run that was stopped goes on where it was; each level reads the one before once.
+
+Cells go to tasks along a Z-curve, so that neighbours, which share chunks, are read and written together.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources import arrays
 
-#: Blocks: tile, origin (of the block in its tile), shape, data (little-endian float64, first axis slowest).
+#: Blocks of tiles: a tile and its voxels, here as float64 without a kind.
 BLOCK = "tile long, origin array<long>, shape array<long>, data binary"
+FUSED = f"c0 long, c1 long, c2 long, {arrays.VOXELS}, covered long"
 BLENDS = ("weighted", "mean", "max", "first")
+#: Voxels of a cell that are resampled together; bounds a task's memory.
+SLAB = 1 << 20
+#: Bits of each cell coordinate below which cells share a task.
+NEAR_BITS = 1
+_CELL = ["c0", "c1", "c2"]
 
 
-def placed(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None) -> DataFrame:
-    """Blocks with the inverse model of their tile, the tile's shape, and the cell (c0, c1, c2) of each row.
-    ``models``: tile and m00..m23 to the output; ``tile_shape``: tile, whole. Cells begin at ``lower``."""
-    lower = lower or (0, 0, 0)
+def _reached(rows: DataFrame, lo: list[Column], hi: list[Column], cell: tuple[int, int, int], lower: tuple[int, int, int]) -> DataFrame:
+    """A row for each cell (c0, c1, c2) that the image of the box lo .. hi under the model m00.. reaches."""
+    first, last = G.image_of_box(G.model(), lo, hi)
+    for d in range(3):
+        cells = F.sequence(F.floor((F.floor(first[d]) - lower[d]) / cell[d]), F.floor((F.ceil(last[d]) - lower[d]) / cell[d]))
+        rows = rows.withColumn(f"c{d}", F.explode(cells))
+    return rows
+
+
+def _near() -> Column:
+    """The same for cells that lie together on the Z-curve: the curve's number without its lowest bits."""
+    return F.struct(*[F.shiftright(F.col(c), NEAR_BITS) for c in _CELL])
+
+
+def _by_cell(rows: DataFrame):
+    # dealt by neighbourhood; a cell is a part of it, so grouping by both needs no further shuffle
+    return rows.withColumn("near", _near()).repartition("near").groupBy("near", *_CELL)
+
+
+def source_box(inverse: np.ndarray, at: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 voxel of a tile that the voxels of an output box may take."""
+    ends = np.array([np.zeros(3), np.array(size) - 1]) + at
+    corners = np.array(np.meshgrid(*ends.T, indexing="ij")).reshape(3, -1)
+    image = inverse[:, :3] @ corners + inverse[:, 3:]
+    return np.floor(image.min(axis=1) + 0.5 - 1e-6).astype(np.int64), np.floor(image.max(axis=1) + 0.5 + 1e-6).astype(np.int64) + 1
+
+
+class Filler:
+    """One output cell: tiles are added in order, then the blend is read."""
+
+    def __init__(self, at, size, blend: str):
+        self.at, self.size, self.blend = np.asarray(at), tuple(size), blend
+        self.total, self.weight, self.count = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size, dtype=np.int32)
+
+    def add(self, origin, v: np.ndarray, inverse, whole) -> None:
+        """A block of a tile of shape ``whole``. ``weighted``: weights are distances to the tile's nearest face."""
+        m, whole = np.asarray(inverse, dtype=np.float64).reshape(3, 4), np.asarray(whole)
+        step = max(1, SLAB // max(1, self.size[1] * self.size[2]))
+        for x in range(0, self.size[0], step):
+            slab = slice(x, min(x + step, self.size[0]))
+            ax = [np.arange(slab.start, slab.stop)[:, None, None], np.arange(self.size[1])[None, :, None], np.arange(self.size[2])[None, None, :]]
+            ax = [a + o for a, o in zip(ax, self.at, strict=True)]
+            exact = [m[d, 0] * ax[0] + m[d, 1] * ax[1] + m[d, 2] * ax[2] + m[d, 3] for d in range(3)]
+            near = [np.floor(e + 0.5).astype(np.int64) - o for e, o in zip(exact, origin, strict=True)]
+            here = np.nonzero(np.logical_and.reduce([(n >= 0) & (n < k) for n, k in zip(near, v.shape, strict=True)]))
+            if not len(here[0]):
+                continue
+            value = v[tuple(n[here] for n in near)].astype(np.float64)
+            total, weight, count = self.total[slab], self.weight[slab], self.count[slab]
+            if self.blend == "max":
+                total[here] = np.where(count[here] > 0, np.maximum(total[here], value), value)
+            elif self.blend == "first":
+                total[here] = np.where(count[here] > 0, total[here], value)
+            else:
+                w = np.ones(len(value))
+                if self.blend == "weighted":
+                    w = np.minimum.reduce([np.minimum(e[here] + 1, n - e[here]) for e, n in zip(exact, whole, strict=True)]).clip(1e-6)
+                total[here] += w * value
+                weight[here] += w
+            count[here] += 1
+
+    def result(self) -> np.ndarray:
+        if self.blend in ("weighted", "mean"):
+            return np.divide(self.total, self.weight, out=np.zeros(self.size), where=self.weight > 0)
+        return self.total
+
+
+def _fused(c, fill: Filler, kind: str) -> tuple:
+    v = fill.result()
+    if np.dtype(kind).kind in "iu":
+        v = np.clip(np.rint(v), np.iinfo(kind).min, np.iinfo(kind).max)
+    return (*c, fill.at.tolist(), list(fill.size), kind, v.astype(kind).tobytes(), int((fill.count > 0).sum()))
+
+
+def cut_to_cells(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """What each output cell needs of each block, in the block's kind, with the inverse model of its tile and the
+    tile's shape. ``models``: tile and m00..m23 to the output; ``tile_shape``: tile, whole. Cells begin at ``lower``."""
     back = models.select("tile", *G.NAMES, F.array(*G.inverse(G.model())).alias("inverse"))
-    both = blocks.join(back, "tile").join(tile_shape.select("tile", "whole"), "tile")
+    kind = F.col("kind") if "kind" in blocks.columns else F.lit("<f8")
+    both = blocks.select("tile", "origin", "shape", kind.alias("kind"), "data").join(back, "tile").join(tile_shape.select("tile", F.col("whole").cast("array<long>").alias("whole")), "tile")
     lo = [F.get("origin", F.lit(d)) - 0.5 for d in range(3)]
     hi = [F.get("origin", F.lit(d)) + F.get("shape", F.lit(d)) - 0.5 for d in range(3)]
     first, last = G.image_of_box(G.model(), lo, hi)
-    for d in range(3):
-        cells = F.sequence(F.floor((F.floor(first[d]) - lower[d]) / cell[d]), F.floor((F.ceil(last[d]) - lower[d]) / cell[d]))
-        both = both.withColumn(f"c{d}", F.explode(cells))
-    return both.select("tile", "origin", "shape", "data", "inverse", "whole", "c0", "c1", "c2")
-
-
-def fill(parts: list[tuple], at: np.ndarray, size: tuple[int, int, int], blend: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, number of tiles at each voxel) of an output cell from (origin, block, inverse, whole shape of the
-    tile), in order of tiles. ``weighted``: weights are distances to the nearest face of the tile."""
-    grid = np.stack(np.meshgrid(*[np.arange(n) + o for n, o in zip(size, at, strict=True)], indexing="ij"), axis=-1).reshape(-1, 3)
-    total, weight = np.zeros(len(grid)), np.zeros(len(grid))
-    count = np.zeros(len(grid), dtype=np.int64)
-    for origin, v, inverse, whole in parts:
-        m = np.asarray(inverse).reshape(3, 4)
-        exact = grid @ m[:, :3].T + m[:, 3]
-        near = np.floor(exact + 0.5).astype(np.int64) - origin
-        i = np.flatnonzero(np.all((near >= 0) & (near < v.shape), axis=1))
-        value = v[tuple(near[i].T)]
-        if blend == "max":
-            total[i] = np.where(count[i] > 0, np.maximum(total[i], value), value)
-        elif blend == "first":
-            total[i] = np.where(count[i] > 0, total[i], value)
-        else:
-            w = np.minimum(exact[i] + 1, np.asarray(whole) - exact[i]).min(axis=1).clip(1e-6) if blend == "weighted" else np.ones(len(i))
-            total[i] += w * value
-            weight[i] += w
-        count[i] += 1
-    if blend in ("weighted", "mean"):
-        total = np.divide(total, weight, out=np.zeros(len(grid)), where=weight > 0)
-    return total.reshape(size), count.reshape(size)
-
-
-def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None, blend: str = "weighted") -> DataFrame:
-    """The output volume as blocks: c0, c1, c2 (cell), origin, shape, data (float64), covered (voxels that some
-    tile reaches). Cells that nothing reaches are absent."""
+    ends = [F.floor((f(e[d]) - lower[d]) / cell[d]) for f, e in ((F.floor, first), (F.ceil, last)) for d in range(3)]
+    rows = both.select("tile", "origin", "shape", "kind", "data", "inverse", "whole", F.array(*ends).alias("ends"))
+    names = ["tile", "origin", "shape", "kind", "data", "inverse", "whole", *_CELL]
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for r in f.itertuples(index=False):
+                v, inverse, ends, out = arrays.voxels(r), np.asarray(r.inverse).reshape(3, 4), list(r.ends), []
+                for c in np.ndindex(*[b - a + 1 for a, b in zip(ends[:3], ends[3:], strict=True)]):
+                    c = [int(a + i) for a, i in zip(ends, c, strict=False)]
+                    at = np.array([o + k * n for o, k, n in zip(lower, c, cell, strict=True)])
+                    a, b = source_box(inverse, at, cell)
+                    a = np.maximum(a - r.origin, 0)
+                    part = v[tuple(slice(int(x), max(int(x), int(y))) for x, y in zip(a, b - r.origin, strict=True))]
+                    if part.size:
+                        out.append((r.tile, (a + r.origin).tolist(), list(part.shape), r.kind, part.tobytes(), r.inverse, r.whole, *c))
+                yield pd.DataFrame(out, columns=names)
+
+    tile = blocks.schema["tile"].dataType.simpleString()
+    return rows.mapInPandas(run, f"tile {tile}, {arrays.VOXELS}, inverse array<double>, whole array<long>, c0 long, c1 long, c2 long")
+
+
+def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<f8") -> DataFrame:
+    """The output volume as blocks (``FUSED``): the cell, its voxels in ``kind``, and how many voxels some tile
+    reaches. Cells that nothing reaches are absent."""
     if blend not in BLENDS:
         raise ValueError(f"blend must be one of {BLENDS}")
     lower = lower or (0, 0, 0)
@@ -69,43 +153,180 @@ def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tupl
     def run(f):
         import pandas as pd
 
-        c = [int(f[f"c{d}"].iloc[0]) for d in range(3)]
-        at = np.array([lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)])
-        f = f.assign(first=[tuple(o) for o in f["origin"]]).sort_values(["tile", "first"])
-        parts = [(np.asarray(r.origin), np.frombuffer(r.data, dtype="<f8").reshape(tuple(r.shape)), r.inverse, r.whole) for r in f.itertuples(index=False)]
-        out, count = fill(parts, at, cell, blend)
-        rows = [(*c, at.tolist(), list(cell), out.astype("<f8").tobytes(), int((count > 0).sum()))] if count.any() else []
-        return pd.DataFrame(rows, columns=["c0", "c1", "c2", "origin", "shape", "data", "covered"])
+        c = [int(f[k].iloc[0]) for k in _CELL]
+        fill = Filler([lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
+        for r in f.assign(first=[tuple(o) for o in f["origin"]]).sort_values(["tile", "first"]).itertuples(index=False):
+            fill.add(r.origin, arrays.voxels(r), r.inverse, r.whole)
+        return pd.DataFrame([_fused(c, fill, kind)] if fill.count.any() else [], columns=[x.split()[0] for x in FUSED.split(", ")])
+
+    return _by_cell(cut_to_cells(blocks, models, tile_shape, cell, lower)).applyInPandas(run, FUSED)
+
+
+def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """tile, uri, whole, inverse of every cell that a tile's image reaches. ``tiles``: tile, uri, m00..m23."""
+    known = arrays.shapes(tiles.sparkSession, tiles.select("uri")).select("uri", F.col("shape").alias("whole"))
+    rows = tiles.join(known, "uri").withColumn("inverse", F.array(*G.inverse(G.model())))
+    half = F.lit(-0.5)
+    rows = _reached(rows, [half] * 3, [F.get("whole", F.lit(d)) - 0.5 for d in range(3)], cell, lower)
+    return rows.select("tile", "uri", "whole", "inverse", *_CELL)
+
 
-    found = placed(blocks, models, tile_shape, cell, lower)
-    return found.groupBy("c0", "c1", "c2").applyInPandas(run, "c0 long, c1 long, c2 long, origin array<long>, shape array<long>, data binary, covered long")
+def _fill_from_stores(f, at, size, blend: str) -> Filler:
+    fill = Filler(at, size, blend)
+    for r in f.sort_values("tile").itertuples(index=False):
+        inverse = np.asarray(r.inverse).reshape(3, 4)
+        a, b = source_box(inverse, fill.at, size)
+        a, b = np.maximum(a, 0), np.minimum(b, r.whole)
+        if (a < b).all():
+            fill.add(a, arrays.read_slice(arrays.open_array(r.uri), a.tolist(), b.tolist()), inverse, r.whole)
+    return fill
+
+
+def fuse_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<f8") -> DataFrame:
+    """As ``fuse``, of tiles in stores (tile, uri, m00..m23); each cell reads what it needs of them."""
+    if blend not in BLENDS:
+        raise ValueError(f"blend must be one of {BLENDS}")
+    lower = lower or (0, 0, 0)
+
+    def run(f):
+        import pandas as pd
+
+        c = [int(f[k].iloc[0]) for k in _CELL]
+        fill = _fill_from_stores(f, [lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
+        return pd.DataFrame([_fused(c, fill, kind)] if fill.count.any() else [], columns=[x.split()[0] for x in FUSED.split(", ")])
+
+    return _by_cell(cells_of_tiles(tiles, cell, lower)).applyInPandas(run, FUSED)
+
+
+def _mark(uri: str, c) -> tuple:
+    where, path = arrays._open(uri.rstrip("/"))
+    return where, f"{path}.done", f"{path}.done/{'.'.join(map(str, c))}"
+
+
+def finished(uri: str, c) -> bool:
+    """Whether a cell of the array has been written whole: its mark is there. Marks stand beside the array."""
+    from pyarrow import fs
+
+    where, _, name = _mark(uri, c)
+    return where.get_file_info(name).type != fs.FileType.NotFound
+
+
+def _finish(uri: str, c, origin, v: np.ndarray) -> None:
+    arrays.put_block(arrays.open_array(uri), origin, v)
+    where, folder, name = _mark(uri, c)
+    where.create_dir(folder, recursive=True)
+    with where.open_output_stream(name, compression=None) as f:
+        f.write(b"done")
+
+
+def _has_header(uri: str) -> bool:
+    return arrays._bytes(uri.rstrip("/") + "/.zarray") is not None
+
+
+def halve(spark: SparkSession, source: str, target: str, cell: tuple[int, int, int]) -> int:
+    """The next level of a pyramid: means of 2 x 2 x 2 voxels of the array ``source``, an incomplete one at the end
+    dropped, written cell by cell into the array ``target`` by the executors; the cells written. Each cell reads
+    its voxels of ``source`` once, and finished ones are skipped."""
+    if not _has_header(target):
+        array = arrays.open_array(source)
+        arrays.create_zarr(target, tuple(max(1, n // 2) for n in array.shape), cell, array.kind.str)
+    counts = [-(-n // c) for n, c in zip(arrays.open_array(target).shape, cell, strict=True)]
+    cells = spark.range(counts[0] * counts[1] * counts[2]).select(
+        F.floor(F.col("id") / (counts[1] * counts[2])).alias("c0"), (F.floor(F.col("id") / counts[2]) % counts[1]).alias("c1"), (F.col("id") % counts[2]).alias("c2")
+    )
+
+    def run(frames):
+        import pandas as pd
+
+        whole = arrays.open_array(source)
+        for f in frames:
+            n = 0
+            for c in f[_CELL].itertuples(index=False):
+                if finished(target, c):
+                    continue
+                lo = [2 * k * m for k, m in zip(c, cell, strict=True)]
+                hi = [min(o + 2 * m, w) for o, m, w in zip(lo, cell, whole.shape, strict=True)]
+                if all(a < b for a, b in zip(lo, hi, strict=True)):
+                    v = arrays.read_slice(whole, lo, hi)
+                    v = arrays.averaged(v, tuple(min(2, k) for k in v.shape)) if min(v.shape) else v
+                    _finish(target, c, [o // 2 for o in lo], v)
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return cells.withColumn("near", _near()).repartition("near").select(*_CELL).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def fuse_to_store(tiles: DataFrame, uri: str, shape: tuple[int, int, int], cell: tuple[int, int, int], chunk: tuple[int, int, int] | None = None, levels: int = 1, lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<u2", attributes: dict | None = None) -> list[int]:
+    """Fuse stored tiles (tile, uri, m00..m23) into level 0 of ``uri`` and halve it ``levels`` - 1 times; the cells
+    written of each level. The volume of ``shape`` begins at ``lower`` of the models' space. Run again after a
+    stop, it writes what is missing. Cells are made of whole chunks."""
+    if blend not in BLENDS:
+        raise ValueError(f"blend must be one of {BLENDS}")
+    chunk, lower, spark = chunk or cell, lower or (0, 0, 0), tiles.sparkSession
+    if any(n % c for n, c in zip(cell, chunk, strict=True)):
+        raise ValueError("a cell must be made of whole chunks")
+    base = f"{uri.rstrip('/')}/0"
+    if attributes is not None:
+        where, path = arrays._open(uri)
+        where.create_dir(path, recursive=True)
+        with where.open_output_stream(f"{path}/.zattrs", compression=None) as f:
+            f.write(json.dumps(attributes).encode())
+    if not _has_header(base):
+        arrays.create_zarr(base, shape, chunk, kind)
+    within = F.lit(True)
+    for d, (n, c) in enumerate(zip(shape, cell, strict=True)):
+        within = within & F.col(f"c{d}").between(0, -(-n // c) - 1)
+
+    def run(f):
+        import pandas as pd
+
+        c = [int(f[k].iloc[0]) for k in _CELL]
+        if finished(base, c):
+            return pd.DataFrame({"n": [0]})
+        at = [k * n for k, n in zip(c, cell, strict=True)]
+        size = [min(n, m - o) for n, m, o in zip(cell, shape, at, strict=True)]
+        fill = _fill_from_stores(f, [o + lo for o, lo in zip(at, lower, strict=True)], size, blend)
+        _finish(base, c, at, fill.result())
+        return pd.DataFrame({"n": [1]})
+
+    written = [_by_cell(cells_of_tiles(tiles, cell, lower).filter(within)).applyInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0]
+    for k in range(1, levels):
+        written.append(halve(spark, f"{uri.rstrip('/')}/{k - 1}", f"{uri.rstrip('/')}/{k}", chunk))
+    return written
 
 
 def pyramid_step(blocks: DataFrame, cell: tuple[int, int, int]) -> DataFrame:
-    """Half the resolution along every axis: blocks of the same cell shape from means of 2 x 2 x 2 voxels. A
-    cell of the result is filled from the eight cells that it covers; missing ones count as 0."""
+    """Half the resolution along every axis of blocks as rows: blocks of the same cell shape from means of 2 x 2 x 2
+    voxels. A cell of the result is filled from the eight cells that it covers; missing ones count as 0. A block is
+    halved before it is sent, so an eighth of the voxels moves."""
+    if any(n % 2 for n in cell):
+        raise ValueError("cells must have even sizes")
+
+    def small(frames):
+        import pandas as pd
+
+        for f in frames:
+            made = [arrays.averaged(arrays.voxels(r), (2, 2, 2)) for r in f.itertuples(index=False)]
+            yield pd.DataFrame({"origin": [[o // 2 for o in r] for r in f["origin"]], "shape": [list(v.shape) for v in made], "data": [v.astype("<f8").tobytes() for v in made]})
 
     def run(f):
         import pandas as pd
 
         c = [int(f[f"p{d}"].iloc[0]) for d in range(3)]
-        at = np.array(c) * np.array(cell)
-        out = np.zeros(cell)
+        at, out = np.array(c) * np.array(cell), np.zeros(cell)
         for r in f.itertuples(index=False):
-            v = np.frombuffer(r.data, dtype="<f8").reshape(tuple(r.shape))
-            v = v.reshape(v.shape[0] // 2, 2, v.shape[1] // 2, 2, v.shape[2] // 2, 2).mean(axis=(1, 3, 5))
-            lo = np.asarray(r.origin) // 2 - at
-            out[tuple(slice(a, a + n) for a, n in zip(lo, v.shape, strict=True))] = v
-        return pd.DataFrame([(*c, at.tolist(), list(cell), out.astype("<f8").tobytes())], columns=["c0", "c1", "c2", "origin", "shape", "data"])
+            lo = np.asarray(r.origin) - at
+            out[tuple(slice(a, a + n) for a, n in zip(lo, r.shape, strict=True))] = arrays.voxels(r)
+        return pd.DataFrame([(*c, at.tolist(), list(cell), out.astype("<f8").tobytes())], columns=[*_CELL, "origin", "shape", "data"])
 
-    if any(n % 2 for n in cell):
-        raise ValueError("cells must have even sizes")
-    up = blocks.select("origin", "shape", "data", *[F.floor(F.get("origin", F.lit(d)) / (2 * cell[d])).alias(f"p{d}") for d in range(3)])
+    kept = [c for c in ("origin", "shape", "kind", "data") if c in blocks.columns]
+    halves = blocks.select(*kept).mapInPandas(small, "origin array<long>, shape array<long>, data binary")
+    up = halves.select("origin", "shape", "data", *[F.floor(F.get("origin", F.lit(d)) / cell[d]).alias(f"p{d}") for d in range(3)])
     return up.groupBy("p0", "p1", "p2").applyInPandas(run, "c0 long, c1 long, c2 long, origin array<long>, shape array<long>, data binary")
 
 
 def pyramid(blocks: DataFrame, cell: tuple[int, int, int], levels: int):
-    """Levels 0 .. levels - 1, each from the one before."""
+    """Levels 0 .. levels - 1 of blocks as rows, each from the one before (lazily: ``fuse_to_store`` keeps levels)."""
     for k in range(levels):
         yield k, blocks
         if k + 1 < levels:

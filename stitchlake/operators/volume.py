@@ -153,11 +153,11 @@ def resample_nearest(v: np.ndarray, inverse: np.ndarray, shape: tuple[int, int,
     return np.where(inside, v[at[..., 0], at[..., 1], at[..., 2]], 0)
 
 
-def block_sum(data: str) -> Column:
-    """Sum of a block of float64."""
+def block_sum(data: str, kind: str | None = None) -> Column:
+    """Sum of a block: of float64, or of the kind that a column names."""
 
     @F.pandas_udf("double")
-    def total(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda b: float(np.frombuffer(b, dtype="<f8").sum()))
+    def total(blocks: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([float(np.frombuffer(b, dtype=k).sum(dtype=np.float64)) for b, k in zip(blocks, kinds, strict=True)])
 
-    return total(data)
+    return total(data, F.col(kind) if kind else F.lit("<f8"))

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import transforms as T
 from ..sources import precomputed, project, store
-from ._base import PTS, pts, query, r6, table
-
-
-def _folder(spark) -> str:
-    """A fresh folder that driver and executors share; a session on one machine may have none set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/stitchlake-store-{uuid.uuid4().hex[:12]}"
+from ._base import PTS, pts, query, r6, shared_folder, table
 
 
 def _descriptor(spark, sf) -> str:
@@ -33,7 +22,7 @@ def _descriptor(spark, sf) -> str:
     lists = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.posexplode(F.array(F.lit("calibration"), F.lit("grid"))).alias("seq", "name"), F.lit("affine").alias("type"), model.alias("affine"))
     points = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.lit("beads").alias("label"), F.lit("DOG s=1.8").alias("params"), F.concat(F.lit("points/"), k).alias("path"))
     text = project.to_xml(views, setups, lists, points)
-    where, path = fs.FileSystem.from_uri(folder := _folder(spark))
+    where, path = fs.FileSystem.from_uri(folder := shared_folder(spark))
     where.create_dir(path, recursive=True)
     with where.open_output_stream(f"{path}/project.xml") as f:
         f.write(text.encode())
@@ -80,7 +69,7 @@ def q_saved_models(spark, sf):
 @query(f"""WITH {PTS} SELECT label::INT AS setup, CAST(row_number() OVER (PARTITION BY label ORDER BY x, y, z, intensity) - 1 AS BIGINT) AS point_id, round(x, 6) + 0.0 AS x, round(intensity, 6) + 0.0 AS intensity FROM pts""")
 def q_points_store(spark, sf):
     """Points written by view, ids by place, and read back."""
-    folder = _folder(spark) + "/points"
+    folder = shared_folder(spark) + "/points"
     store.write_points(pts(spark, sf).select(F.lit(0).alias("timepoint"), F.col("label").cast("int").alias("setup"), F.lit("beads").alias("label"), "x", "y", "z", "intensity"), folder)
     return store.read_points(spark, folder).select("setup", "point_id", r6(F.col("x"), "x"), r6(F.col("intensity"), "intensity"))
 
@@ -88,7 +77,7 @@ def q_points_store(spark, sf):
 @query("SELECT DISTINCT 'v' || (o_custkey % 20) AS view_a, o_orderkey AS id_a, 'v' || (o_custkey % 20 + 1 + o_orderkey % 5) AS view_b, o_orderkey + 1 AS id_b FROM orders WHERE 'v' || (o_custkey % 20) < 'v' || (o_custkey % 20 + 1 + o_orderkey % 5) UNION SELECT DISTINCT 'v' || (o_custkey % 20 + 1 + o_orderkey % 5), o_orderkey + 1, 'v' || (o_custkey % 20), o_orderkey FROM orders WHERE 'v' || (o_custkey % 20) > 'v' || (o_custkey % 20 + 1 + o_orderkey % 5)")
 def q_correspondence_store(spark, sf):
     """Correspondences stored in both directions, each read once."""
-    folder, c, o = _folder(spark) + "/matches", F.col("o_custkey") % 20, F.col("o_orderkey")
+    folder, c, o = shared_folder(spark) + "/matches", F.col("o_custkey") % 20, F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
         F.concat(F.lit("v"), c).alias("view_a"), F.lit("beads").alias("label_a"), o.alias("id_a"), F.concat(F.lit("v"), c + 1 + o % 5).alias("view_b"), F.lit("beads").alias("label_b"), (o + 1).alias("id_b")
     )
@@ -100,7 +89,7 @@ def q_correspondence_store(spark, sf):
 def q_markers(spark, sf):
     """Cell markers of XML files that the executors write, a file a group."""
     k = F.col("s_suppkey")
-    folder = _folder(spark) + "/markers"
+    folder = shared_folder(spark) + "/markers"
 
     def write(f):
         body = "".join(f"<Marker><MarkerX>{x}</MarkerX><MarkerY>{y}</MarkerY><MarkerZ>{z}</MarkerZ></Marker>" for x, y, z in zip(f["x"], f["y"], f["z"], strict=True))

@@ -1,8 +1,9 @@
 """Image volumes in chunked stores, read and written by executors block by block.
 
-``read_blocks`` reads Zarr (version 2, C order; raw, zlib, gzip or zstd chunks), chunk folders with an
-``attributes.json`` (see ``store``) and TIFF stacks: one Spark partition a block, with a halo, optionally
-averaged to a lower resolution. A task opens only the chunks (or pages) that its block needs.
+``read_blocks`` reads Zarr (versions 2 and 3, C order; raw, zlib, gzip, zstd or Blosc chunks), chunk
+folders with an ``attributes.json`` (see ``store``) and TIFF stacks (also large ones; strips or tiles; raw,
+deflate, LZW or zstd, with or without differences): one Spark partition a block, with a halo, optionally
+averaged to a lower resolution. A task opens only the chunks (strips, tiles) that its block needs.
 ``write_blocks`` writes blocks as chunks of a Zarr array from the executors; a repeated task writes the
 same bytes to the same names. Axes are x, y, z; on disk Zarr arrays are (.., z, y, x).
 """
@@ -18,9 +19,10 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import store
+from . import codecs, store
 
 SCHEMA = "x0 long, y0 long, z0 long, nx int, ny int, nz int, cx0 long, cy0 long, cz0 long, cx1 long, cy1 long, cz1 long, data binary"
 
@@ -41,6 +43,9 @@ def _bytes(uri: str) -> bytes | None:
         return f.read()
 
 
+_DECODERS = {"zstd": codecs.zstd, "blosc": codecs.blosc}
+
+
 class ZarrArray:
     """Zarr version 2; axes before the last three are taken at 0."""
 
@@ -58,15 +63,15 @@ class ZarrArray:
             return raw
         if c["id"] in ("zlib", "gzip"):
             return zlib.decompress(raw, 47)
-        if c["id"] == "zstd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        if c["id"] in _DECODERS:
+            return _DECODERS[c["id"]](raw)
         raise ValueError(f"compressor {c['id']} is not known")
 
+    def name(self, index: tuple[int, int, int]) -> str:
+        return self.meta.get("dimension_separator", ".").join(map(str, [0] * self.lead + list(index[::-1])))
+
     def read_chunk(self, index: tuple[int, int, int]) -> np.ndarray:
-        name = self.meta.get("dimension_separator", ".").join(map(str, [0] * self.lead + list(index[::-1])))
-        raw = _bytes(f"{self.uri}/{name}")
+        raw = _bytes(f"{self.uri}/{self.name(index)}")
         size = self.meta["chunks"]
         if raw is None:
             return np.full(self.chunk, self.meta.get("fill_value") or 0, dtype=self.kind)
@@ -74,8 +79,34 @@ class ZarrArray:
         return v[(0,) * self.lead].transpose(2, 1, 0)
 
 
+class Zarr3Array(ZarrArray):
+    """Zarr version 3: a regular grid; codecs ``bytes``, then gzip, zstd, blosc or crc32c in any order."""
+
+    def __init__(self, uri: str, meta: dict):
+        steps = [(c["name"], c.get("configuration", {})) for c in meta["codecs"]]
+        if meta["chunk_grid"]["name"] != "regular" or not steps or steps[0][0] != "bytes":
+            raise ValueError("only regular grids whose first codec is bytes can be read")
+        self.after = [n for n, _ in steps[1:]]
+        if unknown := set(self.after) - {"gzip", "crc32c", *_DECODERS}:
+            raise ValueError(f"codecs {sorted(unknown)} are not known")
+        kind = np.dtype(meta["data_type"]).newbyteorder(">" if steps[0][1].get("endian") == "big" else "<")
+        keys = meta.get("chunk_key_encoding", {"name": "default"})
+        mark = keys.get("configuration", {}).get("separator", "/" if keys["name"] == "default" else ".")
+        self.prefix = "c" + mark if keys["name"] == "default" else ""
+        two = {"shape": meta["shape"], "chunks": meta["chunk_grid"]["configuration"]["chunk_shape"], "dtype": kind.str, "dimension_separator": mark, "fill_value": meta.get("fill_value")}
+        super().__init__(uri, two)
+
+    def name(self, index: tuple[int, int, int]) -> str:
+        return self.prefix + super().name(index)
+
+    def decode(self, raw: bytes) -> bytes:
+        for name in reversed(self.after):
+            raw = raw[:-4] if name == "crc32c" else zlib.decompress(raw, 47) if name == "gzip" else _DECODERS[name](raw)
+        return raw
+
+
 class FolderArray:
-    """Blocks of ``store.write_array``."""
+    """Blocks of ``store.pack_block`` in folders by index."""
 
     def __init__(self, uri: str, meta: dict):
         self.uri, self.meta = uri.rstrip("/"), meta
@@ -91,56 +122,72 @@ class FolderArray:
 
 
 class TiffStack:
-    """Pages of a TIFF file as z; one sample a pixel, strips raw or deflated. A chunk is a page."""
+    """Pages of a TIFF or BigTIFF file as z; one sample a pixel. A chunk is a tile or a strip of a page."""
 
+    #: Kinds by bits and sample format, sizes of entries' types, and compressions.
     _KINDS = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}
-    _SIZES = {1: "B", 3: "H", 4: "I"}
+    _SIZES = {1: "B", 3: "H", 4: "I", 16: "Q"}
+    _PACKED = {1: bytes, 5: codecs.lzw, 8: zlib.decompress, 32946: zlib.decompress, 50000: codecs.zstd}
 
     def __init__(self, uri: str):
         self.uri, self.pages = uri, []
         with self._file() as f:
-            head = f.read(8)
+            head = f.read(16)
             self.end = {b"II": "<", b"MM": ">"}.get(head[:2])
-            if not self.end or struct.unpack(self.end + "H", head[2:4])[0] != 42:
+            magic = struct.unpack(self.end + "H", head[2:4])[0] if self.end else 0
+            if magic not in (42, 43):
                 raise ValueError("not a TIFF file")
-            at = struct.unpack(self.end + "I", head[4:])[0]
+            big = magic == 43
+            self.offset, count = ("Q", "Q") if big else ("I", "H")
+            (at,) = struct.unpack_from(self.end + self.offset, head, 8 if big else 4)
+            wide, many = struct.calcsize(self.end + self.offset), struct.calcsize(self.end + count)
+            size = 4 + 2 * wide
             while at:
                 f.seek(at)
-                (n,) = struct.unpack(self.end + "H", f.read(2))
-                entries = f.read(12 * n)
-                (at,) = struct.unpack(self.end + "I", f.read(4))
-                self.pages.append({t: v for t, v in (self._entry(f, entries[12 * i : 12 * i + 12]) for i in range(n))})
+                (n,) = struct.unpack(self.end + count, f.read(many))
+                entries = f.read(size * n)
+                (at,) = struct.unpack(self.end + self.offset, f.read(wide))
+                self.pages.append(dict(self._entry(f, entries[size * i : size * (i + 1)]) for i in range(n)))
         p = self.pages[0]
-        if p.get(277, [1])[0] != 1 or p.get(259, [1])[0] not in (1, 8, 32946) or p.get(317, [1])[0] != 1 or 322 in p:
-            raise ValueError("only strips of one sample, raw or deflated, can be read")
+        one = lambda tag, default=None: p.get(tag, [default])[0]
+        self.packing, self.differences = one(259, 1), one(317, 1) == 2
+        if one(277, 1) != 1 or self.packing not in self._PACKED or one(317, 1) not in (1, 2):
+            raise ValueError("only pages of one sample; raw, deflate, LZW or zstd; plain or with differences can be read")
         self.shape = (p[256][0], p[257][0], len(self.pages))
-        self.chunk = (*self.shape[:2], 1)
-        self.kind = np.dtype(self.end + self._KINDS[p[258][0], p.get(339, [1])[0]])
+        self.tiled = 322 in p
+        self.chunk = (one(322), one(323), 1) if self.tiled else (self.shape[0], min(one(278, self.shape[1]), self.shape[1]), 1)
+        self.kind = np.dtype(self.end + self._KINDS[one(258), one(339, 1)])
+        if self.differences and self.kind.kind == "f":
+            raise ValueError("differences of floats cannot be read")
 
     def _file(self):
         where, path = _open(self.uri)
         return where.open_input_file(path)
 
     def _entry(self, f, raw: bytes):
-        tag, kind, n = struct.unpack(self.end + "HHI", raw[:8])
-        code = self._SIZES.get(kind)
+        tag, kind, n = struct.unpack_from(self.end + "HH" + self.offset, raw)
+        code, value = self._SIZES.get(kind), raw[4 + struct.calcsize(self.end + self.offset) :]
         if code is None:
             return tag, []
         size = n * struct.calcsize(code)
-        data = raw[8 : 8 + size]
-        if size > 4:
-            f.seek(struct.unpack(self.end + "I", raw[8:])[0])
+        data = value[:size]
+        if size > len(value):
+            f.seek(struct.unpack(self.end + self.offset, value)[0])
             data = f.read(size)
         return tag, list(struct.unpack(f"{self.end}{n}{code}", data))
 
     def read_chunk(self, index: tuple[int, int, int]) -> np.ndarray:
-        p, parts = self.pages[index[2]], []
+        p, (x, y, z) = self.pages[index[2]], index
+        across = -(-self.shape[0] // self.chunk[0])
+        places, sizes = (p[324], p[325]) if self.tiled else (p[273], p[279])
         with self._file() as f:
-            for at, size in zip(p[273], p[279], strict=True):
-                f.seek(at)
-                raw = f.read(size)
-                parts.append(raw if p.get(259, [1])[0] == 1 else zlib.decompress(raw))
-        return np.frombuffer(b"".join(parts), dtype=self.kind).reshape(self.shape[1], self.shape[0]).T[:, :, None]
+            f.seek(places[y * across + x])
+            raw = self._PACKED[self.packing](f.read(sizes[y * across + x]))
+        rows = self.chunk[1] if self.tiled else min(self.chunk[1], self.shape[1] - y * self.chunk[1])
+        v = np.frombuffer(raw, dtype=self.kind, count=rows * self.chunk[0]).reshape(rows, self.chunk[0])
+        if self.differences:
+            v = codecs.undo_differences(v.astype(self.kind.newbyteorder("=")))
+        return v.T[:, :, None]
 
 
 @functools.lru_cache(maxsize=256)
@@ -150,6 +197,8 @@ def open_array(uri: str):
         return TiffStack(uri)
     if (meta := _bytes(uri.rstrip("/") + "/.zarray")) is not None:
         return ZarrArray(uri, json.loads(meta))
+    if (meta := _bytes(uri.rstrip("/") + "/zarr.json")) is not None:
+        return Zarr3Array(uri, json.loads(meta))
     if (meta := _bytes(uri.rstrip("/") + "/attributes.json")) is not None:
         return FolderArray(uri, json.loads(meta))
     raise ValueError(f"{uri} is no array")
@@ -256,42 +305,82 @@ def create_zarr(uri: str, shape: tuple[int, int, int], chunk: tuple[int, int, in
     return meta
 
 
-def write_blocks(blocks: DataFrame, uri: str) -> int:
-    """Write blocks (origin, shape, data float64) into the Zarr array at ``uri``, from the executors; returns
-    their number. Blocks begin at chunk borders and end there or at the array's end."""
-    array = open_array(uri)
+def _packed(array, raw: bytes) -> bytes:
+    c = array.meta["compressor"]
+    if c is None:
+        return raw
+    if c["id"] == "zstd":
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=c["level"]).compress(raw)
+    return zlib.compress(raw, c["level"]) if c["id"] == "zlib" else gzip.compress(raw, mtime=0)
 
-    def pack(raw: bytes) -> bytes:
-        c = array.meta["compressor"]
-        if c is None:
-            return raw
-        if c["id"] == "zstd":
-            import zstandard
 
-            return zstandard.ZstdCompressor(level=c["level"]).compress(raw)
-        return zlib.compress(raw, c["level"]) if c["id"] == "zlib" else gzip.compress(raw, mtime=0)
+def put_block(array: ZarrArray, origin, v: np.ndarray) -> int:
+    """Write the chunks of one block; it begins at chunk borders and ends there or at the array's end. Returns how
+    many chunks it has."""
+    ends = [o + n for o, n in zip(origin, v.shape, strict=True)]
+    if any(o % c for o, c in zip(origin, array.chunk, strict=True)) or any(e % c and -(-e // c) * c < n for e, c, n in zip(ends, array.chunk, array.shape, strict=True)):
+        raise ValueError(f"block at {list(origin)} of {list(v.shape)} does not begin and end at chunks")
+    if array.kind.kind in "iu" and v.dtype != array.kind:
+        v = np.clip(np.rint(v), np.iinfo(array.kind).min, np.iinfo(array.kind).max)
+    where, path = _open(array.uri)
+    found = list(itertools.product(*[range(-(-n // c)) for n, c in zip(v.shape, array.chunk, strict=True)]))
+    for index in found:
+        part = v[tuple(slice(i * c, (i + 1) * c) for i, c in zip(index, array.chunk, strict=True))]
+        whole = np.zeros(array.chunk, dtype=array.kind)
+        whole[tuple(slice(0, n) for n in part.shape)] = part
+        full = f"{path}/{array.name([o // c + i for o, c, i in zip(origin, array.chunk, index, strict=True)])}"
+        where.create_dir(full.rpartition("/")[0], recursive=True)
+        with where.open_output_stream(full, compression=None) as out:
+            out.write(_packed(array, np.ascontiguousarray(whole.transpose(2, 1, 0)).tobytes()))
+    return len(found)
+
+
+#: Blocks of voxels as rows, in the kind of their source (first axis slowest).
+VOXELS = "origin array<long>, shape array<long>, kind string, data binary"
+
+
+def voxels(row) -> np.ndarray:
+    """The array of a row of ``VOXELS``; without a kind float64."""
+    return np.frombuffer(row.data, dtype=getattr(row, "kind", None) or "<f8").reshape(tuple(row.shape))
+
+
+def write_blocks(blocks: DataFrame, uri: str) -> int:
+    """Write blocks (``VOXELS``, or float64 without a kind) into the Zarr array at ``uri``, from the executors;
+    returns their number."""
 
     def run(frames):
         import pandas as pd
 
+        array = open_array(uri)
         for f in frames:
             for b in f.itertuples(index=False):
-                v = np.frombuffer(b.data, dtype="<f8").reshape(tuple(b.shape))
-                if any(o % c for o, c in zip(b.origin, array.chunk, strict=True)):
-                    raise ValueError(f"block at {list(b.origin)} does not begin at a chunk")
-                if array.kind.kind in "iu":
-                    v = np.clip(np.rint(v), np.iinfo(array.kind).min, np.iinfo(array.kind).max)
-                for index in itertools.product(*[range(-(-n // c)) for n, c in zip(v.shape, array.chunk, strict=True)]):
-                    part = v[tuple(slice(i * c, (i + 1) * c) for i, c in zip(index, array.chunk, strict=True))]
-                    whole = np.zeros(array.chunk, dtype=array.kind)
-                    whole[tuple(slice(0, n) for n in part.shape)] = part
-                    at = [o // c + i for o, c, i in zip(b.origin, array.chunk, index, strict=True)]
-                    where, path = _open(array.uri)
-                    name = "/".join([path, *["0"] * array.lead, *map(str, at[::-1])])
-                    where.create_dir(name.rpartition("/")[0], recursive=True)
-                    with where.open_output_stream(name, compression=None) as out:
-                        out.write(pack(np.ascontiguousarray(whole.transpose(2, 1, 0)).tobytes()))
+                put_block(array, b.origin, voxels(b))
             yield pd.DataFrame({"n": [len(f)]})
 
-    written = blocks.select("origin", "shape", "data").mapInPandas(run, "n long")
-    return sum(r["n"] for r in written.collect())  # one number a batch
+    kept = [c for c in ("origin", "shape", "kind", "data") if c in blocks.columns]
+    return blocks.select(*kept).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_tiles(tiles: DataFrame, block: tuple[int, int, int] | None = None) -> DataFrame:
+    """tile and ``VOXELS`` of all blocks of many arrays, ``tiles`` (tile, uri), in their own kind: headers and
+    blocks are read by executors, nothing is listed on the driver. ``block`` defaults to each array's chunks."""
+    spark = tiles.sparkSession
+    size = F.array(*map(F.lit, block)).cast("array<long>") if block else F.col("chunk")
+    found = shapes(spark, tiles.select("uri")).withColumn("size", size).join(tiles.select("tile", "uri"), "uri")
+    for d in range(3):
+        n = F.ceil(F.get("shape", F.lit(d)) / F.get("size", F.lit(d)))
+        found = found.withColumn(f"i{d}", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for r in f.itertuples(index=False):
+                lo = [i * n for i, n in zip((r.i0, r.i1, r.i2), r.size, strict=True)]
+                v = read_slice(open_array(r.uri), lo, [min(o + n, m) for o, n, m in zip(lo, r.size, r.shape, strict=True)])
+                yield pd.DataFrame([(r.tile, lo, list(v.shape), v.dtype.str, v.tobytes())], columns=["tile", "origin", "shape", "kind", "data"])
+
+    rows = found.select("tile", "uri", "shape", F.col("size").alias("size"), "i0", "i1", "i2").repartition("uri", "i0", "i1", "i2")
+    return rows.mapInPandas(run, f"tile {tiles.schema['tile'].dataType.simpleString()}, {VOXELS}")
