@@ -129,6 +129,11 @@ def corners(lower: list, upper: list) -> Column:
     return F.array(*[F.struct(*[(upper if bits >> k & 1 else lower)[k].alias("xyz"[k]) for k in range(3)]) for bits in range(8)])
 
 
+def origin_shift(level: Column) -> Column:
+    """Where the first voxel of a pyramid level lies in voxels of level 0: half a voxel of every step before it."""
+    return 0.5 * (F.pow(F.lit(2.0), level) - 1)
+
+
 def half_pixel(scale: float) -> list[float]:
     """Model of a down-sampling: scale about pixel centres."""
     t = 0.5 * (scale - 1)

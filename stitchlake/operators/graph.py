@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, written
+
 
 def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Every row and its mirror image with the named columns exchanged."""
@@ -14,30 +14,54 @@ def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.unionByName(df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns]))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; a session on one machine without that setting (a
-    local test) gets a temporary folder, any other must have it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stitchlake-checkpoint-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of an undirected edge table (a, b); the smallest node names a
     component. Labels take the neighbourhood's minimum and jump to their label's label, so the
-    number of rounds grows with the logarithm of the diameter; each round is checkpointed.
+    number of rounds grows with the logarithm of the diameter. Every round is a table in the shared folder,
+    which goes when the next one is there.
     """
-    both = cut(both_ways(edges.select("a", "b"), [("a", "b")]).distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    both = written(both_ways(edges.select("a", "b"), [("a", "b")]).distinct(), "edges")
+    held = label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         up = label.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = cut(
-            label.join(near, "node").join(up, "component", "left").select("node", F.col("component").alias("old"), F.least("component", "near", "root").alias("component"))
+        new = written(
+            label.join(near, "node").join(up, "component", "left").select("node", F.col("component").alias("old"), F.least("component", "near", "root").alias("component")), "labels"
         )
-        label = new.select("node", "component")
+        discard(held)
+        held, label = new, new.select("node", "component")
         if not new.filter("old <> component").limit(1).count():
+            discard(both)
             return label
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour) of the nodes of an undirected edge table (a, b): nodes that share an edge differ in colour.
+    Luby's rounds: of the nodes without a colour those whose random number (a hash, so repeated tasks agree)
+    is the largest among such neighbours take the colour of the round."""
+    both = written(both_ways(edges.select("a", "b").filter("a <> b"), [("a", "b")]).distinct(), "edges")
+    todo = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    done, colour = None, 0
+    links = both
+    while todo.limit(1).count():
+        # within a colour: rounds until every node has a neighbour of that colour or has it
+        free, here = todo, links
+        while free.limit(1).count():
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(colour)), F.col(c))  # noqa: E731, B023
+            beaten = here.groupBy(F.col("a").alias("node")).agg(F.max(rank("b")).alias("best"))
+            chosen = written(free.join(beaten, "node", "left").filter(F.col("best").isNull() | (rank("node") > F.col("best"))).select("node", F.lit(colour).alias("colour")), "colour")
+            done = chosen if done is None else done.unionByName(chosen)
+            mine = chosen.select("node")
+            beside = here.join(mine.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
+            rest = written(free.join(mine, "node", "left_anti").join(beside, "node", "left_anti"), "free")
+            inside = lambda c, of: of.select(F.col("node").alias(c))
+            next_links = written(here.join(inside("a", rest), "a", "left_semi").join(inside("b", rest), "b", "left_semi"), "links")
+            discard(*([free] if free is not todo else []), *([here] if here is not links else []))
+            free, here = rest, next_links
+        discard(free, here)
+        left = written(todo.join(done.select("node"), "node", "left_anti"), "nodes")
+        kept = written(links.join(inside("a", left), "a", "left_semi").join(inside("b", left), "b", "left_semi"), "links")
+        discard(todo, *([links] if links is not both else []))
+        todo, links, colour = left, kept, colour + 1
+    discard(todo, both, links)
+    return done if done is not None else todo.select("node", F.lit(0).alias("colour"))

@@ -111,6 +111,13 @@ def synthetic_points(overlaps: DataFrame, key: str, density: float, least: int,
     return n.select(key, "i", *cols)
 
 
+def slices(df: DataFrame, length: str, block: int, index: str, first: str, end: str) -> DataFrame:
+    """``df`` with a row for each block of an axis of ``length``: its index, and [first, end)."""
+    last = F.floor((F.col(length) - 1) / block)
+    rows = df.filter(F.col(length) > 0).withColumn(index, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.withColumn(first, F.col(index) * block).withColumn(end, F.least(F.col(index) * block + block, F.col(length)))
+
+
 def block_shape(shape: tuple[int, ...], chunk: tuple[int, ...], itemsize: int, target_bytes: int) -> tuple[int, ...]:
     """Chunk multiple near a target size: axes doubled in turn from the last, or all alike, whichever comes closer."""
     size = lambda b: math.prod(b) * itemsize

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def islands(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, first, last, label of the runs of consecutive integers of each group."""
@@ -69,3 +71,16 @@ def near_equal_parts(df: DataFrame, length: str, parts: int, halo: int) -> DataF
     edge = lambda i: i * F.floor(n / parts) + F.least(i, n % parts)
     lo, hi = edge(F.col("i")), edge(F.col("i") + 1)
     return rows.filter(hi > lo).withColumn("lo", F.greatest(lo - halo, F.lit(0)).cast("long")).withColumn("hi", F.least(hi + halo, n).cast("long"))
+
+
+def ranks(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with ``name``, the 1-based place of every row in its group (without nulls), however many rows a group
+    has: rows are sorted by range over all tasks, a task counts its own, and what earlier tasks hold of a group
+    is added from a table of one row a task and group. Rows equal in group and order may come in any order."""
+    keys = [*group, *order]
+    dealt = df.withColumn("any_", F.monotonically_increasing_id()).repartitionByRange(*keys, "any_").sortWithinPartitions(*keys, "any_").drop("any_")
+    cut = written(dealt.withColumn("at_", F.monotonically_increasing_id()), "sorted").withColumn("task_", F.shiftright("at_", 33))
+    spans = cut.groupBy(*group, "task_").agg(F.min("at_").alias("lo_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*group).orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    zero = spans.select(*group, "task_", (F.col("lo_") - before).alias("zero_"))
+    return cut.join(zero, [*group, "task_"]).select(*df.columns, (F.col("at_") - F.col("zero_") + 1).alias(name))

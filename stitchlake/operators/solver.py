@@ -1,9 +1,10 @@
 """Global alignment of tiles from matches.
 
-Every iteration is a distributed step (Jacobi): matches are transformed by the current models of
-both tiles, each tile's moments are summed natively, and new models are fitted from the sums.
-Models are one small row a tile. Only the error curve reaches the driver, which decides on
-stopping; matches are read, never collected.
+An iteration goes through the colours of the tile graph (Gauss-Seidel): tiles of one colour share no
+match, so they move together, each to the newest models of its neighbours. Matches are transformed by the
+models of both tiles, each tile's moments are summed natively, and new models are fitted from the sums.
+Models are one small row a tile, in a table that replaces the one before; fixed tiles are a table too.
+Only the error curve reaches the driver, which decides on stopping; matches are read, never collected.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import discard, written
 from . import fit, graph
 
 NAMES = G.NAMES
@@ -52,52 +54,73 @@ def settled(errors: list[float], plateau: int, allowed: float = math.inf, slope:
     return True
 
 
-def relax(matches: DataFrame, fixed: list, kind: str = "rigid", iterations: int = 10_000, damp: float = 1.0, plateau: int = 200, slope: float = 1e-4, share: float = 0.1, start: DataFrame | None = None, allowed: float = math.inf) -> tuple[DataFrame, list[float]]:
-    """(models, mean error of each iteration). ``matches``: tile, other, px.., qx..; fixed tiles keep
-    the identity. ``affine`` fits are drawn towards the rigid ones by ``share``. The search ends when
-    ``settled``. ``start`` gives first models, as those of
-    ``prealign``: far from the solution simultaneous steps can swing."""
-    links = graph.both_ways(matches, [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]).persist()
+def _tiles(spark, fixed) -> DataFrame:
+    """A table (tile) of fixed tiles from a list, or the table itself."""
+    if isinstance(fixed, DataFrame):
+        return fixed.select("tile")
+    kind = "string" if any(isinstance(t, str) for t in fixed) else "long"
+    return spark.createDataFrame([(t,) for t in fixed], f"tile {kind}")
+
+
+def _models(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("tile", *[F.col(n).alias(f"{prefix}{n}") for n in NAMES])
+
+
+def relax(matches: DataFrame, fixed: list | DataFrame, kind: str = "rigid", iterations: int = 10_000, damp: float = 1.0, plateau: int = 200, slope: float = 1e-4, share: float = 0.1, start: DataFrame | None = None, allowed: float = math.inf, coloured: bool = True) -> tuple[DataFrame, list[float]]:
+    """(models, mean error of each iteration). ``matches``: tile, other, px.., qx..; fixed tiles (a list, or a table
+    of tile) keep the identity. ``affine`` fits are drawn towards the rigid ones by ``share``. The search ends when
+    ``settled``. ``start`` gives first models, as those of ``prealign``. Without ``coloured`` all tiles
+    move at once (Jacobi), which needs more iterations and can swing far from the solution."""
+    links = written(graph.both_ways(matches.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]), "links")
+    moving = links.join(_tiles(matches.sparkSession, fixed), "tile", "left_anti")
+    if coloured:
+        found = written(graph.coloured(matches.select(F.col("tile").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "tile"), "colours")
+        moving = written(moving.join(found, "tile"), "moving")
+        colours = sorted(r.colour for r in moving.select("colour").distinct().collect())  # few: at most a tile's matches partners + 1
+        discard(found)
+    else:
+        moving, colours = moving.withColumn("colour", F.lit(0)), [0]
     models = identity(links.select("tile").distinct())
     if start is not None:
-        begun = start.select("tile", *[F.col(n).alias(f"s_{n}") for n in NAMES])
-        models = models.join(begun, "tile", "left").select("tile", *[F.coalesce(f"s_{n}", n).alias(n) for n in NAMES])
-    models = graph.cut(models)
+        models = models.join(_models(start, "s_"), "tile", "left").select("tile", *[F.coalesce(f"s_{n}", n).alias(n) for n in NAMES])
+    models = written(models, "models")
     errors: list[float] = []
-    try:
-        for i in range(iterations):
-            w = _world(links.filter(~F.col("tile").isin(fixed)), models)
+    for _ in range(iterations):
+        for colour in colours:
+            w = _world(moving.filter(F.col("colour") == colour), models)
             target = [(F.col(f"w{a}") + damp * (F.col(f"v{a}") - F.col(f"w{a}"))).alias(f"q{a}") for a in "xyz"]
             sums = fit.moments(w.select("tile", *[F.col(f"p{a}") for a in "xyz"], *target), ["tile"])
             new = fit.rigid_fit(sums, ["tile"])
             if kind == "affine":
-                a = fit.affine_fit(sums, ["tile"]).select("tile", *[F.col(n).alias(f"f_{n}") for n in NAMES])
                 mixed = [(F.coalesce(F.col(f"f_{n}") * (1 - share) + F.col(n) * share, F.col(n))).alias(n) for n in NAMES]
-                new = new.join(a, "tile", "left").select("tile", *mixed)
-            new = new.select("tile", *[F.col(n).alias(f"n_{n}") for n in NAMES])
-            models = graph.cut(models.join(new, "tile", "left").select("tile", *[F.coalesce(f"n_{n}", n).alias(n) for n in NAMES]))
-            errors.append(tile_errors(links, models).agg(F.avg("error")).first()[0])
-            if settled(errors, plateau, allowed, slope):
-                break
-    finally:
-        links.unpersist()
+                new = new.join(_models(fit.affine_fit(sums, ["tile"]), "f_"), "tile", "left").select("tile", *mixed)
+            held = models
+            models = written(held.join(_models(new, "n_"), "tile", "left").select("tile", *[F.coalesce(f"n_{n}", n).alias(n) for n in NAMES]), "models")
+            discard(held)
+        errors.append(tile_errors(links, models).agg(F.avg("error")).first()[0])
+        if settled(errors, plateau, allowed, slope):
+            break
+    discard(links, moving)
     return models, errors
 
 
 def prealign(matches: DataFrame, seed, least: int = 3) -> DataFrame:
     """Models along a breadth-first spread from the seed tile: each round fits the tiles that touch
     the aligned ones by their matches with those. Unreached tiles are absent."""
-    links = graph.both_ways(matches, [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]])
-    models = graph.cut(identity(links.filter(F.col("tile") == seed).select("tile").distinct()))
+    links = written(graph.both_ways(matches.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]), "links")
+    models = written(identity(links.filter(F.col("tile") == seed).select("tile").distinct()), "models")
     while True:
         done = models.select("tile")
         front = links.join(done, "tile", "left_anti").join(models.select(F.col("tile").alias("other"), *NAMES), "other")
         world = G.apply(G.model(), [F.col(f"q{a}") for a in "xyz"])
         sums = fit.moments(front.select("tile", *[F.col(f"p{a}") for a in "xyz"], *[v.alias(f"q{a}") for v, a in zip(world, "xyz", strict=True)]), ["tile"])
-        new = graph.cut(fit.rigid_fit(sums, ["tile"], least).select("tile", *NAMES))
+        new = written(fit.rigid_fit(sums, ["tile"], least).select("tile", *NAMES), "front")
         if not new.limit(1).count():
+            discard(new, links)
             return models
-        models = graph.cut(models.unionByName(new))
+        held = models
+        models = written(held.unionByName(new), "models")
+        discard(held, new)
 
 
 def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -138,9 +161,8 @@ def two_rounds(matches: DataFrame, weak: DataFrame, fixed, kind: str = "rigid",
     """Split alignment. Round 1 aligns the tiles of each component of the strong matches with its smallest tile
     fixed; round 2 moves whole components by the weak matches (tile, other, px.., qx.. as ``matches``), with
     the component of ``fixed`` fixed. A tile's model is its component's after its own."""
-    group = graph.cut(graph.components(matches.select(F.col("tile").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("tile"), "component"))
-    seeds = [r.component for r in group.select("component").distinct().toLocalIterator()]  # one number a component
-    first, errors = relax(matches, seeds, kind, iterations, plateau=plateau)
+    group = written(graph.components(matches.select(F.col("tile").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("tile"), "component"), "groups")
+    first, errors = relax(matches, group.select(F.col("component").alias("tile")).distinct(), kind, iterations, plateau=plateau)
     moved = _world(weak.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), first)
     of = lambda c, name: group.select(F.col("tile").alias(c), F.col("component").alias(name))
     between = moved.join(of("tile", "ga"), "tile").join(of("other", "gb"), "other").filter("ga <> gb")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .graph import cut
+from ..sources.shared import written
+from . import ordered
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -74,52 +75,71 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def top_scaled(df: DataFrame, group: str, order: list, most: float) -> DataFrame:
-    """The first rows of each group, ``most`` of the largest group and as many of the others as their share
-    of its size gives; a group whose share rounds to none or to all of it stays whole. Sizes are counted
-    first, with map-side combine; the rank then needs the rows of a group together, as a group may be
-    kept whole."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n_of_group"))
-    largest = sizes.agg(F.max("n_of_group").alias("n_of_largest"))
-    keep = F.rint(most * F.col("n_of_group") / F.col("n_of_largest"))
-    sizes = sizes.join(F.broadcast(largest)).select(group, F.when(keep.between(1, F.col("n_of_group") - 1), keep).otherwise(F.col("n_of_group")).alias("n_kept"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.join(sizes, group).filter("rank <= n_kept").select(*df.columns, "rank")
+#: Classes of values to a doubling, for ``top_scaled``.
+CLASSES = 16
+
+
+def _class(value: str) -> Column:
+    """A number that grows with the value, with some tens of thousands of classes for all doubles."""
+    v = F.col(value).cast("double")
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 1024 + 1) * CLASSES)).cast("int")
+
+
+def top_scaled(df: DataFrame, group: str, value: str, tie: str, most: float) -> DataFrame:
+    """The rows of each group with the largest values (then the smallest ``tie``): ``most`` of the largest group and as
+    many of the others as their share of its size gives; a group whose share rounds to none or to all of it stays
+    whole. A histogram of logarithmic classes of values, bounded in size, says in which class a group's last row
+    lies; rows of higher classes pass as they are, and only those of that class are ranked, over all tasks. No
+    group is sorted whole."""
+    classed = df.withColumn("class_", _class(value))
+    sizes = classed.groupBy(group, "class_").agg(F.count("*").alias("n_class"))
+    whole = sizes.groupBy(group).agg(F.sum("n_class").alias("n_group"))
+    largest = whole.agg(F.max("n_group").alias("n_largest"))
+    keep = F.rint(most * F.col("n_group") / F.col("n_largest"))
+    kept = whole.join(F.broadcast(largest)).select(group, F.when(keep.between(1, F.col("n_group") - 1), keep).otherwise(F.col("n_group")).cast("long").alias("n_kept"))
+    higher = F.coalesce(F.sum("n_class").over(Window.partitionBy(group).orderBy(F.desc("class_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("higher_", higher).join(kept, group).filter("higher_ < n_kept").withColumn("part_", F.col("higher_") + F.col("n_class") > F.col("n_kept"))
+    found = classed.join(last.select(group, "class_", "part_", (F.col("n_kept") - F.col("higher_")).alias("room_")), [group, "class_"])
+    border = found.filter("part_").withColumn("down_", -F.col(value).cast("double"))
+    border = ordered.ranks(border, [group], ["down_", tie], "rank_").filter("rank_ <= room_")
+    return found.filter("NOT part_").select(*df.columns).unionByName(border.select(*df.columns))
+
+
+#: Points in the cells around a point at first, for each neighbour that is asked for.
+FIRST_CELLS = 20.0
 
 
 def knn_self(points: DataFrame, group: str, key: str, p: list[str], k: int) -> DataFrame:
     """(group, key, neighbour, d2, rank) of the k nearest other points of the same group.
 
-    A ring join: points meet those of the cells around theirs. A point is done once its k-th
-    neighbour is no farther than a cell is wide, as no other cell can hold a nearer one; the others
-    go on with cells twice as wide, until the cells span the group. Widths start where the cells
-    around a point hold a few times k points on average, so few points need a second round and no
-    round pairs all points of a group.
+    A ring join: an unfinished point names the cells around its own, and meets the points in them. It is done
+    once its k-th neighbour is no farther than a cell is wide, as no other cell can hold a nearer one; the others
+    go on with cells twice as wide, until the cells span the group. So a round joins in proportion to the points
+    that are not done, and other points are read once each. Widths start where a ball as wide as a cell holds a
+    few times k points on average, so few points need a second round and no round pairs all points of a group.
     """
     extent = [F.max(c) - F.min(c) for c in p]
-    start = F.pow(reduce(lambda x, y: x * y, [F.greatest(e, F.lit(1e-9)) for e in extent]) * (4.0 * k) / F.count("*") / 3.0 ** len(p), F.lit(1.0 / len(p)))
+    start = F.pow(reduce(lambda x, y: x * y, [F.greatest(e, F.lit(1e-9)) for e in extent]) * (FIRST_CELLS * k) / F.count("*") / 3.0 ** len(p), F.lit(1.0 / len(p)))
     sizes = points.groupBy(group).agg(F.greatest(*extent).alias("__all"), F.greatest(start, F.greatest(*extent) / 1024, F.lit(1e-9)).alias("__w"), F.count("*").alias("__m"))
-    todo = cut(points.select(group, key, *p).join(sizes, group))
-    done = None
+    todo, done = points.select(group, key, *p).join(sizes, group), None
     while True:
         widths = todo.groupBy(group).agg(F.first("__w").alias("__w"))
         cell = [F.floor(F.col(c) / F.col("__w")) for c in p]
         own = todo.select(group, key, *p, "__all", "__w", "__m", *[c.alias(f"__c{i}") for i, c in enumerate(cell)])
-        other = points.join(widths, group).select(group, F.col(key).alias("neighbour"), *[F.col(c).alias(f"__{c}") for c in p], *[c.alias(f"__c{i}") for i, c in enumerate(cell)])
         for i in range(len(p)):
-            other = other.withColumn(f"__c{i}", F.explode(F.sequence(F.col(f"__c{i}") - 1, F.col(f"__c{i}") + 1)))
+            own = own.withColumn(f"__c{i}", F.explode(F.sequence(F.col(f"__c{i}") - 1, F.col(f"__c{i}") + 1)))
+        other = points.join(widths, group).select(group, F.col(key).alias("neighbour"), *[F.col(c).alias(f"__{c}") for c in p], *[c.alias(f"__c{i}") for i, c in enumerate(cell)])
         d2 = G.distance2([F.col(c) for c in p], [F.col(f"__{c}") for c in p])
         near = own.join(other, [group, *[f"__c{i}" for i in range(len(p))]]).filter(F.col(key) != F.col("neighbour")).withColumn("d2", d2)
         best = top_k(near.select(group, key, "neighbour", "d2"), [group, key], ["d2", "neighbour"], k)
-        reach = best.groupBy(group, key).agg(F.count("*").alias("__n"), F.max("d2").alias("__far"))
-        state = todo.join(reach, [group, key], "left")
+        found = best.groupBy(group, key).agg(F.collect_list(F.struct("neighbour", "d2", "rank")).alias("__best"), F.count("*").alias("__n"), F.max("d2").alias("__far"))
         full = (F.coalesce("__n", F.lit(0)) >= F.least(F.lit(k), F.col("__m") - 1)) & (F.coalesce("__far", F.lit(0.0)) <= F.col("__w") * F.col("__w"))
-        state = cut(state.withColumn("__ok", full | (F.col("__w") >= F.col("__all"))))
-        part = best.join(state.filter("__ok").select(group, key), [group, key])
+        state = written(todo.join(found, [group, key], "left").withColumn("__ok", full | (F.col("__w") >= F.col("__all"))), "neighbours")
+        part = state.filter("__ok").select(group, key, F.explode("__best").alias("__b")).select(group, key, "__b.neighbour", "__b.d2", "__b.rank")
         done = part if done is None else done.unionByName(part)
         todo = state.filter("NOT __ok").select(group, key, *p, "__all", (F.col("__w") * 2).alias("__w"), "__m")
         if not todo.limit(1).count():
-            return done.select(group, key, "neighbour", "d2", "rank")
+            return done
 
 
 def ratio_test(candidates: DataFrame, by: list[str], distance: str, partner: str, significance: float) -> DataFrame:

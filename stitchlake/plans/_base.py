@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
+__all__ = ["ORACLES", "QUERIES", "query", "shared_folder", "table"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,14 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; a session on one machine may have none set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/stitchlake-store-{uuid.uuid4().hex[:12]}"
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -219,12 +219,12 @@ def q_coord_shift(spark, sf):
     return pts(spark, sf).select("vec_id", *[r6(v, f"u{a}") for v, a in zip(G.apply(m, [F.col(a) for a in "xyz"]), "xyz", strict=True)])
 
 
-@query("SELECT level, round(0.5 * (pow(2, level) - 1), 6) AS shift FROM (SELECT unnest(generate_series(0, 6))::INT AS level)")
+@query(f"WITH {BOXES} SELECT k, level, round(0.5 * (pow(2, level) - 1), 6) AS shift FROM (SELECT k, unnest(generate_series(0, CAST(floor(log2(greatest(n, 1)) + 1e-9) AS BIGINT)))::INT AS level FROM boxes)")
 def q_origin_shift(spark, sf):
-    """Origin of each pyramid level: half a voxel of every coarser step added up."""
-    lv = spark.range(7).select(F.col("id").cast("int").alias("level"))
-    step = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("level") - 1, F.lit(0))), F.lit(0.0), lambda s, k: F.when(F.col("level") > 0, s + F.pow(F.lit(2.0), k) * 0.5).otherwise(s))
-    return lv.select("level", r6(step, "shift"))
+    """Origin of each pyramid level of every box: half a voxel of every coarser step added up."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) + 1e-9).cast("int"))
+    lv = boxes(spark, sf).select("k", F.explode(levels).alias("level"))
+    return lv.select("k", "level", r6(G.origin_shift(F.col("level")), "shift"))
 
 
 @query(f"""WITH {BOXES} SELECT k, CAST(least(floor(log2(greatest(n, 1)) + 1e-9), floor(log2(greatest(n // 2, 1)) + 1e-9), 7) AS INTEGER) AS level,
@@ -241,10 +241,12 @@ def q_normalize(spark, sf):
     return e.join(r, "view_id").select("event_id", r6(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), "v"))
 
 
-@query("SELECT i, round(1.8 * pow(2, i / 4.0), 6) AS sigma, round(sqrt(pow(1.8 * pow(2, i / 4.0), 2) - 0.25), 6) AS applied FROM (SELECT unnest(generate_series(0, 3))::INT AS i)")
+@query(f"WITH {BOXES} SELECT k, i, round((1 + n / 10.0) * pow(2, i / 4.0), 6) AS sigma, round(sqrt(pow((1 + n / 10.0) * pow(2, i / 4.0), 2) - 0.25), 6) AS applied FROM boxes, (SELECT unnest(generate_series(0, 3))::INT AS i)")
 def q_sigmas(spark, sf):
-    s = F.lit(1.8) * F.pow(F.lit(2.0), F.col("i") / 4.0)
-    return spark.range(4).select(F.col("id").cast("int").alias("i")).select("i", r6(s, "sigma"), r6(F.sqrt(s * s - 0.25), "applied"))
+    """The ladder of filter widths that begins with each box's own."""
+    s = (1 + F.col("n") / 10.0) * F.pow(F.lit(2.0), F.col("i") / 4.0)
+    rows = boxes(spark, sf).select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    return rows.select("k", "i", r6(s, "sigma"), r6(F.sqrt(s * s - 0.25), "applied"))
 
 
 @query(f"WITH {BOXES} SELECT k, CAST(ceil(n / 64.0) * 64 AS BIGINT) AS target, CAST(ceil(price / 64.0) * 64 AS BIGINT) AS overlap FROM boxes")
@@ -330,15 +332,15 @@ def q_round_robin(spark, sf):
 _LENGTH, _TARGET, _OVERLAP, _STEP = "200 + n * 37", 512, 64, 64
 
 
-@query(f"""WITH RECURSIVE {BOXES}, b AS (SELECT k, {_LENGTH} AS l FROM boxes),
-f AS (SELECT k, l, s, CASE WHEN o + r < 0 THEN l + o + r ELSE o + r END AS last FROM (SELECT *, (l - 2 * (s - o) - o) - (s - o) * CAST(trunc((l - 2 * (s - o) - o) / (s - o)) AS BIGINT) AS r
-  FROM b, (SELECT unnest(generate_series({_OVERLAP + _STEP}, 4096, {_STEP})) AS s, {_OVERLAP} AS o))),
-g AS (SELECT a.k, a.l, a.last <= {_TARGET} // 2 AS grow, a.last AS last FROM f a WHERE a.s = {_TARGET}),
-n AS (SELECT f.k, f.s, f.last, f.last - lag(f.last) OVER (PARTITION BY f.k ORDER BY f.s) AS up, f.last - lead(f.last) OVER (PARTITION BY f.k ORDER BY f.s) AS down FROM f),
-t AS (SELECT g.k, g.l, CASE WHEN g.l <= {_TARGET} THEN g.l WHEN g.last = {_TARGET} THEN {_TARGET}
-  WHEN g.grow THEN (SELECT min(s) FROM n WHERE n.k = g.k AND n.s > {_TARGET} AND n.up >= 0)
-  ELSE (SELECT max(s) FROM n WHERE n.k = g.k AND n.s < {_TARGET} AND n.down <= 0) + {_STEP} END AS s FROM g)
-SELECT k, CAST(s AS BIGINT) AS size, CAST(CASE WHEN l <= {_TARGET} THEN 1 ELSE greatest(1, ceil((l - {_OVERLAP}) / (s - {_OVERLAP}))) END AS BIGINT) AS tiles FROM t""")
+# the sizes of each distinct length are tried once; sizes that grow from a target end at the first whose last tile
+# is no shorter than the one before, sizes that shrink at the last that is still longer
+@query(f"""WITH {BOXES}, b AS (SELECT k, {_LENGTH} AS l FROM boxes), d AS (SELECT DISTINCT l FROM b),
+f AS (SELECT l, s, CASE WHEN o + r < 0 THEN l + o + r ELSE o + r END AS last FROM (SELECT *, (l - 2 * (s - o) - o) - (s - o) * CAST(trunc((l - 2 * (s - o) - o) / (s - o)) AS BIGINT) AS r
+  FROM d, (SELECT unnest(generate_series({_OVERLAP + _STEP}, 4096, {_STEP})) AS s, {_OVERLAP} AS o))),
+n AS (SELECT l, s, last, last - lag(last) OVER w AS up, last - lead(last) OVER w AS down, max(CASE WHEN s = {_TARGET} THEN last END) OVER (PARTITION BY l) AS here FROM f WINDOW w AS (PARTITION BY l ORDER BY s)),
+e AS (SELECT l, any_value(here) AS here, min(s) FILTER (WHERE s > {_TARGET} AND up >= 0) AS grown, max(s) FILTER (WHERE s < {_TARGET} AND down <= 0) + {_STEP} AS shrunk FROM n GROUP BY l),
+t AS (SELECT l, CASE WHEN l <= {_TARGET} THEN l WHEN here = {_TARGET} THEN {_TARGET} WHEN here <= {_TARGET} // 2 THEN grown ELSE shrunk END AS s FROM e)
+SELECT k, CAST(s AS BIGINT) AS size, CAST(CASE WHEN l <= {_TARGET} THEN 1 ELSE greatest(1, ceil((l - {_OVERLAP}) / (s - {_OVERLAP}))) END AS BIGINT) AS tiles FROM b JOIN t USING (l)""")
 def q_split_sizes(spark, sf):
     """Tile size along an axis, and how many tiles cover it."""
     return layout.split_table(boxes(spark, sf).select("k", (200 + F.col("n") * 37).cast("int").alias("length")), "length", _TARGET, _OVERLAP, _STEP).select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import graph, ordered
+from ..operators import graph, layout, ordered
 from ..operators import spatial as S
-from ._base import EVT, MATCHED, PTS, TILES, evt, matched, pts, query, r6, table, tiles
+from ._base import BOXES, EVT, MATCHED, PTS, TILES, boxes, evt, matched, pts, query, r6, table, tiles
 
 
 def _c(p, n=3):
@@ -225,10 +225,11 @@ def q_intersect(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
 def q_except(spark, sf):
-    used = table(spark, sf, "supplier").filter("s_suppkey < 20").select(F.col("s_nationkey").alias("k"))
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).distinct().join(used, "k", "left_anti")
+    """Parts that were never ordered in large numbers."""
+    used = table(spark, sf, "lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("k"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).distinct().join(used, "k", "left_anti")
 
 
 @query(f"WITH {TILES} SELECT DISTINCT least(a.k, b.k) AS ka, greatest(a.k, b.k) AS kb FROM tiles a JOIN tiles b ON a.k <> b.k AND {_STRICT}")
@@ -237,12 +238,14 @@ def q_distinct_edges(spark, sf):
     return found.select(F.least("a_k", "b_k").alias("ka"), F.greatest("a_k", "b_k").alias("kb")).distinct()
 
 
-@query("""SELECT z, y, x, least(z * 640 + 640, 1500) AS z1 FROM (SELECT unnest(generate_series(0, 2)) AS z), (SELECT unnest(generate_series(0, 3)) AS y), (SELECT unnest(generate_series(0, 5)) AS x)""")
+@query(f"""WITH {BOXES}, b AS (SELECT k, 50 + n * 3 AS nz, 40 + n * 2 AS ny, 30 + n AS nx FROM boxes), z AS (SELECT *, unnest(generate_series(0, (nz - 1) // 64)) AS z FROM b), y AS (SELECT *, unnest(generate_series(0, (ny - 1) // 48)) AS y FROM z),
+x AS (SELECT *, unnest(generate_series(0, (nx - 1) // 32)) AS x FROM y) SELECT k, z, y, x, least(z * 64 + 64, nz) AS z1 FROM x""")
 def q_cell_grid(spark, sf):
-    one = spark.range(1)
-    for a, n in (("z", 3), ("y", 4), ("x", 6)):
-        one = one.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return one.select("z", "y", "x", F.least(F.col("z") * 640 + 640, F.lit(1500)).alias("z1"))
+    """The cells of each box's volume: the product of its three axes' blocks."""
+    rows = boxes(spark, sf).select("k", *[(a + F.col("n") * m).alias(f"n{c}") for c, a, m in (("z", 50, 3), ("y", 40, 2), ("x", 30, 1))])
+    for c, block in (("z", 64), ("y", 48), ("x", 32)):
+        rows = layout.slices(rows, f"n{c}", block, c, f"{c}0", f"{c}1")
+    return rows.select("k", "z", "y", "x", "z1")
 
 
 @query(f"""WITH RECURSIVE {TILES}, e AS (SELECT a.k AS ka, b.k AS kb FROM tiles a JOIN tiles b ON a.grp % 5 = b.grp % 5 AND a.k <> b.k AND {_STRICT}),

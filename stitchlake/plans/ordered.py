@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import layout
 from ..operators import ordered as O
 from ..operators import spatial as S
 from ..operators import volume as V
-from ._base import EVT, PTS, TILES, evt, pts, query, r6, table, tiles
+from ._base import BOXES, EVT, PTS, TILES, boxes, evt, pts, query, r6, table, tiles
 
 
 @query(f"""WITH {EVT}, s AS (SELECT view_id, count(*) AS n FROM evt GROUP BY view_id), m AS (SELECT max(n) AS mx FROM s),
@@ -16,7 +17,7 @@ r AS (SELECT event_id, view_id, row_number() OVER (PARTITION BY view_id ORDER BY
 SELECT event_id, view_id FROM r JOIN s USING (view_id), m WHERE r <= CASE WHEN round_even(100.0::DOUBLE * n / mx, 0) BETWEEN 1 AND n - 1 THEN round_even(100.0::DOUBLE * n / mx, 0) ELSE n END""")
 def q_topn_scaled(spark, sf):
     """Brightest points of each view, their number in proportion to the view's size."""
-    return S.top_scaled(evt(spark, sf), "view_id", [F.desc("x"), "event_id"], 100.0).select("event_id", "view_id")
+    return S.top_scaled(evt(spark, sf), "view_id", "x", "event_id", 100.0).select("event_id", "view_id")
 
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
@@ -89,18 +90,20 @@ def q_local_maxima(spark, sf):
     return S.local_maxima(g, ["gx", "gy", "gz"], "n", 3).select("gx", "gy", "gz", "n")
 
 
-@query("""WITH g AS (SELECT x, y, x - 20.0 AS dx, y - 15.0 AS dy FROM (SELECT unnest(generate_series(0, 39)) AS x), (SELECT unnest(generate_series(0, 29)) AS y)), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM g),
+@query(f"""WITH {EVT}, g AS (SELECT event_id, x / 10.0 AS px, y * 1.25 AS py FROM evt), o AS (SELECT *, px - 20.0 AS dx, py - 15.0 AS dy FROM g), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM o),
 k AS (SELECT *, CASE WHEN r = 0 THEN 1 WHEN r > 10 THEN (r + (r - 10) * 3.0 / (sqrt(20.0 * 20 + 15.0 * 15) - 10)) / r ELSE 1 END AS k FROM r)
-SELECT x, y, round((20 + dx * k)::DOUBLE, 6) + 0.0 AS sx, round((15 + dy * k)::DOUBLE, 6) + 0.0 AS sy FROM k""")
+SELECT event_id, round((20 + dx * k)::DOUBLE, 6) + 0.0 AS sx, round((15 + dy * k)::DOUBLE, 6) + 0.0 AS sy FROM k""")
 def q_radial_coords(spark, sf):
-    g = spark.range(40 * 30).select((F.col("id") % 40).alias("x"), F.floor(F.col("id") / 40).alias("y"))
-    sx, sy = V.radial_shift(F.col("x").cast("double"), F.col("y").cast("double"), 20.0, 15.0, 10.0, 3.0)
-    return g.select("x", "y", r6(sx, "sx"), r6(sy, "sy"))
+    """Where radial correction reads the value of each event's place in a plane of 41 x 31."""
+    g = evt(spark, sf).select("event_id", (F.col("x") / 10.0).alias("px"), (F.col("y") * 1.25).alias("py"))
+    sx, sy = V.radial_shift(F.col("px"), F.col("py"), 20.0, 15.0, 10.0, 3.0)
+    return g.select("event_id", r6(sx, "sx"), r6(sy, "sy"))
 
 
-@query("SELECT i, j, i * 256 AS x0, least(i * 256 + 256, 1388) AS x1, j * 300 AS y0, least(j * 300 + 300, 1040) AS y1 FROM (SELECT unnest(generate_series(0, 5)) AS i), (SELECT unnest(generate_series(0, 3)) AS j)")
+@query(f"""WITH {BOXES}, b AS (SELECT k, 40 + n * 7 AS nx, 30 + n * 5 AS ny FROM boxes), i AS (SELECT *, unnest(generate_series(0, (nx - 1) // 64)) AS i FROM b), j AS (SELECT *, unnest(generate_series(0, (ny - 1) // 75)) AS j FROM i)
+SELECT k, i, j, i * 64 AS x0, least(i * 64 + 64, nx) AS x1, j * 75 AS y0, least(j * 75 + 75, ny) AS y1 FROM j""")
 def q_block_slices(spark, sf):
-    """Slices that cover a 1388 x 1040 plane in blocks of 256 x 300, the last ones cut."""
-    seq = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))
-    g = spark.range(1).select(F.explode(seq(-(-1388 // 256) - 1)).alias("i")).withColumn("j", F.explode(seq(-(-1040 // 300) - 1)))
-    return g.select("i", "j", (F.col("i") * 256).alias("x0"), F.least(F.col("i") * 256 + 256, F.lit(1388)).alias("x1"), (F.col("j") * 300).alias("y0"), F.least(F.col("j") * 300 + 300, F.lit(1040)).alias("y1"))
+    """Slices that cover each box's plane in blocks of 64 x 75, the last ones cut."""
+    planes = boxes(spark, sf).select("k", (40 + F.col("n") * 7).alias("nx"), (30 + F.col("n") * 5).alias("ny"))
+    cut = layout.slices(layout.slices(planes, "nx", 64, "i", "x0", "x1"), "ny", 75, "j", "y0", "y1")
+    return cut.select("k", "i", "j", "x0", "x1", "y0", "y1")

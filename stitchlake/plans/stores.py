@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import transforms as T
-from ..sources import precomputed, project, store
+from ..sources import points, precomputed, project, store
 from ._base import PTS, pts, query, r6, shared_folder, table
 
 
-def _descriptor(spark, sf) -> str:
-    """A descriptor of one view a supplier, as a file."""
-    from pyarrow import fs
+def _projects(setups):
+    """The project of each setup: sixteen of them."""
+    return setups.select("setup", F.concat(F.lit("project_"), F.col("setup") % 16).alias("name"))
 
+
+def _descriptors(spark, sf) -> str:
+    """The folder of descriptors of one view a supplier, written by executors, a file a project."""
     k = F.col("s_suppkey")
     s = table(spark, sf, "supplier")
     views = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.lit(0).alias("series"), (k % 3).cast("string").alias("channel"), F.concat(F.lit("tile_"), k, F.lit("_ch_"), k % 3, F.lit(".tif")).alias("file_path"))
@@ -20,20 +23,17 @@ def _descriptor(spark, sf) -> str:
     setups = s.select(k.alias("id"), F.col("s_name").alias("name"), F.array(100 + k % 7, 200 + k % 5, F.lit(50)).alias("size"), F.lit("um").alias("voxel_unit"), F.array(F.lit(0.5), F.lit(0.5), F.lit(2.0)).alias("voxel_size"), attributes.alias("attributes"))
     model = F.array(*[F.lit(float(i % 5 == 0)) if i % 4 < 3 else (k % (3 + i)).cast("double") for i in range(12)])
     lists = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.posexplode(F.array(F.lit("calibration"), F.lit("grid"))).alias("seq", "name"), F.lit("affine").alias("type"), model.alias("affine"))
-    points = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.lit("beads").alias("label"), F.lit("DOG s=1.8").alias("params"), F.concat(F.lit("points/"), k).alias("path"))
-    text = project.to_xml(views, setups, lists, points)
-    where, path = fs.FileSystem.from_uri(folder := shared_folder(spark))
-    where.create_dir(path, recursive=True)
-    with where.open_output_stream(f"{path}/project.xml") as f:
-        f.write(text.encode())
-    return f"{folder}/project.xml"
+    sets = s.select(F.lit(0).alias("timepoint"), k.alias("setup"), F.lit("beads").alias("label"), F.lit("DOG s=1.8").alias("params"), F.concat(F.lit("points/"), k).alias("path"))
+    folder = shared_folder(spark) + "/projects"
+    project.write_descriptors(views, setups, lists, sets, _projects(views), folder)
+    return folder
 
 
 @query("""SELECT s_suppkey::INT AS setup, (s_suppkey % 3)::VARCHAR AS channel, 'tile_' || s_suppkey || '_ch_' || s_suppkey % 3 || '.tif' AS file_path,
   (100 + s_suppkey % 7)::INT AS nx, s_name AS name, (s_suppkey % 4)::VARCHAR AS angle, 'points/' || s_suppkey AS points FROM supplier""")
 def q_view_scan(spark, sf):
-    """Files, setups and point sets of a descriptor."""
-    path = _descriptor(spark, sf)
+    """Files, setups and point sets of descriptors."""
+    path = _descriptors(spark, sf)
     setups = project.view_setups(spark, path).select(F.col("id").alias("setup"), "name", F.get("size", F.lit(0)).alias("nx"), F.col("attributes")["angle"].alias("angle"))
     found = project.views(spark, path).join(setups, "setup").join(project.point_sets(spark, path).select("setup", F.col("path").alias("points")), "setup")
     return found.select("setup", "channel", "file_path", "nx", "name", "angle", "points")
@@ -44,25 +44,21 @@ _TWICE = ", ".join(f"round(2.0 * (s_suppkey % {3 + i}), 6) AS t{i // 4}" for i i
 
 @query(f"SELECT s_suppkey::INT AS setup, {_TWICE} FROM supplier".replace("round(2.0 * (s_suppkey % ", "CAST(2 * (s_suppkey % ").replace("), 6) AS", ") AS DOUBLE) AS"))
 def q_registration_scan(spark, sf):
-    """The ordered product of each view's models from a descriptor: two equal shifts."""
-    lists = project.view_transforms(spark, _descriptor(spark, sf)).groupBy("setup").agg(T.composed().alias("m"))
+    """The ordered product of each view's models from descriptors: two equal shifts."""
+    lists = project.view_transforms(spark, _descriptors(spark, sf)).groupBy("setup").agg(T.composed().alias("m"))
     return lists.select("setup", *[r6(F.get("m", F.lit(i)), f"t{i // 4}") for i in (3, 7, 11)])
 
 
 @query("SELECT s_suppkey::INT AS setup, 3::BIGINT AS models, CASE WHEN s_suppkey % 2 = 0 THEN 7.0 ELSE 1.0 END::DOUBLE AS first FROM supplier")
 def q_saved_models(spark, sf):
-    """Solved models put before each view's list, identity where a view has none; the descriptor is written and read again."""
-    from pyarrow import fs
-
-    path = _descriptor(spark, sf)
+    """Solved models put before each view's list, identity where a view has none; the descriptors are written and read again."""
+    path = _descriptors(spark, sf)
     views, setups, lists = project.views(spark, path), project.view_setups(spark, path), project.view_transforms(spark, path)
     model = F.array(*[F.lit(7.0 if i == 0 else float(i % 5 == 0)) for i in range(12)])
     solved = views.filter("setup % 2 = 0").select("timepoint", "setup", model.alias("affine"))
-    text = project.to_xml(views, setups, project.with_models(lists, solved, "solved"), project.point_sets(spark, path))
-    where, local = fs.FileSystem.from_uri(path)
-    with where.open_output_stream(local + ".new.xml") as f:
-        f.write(text.encode())
-    again = project.view_transforms(spark, path + ".new.xml")
+    folder = shared_folder(spark) + "/solved"
+    project.write_descriptors(views, setups, project.with_models(lists, solved, "solved"), project.point_sets(spark, path), _projects(views), folder)
+    again = project.view_transforms(spark, folder)
     return again.groupBy("setup").agg(F.count("*").alias("models"), F.max(F.when(F.col("seq") == 0, F.get("affine", F.lit(0)))).alias("first"))
 
 
@@ -99,3 +95,14 @@ def q_markers(spark, sf):
     rows = table(spark, sf, "supplier").select((k % 16).alias("g"), k.alias("x"), (k % 7).alias("y"), (k % 5).alias("z"))
     rows.groupBy("g").applyInPandas(write, "g long").count()
     return project.markers(spark, folder)
+
+
+@query(f"""WITH {PTS} SELECT label::INT AS setup, CAST(row_number() OVER (PARTITION BY label ORDER BY x, y, z, intensity) - 1 AS BIGINT) AS point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(CAST(CAST(intensity AS FLOAT) AS DOUBLE), 6) + 0.0 AS intensity FROM pts""")
+def q_point_arrays(spark, sf):
+    """Points as chunked arrays, a chunk a task, and read back; a set without points stays empty."""
+    folder = shared_folder(spark) + "/point-arrays"
+    rows = pts(spark, sf).select(F.lit(0).alias("timepoint"), F.col("label").cast("int").alias("setup"), F.lit("beads").alias("label"), "x", "y", "z", "intensity")
+    sets = rows.select("timepoint", "setup", "label").distinct().unionByName(rows.agg(F.lit(0).alias("timepoint"), (F.max("setup") + 1).alias("setup"), F.lit("beads").alias("label")))
+    points.write_point_arrays(rows, folder, sets, chunk=64)
+    found = points.read_point_arrays(sets.withColumn("uri", points.set_path(folder)))
+    return found.select("setup", "point_id", *[r6(F.col(c), c) for c in ("x", "y", "z", "intensity")])

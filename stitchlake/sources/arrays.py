@@ -46,6 +46,18 @@ def _bytes(uri: str) -> bytes | None:
 _DECODERS = {"zstd": codecs.zstd, "blosc": codecs.blosc}
 
 
+def decoded(meta: dict, raw: bytes) -> bytes:
+    """A chunk of a version 2 array, uncompressed."""
+    c = meta.get("compressor")
+    if c is None:
+        return raw
+    if c["id"] in ("zlib", "gzip"):
+        return zlib.decompress(raw, 47)
+    if c["id"] in _DECODERS:
+        return _DECODERS[c["id"]](raw)
+    raise ValueError(f"compressor {c['id']} is not known")
+
+
 class ZarrArray:
     """Zarr version 2; axes before the last three are taken at 0."""
 
@@ -58,14 +70,7 @@ class ZarrArray:
         self.kind = np.dtype(meta["dtype"])
 
     def decode(self, raw: bytes) -> bytes:
-        c = self.meta.get("compressor")
-        if c is None:
-            return raw
-        if c["id"] in ("zlib", "gzip"):
-            return zlib.decompress(raw, 47)
-        if c["id"] in _DECODERS:
-            return _DECODERS[c["id"]](raw)
-        raise ValueError(f"compressor {c['id']} is not known")
+        return decoded(self.meta, raw)
 
     def name(self, index: tuple[int, int, int]) -> str:
         return self.meta.get("dimension_separator", ".").join(map(str, [0] * self.lead + list(index[::-1])))
@@ -313,6 +318,8 @@ def _packed(array, raw: bytes) -> bytes:
         import zstandard
 
         return zstandard.ZstdCompressor(level=c["level"]).compress(raw)
+    if c["id"] == "blosc":
+        return codecs.to_blosc(raw, array.kind.itemsize)
     return zlib.compress(raw, c["level"]) if c["id"] == "zlib" else gzip.compress(raw, mtime=0)
 
 

@@ -79,6 +79,18 @@ def blosc(raw: bytes) -> bytes:
     return out.tobytes()
 
 
+def to_blosc(raw: bytes, itemsize: int) -> bytes:
+    """A Blosc 1 frame: one block, bytes shuffled, LZ4."""
+    import pyarrow as pa
+
+    v = np.frombuffer(raw, dtype=np.uint8)
+    n = len(v) // itemsize
+    mixed = np.concatenate([v[: n * itemsize].reshape(n, itemsize).T.ravel(), v[n * itemsize :]]).tobytes()
+    packed = pa.Codec("lz4_raw").compress(mixed, asbytes=True)
+    body = struct.pack("<Ii", 20, min(len(packed), len(mixed))) + min(packed, mixed, key=len)
+    return struct.pack("<BBBBIII", 2, 1, 1 << 5 | _SHUFFLE | _WHOLE, itemsize, len(raw), len(raw), 16 + len(body)) + body
+
+
 #: Fixed values of TIFF's LZW: codes that clear the table and end the data, and the widest code.
 _CLEAR, _END, _WIDEST = 256, 257, 12
 

@@ -158,29 +158,87 @@ def channels(tiles: DataFrame) -> DataFrame:
     return tiles.filter("channel IS NOT NULL").groupBy("channel").agg(F.min("name").alias("first")).orderBy("first")
 
 
+def _text(values) -> str:
+    return " ".join(str(v) for v in values)
+
+
+def _file(r) -> str:
+    return f'        <FileMapping view_setup="{r.setup}" timepoint="{r.timepoint}" series="{r.series}" channel={quoteattr(str(r.channel))}><file type="relative">{escape(r.file_path)}</file></FileMapping>'
+
+
+def _setup(r) -> str:
+    attributes = "".join(f"<{k}>{escape(v)}</{k}>" for k, v in sorted(dict(r.attributes or {}).items()))
+    return f"      <ViewSetup><id>{r.id}</id><name>{escape(r.name or '')}</name><size>{_text(r.size)}</size><voxelSize><unit>{escape(r.voxel_unit or '')}</unit><size>{_text(r.voxel_size)}</size></voxelSize><attributes>{attributes}</attributes></ViewSetup>"
+
+
+def _registration(r) -> str:
+    inner = "".join(f"<ViewTransform type={quoteattr(t['type'])}><Name>{escape(t['name'])}</Name><affine>{_text(t['affine'])}</affine></ViewTransform>" for t in r.t)
+    return f'    <ViewRegistration timepoint="{r.timepoint}" setup="{r.setup}">{inner}</ViewRegistration>'
+
+
+def _point_set(r) -> str:
+    return f'    <ViewInterestPointsFile timepoint="{r.timepoint}" setup="{r.setup}" label={quoteattr(r.label)} params={quoteattr(r.params or "")}>{escape(r.path)}</ViewInterestPointsFile>'
+
+
+def _whole(base: str, loader: list[str], setups: list[str], registrations: list[str], points: list[str]) -> str:
+    return "\n".join([
+        '<?xml version="1.0" encoding="UTF-8"?>', '<SpimData version="0.2">', f'  <BasePath type="relative">{escape(base)}</BasePath>', "  <SequenceDescription>", *loader,
+        "    <ViewSetups>", *setups, "    </ViewSetups>", "  </SequenceDescription>", "  <ViewRegistrations>", *registrations, "  </ViewRegistrations>",
+        "  <ViewInterestPoints>", *points, "  </ViewInterestPoints>", "</SpimData>", "",
+    ])
+
+
+def _loader(files: list[str]) -> list[str]:
+    return ['    <ImageLoader format="spimreconstruction.filemap2">', "      <files>", *files, "      </files>", "    </ImageLoader>"]
+
+
+def _lists(transforms: DataFrame) -> DataFrame:
+    return transforms.groupBy("timepoint", "setup").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "name", "affine"))).alias("t"))
+
+
 def to_xml(views_df: DataFrame, setups: DataFrame, transforms: DataFrame, points: DataFrame | None = None, base: str = ".", parts: DataFrame | None = None) -> str:
-    """A descriptor from its tables; with ``parts`` one of a split project, whose ``views_df`` are the whole
-    views. Descriptors are small metadata (a few rows a view), streamed to the driver, which alone
-    writes the one file."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<SpimData version="0.2">', f'  <BasePath type="relative">{escape(base)}</BasePath>', "  <SequenceDescription>"]
-    loader = ['    <ImageLoader format="spimreconstruction.filemap2">', "      <files>"]
-    for r in views_df.orderBy("timepoint", "setup").toLocalIterator():
-        loader.append(f'        <FileMapping view_setup="{r.setup}" timepoint="{r.timepoint}" series="{r.series}" channel={quoteattr(str(r.channel))}><file type="relative">{escape(r.file_path)}</file></FileMapping>')
-    loader += ["      </files>", "    </ImageLoader>"]
-    out += [*(loader if parts is None else _split_loader(loader, parts)), "    <ViewSetups>"]
-    text = lambda vs: " ".join(str(v) for v in vs)
-    for r in setups.orderBy("id").toLocalIterator():
-        attributes = "".join(f"<{k}>{escape(v)}</{k}>" for k, v in sorted((r.attributes or {}).items()))
-        out.append(f"      <ViewSetup><id>{r.id}</id><name>{escape(r.name or '')}</name><size>{text(r.size)}</size><voxelSize><unit>{escape(r.voxel_unit or '')}</unit><size>{text(r.voxel_size)}</size></voxelSize><attributes>{attributes}</attributes></ViewSetup>")
-    out += ["    </ViewSetups>", "  </SequenceDescription>", "  <ViewRegistrations>"]
-    lists = transforms.groupBy("timepoint", "setup").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "name", "affine"))).alias("t"))
-    for r in lists.orderBy("timepoint", "setup").toLocalIterator():
-        inner = "".join(f"<ViewTransform type={quoteattr(t.type)}><Name>{escape(t.name)}</Name><affine>{text(t.affine)}</affine></ViewTransform>" for t in r.t)
-        out.append(f'    <ViewRegistration timepoint="{r.timepoint}" setup="{r.setup}">{inner}</ViewRegistration>')
-    out += ["  </ViewRegistrations>", "  <ViewInterestPoints>"]
-    for r in points.orderBy("timepoint", "setup", "label").toLocalIterator() if points is not None else ():
-        out.append(f'    <ViewInterestPointsFile timepoint="{r.timepoint}" setup="{r.setup}" label={quoteattr(r.label)} params={quoteattr(r.params or "")}>{escape(r.path)}</ViewInterestPointsFile>')
-    return "\n".join([*out, "  </ViewInterestPoints>", "</SpimData>", ""])
+    """One descriptor from its tables; with ``parts`` one of a split project, whose ``views_df`` are the whole
+    views. A descriptor is small metadata (a few rows a view), streamed to the driver, which alone
+    writes the one file; ``write_descriptors`` writes many."""
+    rows = lambda df, *by: df.orderBy(*by).toLocalIterator()
+    loader = _loader([_file(r) for r in rows(views_df, "timepoint", "setup")])
+    sets = [_point_set(r) for r in rows(points, "timepoint", "setup", "label")] if points is not None else []
+    return _whole(base, loader if parts is None else _split_loader(loader, parts), [_setup(r) for r in rows(setups, "id")], [_registration(r) for r in rows(_lists(transforms), "timepoint", "setup")], sets)
+
+
+def write_descriptors(views_df: DataFrame, setups: DataFrame, transforms: DataFrame, points: DataFrame, project: DataFrame, folder: str, base: str = ".") -> int:
+    """A descriptor file for each project below ``folder``, written by executors; their number. ``project``: setup and
+    name of the project that it belongs to. Rows become lines where they lie, and a project's lines meet in the
+    task that writes its file. ``views`` and the other scans read the folder as they read a file."""
+
+    def lines(df: DataFrame, section: int, form, order: list[str]) -> DataFrame:
+        def run(frames):
+            import pandas as pd
+
+            for f in frames:
+                yield pd.DataFrame({"project": f["project"], "section": section, "at": f["at"], "line": [form(r) for r in f.itertuples(index=False)]})
+
+        named = df.join(project.select("setup", F.col("name").alias("project")), "setup").withColumn("at", F.concat_ws(" ", *[F.lpad(F.col(c).cast("string"), 20, "0") if c != "label" else F.col(c) for c in order]))
+        return named.mapInPandas(run, "project string, section int, at string, line string")
+
+    files = lines(views_df, 0, _file, ["timepoint", "setup"])
+    owned = setups.withColumn("setup", F.col("id"))
+    rest = [lines(owned, 1, _setup, ["id"]), lines(_lists(transforms), 2, _registration, ["timepoint", "setup"]), lines(points, 3, _point_set, ["timepoint", "setup", "label"])]
+
+    def write(f):
+        import pandas as pd
+        from pyarrow import fs
+
+        of = [f.loc[f["section"] == k].sort_values("at")["line"].tolist() for k in range(4)]
+        where, path = fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        with where.open_output_stream(f"{path}/{f['project'].iloc[0]}.xml", compression=None) as out:
+            out.write(_whole(base, _loader(of[0]), *of[1:]).encode())
+        return pd.DataFrame({"n": [1]})
+
+    for df in rest:
+        files = files.unionByName(df)
+    return files.groupBy("project").applyInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def markers(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,10 +23,11 @@ VIEW = ["timepoint", "setup", "label"]
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """timepoint, setup, label, x, y, z, intensity; ids count from 0 in each set, by place."""
-    w = Window.partitionBy(*VIEW).orderBy("x", "y", "z", "intensity")
-    numbered = points.withColumn("point_id", (F.row_number().over(w) - 1).cast("long"))
-    _replace(numbered, path, VIEW)
+    """timepoint, setup, label, x, y, z, intensity; ids count from 0 in each set, by place, over all tasks."""
+    from ..operators.ordered import ranks
+
+    numbered = ranks(points, VIEW, ["x", "y", "z", "intensity"], "point_id")
+    _replace(numbered.withColumn("point_id", F.col("point_id") - 1), path, VIEW)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -73,22 +74,6 @@ def attributes(shape: tuple[int, ...], block: tuple[int, ...], kind: str, compre
     return json.dumps({"dimensions": shape, "blockSize": block, "dataType": kind, "compression": {"type": compression}})
 
 
-def write_array(v: np.ndarray, folder: str, block: tuple[int, ...], compression: str = "gzip") -> None:
-    """An array as a folder of blocks."""
-    from pyarrow import fs
-
-    where, path = fs.FileSystem.from_uri(folder)
-    where.create_dir(path, recursive=True)
-    with where.open_output_stream(f"{path}/attributes.json") as f:
-        f.write(attributes(v.shape, block, v.dtype.name, compression).encode())
-    for index in itertools.product(*[range(-(-n // b)) for n, b in zip(v.shape, block, strict=True)]):
-        part = v[tuple(slice(i * b, (i + 1) * b) for i, b in zip(index, block, strict=True))]
-        full = "/".join([path, *map(str, index)])
-        where.create_dir(full.rpartition("/")[0], recursive=True)
-        with where.open_output_stream(full) as f:
-            f.write(pack_block(part, compression))
-
-
 class _Block(InputPartition):
     def __init__(self, index):
         self.index = index
@@ -137,15 +122,7 @@ def read_array(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("chunked-array").load(folder)
 
 
-# ---- annotation and segmentation blocks ----
-
-
-def annotation_bytes(points: DataFrame) -> tuple[bytes, list[float], list[float]]:
-    """A viewer's point annotations: count, coordinates, ids (little-endian), with their bounds."""
-    lo, hi = (points.agg(*[f(a) for a in "xyz"]).first() for f in (F.min, F.max))
-    xyz = [(r.x, r.y, r.z) for r in points.select("x", "y", "z").orderBy("x", "y", "z").toLocalIterator()]
-    body = np.array(xyz, dtype="<f4").tobytes() + np.arange(len(xyz), dtype="<u8").tobytes()
-    return struct.pack("<Q", len(xyz)) + body, list(lo or []), list(hi or [])
+# ---- segmentation blocks ----
 
 
 def encode_labels(v: np.ndarray) -> tuple[np.ndarray, int, bytes]:
