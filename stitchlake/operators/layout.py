@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import discard, written
+from . import spatial
 
 
 def last_tile(length: int, size: int, overlap: int) -> int:
@@ -97,18 +99,48 @@ def n_synthetic(voxels: Column, density: float, least: int, most: int) -> Column
 
 
 def synthetic_points(overlaps: DataFrame, key: str, density: float, least: int, most: int, error: float) -> DataFrame:
-    """Points in overlap boxes (key, lower, upper), as seen by both sides with up to half ``error`` of
-    jitter each: key, i, px.., qx... Random numbers are hashes of key, point and axis, so repeated
-    tasks agree."""
+    """Points in overlap boxes (key, lower, upper, ends included, and further columns, which are kept), as seen by
+    both sides with up to half ``error`` of jitter each: key, i, tx.. (the place), px.., qx... Random numbers are
+    hashes of key, point and axis, so repeated tasks agree."""
     size = G.voxels([F.get("lower", F.lit(d)) for d in range(3)], [F.get("upper", F.lit(d)) for d in range(3)])
     n = overlaps.withColumn("i", F.explode(F.sequence(F.lit(1), n_synthetic(size, density, least, most))))
     unit = lambda *salt: F.pmod(F.xxhash64(key, "i", *[F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
     cols = []
     for d, a in enumerate("xyz"):
         lo, hi = F.get("lower", F.lit(d)), F.get("upper", F.lit(d))
-        at = lo + unit(d) * (hi - lo)
-        cols += [(at + (unit(d, s) - 0.5) * error).alias(f"{s}{a}") for s in "pq"]
-    return n.select(key, "i", *cols)
+        at = lo + unit(d) * (hi - lo + 1)
+        cols += [at.alias(f"t{a}"), *[(at + (unit(d, s) - 0.5) * error).alias(f"{s}{a}") for s in "pq"]]
+    return n.select(*[c for c in overlaps.columns if c not in ("lower", "upper")], "i", *cols)
+
+
+def without_crowded(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """The synthetic points (key, i, a, b, tx.., px.., qx..) that keep their distance: overlaps are taken in order of
+    their key, and a point of an overlap between the view ``a`` and an earlier one ``b`` is left out if a point kept
+    in an overlap before lies within ``radius`` in the view ``b``, as that view sees it (p if it is that overlap's
+    ``a``, else q).
+
+    Whom a point has to wait for is found once, by an equi-join on views and grid cells. Then in rounds: points that
+    wait for none are kept, those that wait for a kept one go, and the rest waits on. Rounds are as many as the
+    longest chain of points that hang on each other, whatever the number of overlaps."""
+    name = F.struct(F.col(key).alias("k"), "i")
+    cand = points.select(name.alias("id"), F.col("b").alias("view"), "tx", "ty", "tz")
+    seen = points.select(name.alias("before"), F.col("a").alias("view"), *[F.col(f"p{a}").alias(f"s{a}") for a in "xyz"])
+    seen = seen.unionByName(points.select(name.alias("before"), F.col("b").alias("view"), *[F.col(f"q{a}").alias(f"s{a}") for a in "xyz"]))
+    near = spatial.radius_join(cand, seen, ["tx", "ty", "tz"], ["sx", "sy", "sz"], radius, ["view"], condition=F.col("before.k") < F.col("id.k"))
+    waits = written(near.select("id", "before").distinct(), "waits")
+    todo = written(points.select(name.alias("id")), "todo")
+    kept = None
+    while todo.limit(1).count():
+        ready = written(todo.join(waits, "id", "left_anti"), "kept")
+        kept = ready if kept is None else kept.unionByName(ready)
+        gone = waits.join(ready.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct()
+        rest = written(todo.join(ready, "id", "left_anti").join(gone, "id", "left_anti"), "todo")
+        still = written(waits.join(rest, "id", "left_semi").join(rest.withColumnRenamed("id", "before"), "before", "left_semi").select("id", "before"), "waits")
+        discard(todo, waits)
+        todo, waits = rest, still
+    if kept is None:
+        return points
+    return points.withColumn("id", name).join(kept, "id", "left_semi").drop("id")
 
 
 def slices(df: DataFrame, length: str, block: int, index: str, first: str, end: str) -> DataFrame:

@@ -105,10 +105,11 @@ def relax(matches: DataFrame, fixed: list | DataFrame, kind: str = "rigid", iter
 
 
 def prealign(matches: DataFrame, seed, least: int = 3) -> DataFrame:
-    """Models along a breadth-first spread from the seed tile: each round fits the tiles that touch
-    the aligned ones by their matches with those. Unreached tiles are absent."""
+    """Models along a breadth-first spread from the seed (a tile, or a table of tile): each round fits the tiles that
+    touch the aligned ones by their matches with those. Unreached tiles are absent."""
     links = written(graph.both_ways(matches.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), [("tile", "other"), *[(f"p{a}", f"q{a}") for a in "xyz"]]), "links")
-    models = written(identity(links.filter(F.col("tile") == seed).select("tile").distinct()), "models")
+    seeds = _tiles(matches.sparkSession, seed if isinstance(seed, DataFrame) else [seed])
+    models = written(identity(links.join(seeds, "tile", "left_semi").select("tile").distinct()), "models")
     while True:
         done = models.select("tile")
         front = links.join(done, "tile", "left_anti").join(models.select(F.col("tile").alias("other"), *NAMES), "other")
@@ -159,15 +160,20 @@ def merged_groups(groups: DataFrame) -> DataFrame:
 
 def two_rounds(matches: DataFrame, weak: DataFrame, fixed, kind: str = "rigid", iterations: int = 10_000, plateau: int = 200) -> tuple[DataFrame, dict[str, list[float]]]:
     """Split alignment. Round 1 aligns the tiles of each component of the strong matches with its smallest tile
-    fixed; round 2 moves whole components by the weak matches (tile, other, px.., qx.. as ``matches``), with
+    fixed (a tile with weak matches alone is a component); round 2 moves whole components by the weak matches (tile, other, px.., qx.. as ``matches``), with
     the component of ``fixed`` fixed. A tile's model is its component's after its own."""
     group = written(graph.components(matches.select(F.col("tile").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("tile"), "component"), "groups")
-    first, errors = relax(matches, group.select(F.col("component").alias("tile")).distinct(), kind, iterations, plateau=plateau)
+    lone = weak.select(F.explode(F.array("tile", "other")).alias("tile")).distinct().join(group, "tile", "left_anti")  # each a component
+    group = written(group.unionByName(lone.withColumn("component", F.col("tile"))), "groups")
+    seeds = group.select(F.col("component").alias("tile")).distinct()
+    first, errors = relax(matches, seeds, kind, iterations, plateau=plateau, start=prealign(matches, seeds))
+    first = first.unionByName(identity(group.select("tile").join(first, "tile", "left_anti")))
     moved = _world(weak.select("tile", "other", *[f"{s}{a}" for s in "pq" for a in "xyz"]), first)
     of = lambda c, name: group.select(F.col("tile").alias(c), F.col("component").alias(name))
     between = moved.join(of("tile", "ga"), "tile").join(of("other", "gb"), "other").filter("ga <> gb")
     links = between.select(F.col("ga").alias("tile"), F.col("gb").alias("other"), *[F.col(f"w{a}").alias(f"p{a}") for a in "xyz"], *[F.col(f"v{a}").alias(f"q{a}") for a in "xyz"])
     anchor = group.filter(F.col("tile") == fixed).first()
-    second, more = relax(links, [anchor.component if anchor else fixed], "rigid", iterations, plateau=plateau)
+    seed = anchor.component if anchor else fixed
+    second, more = relax(links, [seed], "rigid", iterations, plateau=plateau, start=prealign(links, seed))
     by_tile = group.join(second.withColumnRenamed("tile", "component"), "component").drop("component")
     return concatenate(first, by_tile.select("tile", *NAMES)), {"tiles": errors, "components": more}

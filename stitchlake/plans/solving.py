@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import fit, matching, solver
-from ._base import PTS, matched, pts, query, r6
+from ..operators import fit, layout, matching, solver, spatial
+from ._base import PTS, TILES, matched, pts, query, r6, table, tiles
 
 #: A quarter turn about z and a shift that grows with the label: exact in SQL.
 _MOVED = f"""{PTS}, m AS (SELECT label AS pair, vec_id AS match_id, x AS px, y AS py, z AS pz, -y + label AS qx, x + 2 * label AS qy, z - 3 * label AS qz FROM pts)"""
@@ -39,12 +39,17 @@ def q_ransac(spark, sf):
     return matching.ransac(m, "pair", "match_id", "rigid", epsilon=5.0, least=6, ratio=0.1).select("pair", "match_id")
 
 
+def _shifted(spark, sf):
+    """Matches of a chain of tiles, each shifted against the one before."""
+    p = pts(spark, sf)
+    return p.select(F.col("label").alias("tile"), (F.col("label") + 1).alias("other"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *[(F.col(a) - s).alias(f"q{a}") for a, s in zip("xyz", (90.0, -4.0, 2.5), strict=True)])
+
+
 @query(f"""WITH {PTS}, t AS (SELECT DISTINCT label AS tile FROM pts UNION SELECT max(label) + 1 FROM pts)
 SELECT tile, round(CAST(tile * 90.0 AS DOUBLE), 2) + 0.0 AS m03, round(CAST(tile * -4.0 AS DOUBLE), 2) + 0.0 AS m13, round(CAST(tile * 2.5 AS DOUBLE), 2) + 0.0 AS m23 FROM t""")
 def q_relax(spark, sf):
     """A chain of tiles, each shifted against the one before; alignment to the plateau puts them in place."""
-    p = pts(spark, sf)
-    m = p.select(F.col("label").alias("tile"), (F.col("label") + 1).alias("other"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *[(F.col(a) - s).alias(f"q{a}") for a, s in zip("xyz", (90.0, -4.0, 2.5), strict=True)])
+    m = _shifted(spark, sf)
     models, _ = solver.relax(m, [0], plateau=5, start=solver.prealign(m, 0))
     return models.select("tile", *[(F.round(n, 2) + F.lit(0.0)).alias(n) for n in ("m03", "m13", "m23")])
 
@@ -54,3 +59,46 @@ def q_ransac_noise(spark, sf):
     """Consensus on matches that no model explains: rows only."""
     found = matching.ransac(matched(spark, sf), "pair", "match_id", "rigid", epsilon=150.0, least=6, ratio=0.1)
     return found.select("pair", "match_id", r6(F.col("error"), "error"))
+
+
+@query(f"""WITH {PTS}, e AS (SELECT DISTINCT label AS tile FROM pts WHERE label % 2 = 0), g AS (SELECT tile FROM e UNION SELECT tile + 1 FROM e)
+SELECT tile, round(CAST(tile * 90.0 AS DOUBLE), 1) + 0.0 AS m03, round(CAST(tile * -4.0 AS DOUBLE), 1) + 0.0 AS m13, round(CAST(tile * 2.5 AS DOUBLE), 1) + 0.0 AS m23 FROM g""")
+def q_two_rounds(spark, sf):
+    """Pairs of tiles aligned by strong matches; then the pairs against the first by the weak ones between them."""
+    p = pts(spark, sf)
+    shift = [(F.col("label") - 1) * s for s in (90.0, -4.0, 2.5)]
+    far = [(F.col(a) + s).alias(f"p{a}") for a, s in zip("xyz", shift, strict=True)]
+    weak = p.filter("label % 2 = 0 AND label > 0").select(F.lit(1).cast("long").alias("tile"), F.col("label").cast("long").alias("other"), *far, *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    models, _ = solver.two_rounds(_shifted(spark, sf).filter("tile % 2 = 0"), weak, 0, plateau=2)
+    return models.select("tile", *[(F.round(n, 1) + F.lit(0.0)).alias(n) for n in ("m03", "m13", "m23")])
+
+
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT o_orderkey % 40 AS "group", o_custkey % 997 AS view FROM orders),
+e AS (SELECT DISTINCT a."group" AS a, b."group" AS b FROM g a JOIN g b USING (view)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS "group", min(b) AS least FROM r GROUP BY a)
+SELECT DISTINCT view, least AS "group" FROM g JOIN c USING ("group")""")
+def q_merged_groups(spark, sf):
+    """Groups of views that share one become one."""
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 40).alias("group"), (F.col("o_custkey") % 997).alias("view"))
+    return solver.merged_groups(rows)
+
+
+@query()
+def q_synthetic_points(spark, sf):
+    """Points in the overlaps of neighbouring tiles that keep their distance from those of earlier overlaps."""
+    t = tiles(spark, sf)
+    side = lambda p: t.select(F.col("k").alias(p), *[F.col(f"{c}{d}").alias(f"{p}{c}{d}") for c in "lu" for d in range(3)])
+    found = spatial.box_join(side("a"), side("b"), [f"al{d}" for d in range(3)], [f"au{d}" for d in range(3)], [f"bl{d}" for d in range(3)], [f"bu{d}" for d in range(3)], 120.0, F.col("b") < F.col("a"), touching=False)
+    lower, upper = (F.array(*[f(f"a{c}{d}", f"b{c}{d}") for d in range(3)]) for c, f in (("l", F.greatest), ("u", F.least)))
+    overlaps = found.select((F.col("a") * 1_000_000 + F.col("b")).alias("k"), "a", "b", lower.alias("lower"), upper.alias("upper"))
+    kept = layout.without_crowded(layout.synthetic_points(overlaps, "k", 100.0, 5, 30, 2.0), "k", 20.0)
+    return kept.select("k", "i", "a", "b", *[r6(F.col(c), c) for c in ("px", "py", "pz", "qx", "qy", "qz")])
+
+
+@query(f"""WITH {PTS}, {TILES} SELECT vec_id, k AS new_id, round(x - l0, 6) + 0.0 AS x, round(y - l1, 6) + 0.0 AS y, round(z - l2, 6) + 0.0 AS z FROM pts JOIN tiles ON grp % 10 = label AND x BETWEEN l0 AND u0 AND y BETWEEN l1 AND u1 AND z BETWEEN l2 AND u2""")
+def q_points_in_parts(spark, sf):
+    """The points of each view in the parts that contain them, in a part's own coordinates."""
+    box = lambda c: F.array(*[F.col(f"{c}{d}") for d in range(3)])
+    parts = tiles(spark, sf).select((F.col("grp") % 10).alias("id"), F.col("k").alias("new_id"), box("l").alias("lower"), box("u").alias("upper"))
+    p = pts(spark, sf).select("vec_id", F.col("label").alias("setup"), "x", "y", "z")
+    found = layout.points_in_parts(p, parts)
+    return found.select("vec_id", "new_id", *[r6(F.col(a), a) for a in "xyz"])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from stitchlake.operators import graph, ordered, quality, solver, spatial
+from stitchlake.operators import graph, layout, ordered, quality, solver, spatial
 from stitchlake.sources import points, shared, store
 
 SCHEMA = "timepoint int, setup int, label string, x double, y double, z double, intensity double"
@@ -141,3 +141,28 @@ def test_coloured_relaxation_from_the_identity(spark, shape, tmp_path, monkeypat
     _, slow = solver.relax(m, spark.createDataFrame([(0,)], "tile long"), iterations=6, plateau=200, coloured=False)
     assert all(a < b for a, b in zip(errors, slow, strict=True)) and errors[3] < slow[5]
     assert models.filter("tile = 0").first().m03 == 0
+
+
+@pytest.mark.parametrize("radius", [3.0, 25.0])
+def test_synthetic_points_keep_their_distance(spark, radius):
+    """As taking overlaps and points one after another."""
+    boxes = [(k, a, b, [10 * b, 0, 0], [10 * b + 40, 30, 20]) for k, (a, b) in enumerate([(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0), (4, 3)])]
+    overlaps = spark.createDataFrame(boxes, "k long, a long, b long, lower array<long>, upper array<long>")
+    made = layout.synthetic_points(overlaps, "k", 900.0, 5, 40, 2.0)
+    rows = sorted(made.collect(), key=lambda r: (r.k, r.i))
+    assert len(rows) == sum(min(40, max(5, int(np.ceil(41 * 31 * 21 * 900 / 1e6)))) for _ in boxes)
+    kept, seen = set(), {}
+    for k, a, b, lo, hi in boxes:
+        before = list(seen.get(b, []))
+        for r in rows:
+            if r.k != k:
+                continue
+            t = np.array([r.tx, r.ty, r.tz])
+            assert all(x <= v <= y + 1 for x, v, y in zip(lo, t, hi, strict=True))
+            if all(((t - s) ** 2).sum() > radius * radius for s in before):
+                kept.add((r.k, r.i))
+                seen.setdefault(a, []).append(np.array([r.px, r.py, r.pz]))
+                seen.setdefault(b, []).append(np.array([r.qx, r.qy, r.qz]))
+    got = {(r.k, r.i) for r in layout.without_crowded(made, "k", radius).collect()}
+    assert got == kept and 0 < len(kept) < len(rows)
+    assert layout.without_crowded(made.limit(0), "k", radius).collect() == []
