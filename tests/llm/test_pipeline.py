@@ -44,6 +44,20 @@ def test_stages_on_repeats_nulls_and_nothing(spark, folder):
         assert cp.STAGES[-1][1](spark, docs, folder).count() >= docs.count() * bool(docs.count())
 
 
+def test_stages_on_clashing_columns(spark, folder):
+    """Every stage gives the same rows with columns of any name, and keeps those (the last one leaves them out)."""
+    from .test_documents import CLASH, clashing, values
+
+    docs = spark.createDataFrame(brute.with_repeats(brute.odd_documents()), brute.SCHEMA)
+    for name, stage in cp.STAGES:
+        plain, clash = stage(spark, docs, folder), stage(spark, clashing(docs), folder)
+        last = name == cp.STAGES[-1][0]
+        columns = ["doc_id", "doc_tokens"] if last else docs.columns
+        got, want = values(clash, columns), values(plain, columns)
+        assert set(got) == set(want) and (last or got == want), name
+        assert last or clash.columns == [*docs.columns, *CLASH]
+
+
 def test_registered():
     import __spark_entry__ as e
 
