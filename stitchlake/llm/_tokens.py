@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 #: Pieces, and ids of them, that a worker remembers before it starts anew; bounds its memory.
 REMEMBERED, REMEMBERED_IDS = 600_000, 1 << 25
-#: Characters beyond which a piece is cut between digits, and that are given to the tokenizer together.
-LONG, TOGETHER = 1 << 16, 1 << 20
+#: Characters beyond which a piece is cut between digits and encoded part by part.
+LONG = 1 << 16
 #: Each digit is a token of its own, so a piece may be cut between two of them.
 _DIGITS = re.compile(r"(?<=[0-9])(?=[0-9])")
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
@@ -122,25 +122,28 @@ class Encoder:
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces one after another, how many each has); long pieces are given to the tokenizer in parts."""
-        parts, owner = [], []
-        for i, p in enumerate(pieces):
-            got = list(_cut(p)) if len(p) > LONG else [p]
-            parts += got
-            owner += [i] * len(got)
-        found, sizes, at = [], [], 0
-        while at < len(parts):
-            to, chars = at, 0
-            while to < len(parts) and to - at < 20_000 and (to == at or chars + len(parts[to]) <= TOGETHER):
-                chars += len(parts[to])
-                to += 1
-            for e in self.tok.encode_batch(parts[at:to], add_special_tokens=False):
-                got = np.array(e.ids, dtype=np.uint32)
-                found.append(got)
+        ids: list[int] = []
+        sizes: list[int] = []
+
+        def encode(batch: list[str]) -> None:
+            for e in self.tok.encode_batch(batch, add_special_tokens=False):
+                got = e.ids
                 sizes.append(len(got))
-            at = to
-        lengths = np.zeros(len(pieces), dtype=np.int64)
-        np.add.at(lengths, owner, sizes)
-        return np.concatenate([np.empty(0, dtype=np.uint32), *found]), lengths
+                ids.extend(got)
+
+        if max(map(len, pieces), default=0) <= LONG:
+            for i in range(0, len(pieces), 20_000):
+                encode(pieces[i : i + 20_000])
+            return np.array(ids, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+        found, lengths = [], []
+        for p in pieces:  # few: a block of text holds hardly more than a hundred pieces as long
+            for part in _cut(p) if len(p) > LONG else [p]:
+                encode([part])
+            lengths.append(sum(sizes))
+            found.append(np.array(ids, dtype=np.uint32))
+            ids.clear()
+            sizes.clear()
+        return np.concatenate(found), np.array(lengths, dtype=np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         known, merge = self.known, self.tok.model.tokenize

@@ -214,7 +214,6 @@ def test_pieces_of_any_length(monkeypatch):
     texts = ["a b " + "12" * 300 + "x7" * 90 + "...", "9" * 1000, "z" * 700, "1é2\u03013" * 50, "5" * 100 + " 's5's"]
     want = [[*e.tok.encode(t, add_special_tokens=False).ids, 7] for t in texts]
     monkeypatch.setattr(_tokens, "LONG", 16)
-    monkeypatch.setattr(_tokens, "TOGETHER", 100)
     ids, off = e.encode(pa.array(texts), 7)
     assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == want
     n = (1 << 24) + 5
