@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import materialize
-from ._text import blocks, column, split_words
+from ._text import blocks, column, give_back, split_words
 
 WORDS_PER_LANG = 20_000
 GRAMS_PER_LANG = 20_000
@@ -135,7 +135,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
     kept = materialize(top(grams, "gram", ["lang", "n"], grams_per_lang), "grams")
     for r in kept.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect():
         sums[r["n"]][at[r["lang"]]] += r["c"]
-    return {"langs": langs, "words": table(top(words, "word", ["lang"], words_per_lang), "word", lambda k: size), "grams": table(kept, "gram", lambda k: sums[len(k)])}
+    model = {"langs": langs, "words": table(top(words, "word", ["lang"], words_per_lang), "word", lambda k: size), "grams": table(kept, "gram", lambda k: sums[len(k)])}
+    give_back()  # what the driver held for the tables of counts
+    return model
 
 
 def _lookup(table: tuple[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
