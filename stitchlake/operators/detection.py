@@ -48,6 +48,35 @@ def rasterize(voxels: DataFrame, view: str, shape: tuple[int, int, int], block:
     return parts.filter(inside[0] & inside[1] & inside[2]).groupBy(view, "bx", "by", "bz").applyInPandas(run, f"{view} {kind}, {BLOCK}")
 
 
+def without_background(blocks: DataFrame, view: str, radius: int) -> DataFrame:
+    """The blocks (their halo at least ``radius``) minus the running median in x and y of every voxel."""
+
+    def run(frames):
+        for f in frames:
+            data = [volume.background_subtract(np.frombuffer(b.data, dtype="<f4").reshape(b.nx, b.ny, b.nz), radius).astype("<f4").tobytes() for b in f.itertuples(index=False)]
+            yield f.assign(data=data)
+
+    return blocks.mapInPandas(run, blocks.schema)
+
+
+def core_voxels(blocks: DataFrame, view: str, least: float) -> DataFrame:
+    """view, x, y, z, value of the voxels above ``least`` in the blocks' cores."""
+    kind = blocks.schema[view].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for b in f.itertuples(index=False):
+                core = tuple(slice(lo - o, hi - o) for o, lo, hi in ((b.x0, b.cx0, b.cx1), (b.y0, b.cy0, b.cy1), (b.z0, b.cz0, b.cz1)))
+                v = np.frombuffer(b.data, dtype="<f4").reshape(b.nx, b.ny, b.nz)[core]
+                at = np.argwhere(v > least)
+                found = pd.DataFrame(at + (b.cx0, b.cy0, b.cz0), columns=["x", "y", "z"])
+                yield found.assign(value=v[tuple(at.T)].astype(float)).assign(**{view: getattr(b, view)})[[view, "x", "y", "z", "value"]]
+
+    return blocks.mapInPandas(run, f"{view} {kind}, x long, y long, z long, value double")
+
+
 def detect_block(v: np.ndarray, sigma: float, threshold: float, median_radius: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(peak voxels, their responses, refined places, intensities of the background-subtracted block there)."""
     plain = volume.background_subtract(v.astype(np.float64), median_radius)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..sources import arrays
+from ..sources import arrays, precomputed
 
 #: Blocks of tiles: a tile and its voxels, here as float64 without a kind.
 BLOCK = "tile long, origin array<long>, shape array<long>, data binary"
@@ -335,9 +335,7 @@ def pyramid(blocks: DataFrame, cell: tuple[int, int, int], levels: int):
 
 def zoom_labels(v: np.ndarray, factor: tuple[float, float, float]) -> np.ndarray:
     """Nearest-neighbour zoom of a label block: ends stay at ends."""
-    size = [max(1, int(round(n * f))) for n, f in zip(v.shape, factor, strict=True)]
-    at = [np.floor(np.arange(m) * ((n - 1) / max(m - 1, 1)) + 0.5).astype(int) for n, m in zip(v.shape, size, strict=True)]
-    return v[np.ix_(*at)]
+    return v[np.ix_(*map(precomputed.zoom_index, v.shape, factor))]
 
 
 def radial_correct(v: np.ndarray, cutoff: float, shift: float, crop: int) -> np.ndarray:

@@ -42,15 +42,21 @@ def layers(rows: DataFrame, service: str, bucket: str) -> DataFrame:
     )
 
 
-def state(found: DataFrame, voxel: tuple[float, float, float], unit: str = "m", title: str = "") -> DataFrame:
-    """One row ``state``: JSON of dimensions and all layers (a viewer shows a handful) in name order."""
+def state(found: DataFrame, voxel: tuple[float, float, float], unit: str = "m", title: str = "", others: DataFrame | None = None) -> DataFrame:
+    """One row ``state``: JSON of dimensions and all layers (a viewer shows a handful) in name order: image
+    layers, and ``others`` as ``other_layers`` makes them."""
     layer = F.struct(
         "name", F.lit("image").alias("type"), "source", "visible", "shader",
         F.struct(F.struct(F.array("range_lo", "range_hi").alias("range")).alias("normalized")).alias("shaderControls"),
         F.struct(F.array(F.col("channel")).alias("c'")).alias("localPosition"),
     )
+    rows = found.select("name", F.to_json(layer).alias("layer"))
+    if others is not None:
+        rows = rows.unionByName(others.select("name", "layer"))
     size = F.struct(*[F.array(F.lit(str(v)), F.lit(unit)).alias(a) for a, v in zip("xyz", voxel, strict=True)])
-    return found.agg(F.sort_array(F.collect_list(layer)).alias("layers")).select(F.to_json(F.struct(F.lit(title).alias("title"), size.alias("dimensions"), "layers")).alias("state"))
+    head = F.rtrim(F.to_json(F.struct(F.lit(title).alias("title"), size.alias("dimensions"))), F.lit("}"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("name", "layer"))), lambda r: r["layer"])
+    return rows.agg(F.concat(head, F.lit('},"layers":['), F.array_join(ordered, ","), F.lit("]}")).alias("state"))
 
 
 def other_layers(rows: DataFrame) -> DataFrame:

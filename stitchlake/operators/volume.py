@@ -50,26 +50,62 @@ def radial_shift(x: Column, y: Column, cx: float, cy: float, cutoff: float, shif
 # ---- numpy kernels on one block ----
 
 
-#: Most window values that are held at once.
-_WINDOW_VALUES = 1 << 23
+#: Side of the squares whose medians are taken together, without their rims.
+_SQUARE = 64
+
+
+def _square_medians(v: np.ndarray, w: int) -> np.ndarray:
+    """Medians of the w x w windows (w odd) inside one square plane. Values become ranks, ranks fall into as
+    many bins as the side has voxels: tables of running sums count the values up to each bin in any window with
+    four lookups, and the bin of the median holds so few places that each is tested for lying in the window.
+    Neither step depends on w."""
+    n, m = v.shape
+    order = np.argsort(v, axis=None)
+    size = max(n, m)  # ranks in a bin, and at least as many as there are bins
+    bins = -(-v.size // size)
+    small = np.min_scalar_type(n + m + w)
+    bin_of = np.empty(v.size, dtype=small)
+    bin_of[order] = np.arange(v.size) // size
+    # upto[i, j, b]: places before row i and column j whose bin is at most b
+    upto = np.zeros((n + 1, m + 1, bins), dtype=np.min_scalar_type(v.size))
+    upto[1:, 1:] = bin_of.reshape(n, m)[:, :, None] <= np.arange(bins, dtype=small)
+    for i in range(1, n + 1):
+        upto[i] += upto[i - 1]
+    for j in range(1, m + 1):
+        upto[:, j] += upto[:, j - 1]
+    inside = upto[w:, w:] - upto[:-w, w:]
+    inside -= upto[w:, :-w]
+    inside += upto[:-w, :-w]
+    middle = w * w // 2
+    of = np.einsum("ijk->ij", (inside <= middle).astype(small))
+    before = np.take_along_axis(inside, np.maximum(of.astype(np.int64) - 1, 0)[:, :, None], axis=2)[:, :, 0]
+    left = (middle - np.where(of > 0, before, 0).astype(np.int64)).ravel()
+    place = np.full(bins * size, v.size, dtype=np.int64)
+    place[: v.size] = order
+    # places of the last bin that do not exist lie in a row that no window has
+    row, col = (x.astype(small).reshape(bins, size) for x in (np.where(place < v.size, place // m, n + w), place % m))
+    top, side = (x.ravel().astype(small)[:, None] for x in np.indices(of.shape))
+    # unsigned differences wrap, so places before the window lie beyond it
+    hit = ((row[of.ravel()] - top) < w) & ((col[of.ravel()] - side) < w)
+    start = np.cumsum(np.einsum("ij->i", hit.astype(np.min_scalar_type(size))), dtype=np.int64)
+    start = np.r_[0, start[:-1]]
+    nth = np.flatnonzero(hit)[start + left] % size
+    return v.ravel()[place[of.ravel() * np.int64(size) + nth]].reshape(of.shape)
 
 
 def background_subtract(v: np.ndarray, radius: int) -> np.ndarray:
-    """Minus the median of the (2r+1) x (2r+1) window in the first two axes; edges mirrored. Windows are
-    taken of a few rows and planes at a time, so memory does not grow with the block."""
+    """Minus the median of the (2r+1) x (2r+1) window in the first two axes; edges mirrored. Planes are cut
+    into squares with rims, so memory does not grow with the block. NaN counts as the largest value."""
     if radius <= 0:
         return v
-    w = 2 * radius + 1
     padded = np.pad(v, ((radius, radius), (radius, radius), (0, 0)), mode="reflect")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (w, w), axis=(0, 1))
     out = np.empty(v.shape, dtype=np.result_type(v, np.float32))
-    planes = max(1, _WINDOW_VALUES // (w * w * v.shape[1]))
-    rows = max(1, planes // v.shape[2])
-    planes = min(planes, v.shape[2])
-    for x in range(0, v.shape[0], rows):
-        for z in range(0, v.shape[2], planes):
-            at = slice(x, x + rows), slice(None), slice(z, z + planes)
-            out[at] = v[at] - np.median(windows[at], axis=(-2, -1))
+    for x in range(0, v.shape[0], _SQUARE):
+        for y in range(0, v.shape[1], _SQUARE):
+            at = slice(x, x + _SQUARE), slice(y, y + _SQUARE)
+            rim = padded[x : x + _SQUARE + 2 * radius, y : y + _SQUARE + 2 * radius]
+            for z in range(v.shape[2]):
+                out[(*at, z)] = v[(*at, z)] - _square_medians(np.ascontiguousarray(rim[:, :, z]), 2 * radius + 1)
     return out
 
 

@@ -106,3 +106,12 @@ def q_point_arrays(spark, sf):
     points.write_point_arrays(rows, folder, sets, chunk=64)
     found = points.read_point_arrays(sets.withColumn("uri", points.set_path(folder)))
     return found.select("setup", "point_id", *[r6(F.col(c), c) for c in ("x", "y", "z", "intensity")])
+
+
+@query("SELECT DISTINCT CAST(l_partkey % 997 AS DOUBLE) AS x, CAST(l_suppkey % 89 AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS z, CAST(1 AS BIGINT) AS copies FROM lineitem")
+def q_annotation_levels(spark, sf):
+    """Annotations in levels of ever smaller cells, read back: every place stands in one level."""
+    folder = shared_folder(spark) + "/annotations"
+    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 997).alias("x"), (F.col("l_suppkey") % 89).alias("y"), F.col("l_quantity").alias("z"))
+    precomputed.write_annotations(rows, folder, (250.0, 90.0, 50.0), limit=2000)
+    return precomputed.read_annotations(spark, folder).groupBy("x", "y", "z").agg(F.count("*").alias("copies"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import detection, fusion, volume
-from ..sources import arrays
+from ..sources import arrays, precomputed
 from ._base import query, shared_folder, table
 
 _SIGMA, _THRESHOLD, _N = 1.8, 6.0, 24
@@ -29,6 +29,13 @@ def _blurred_sql(name: str, sigma: float) -> str:
     return out + f",\n{name} AS (SELECT * FROM {before})"
 
 
+def _grid(spark, sf):
+    view, x = (F.col("user_id") % 16).alias("view"), (F.col("event_id") % _N).alias("x")
+    z = ((F.col("event_id") * 7 + F.dayofmonth("ts")) % _N).alias("z")
+    grid = table(spark, sf, "events").select(view, x, F.hour("ts").cast("long").alias("y"), z, "value")
+    return grid.groupBy("view", "x", "y", "z").agg(F.sum("value").alias("value"))
+
+
 _K = 2 ** (1 / 4)
 _S1, _S2 = ((s * s - 0.25) ** 0.5 for s in (_SIGMA, _SIGMA * _K))
 
@@ -42,15 +49,70 @@ n AS (SELECT c.view, c.x, c.y, c.z, c.v, max(d.v) AS around FROM c CROSS JOIN o
 SELECT view, CAST(x AS BIGINT) AS px, CAST(y AS BIGINT) AS py, CAST(z AS BIGINT) AS pz, round(v, 3) AS response FROM n WHERE v > around""")
 def q_detect(spark, sf):
     """Difference of Gaussian, maxima above all 26 neighbours, block by block with halos."""
-    e = table(spark, sf, "events")
-    view, x = (F.col("user_id") % 16).alias("view"), (F.col("event_id") % _N).alias("x")
-    z = ((F.col("event_id") * 7 + F.dayofmonth("ts")) % _N).alias("z")
-    grid = e.select(view, x, F.hour("ts").cast("long").alias("y"), z, "value")
-    grid = grid.groupBy("view", "x", "y", "z").agg(F.sum("value").alias("value"))
-    found = detection.rasterize(grid, "view", (_N,) * 3, (12, 12, 12), detection.reach(_SIGMA))
+    found = detection.rasterize(_grid(spark, sf), "view", (_N,) * 3, (12, 12, 12), detection.reach(_SIGMA))
     return detection.detect_points(found, "view", _SIGMA, _THRESHOLD).select("view", "px", "py", "pz", F.round("response", 3).alias("response"))
 
 
+_MEDIAN = 2
+_REFLECT = f"CASE WHEN i + d < 0 THEN -(i + d) WHEN i + d >= {_N} THEN {2 * _N - 2} - (i + d) ELSE i + d END"
+
+
+@query(f"""WITH g AS (SELECT view, x, y, z, sum(value) AS v FROM ({_GRID}) GROUP BY 1, 2, 3, 4),
+a AS (SELECT i, {_REFLECT} AS src, d FROM (SELECT unnest(generate_series(0, {_N - 1})) AS i), (SELECT unnest(generate_series(-{_MEDIAN}, {_MEDIAN})) AS d)),
+h AS (SELECT g.view, ax.i AS x, ay.i AS y, g.z, g.v FROM g JOIN a ax ON g.x = ax.src JOIN a ay ON g.y = ay.src),
+m AS (SELECT view, x, y, z, list_sort(list(v), 'DESC') AS v FROM h GROUP BY 1, 2, 3, 4),
+b AS (SELECT view, x, y, z, coalesce(v[{(2 * _MEDIAN + 1) ** 2 // 2 + 1}], 0) AS median FROM m)
+SELECT view, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z, round(g.v - b.median, 2) AS value FROM g JOIN b USING (view, x, y, z) WHERE g.v - b.median > 0.001""")
+def q_background(spark, sf):
+    """Voxels above the running median of the 5 x 5 window around them, block by block with halos."""
+    blocks = detection.rasterize(_grid(spark, sf), "view", (_N,) * 3, (12, 12, 12), _MEDIAN)
+    plain = detection.without_background(blocks, "view", _MEDIAN)
+    return detection.core_voxels(plain, "view", 0.001).select("view", "x", "y", "z", F.round("value", 2).alias("value"))
+
+
+_LABELS = (240, 24, 24)
+_FACTORS = ((1.0, 1.0, 1.0), (0.5, 0.5, 0.5), (0.1, 0.25, 0.5))
+
+
+def _zoomed_sql() -> str:
+    """One SELECT a scale: the labels at the nearest source voxels."""
+    parts = []
+    for s, factors in enumerate(_FACTORS):
+        sizes = [(n, max(1, round(n * f))) for n, f in zip(_LABELS, factors, strict=True)]
+        on = " ".join(f"JOIN (SELECT floor(unnest(generate_series(0, {m - 1})) * ({n - 1} / {m - 1}.0) + 0.5) AS {a}) USING ({a})" for a, (n, m) in zip("xyz", sizes, strict=True))
+        parts.append(f"SELECT {s} AS scale, label FROM g {on}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH g AS (SELECT event_id % 240 AS x, hour(ts) AS y, (event_id * 7 + day(ts)) % 24 AS z, max(user_id) + 1 AS label FROM events GROUP BY 1, 2, 3)
+SELECT CAST(scale AS INTEGER) AS scale, CAST(label AS BIGINT) AS label, count(*) AS voxels FROM ({_zoomed_sql()}) GROUP BY 1, 2""")
+def q_label_scales(spark, sf):
+    """A label volume written as compressed segmentation of three scales, read back, voxels counted by label."""
+    e, folder, side = table(spark, sf, "events"), shared_folder(spark) + "/labels", (60, 12, 12)
+    z = (F.col("event_id") * 7 + F.dayofmonth("ts")) % 24
+    grid = e.groupBy((F.col("event_id") % 240).alias("x"), F.hour("ts").cast("long").alias("y"), z.alias("z")).agg((F.max("user_id") + 1).alias("label"))
+
+    def block(f):
+        at = [int(f[a].iloc[0]) // w * w for a, w in zip("xyz", side, strict=True)]
+        v = np.zeros(side, dtype="<u4")
+        v[tuple(f[a].to_numpy() - o for a, o in zip("xyz", at, strict=True))] = f["label"]
+        return pd.DataFrame({"origin": [at], "shape": [list(side)], "data": [v.tobytes()]})
+
+    def tally(frames):
+        for f in frames:
+            for data in f["data"]:
+                label, n = np.unique(np.frombuffer(data, dtype="<u4"), return_counts=True)
+                yield pd.DataFrame({"label": label.astype(np.int64), "voxels": n})
+
+    blocks = grid.groupBy(*[F.floor(F.col(a) / w) for a, w in zip("xyz", side, strict=True)]).applyInPandas(block, "origin array<long>, shape array<long>, data binary")
+    precomputed.write_segmentation(blocks, folder, _LABELS, (32, 16, 8), "uint32", factors=_FACTORS)
+    out = None
+    for s in range(len(_FACTORS)):
+        found = precomputed.read_segmentation(spark, folder, s).mapInPandas(tally, "label long, voxels long").withColumn("scale", F.lit(s))
+        out = found if out is None else out.unionByName(found)
+    return out.filter("label > 0").groupBy("scale", "label").agg(F.sum("voxels").alias("voxels"))
+
+
 _CELL = 32
 _SHAPE = (12, 10, 6)
 #: Tiles are turned by the angle of a 3-4-5 triangle about z and grown by a quarter; no voxel is halfway between two.

@@ -214,13 +214,18 @@ def test_refinement_of_a_paraboloid():
     assert volume.refine(np.ones((5, 5, 5)), np.empty((0, 3), dtype=int)).shape == (0, 3)
 
 
-def test_background_does_not_depend_on_slabs(monkeypatch):
-    v = np.random.default_rng(3).uniform(size=(14, 13, 6))
-    whole = volume.background_subtract(v, 3)
-    monkeypatch.setattr(volume, "_WINDOW_VALUES", 700)
-    assert np.array_equal(volume.background_subtract(v, 3), whole)
-    x, y = 7, 6
-    assert whole[x, y, 2] == pytest.approx(v[x, y, 2] - np.median(v[x - 3 : x + 4, y - 3 : y + 4, 2]))
+@pytest.mark.parametrize(("shape", "radius"), [((14, 13, 3), 1), ((9, 70, 2), 2), ((40, 33, 2), 10), ((5, 3, 2), 2), ((30, 30, 1), 29), ((100, 6, 1), 60)])
+def test_background_is_the_median_of_each_window(monkeypatch, shape, radius):
+    """Against sorted windows: continuous values, ties, a constant plane, squares of other sizes."""
+    rng = np.random.default_rng(3)
+    for v in (rng.uniform(size=shape), rng.integers(0, 4, shape), np.full(shape, 7.0), rng.integers(-5000, 5000, shape).astype("<i2")):
+        padded = np.pad(v, ((radius, radius), (radius, radius), (0, 0)), mode="reflect")
+        windows = np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1,) * 2, axis=(0, 1))
+        want = v - np.median(windows, axis=(-2, -1))
+        for side in (64, 7):
+            monkeypatch.setattr(volume, "_SQUARE", side)
+            assert np.array_equal(volume.background_subtract(v, radius), want)
+    assert volume.background_subtract(v, 0) is v
 
 
 def test_downsampled_detection_coordinates(spark):

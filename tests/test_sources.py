@@ -248,6 +248,53 @@ def test_annotations_by_cell(spark, tmp_path):
     assert sorted(found) == sorted(map(tuple, p.astype("f4")))
 
 
+def test_annotations_in_levels(spark, tmp_path):
+    """A dense corner: levels of halved cells, about ``limit`` a cell, every place once and alike in all parts."""
+    rng = np.random.default_rng(9)
+    p = np.r_[rng.uniform(0, 100, (300, 3)), rng.uniform(0, 3, (3000, 3))].astype("f4").astype(float)
+    rows = [*map(lambda q: tuple(map(float, q)), p)] * 2 + [(None, 1.0, 2.0)]
+    d = spark.createDataFrame(rows, "x double, y double, z double")
+    info = precomputed.write_annotations(d, f"file://{tmp_path}/a", (50.0, 50.0, 50.0), limit=200)
+    levels = info["spatial"]
+    assert len(levels) > 3 and [v["chunk_size"] for v in levels[:2]] == [[50.0] * 3, [25.0] * 3]
+    assert all(v["limit"] <= 260 for v in levels)
+    got = precomputed.read_annotations(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.x, r.y, r.z) for r in got) == sorted(set(map(tuple, p))) and len({r.id for r in got}) == len(got)
+    share = [sum(r.level == 0 for r in got if (r.x < 3) == near) / sum((r.x < 3) == near for r in got) for near in (True, False)]
+    assert share[0] == pytest.approx(share[1], abs=0.05)
+    last = precomputed.write_annotations(d, f"file://{tmp_path}/b", (50.0, 50.0, 50.0), limit=200, levels=2)["spatial"]
+    assert len(last) == 2 and last[1]["limit"] > 200  # the last level takes all that are left
+    empty = precomputed.write_annotations(d.limit(0), f"file://{tmp_path}/c", (1.0, 1.0, 1.0))
+    assert [v["limit"] for v in empty["spatial"]] == [0]
+
+
+def test_segmentation_of_several_scales(spark, tmp_path):
+    """Blocks that fit no chunk; three scales against the zoom of the whole volume; a hole stays 0."""
+    from stitchlake.operators import fusion
+
+    v = np.random.default_rng(4).integers(1, 50, (37, 20, 11)).astype("<u4")
+    rows = []
+    for at in np.ndindex(3, 2, 2):
+        o = np.array(at) * (14, 13, 7)
+        part = v[tuple(slice(a, a + n) for a, n in zip(o, (14, 13, 7), strict=True))]
+        if at == (1, 1, 1):
+            v[tuple(slice(a, a + n) for a, n in zip(o, (14, 13, 7), strict=True))] = 0
+        else:
+            rows.append((o.tolist(), list(part.shape), bytearray(part.tobytes())))
+    d = spark.createDataFrame(rows, "origin array<long>, shape array<long>, data binary").repartition(4)
+    factors = ((1.0, 1.0, 1.0), (0.5, 0.5, 1.0), (0.2, 0.1, 0.05))
+    info = precomputed.write_segmentation(d, f"file://{tmp_path}/s", v.shape, (16, 8, 8), resolution=(2.0, 2.0, 5.0), factors=factors)
+    assert [s["key"] for s in info["scales"]] == ["2_2_5", "4_4_5", "10_20_100"] and json.loads((tmp_path / "s/info").read_text()) == info
+    for s, f in enumerate(factors):
+        want = fusion.zoom_labels(v, f)
+        got = np.zeros_like(want)
+        for r in precomputed.read_segmentation(spark, f"file://{tmp_path}/s", s).collect():
+            got[tuple(slice(a, a + n) for a, n in zip(r.origin, r.shape, strict=True))] = np.frombuffer(r.data, "<u4").reshape(r.shape)
+        assert list(want.shape) == info["scales"][s]["size"] and np.array_equal(got, want)
+    with pytest.raises(ValueError, match="one resolution"):
+        precomputed.write_segmentation(d, f"file://{tmp_path}/t", v.shape, (16, 8, 8), factors=((1, 1, 1), (1, 1, 1)))
+
+
 @pytest.mark.parametrize("kind", ["uint32", "uint64"])
 def test_segmentation_round_trip(spark, tmp_path, kind):
     rng = np.random.default_rng(8)
@@ -293,6 +340,9 @@ def test_viewer_layers_of_other_types(spark):
     rows = spark.createDataFrame([("cells", "segmentation", "s3://b/seg", None, [3, 5]), ("marks", "annotation", "precomputed://x", "rendering", None)], "name string, type string, source string, tab string, segments array<long>")
     a, b = (json.loads(r.layer) for r in viewer.other_layers(rows).collect())
     assert a == {"name": "cells", "type": "segmentation", "source": "precomputed://s3://b/seg", "segments": ["3", "5"], "tab": "segments"} and b["tab"] == "rendering"
+    image = spark.createDataFrame([("s3://b/k.zarr", 1, "dots", None, None, None, "red")], "source string, channel int, name string, range_lo int, range_hi int, visible boolean, color string")
+    whole = json.loads(viewer.state(viewer.layers(image, "s3", "b"), (1e-6, 1e-6, 2e-6), title="t}", others=viewer.other_layers(rows)).first().state)
+    assert [v["type"] for v in whole["layers"]] == ["segmentation", "image", "annotation"] and whole["layers"][0] == a and whole["dimensions"]["z"] == ["2e-06", "m"] and whole["title"] == "t}"
     with pytest.raises(Exception, match="unknown layer type"):
         viewer.other_layers(rows.withColumn("type", F.lit("mesh"))).collect()
     shown = layout.channel_metadata(["a"], [0x0AFE], [(0, 65535, 10, 900)])["omero"]["channels"][0]
