@@ -11,7 +11,8 @@ all its words, each predicted with itself masked.
   count of all words of that id (a join with all counts, so the table grows with the corpus). Every
   word has a probability of its own and they sum to one. One id stands outside a text.
 * Training: documents are dealt by a hash of id and words to chunks of about ``CHUNK_WORDS`` words,
-  and chunks to ``ROUNDS`` rounds. In a round each chunk runs mini-batch Adagrad (an accumulator
+  and chunks to rounds: up to ``ROUNDS`` of them one chunk each, and one more each time their number doubles
+  after that, so that the successive steps grow with the corpus. In a round each chunk runs mini-batch Adagrad (an accumulator
   a row) from the common parameters with every word as a target once; parameters and accumulators
   of the chunks are averaged with their numbers of words as weights, in a tree of fixed fan-in.
   What is trained between two averages depends on neither partitions nor cluster. What is broadcast
@@ -327,8 +328,14 @@ def _score(shared, shares: np.ndarray):
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """id_col, n_words, log_prob (sum over all words), mean_log_prob of every row."""
+def rounds_of(chunks: int, least: int = ROUNDS) -> int:
+    """How many rounds ``chunks`` chunks are dealt to: ``least`` (at most one a chunk), and one more a doubling beyond."""
+    return min(least, chunks) + (max(0, (chunks // least).bit_length() - 1) if least else 0)
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, chunk_words: int = CHUNK_WORDS, held_out: int | None = None) -> DataFrame:
+    """id_col, n_words, log_prob (sum over all words), mean_log_prob of every row. With ``held_out`` = m the network
+    does not learn from rows whose crc32 of the id (as text) is 0 modulo m; they are counted and scored."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_count, "word long, ending int, c long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
@@ -352,9 +359,12 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     made = rows.mapInArrow(_code(table), "key long, id long, ids binary, rare array<long>, times array<int>")
     coded = materialize(made.withColumn("h", h).withColumn("chunk", F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int")), "coded")
     params = flatten(initial(freq))
-    rounds = min(rounds, chunks)
+    rounds = rounds_of(chunks, rounds)
     for k in range(rounds):
-        part = coded.filter((F.col("chunk") % rounds == k) & (F.octet_length("ids") > 0)).select("chunk", "h", "ids")
+        part = coded.filter((F.col("chunk") % rounds == k) & (F.octet_length("ids") > 0))
+        if held_out:
+            part = part.filter(F.coalesce(F.crc32(F.col("id").cast("string")) % held_out, F.lit(1)) != 0)
+        part = part.select("chunk", "h", "ids")
         trained = part.repartition(3 * -(-chunks // rounds), "chunk").groupBy("chunk").applyInPandas(_train(sc.broadcast(params)), "seg int, part int, counts binary")
         got = sum_vectors(materialize(trained, "parameters"), _SEGMENT, _SEGMENTS, "<f4")
         if got[_SIZE]:

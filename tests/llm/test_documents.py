@@ -513,6 +513,30 @@ def test_lm_beats_frequencies_however_partitioned(spark):
     assert max(found) - min(found) < 0.01 and min(found) > frequencies + 0.25
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_lm_on_texts_not_learned_from(spark):
+    """The network learns from three of four documents; on the fourth, which shares no text with them, it beats the
+    frequencies of the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    apart = lambda i: zlib.crc32(str(i).encode()) % 4 == 0
+    learned = {t for i, t in texts.items() if not apart(i)}
+    new = [i for i, t in texts.items() if apart(i) and t not in learned]
+    got = {r.doc_id: r for r in lm_score.pseudo_likelihood(docs, held_out=4).collect()}
+    counts = Counter(w for t in texts.values() for w in brute.WORD.findall(t))
+    total = sum(counts.values())
+    words = [w for i in new for w in brute.WORD.findall(texts[i])]
+    assert len(words) == sum(got[i].n_words for i in new) > 10_000
+    frequencies = sum(math.log(counts[w] / total) for w in words) / len(words)
+    mean = sum(got[i].log_prob for i in new) / len(words)
+    print(f"held out: {mean:.3f}, frequencies {frequencies:.3f}")
+    assert mean > frequencies + 0.1
+
+
+def test_lm_rounds_grow_with_the_corpus():
+    assert [lm_score.rounds_of(n) for n in (1, 5, 6, 11, 12, 24, 65, 4000)] == [1, 5, 6, 6, 7, 8, 9, 15] and lm_score.rounds_of(9, 0) == 0
+
+
 def test_lm_chunks_of_other_sizes(spark):
     """Rounds of several chunks are averaged and learn as well."""
     good, wrong = _phrases(400, 1)
