@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import arrays
 from . import volume
 
 BLOCK = "x0 long, y0 long, z0 long, nx int, ny int, nz int, cx0 long, cy0 long, cz0 long, cx1 long, cy1 long, cz1 long, data binary"
@@ -48,6 +49,38 @@ def rasterize(voxels: DataFrame, view: str, shape: tuple[int, int, int], block:
     return parts.filter(inside[0] & inside[1] & inside[2]).groupBy(view, "bx", "by", "bz").applyInPandas(run, f"{view} {kind}, {BLOCK}")
 
 
+def stored_blocks(files: DataFrame, view: str, block: tuple[int, int, int], factor: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """view, uri, n0..n2, c0..c2, e0..e2: the blocks of the stored arrays of ``files`` (view, uri, size), as rows without
+    voxels, in voxels of the volume downsampled by ``factor``: its shape, and first and last + 1 voxel of the
+    block's core. A size, where there is one, ends the array before padding does."""
+    rows = files.join(arrays.shapes(files.sparkSession, files.select("uri").distinct()).select("uri", "shape"), "uri")
+    for d in range(3):
+        n = F.floor(F.least(F.get("shape", F.lit(d)), F.get("size", F.lit(d)).cast("long")) / factor[d])  # least skips nulls
+        rows = rows.withColumn(f"n{d}", n).filter(F.col(f"n{d}") > 0)
+        rows = rows.withColumn(f"c{d}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{d}") - 1, F.lit(block[d]).cast("long"))))
+        rows = rows.withColumn(f"e{d}", F.least(F.col(f"c{d}") + block[d], f"n{d}"))
+    return rows.select(view, "uri", *[f"{k}{d}" for k in "nce" for d in range(3)])
+
+
+def read_stored(wanted: DataFrame, view: str, halo: int, factor: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """view and ``BLOCK`` of rows of ``stored_blocks``, with their halo; read by executors, a block at a time."""
+    kind = wanted.schema[view].dataType.simpleString()
+    names = [view, *[c.split()[0] for c in BLOCK.split(", ")]]
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for r in f.itertuples(index=False):
+                core = [(getattr(r, f"c{d}"), getattr(r, f"e{d}"), getattr(r, f"n{d}")) for d in range(3)]
+                lo, hi = [max(0, c - halo) for c, _, _ in core], [min(n, e + halo) for _, e, n in core]
+                v = arrays.read_slice(arrays.open_array(r.uri), [a * k for a, k in zip(lo, factor, strict=True)], [b * k for b, k in zip(hi, factor, strict=True)])
+                v = np.ascontiguousarray(arrays.averaged(v, factor) if max(factor) > 1 else v, dtype="<f4")
+                yield pd.DataFrame([(getattr(r, view), *lo, *v.shape, *[c for c, _, _ in core], *[e for _, e, _ in core], v.tobytes())], columns=names)
+
+    return wanted.repartition(view, "c0", "c1", "c2").mapInPandas(run, f"{view} {kind}, {BLOCK}")
+
+
 def without_background(blocks: DataFrame, view: str, radius: int) -> DataFrame:
     """The blocks (their halo at least ``radius``) minus the running median in x and y of every voxel."""
 

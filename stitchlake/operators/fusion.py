@@ -163,9 +163,13 @@ def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tupl
 
 
 def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """tile, uri, whole, inverse of every cell that a tile's image reaches. ``tiles``: tile, uri, m00..m23."""
-    known = arrays.shapes(tiles.sparkSession, tiles.select("uri")).select("uri", F.col("shape").alias("whole"))
-    rows = tiles.join(known, "uri").withColumn("inverse", F.array(*G.inverse(G.model())))
+    """tile, uri, whole, inverse of every cell that a tile's image reaches. ``tiles``: tile, uri, m00..m23, and maybe
+    size, where the tile ends in an array that is padded to whole chunks."""
+    known = arrays.shapes(tiles.sparkSession, tiles.select("uri").distinct()).select("uri", "shape")
+    whole = F.col("shape")
+    if "size" in tiles.columns:
+        whole = F.array(*[F.least(F.get("shape", F.lit(d)), F.get("size", F.lit(d)).cast("long")) for d in range(3)])  # least skips nulls
+    rows = tiles.join(known, "uri").withColumn("whole", whole).withColumn("inverse", F.array(*G.inverse(G.model())))
     half = F.lit(-0.5)
     rows = _reached(rows, [half] * 3, [F.get("whole", F.lit(d)) - 0.5 for d in range(3)], cell, lower)
     return rows.select("tile", "uri", "whole", "inverse", *_CELL)
@@ -183,7 +187,7 @@ def _fill_from_stores(f, at, size, blend: str) -> Filler:
 
 
 def fuse_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<f8") -> DataFrame:
-    """As ``fuse``, of tiles in stores (tile, uri, m00..m23); each cell reads what it needs of them."""
+    """As ``fuse``, of tiles in stores (tile, uri, m00..m23, maybe size); each cell reads what it needs of them."""
     if blend not in BLENDS:
         raise ValueError(f"blend must be one of {BLENDS}")
     lower = lower or (0, 0, 0)
@@ -257,7 +261,7 @@ def halve(spark: SparkSession, source: str, target: str, cell: tuple[int, int, i
 
 
 def fuse_to_store(tiles: DataFrame, uri: str, shape: tuple[int, int, int], cell: tuple[int, int, int], chunk: tuple[int, int, int] | None = None, levels: int = 1, lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<u2", attributes: dict | None = None) -> list[int]:
-    """Fuse stored tiles (tile, uri, m00..m23) into level 0 of ``uri`` and halve it ``levels`` - 1 times; the cells
+    """Fuse stored tiles (tile, uri, m00..m23, maybe size) into level 0 of ``uri`` and halve it ``levels`` - 1 times; the cells
     written of each level. The volume of ``shape`` begins at ``lower`` of the models' space. Run again after a
     stop, it writes what is missing. Cells are made of whole chunks."""
     if blend not in BLENDS:

@@ -40,9 +40,14 @@ def write_correspondences(matches: DataFrame, path: str) -> None:
     _replace(matches.select(*flipped.columns).unionByName(flipped).distinct(), path, ["view_a", "label_a"])
 
 
-def read_correspondences(spark: SparkSession, path: str, directed: bool = False) -> DataFrame:
-    """Each correspondence once unless ``directed``."""
-    df = spark.read.parquet(path)
+#: Kinds of stored correspondences whose views and labels are texts.
+CORRESPONDENCES = "id_a long, view_b string, label_b string, id_b long, view_a string, label_a string"
+
+
+def read_correspondences(spark: SparkSession, path: str, directed: bool = False, schema: str | None = None) -> DataFrame:
+    """Each correspondence once unless ``directed``. Only with a schema can a store without any be read, and
+    do views and labels that look like numbers stay texts."""
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df if directed else df.filter("view_a < view_b OR (view_a = view_b AND id_a < id_b)")
 
 
