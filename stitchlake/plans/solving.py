@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import runs
 from ..functions import geometry as G
 from ..operators import fit, layout, matching, solver, spatial
-from ._base import PTS, TILES, matched, pts, query, r6, table, tiles
+from ..sources import points
+from ._base import PTS, TILES, matched, pts, query, r6, shared_folder, table, tiles
 
 #: A quarter turn about z and a shift that grows with the label: exact in SQL.
 _MOVED = f"""{PTS}, m AS (SELECT label AS pair, vec_id AS match_id, x AS px, y AS py, z AS pz, -y + label AS qx, x + 2 * label AS qy, z - 3 * label AS qz FROM pts)"""
@@ -102,3 +104,34 @@ def q_points_in_parts(spark, sf):
     p = pts(spark, sf).select("vec_id", F.col("label").alias("setup"), "x", "y", "z")
     found = layout.points_in_parts(p, parts)
     return found.select("vec_id", "new_id", *[r6(F.col(a), a) for a in "xyz"])
+
+
+#: How far the two labels of neighbours lie apart, and where the first view begins.
+_APART = 10_000.0
+
+
+@query(f"""WITH {PTS}, v AS (SELECT DISTINCT label % 4 AS setup FROM pts UNION SELECT max(label % 4) + 1 FROM pts)
+SELECT setup::INT AS setup, round(CAST(setup * 3.0 AS DOUBLE), 2) + 0.0 AS x, round(CAST(setup * -2.0 AS DOUBLE), 2) + 0.0 AS y, round(CAST(setup * 1.0 AS DOUBLE), 2) + 0.0 AS z FROM v""")
+def q_aligned_views(spark, sf):
+    """A project from its descriptor to its solved models: views l and l + 1 both hold the points whose label is l modulo 4, and each
+    view stands beside its place. Points are stored, matched and aligned; the solved descriptor is written and read."""
+    p = pts(spark, sf).withColumn("label", F.col("label") % 4)
+    seen = p.withColumn("setup", F.explode(F.array(F.col("label"), F.col("label") + 1))).withColumn("setup", F.col("setup").cast("int"))
+    beside = [F.col("setup") * s for s in (3.0, -2.0, 1.0)]
+    # a view's voxels begin half a step before the first of its labels
+    local = [F.col("x") + F.lit(_APART) * (F.col("label") - F.col("setup") + 1.5) - beside[0], F.col("y") + F.lit(_APART / 2) - beside[1], F.col("z") + F.lit(_APART / 2) - beside[2]]
+    rows = seen.select(F.lit(0).alias("timepoint"), "setup", F.lit("beads").alias("label"), *[c.alias(a) for c, a in zip(local, "xyz", strict=True)], "intensity")
+    ids = rows.select("setup").distinct()
+    views = ids.select(F.lit(0).alias("timepoint"), "setup", F.lit(0).alias("series"), F.lit("0").alias("channel"), F.concat(F.lit("v"), "setup").alias("file_path"))
+    size = F.array(*[F.lit(int(n)) for n in (2 * _APART, _APART, _APART)])
+    setups = ids.select(F.col("setup").alias("id"), F.concat(F.lit("v"), "setup").alias("name"), size.alias("size"), F.lit("um").alias("voxel_unit"), F.array(*[F.lit(1.0)] * 3).alias("voxel_size"), F.create_map(F.lit("tile"), F.col("setup").cast("string")).alias("attributes"))
+    place = F.array(*[F.lit(float(i % 5 == 0)) if i % 4 < 3 else (F.lit(_APART) * (F.col("setup") - 1.5) if i == 3 else F.lit(-_APART / 2)) for i in range(12)])
+    lists = ids.select(F.lit(0).alias("timepoint"), "setup", F.lit(0).alias("seq"), F.lit("affine").alias("type"), F.lit("grid").alias("name"), place.alias("affine"))
+    sets = ids.select(F.lit(0).alias("timepoint"), "setup", F.lit("beads").alias("label"), F.lit("").alias("params"), F.concat(F.lit("v"), "setup").alias("path"))
+    folder = shared_folder(spark)
+    points.write_point_arrays(rows, f"{folder}/points")
+    project = runs.load(spark, runs.save(runs.Project(views, setups, lists, sets), f"{folder}/xml", "start"))
+    runs.match(project, f"{folder}/points", f"{folder}/matches", radius=500.0, significance=2.0, trials=200, epsilon=1.0, least=3)
+    solved, _ = runs.solve(project, f"{folder}/points", f"{folder}/matches", plateau=2)
+    again = runs.load(spark, runs.save(solved, f"{folder}/solved", "solved"))
+    return again.transforms.filter("seq = 0").select("setup", *[(F.round(F.get("affine", F.lit(i)), 2) + F.lit(0.0)).alias(a) for i, a in zip((3, 7, 11), "xyz", strict=True)])
