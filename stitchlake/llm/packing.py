@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import materialize, sum_vectors
@@ -237,6 +237,18 @@ def _pack(idf, mean_length: float, window: int, query_terms: int | None, shard_t
     return run
 
 
+def _vocab_size(spark: SparkSession, path: str) -> int:
+    """The number of ids of a tokenizer, which a task loads: it takes 40 MB that the driver need not hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        for b in batches:
+            yield pa.record_batch([pa.array([Tokenizer.from_file(path).get_vocab_size()] * b.num_rows, pa.int64())], names=["n"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "n long").first()["n"]
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -248,10 +260,8 @@ def pack(
     shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    from tokenizers import Tokenizer
-
     path = tokenizer or default_tokenizer()
-    vocab = -(-Tokenizer.from_file(path).get_vocab_size() // _SEGMENT) * _SEGMENT
+    vocab = -(-_vocab_size(docs.sparkSession, path) // _SEGMENT) * _SEGMENT
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = materialize(
         rows.mapInArrow(_tokenize(path, end_id, vocab), "id long, n long, lead long, topic long, ids binary, seg int, part int, counts binary"), "tokens"
