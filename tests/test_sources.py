@@ -347,3 +347,11 @@ def test_viewer_layers_of_other_types(spark):
         viewer.other_layers(rows.withColumn("type", F.lit("mesh"))).collect()
     shown = layout.channel_metadata(["a"], [0x0AFE], [(0, 65535, 10, 900)])["omero"]["channels"][0]
     assert shown["color"] == "000AFE" and shown["window"] == {"min": 0, "max": 65535, "start": 10, "end": 900}
+
+
+@pytest.mark.parametrize("module", [arrays, precomputed, project, store])
+def test_sources_go_to_executors_whole(module):
+    """A function that names a module takes all of it along, by value."""
+    from pyspark import cloudpickle
+
+    assert cloudpickle.dumps(lambda: module)
