@@ -14,6 +14,40 @@ def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.unionByName(df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns]))
 
 
+#: Rows of a block of a group; a task of ``pairs_in_groups`` pairs a few blocks at most.
+BLOCK_ROWS = 4096
+#: The most tasks that ``pairs_in_groups`` asks for.
+MOST_TASKS = 10_000
+
+
+def pairs_in_groups(rows: DataFrame, group: str, key: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """The pairs of rows of a group whose keys differ, each once: every column as ``a_`` of the smaller key and as
+    ``b_`` of the larger one. Rows without a group or a key have none.
+
+    The result is quadratic in a group's size, so no group is joined in one task: a group is cut into blocks of about
+    ``block`` rows by a hash of the key, and each pair of blocks is joined by itself. A row is sent once for
+    each block of its group, and a task holds few blocks, however large the group is."""
+    rows = rows.dropna(subset=[group, key])
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("blocks_"))
+    n = F.col("blocks_")
+    tasks = sizes.agg(F.sum(n * (n + 1) / 2)).first()[0] or 1
+    own = rows.join(sizes, group).withColumn("own_", F.pmod(F.xxhash64(key), n))
+    first, last = F.lit(0).cast("long"), n - 1
+    keys = [f"{group}_", "i_", "j_"]
+
+    def side(p: str, i, j, partner: str):
+        named = own.select(F.col(group).alias(keys[0]), *[F.col(c).alias(f"{p}{c}") for c in rows.columns], F.col("own_"), F.explode(F.sequence(i, j)).alias("other_"))
+        ends = ("own_", "other_") if partner == "j" else ("other_", "own_")
+        named = named.select(keys[0], F.col(ends[0]).alias("i_"), F.col(ends[1]).alias("j_"), *[f"{p}{c}" for c in rows.columns])
+        return named.repartition(min(int(tasks), MOST_TASKS), *keys)
+
+    left, right = side("x_", F.col("own_"), last, "j"), side("y_", first, F.col("own_"), "i")
+    x, y = F.col(f"x_{key}"), F.col(f"y_{key}")
+    met = left.join(right.hint("shuffle_hash"), keys).filter((x < y) | ((F.col("i_") < F.col("j_")) & (x > y)))
+    pick = lambda c, p, q: F.when(x < y, F.col(f"{p}{c}")).otherwise(F.col(f"{q}{c}"))
+    return met.select(*[pick(c, "x_", "y_").alias(f"a_{c}") for c in rows.columns], *[pick(c, "y_", "x_").alias(f"b_{c}") for c in rows.columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of an undirected edge table (a, b); the smallest node names a
     component. Labels take the neighbourhood's minimum and jump to their label's label, so the

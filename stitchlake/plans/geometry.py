@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import layout, ordered, viewer
+from ..operators import graph, layout, ordered, viewer
 from ..operators import transforms as T
 from ._base import BOXES, EVT, PTS, TILES, boxes, evt, pts, query, r6, table, tiles
 
@@ -173,10 +173,9 @@ def q_aabb(spark, sf):
 @query(f"""WITH {TILES} SELECT a.k AS ka, b.k AS kb, {', '.join(f'greatest(a.l{d}, b.l{d}) AS l{d}, least(a.u{d}, b.u{d}) AS u{d}' for d in range(3))}
 FROM tiles a JOIN tiles b ON a.grp = b.grp AND a.k < b.k""")
 def q_box_intersect(spark, sf):
-    a, b = tiles(spark, sf, "a_"), tiles(spark, sf, "b_")
     c = lambda p: [F.col(f"{p}{d}") for d in range(3)]
     lo, hi = G.intersection(c("a_l"), c("a_u"), c("b_l"), c("b_u"))
-    found = a.join(b, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_k") < F.col("b_k")))
+    found = graph.pairs_in_groups(tiles(spark, sf), "grp", "k")
     return found.select(F.col("a_k").alias("ka"), F.col("b_k").alias("kb"), *[x for d in range(3) for x in (lo[d].alias(f"l{d}"), hi[d].alias(f"u{d}"))])
 
 

@@ -107,6 +107,20 @@ def test_box_join_equals_all_pairs(spark, touching):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [3, 100])
+def test_pairs_in_groups_equal_all_pairs(spark, block):
+    rows = [("u", k % 17, k) for k in range(20)] + [("v", k, -k) for k in range(9)] + [("w", 1, 0), (None, 1, 0), (None, 2, 0), ("u", None, 0)]
+    found = graph.pairs_in_groups(spark.createDataFrame(rows, "g string, k long, n long"), "g", "k", block)
+    want = [(*a, *b) for a in rows for b in rows if None not in (*a, *b) and a[0] == b[0] and a[1] < b[1]]
+    assert sorted(tuple(r[f"{s}_{c}"] for s in "ab" for c in "gkn") for r in found.collect()) == sorted(want)
+
+
+def test_no_group_is_paired_in_one_task(spark):
+    found = graph.pairs_in_groups(spark.createDataFrame([(1, k) for k in range(400)], "g long, k long"), "g", "k", 20)
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert most[1] == 400 * 399 // 2 and most[0] < most[1] / 10
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)]
