@@ -33,8 +33,7 @@ def q_aabb_join(spark, sf):
 
 @query(f"WITH {TILES} SELECT a.k AS ka, b.k AS kb, a.grp FROM tiles a JOIN tiles b ON a.grp = b.grp AND a.k < b.k")
 def q_pairs_within_group(spark, sf):
-    b = tiles(spark, sf).select(F.col("k").alias("kb"), "grp")
-    return tiles(spark, sf).select(F.col("k").alias("ka"), "grp").join(b, "grp").filter("ka < kb").select("ka", "kb", "grp")
+    return graph.pairs_in_groups(tiles(spark, sf).select("grp", "k"), "grp", "k").select(F.col("a_k").alias("ka"), F.col("b_k").alias("kb"), F.col("a_grp").alias("grp"))
 
 
 @query(f"WITH {TILES} SELECT a.k AS ka, b.k AS kb FROM tiles a JOIN tiles b ON a.k < b.k AND {_STRICT}")
@@ -54,8 +53,8 @@ def q_earlier_intersections(spark, sf):
 SELECT a.v AS va, b.v AS vb, a.label FROM l a JOIN l b ON a.label = b.label AND a.v < b.v""")
 def q_label_expand(spark, sf):
     """Labels that two views share, one row each: users stand for views."""
-    by = table(spark, sf, "events").select(F.col("user_id").alias("va"), F.col("event_type").alias("label")).distinct()
-    return by.join(by.withColumnRenamed("va", "vb"), "label").filter("va < vb").select("va", "vb", "label")
+    by = table(spark, sf, "events").select(F.col("user_id").alias("v"), F.col("event_type").alias("label")).distinct()
+    return graph.pairs_in_groups(by, "label", "v").select(F.col("a_v").alias("va"), F.col("b_v").alias("vb"), F.col("a_label").alias("label"))
 
 
 _OVER = "0.5 * x + 40"
