@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources import arrays, precomputed
+from ..sources.shared import discard, n_tasks, written
 
 #: Blocks of tiles: a tile and its voxels, here as float64 without a kind.
 BLOCK = "tile long, origin array<long>, shape array<long>, data binary"
@@ -34,6 +35,10 @@ SLAB = 1 << 20
 #: Bits of each cell coordinate below which cells share a task.
 NEAR_BITS = 1
 _CELL = ["c0", "c1", "c2"]
+#: Tiles of a cell from which on several tasks share it, and the most that do; bounds what is merged of a cell.
+PART_TILES = 256
+MOST_PARTS = 64
+_STATE = "c0 long, c1 long, c2 long, part int, origin array<long>, shape array<long>, total binary, weight binary, count binary"
 
 
 def _reached(rows: DataFrame, lo: list[Column], hi: list[Column], cell: tuple[int, int, int], lower: tuple[int, int, int]) -> DataFrame:
@@ -55,6 +60,58 @@ def _by_cell(rows: DataFrame):
     return rows.withColumn("near", _near()).repartition("near").groupBy("near", *_CELL)
 
 
+def _parts(cells: DataFrame, blend: str) -> int:
+    """How many tasks share a cell, by the fullest one of a table of a row a cell and tile."""
+    if blend == "first":  # the order of all tiles decides
+        return 1
+    most = cells.groupBy(*_CELL).count().agg(F.max("count")).first()[0] or 0
+    return min(-(-most // PART_TILES), MOST_PARTS) or 1
+
+
+def _filled(rows: DataFrame, parts: int, new, add, result, schema: str, skip=lambda c: False) -> DataFrame:
+    """``result(c, filler)`` (rows of ``schema``) of each cell: ``new(c)`` is its empty filler, ``add(filler, frame)`` gives it rows.
+    With several parts the tiles of a cell are dealt to them by a hash; each part is filled in a group of its own,
+    and what the parts reach is merged. Cells that ``skip`` names are left out."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def cell(f):
+        return [int(f[k].iloc[0]) for k in _CELL]
+
+    def whole(f):
+        import pandas as pd
+
+        c = cell(f)
+        if skip(c):
+            return pd.DataFrame([], columns=names)
+        fill = new(c)
+        add(fill, f)
+        return pd.DataFrame(result(c, fill), columns=names)
+
+    def part(f):
+        import pandas as pd
+
+        c, found = cell(f), []
+        if not skip(c):
+            fill = new(c)
+            add(fill, f)
+            found = [(*c, int(f["part"].iloc[0]), *fill.state())]
+        return pd.DataFrame(found, columns=[x.split()[0] for x in _STATE.split(", ")])
+
+    def merged(f):
+        import pandas as pd
+
+        c = cell(f)
+        fill = new(c)
+        for r in f.sort_values("part").itertuples(index=False):
+            fill.merge(r.origin, r.shape, r.total, r.weight, r.count)
+        return pd.DataFrame(result(c, fill), columns=names)
+
+    if parts == 1:
+        return _by_cell(rows).applyInPandas(whole, schema)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts)).cast("int")).repartition(n_tasks(rows.sparkSession), *_CELL, "part")
+    return _by_cell(dealt.groupBy(*_CELL, "part").applyInPandas(part, _STATE)).applyInPandas(merged, schema)
+
+
 def source_box(inverse: np.ndarray, at: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 voxel of a tile that the voxels of an output box may take."""
     ends = np.array([np.zeros(3), np.array(size) - 1]) + at
@@ -70,13 +127,47 @@ class Filler:
         self.at, self.size, self.blend = np.asarray(at), tuple(size), blend
         self.total, self.weight, self.count = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size, dtype=np.int32)
 
+    def _reach(self, m: np.ndarray, origin, shape) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 voxel of the cell that a block's image may reach, with a voxel to spare."""
+        try:
+            linear = np.linalg.inv(m[:, :3])
+        except np.linalg.LinAlgError:
+            return np.zeros(3, dtype=np.int64), np.array(self.size)
+        ends = np.array([np.zeros(3), np.array(shape)]) - 0.5 + np.asarray(origin)
+        corners = np.array(np.meshgrid(*ends.T, indexing="ij")).reshape(3, -1)
+        image = linear @ (corners - m[:, 3:])
+        lo, hi = np.floor(image.min(axis=1)) - 1 - self.at, np.ceil(image.max(axis=1)) + 2 - self.at
+        return np.clip(lo, 0, self.size).astype(np.int64), np.clip(hi, 0, self.size).astype(np.int64)
+
+    def state(self) -> tuple:
+        """What tiles have given so far, cut to the voxels that they reach: origin within the cell, shape, values."""
+        at = np.nonzero(self.count)
+        box = tuple(slice(int(a.min()), int(a.max()) + 1) if len(a) else slice(0, 0) for a in at)
+        v = [x[box] for x in (self.total, self.weight, self.count)]
+        return [s.start for s in box], list(v[0].shape), *[x.tobytes() for x in v]
+
+    def merge(self, origin, shape, total: bytes, weight: bytes, count: bytes) -> None:
+        """Add the ``state`` of another filler of the same cell; not for the blend ``first``, which needs an order."""
+        box = tuple(slice(o, o + n) for o, n in zip(origin, shape, strict=True))
+        total, weight, count = (np.frombuffer(v, dtype=k).reshape(tuple(shape)) for v, k in ((total, "f8"), (weight, "f8"), (count, "i4")))
+        mine, here = self.total[box], self.count[box]
+        if self.blend == "max":
+            self.total[box] = np.where(here == 0, total, np.where(count == 0, mine, np.maximum(mine, total)))
+        else:
+            self.total[box] = mine + total
+            self.weight[box] += weight
+        self.count[box] = here + count
+
     def add(self, origin, v: np.ndarray, inverse, whole) -> None:
         """A block of a tile of shape ``whole``. ``weighted``: weights are distances to the tile's nearest face."""
         m, whole = np.asarray(inverse, dtype=np.float64).reshape(3, 4), np.asarray(whole)
-        step = max(1, SLAB // max(1, self.size[1] * self.size[2]))
-        for x in range(0, self.size[0], step):
-            slab = slice(x, min(x + step, self.size[0]))
-            ax = [np.arange(slab.start, slab.stop)[:, None, None], np.arange(self.size[1])[None, :, None], np.arange(self.size[2])[None, None, :]]
+        lo, hi = self._reach(m, origin, v.shape)
+        if not (lo < hi).all():
+            return
+        step = max(1, int(SLAB // ((hi[1] - lo[1]) * (hi[2] - lo[2]))))
+        for x in range(lo[0], hi[0], step):
+            slab = (slice(x, min(x + step, hi[0])), slice(lo[1], hi[1]), slice(lo[2], hi[2]))
+            ax = [np.arange(s.start, s.stop).reshape([-1 if i == d else 1 for i in range(3)]) for d, s in enumerate(slab)]
             ax = [a + o for a, o in zip(ax, self.at, strict=True)]
             exact = [m[d, 0] * ax[0] + m[d, 1] * ax[1] + m[d, 2] * ax[2] + m[d, 3] for d in range(3)]
             near = [np.floor(e + 0.5).astype(np.int64) - o for e, o in zip(exact, origin, strict=True)]
@@ -110,6 +201,11 @@ def _fused(c, fill: Filler, kind: str) -> tuple:
     return (*c, fill.at.tolist(), list(fill.size), kind, v.astype(kind).tobytes(), int((fill.count > 0).sum()))
 
 
+def _fresh(cell, lower, blend: str):
+    """A function that makes the empty filler of a cell."""
+    return lambda c: Filler([lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
+
+
 def cut_to_cells(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """What each output cell needs of each block, in the block's kind, with the inverse model of its tile and the
     tile's shape. ``models``: tile and m00..m23 to the output; ``tile_shape``: tile, whole. Cells begin at ``lower``."""
@@ -150,22 +246,20 @@ def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tupl
         raise ValueError(f"blend must be one of {BLENDS}")
     lower = lower or (0, 0, 0)
 
-    def run(f):
-        import pandas as pd
-
-        c = [int(f[k].iloc[0]) for k in _CELL]
-        fill = Filler([lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
+    def add(fill, f):
         for r in f.assign(first=[tuple(o) for o in f["origin"]]).sort_values(["tile", "first"]).itertuples(index=False):
             fill.add(r.origin, arrays.voxels(r), r.inverse, r.whole)
-        return pd.DataFrame([_fused(c, fill, kind)] if fill.count.any() else [], columns=[x.split()[0] for x in FUSED.split(", ")])
 
-    return _by_cell(cut_to_cells(blocks, models, tile_shape, cell, lower)).applyInPandas(run, FUSED)
+    new, result = _fresh(cell, lower, blend), lambda c, fill: [_fused(c, fill, kind)] if fill.count.any() else []
+    half, whole = F.lit(-0.5), [F.get("whole", F.lit(d)) - 0.5 for d in range(3)]
+    reached = _reached(models.join(tile_shape.select("tile", "whole"), "tile"), [half] * 3, whole, cell, lower)
+    return _filled(cut_to_cells(blocks, models, tile_shape, cell, lower), _parts(reached, blend), new, add, result, FUSED)
 
 
 def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """tile, uri, whole, inverse of every cell that a tile's image reaches. ``tiles``: tile, uri, m00..m23, and maybe
     size, where the tile ends in an array that is padded to whole chunks."""
-    known = arrays.shapes(tiles.sparkSession, tiles.select("uri").distinct()).select("uri", "shape")
+    known = arrays.shapes(tiles.sparkSession, tiles.select("uri").distinct().repartition(n_tasks(tiles.sparkSession), "uri")).select("uri", "shape")
     whole = F.col("shape")
     if "size" in tiles.columns:
         whole = F.array(*[F.least(F.get("shape", F.lit(d)), F.get("size", F.lit(d)).cast("long")) for d in range(3)])  # least skips nulls
@@ -175,15 +269,13 @@ def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[in
     return rows.select("tile", "uri", "whole", "inverse", *_CELL)
 
 
-def _fill_from_stores(f, at, size, blend: str) -> Filler:
-    fill = Filler(at, size, blend)
+def _add_from_stores(fill: Filler, f) -> None:
     for r in f.sort_values("tile").itertuples(index=False):
         inverse = np.asarray(r.inverse).reshape(3, 4)
-        a, b = source_box(inverse, fill.at, size)
+        a, b = source_box(inverse, fill.at, fill.size)
         a, b = np.maximum(a, 0), np.minimum(b, r.whole)
         if (a < b).all():
             fill.add(a, arrays.read_slice(arrays.open_array(r.uri), a.tolist(), b.tolist()), inverse, r.whole)
-    return fill
 
 
 def fuse_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] | None = None, blend: str = "weighted", kind: str = "<f8") -> DataFrame:
@@ -192,14 +284,9 @@ def fuse_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, i
         raise ValueError(f"blend must be one of {BLENDS}")
     lower = lower or (0, 0, 0)
 
-    def run(f):
-        import pandas as pd
-
-        c = [int(f[k].iloc[0]) for k in _CELL]
-        fill = _fill_from_stores(f, [lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
-        return pd.DataFrame([_fused(c, fill, kind)] if fill.count.any() else [], columns=[x.split()[0] for x in FUSED.split(", ")])
-
-    return _by_cell(cells_of_tiles(tiles, cell, lower)).applyInPandas(run, FUSED)
+    result = lambda c, fill: [_fused(c, fill, kind)] if fill.count.any() else []
+    cells = written(cells_of_tiles(tiles, cell, lower), "cells")
+    return _filled(cells, _parts(cells, blend), _fresh(cell, lower, blend), _add_from_stores, result, FUSED)
 
 
 def _mark(uri: str, c) -> tuple:
@@ -281,22 +368,22 @@ def fuse_to_store(tiles: DataFrame, uri: str, shape: tuple[int, int, int], cell:
     for d, (n, c) in enumerate(zip(shape, cell, strict=True)):
         within = within & F.col(f"c{d}").between(0, -(-n // c) - 1)
 
-    def run(f):
-        import pandas as pd
-
-        c = [int(f[k].iloc[0]) for k in _CELL]
-        if finished(base, c):
-            return pd.DataFrame({"n": [0]})
+    def new(c):
         at = [k * n for k, n in zip(c, cell, strict=True)]
         size = [min(n, m - o) for n, m, o in zip(cell, shape, at, strict=True)]
-        fill = _fill_from_stores(f, [o + lo for o, lo in zip(at, lower, strict=True)], size, blend)
-        _finish(base, c, at, fill.result())
-        return pd.DataFrame({"n": [1]})
+        return Filler([o + lo for o, lo in zip(at, lower, strict=True)], size, blend)
+
+    def result(c, fill):
+        _finish(base, c, [k * n for k, n in zip(c, cell, strict=True)], fill.result())
+        return [(1,)]
 
-    written = [_by_cell(cells_of_tiles(tiles, cell, lower).filter(within)).applyInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0]
+    cells = written(cells_of_tiles(tiles, cell, lower).filter(within), "cells")
+    done = _filled(cells, _parts(cells, blend), new, _add_from_stores, result, "n long", lambda c: finished(base, c))
+    made = [done.agg(F.sum("n")).first()[0] or 0]
+    discard(cells)
     for k in range(1, levels):
-        written.append(halve(spark, f"{uri.rstrip('/')}/{k - 1}", f"{uri.rstrip('/')}/{k}", chunk))
-    return written
+        made.append(halve(spark, f"{uri.rstrip('/')}/{k - 1}", f"{uri.rstrip('/')}/{k}", chunk))
+    return made
 
 
 def pyramid_step(blocks: DataFrame, cell: tuple[int, int, int]) -> DataFrame:

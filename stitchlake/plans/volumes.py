@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import detection, fusion, volume
 from ..sources import arrays, precomputed
+from ..sources.shared import n_tasks
 from ._base import query, shared_folder, table
 
 _SIGMA, _THRESHOLD, _N = 1.8, 6.0, 24
@@ -160,7 +161,7 @@ def q_fuse(spark, sf):
             made = [(t, x, _image(t)[x : x + 5]) for t in f["tile"] for x in range(0, _SHAPE[0], 5)]
             yield pd.DataFrame([(t, [x, 0, 0], list(v.shape), v.dtype.str, v.tobytes()) for t, x, v in made], columns=["tile", "origin", "shape", "kind", "data"])
 
-    blocks = models.select("tile").mapInPandas(image, f"tile long, {arrays.VOXELS}")
+    blocks = models.select("tile").repartition(n_tasks(spark), "tile").mapInPandas(image, f"tile long, {arrays.VOXELS}")
     whole = models.select("tile", F.array(*map(F.lit, _SHAPE)).alias("whole"))
     return _totals(fusion.fuse(blocks, models, whole, (_CELL,) * 3))
 
@@ -176,7 +177,7 @@ def _stored_tiles(spark, sf):
                 arrays.put_block(arrays.open_array(f"{folder}/{t}"), (0, 0, 0), _image(t))
             yield f[["tile"]]
 
-    models.select("tile").mapInPandas(write, "tile long").agg(F.count("*")).first()
+    models.select("tile").repartition(n_tasks(spark), "tile").mapInPandas(write, "tile long").agg(F.count("*")).first()
     return models.withColumn("uri", F.concat(F.lit(f"{folder}/"), "tile"))
 
 

@@ -27,6 +27,11 @@ def shared_folder(spark: SparkSession, name: str = "store") -> str:
     return f"{base.rstrip('/')}/stitchlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def n_tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are small but costly to work on, which Spark would put into one by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read back."""
     path = shared_folder(df.sparkSession, name)

@@ -257,6 +257,31 @@ def test_stored_tiles_fuse_as_rows_do(spark, tmp_path, blend):
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
 
 
+@pytest.mark.parametrize("blend", fusion.BLENDS)
+def test_tasks_share_a_crowded_cell(spark, tmp_path, monkeypatch, blend):
+    """Many tiles in one place: several groups fill a cell, with the result of one."""
+    rng = np.random.default_rng(6)
+    models = {k: shifted(k % 5, k % 3, k % 2) for k in range(20)}
+    tiles = stored(spark, tmp_path, {k: rng.integers(1, 900, (12, 10, 6)).astype("<u2") for k in models}, models)
+    run = lambda: {(r.c0, r.c1, r.c2): (r.covered, arrays.voxels(r)) for r in fusion.fuse_tiles(tiles, (8, 8, 8), blend=blend).collect()}
+    store = lambda name: (fusion.fuse_to_store(tiles, f"file://{tmp_path}/{name}", (16, 16, 8), (8, 8, 8), blend=blend), arrays.read_slice(a := arrays.open_array(f"file://{tmp_path}/{name}/0"), (0, 0, 0), a.shape))
+    one, plain = run(), store("one")
+    monkeypatch.setattr(fusion, "PART_TILES", 4)
+    many, shared = run(), store("many")
+    assert fusion._parts(fusion.cells_of_tiles(tiles, (8, 8, 8)), blend) == (1 if blend == "first" else 5)
+    assert one.keys() == many.keys() and all(one[k][0] == many[k][0] and np.allclose(one[k][1], many[k][1]) for k in one)
+    assert plain[0] == shared[0] and np.abs(plain[1].astype(int) - shared[1]).max() <= 1
+
+
+def test_only_the_image_of_a_block_is_visited(monkeypatch):
+    """A small block in a large cell: work in proportion to the block, not to the cell."""
+    visited = []
+    monkeypatch.setattr(fusion.np, "floor", lambda v, keep=np.floor: (visited.append(np.size(v)), keep(v))[1])
+    fill = fusion.Filler((0, 0, 0), (64, 64, 64), "weighted")
+    fill.add((0, 0, 0), np.ones((4, 4, 4)), np.column_stack([np.eye(3), [-30.0, -20, -10]]), (4, 4, 4))
+    assert fill.count.sum() == 64 and max(visited) < 10 * 64
+
+
 def test_fused_store_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(5)
     models = {0: shifted(0, 0, 0), 1: shifted(20, 0, 0), 2: shifted(0, 17, 3)}
