@@ -107,6 +107,23 @@ def test_box_join_equals_all_pairs(spark, touching):
     assert sorted(got) == sorted(want)
 
 
+def test_point_in_box_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    points = [(k, *map(float, rng.integers(0, 40, 2))) for k in range(60)]
+    boxes = [(k, float(x), float(y), float(x + 6), float(y + 9)) for k, (x, y) in enumerate(rng.integers(0, 6, (50, 2)) * 7)]
+    found = spatial.point_in_box_join(spark.createDataFrame(points, "i long, x double, y double"), spark.createDataFrame(boxes, "k long, a double, b double, c double, d double"), ["x", "y"], ["a", "b"], ["c", "d"], [5, 3])
+    assert sorted((r.i, r.k) for r in found.collect()) == sorted((i, k) for i, x, y in points for k, a, b, c, d in boxes if a <= x <= c and b <= y <= d)
+    assert found.columns == ["i", "x", "y", "k", "a", "b", "c", "d"]
+
+
+def test_equal_boxes_are_searched_once(spark):
+    """Candidates of a point do not grow with the copies of boxes that it is not in."""
+    points = spark.createDataFrame([(0.5, 0.5)] * 50, "x double, y double")
+    boxes = spark.createDataFrame([(0.6, 0.6, 0.7, 0.7, k) for k in range(200)], "a double, b double, c double, d double, k long")
+    found = spatial.point_in_box_join(points, boxes, ["x", "y"], ["a", "b"], ["c", "d"], 1)
+    assert found.count() == 0 and "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [3, 100])
 def test_pairs_in_groups_equal_all_pairs(spark, block):
     rows = [("u", k % 17, k) for k in range(20)] + [("v", k, -k) for k in range(9)] + [("w", 1, 0), (None, 1, 0), (None, 2, 0), ("u", None, 0)]
