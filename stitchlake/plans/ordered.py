@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import layout
 from ..operators import ordered as O
 from ..operators import spatial as S
@@ -30,8 +31,9 @@ def q_ratio_test(spark, sf):
     p = pts(spark, sf)
     a = p.select(F.col("vec_id").alias("ia"), "label", "x", "y", "z")
     b = p.select(F.col("vec_id").alias("ib"), (F.col("label") - 1).alias("label"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    c = S.radius_join(a, b, ["x", "y", "z"], ["bx", "by", "bz"], 200.0, on=["label"]).select("ia", "ib", F.col("__d2").alias("d2"))
-    return S.ratio_test(c, ["ia"], "d2", "ib", 1.5).select("ia", "ib", F.round("best", 6).alias("best"))
+    d2 = G.distance2([F.col(c) for c in "xyz"], [F.col(f"b{c}") for c in "xyz"])
+    found = S.nearest_ratio(a, b, ["label"], "ia", "ib", ["x", "y", "z"], ["bx", "by", "bz"], d2, 200.0, 1.5)
+    return found.select("ia", "ib", F.round("best", 6).alias("best"))
 
 
 _DAY = "d AS (SELECT CAST(day(ts) AS INTEGER) AS i, avg(value) AS v FROM events GROUP BY 1)"

@@ -107,6 +107,24 @@ def test_box_join_equals_all_pairs(spark, touching):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize(("radius", "few"), [(40.0, 4.0), (5.0, 40.0), (200.0, 1.0)])
+def test_nearest_ratio_equals_all_pairs(spark, monkeypatch, radius, few):
+    monkeypatch.setattr(spatial, "NEAR_ROWS", few)
+    rng = np.random.default_rng(8)
+    make = lambda n: [(int(k % 3), k, *map(float, np.rint(rng.normal(0, 20, 3)))) for k in range(n)]
+    a, b = make(120), [*make(90), (2, 500, 900.0, 0.0, 0.0), (7, 501, 0.0, 0.0, 0.0)]
+    da, db = spark.createDataFrame(a, "g long, ia long, x double, y double, z double"), spark.createDataFrame(b, "g long, ib long, u double, v double, w double")
+    d2 = G.distance2([F.col(c) for c in "xyz"], [F.col(c) for c in "uvw"])
+    found = spatial.nearest_ratio(da, db, ["g"], "ia", "ib", list("xyz"), list("uvw"), d2, radius, 1.5)
+    want = []
+    for g, i, *p in a:
+        near = sorted((sum((s - t) ** 2 for s, t in zip(p, q, strict=True)), j) for h, j, *q in b if h == g)
+        near = [v for v in near if v[0] <= radius * radius]
+        if len(near) > 1 and near[0][0] * 1.5 < near[1][0]:
+            want.append((g, i, near[0][1], near[0][0]))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_point_in_box_join_equals_all_pairs(spark):
     rng = np.random.default_rng(2)
     points = [(k, *map(float, rng.integers(0, 40, 2))) for k in range(60)]
