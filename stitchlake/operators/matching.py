@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fit
-from .spatial import knn_self, radius_join, ratio_test
+from .spatial import knn_self, nearest_ratio
 
 
 def descriptors(points: DataFrame, view: str, key: str, p: list[str], neighbours: int = 3) -> DataFrame:
@@ -34,10 +34,9 @@ def candidates(a: DataFrame, b: DataFrame, pair: str, key: str, radius: float, s
     right = b.select(pair, F.col(key).alias("ib"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(n)])
     # the first vector alone is within the radius bound; the residual covers all
     bound = radius * (n // 3) ** 0.5
-    close = radius_join(left, right, ["d0", "d1", "d2"], ["e0", "e1", "e2"], bound, on=[pair])
     d2 = sum(((F.col(f"d{i}") - F.col(f"e{i}")) * (F.col(f"d{i}") - F.col(f"e{i}")) for i in range(n)), F.lit(0.0)) / (n // 3)
-    scored = close.withColumn("dd", d2).filter(F.col("dd") <= radius * radius).select(pair, "ia", "ib", "dd")
-    return ratio_test(scored, [pair, "ia"], "dd", "ib", significance * significance)
+    within = F.when(d2 <= radius * radius, d2)
+    return nearest_ratio(left, right, [pair], "ia", "ib", ["d0", "d1", "d2"], ["e0", "e1", "e2"], within, bound, significance * significance, 1.0 / (n // 3))
 
 
 def _rigid(p: np.ndarray, q: np.ndarray) -> np.ndarray:
