@@ -14,6 +14,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ LONG = 1 << 16
 _DIGITS = re.compile(r"(?<=[0-9])(?=[0-9])")
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that normalization leaves as they are but for lower case, letter by letter (not so U+0130), so that the model can merge them.
+_WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The letters that stand for bytes in the model's vocabulary.
+_OTHERS = (b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))
+_BYTES = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
 def default_tokenizer() -> str:
@@ -146,29 +152,30 @@ class Encoder:
         return np.concatenate(found), np.array(lengths, dtype=np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        known, merge = self.known, self.tok.model.tokenize
+        known, merge, word = self.known, self.tok.model.tokenize, _WORD.fullmatch
         cut, bases, tails = [], [], []
         fast, slow = {}, {}
         for p in pieces:
-            base = p.rstrip(_TAIL)
-            if base and len(base) < len(p) and base[-1].isalpha() and base[-1] < "ɐ":
-                tail = p[len(base) :]
-                cut.append(p)
-                bases.append(base)
-                tails.append(tail)
-                if tail not in known:
-                    slow[tail] = None
-                p = base
-                if p in known:
-                    continue
-            if p.isascii() and p.isalpha():
+            if word(p):
                 fast[p] = None
-            else:
+                continue
+            base = p.rstrip(_TAIL)
+            if not (base and len(base) < len(p) and base[-1].isalpha() and base[-1] < "ɐ" and base[-1] != "İ"):  # its dot would stand with the tail
                 slow[p] = None
+                continue
+            tail = p[len(base) :]
+            cut.append(p)
+            bases.append(base)
+            tails.append(tail)
+            if tail not in known:
+                slow[tail] = None
+            if base not in known:
+                (fast if word(base) else slow)[base] = None
         ids: list[int] = []
         sizes: list[int] = []
         for p in fast:
-            got = merge(p.lower())
+            p = p.lower()
+            got = merge(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
             sizes.append(len(got))
             ids += [t.id for t in got]
         names = [*fast, *slow]
@@ -200,12 +207,19 @@ class Encoder:
         if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.forget()
         known = self.known
-        self._learn([p for p in vocab if p not in known])
-        start, length = self._places(vocab)
-        n = length[codes]
+        at = np.fromiter(map(known.get, vocab, repeat(-1)), dtype=np.int64, count=len(vocab))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            pieces = [vocab[i] for i in new.tolist()]
+            self._learn(pieces)
+            at[new] = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        start = self.bounds[at]
+        n = (self.bounds[at + 1] - start)[codes]
         before = np.zeros(len(codes) + 1, dtype=np.int64)
         np.cumsum(n, out=before[1:])
-        flat = self.pool[np.repeat(start[codes] - before[:-1], n) + np.arange(before[-1])]
+        place = np.repeat(start[codes] - before[:-1], n)
+        place += np.arange(before[-1])
+        flat = self.pool.take(place)
         cut = before[off]
         sizes = np.diff(cut)
         special = {int(i): np.array(self.tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in odd}

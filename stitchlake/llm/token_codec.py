@@ -5,14 +5,19 @@ footer with the document index (ids and lengths) and its checksum, so a writer s
 is coded from a reset model, carries its length and the crc32 of its coded bytes and of its ids, and
 can be decoded alone.
 
-Within a block an id is named by its rank, the order of first appearance. Three predictions of the
+A block of ``WAYS_FROM`` ids or more is cut into up to ``WAYS`` equal stretches, its ways, which are coded
+side by side, one id of each a step, and share the block's model: it learns a step's ids when the step is
+done, so a block has few, wide steps whatever its file's size. Of ways that meet the same context in a step
+the last one teaches it. A block's order of time is by step, then by way.
+
+Within a block an id is named by its rank, the order of first appearance in time. Three predictions of the
 next rank are mixed as probabilities: order 0, the adaptive counts of the block's ranks, renewed
-when 64, 128, .. 4096 and then every further 4096 ids are known, with a share for ids that they do
+when some 64, 128, .. 4096 (with ways 8, 16, .. steps) and then every further 4096 ids are known, with a share for ids that they do
 not know; order 1, the last ``SLOTS`` ranks that followed the rank before; order 2, the rank that
 last followed the hashed pair of ranks before. The probability of a rank is the weighted sum over
 the three, and so is its cumulative probability. Weights are kept for each kind of context (how many
 slots are filled, how they agree); they follow the share that each order had in the probabilities of
-the ids coded so far (online expectation maximization, every ``RENEW`` ids). An id that nothing
+the ids coded so far (online expectation maximization, every ``RENEW`` steps). An id that nothing
 knows is an escape and then its number, with a fixed 1 / (id + 256) prior. The probabilities drive a
 range coder (64-bit low with carry, 32-bit words, total ``2**24``).
 
@@ -48,17 +53,20 @@ from ._text import blocks, column, crc32_ids
 from ._tokens import default_tokenizer, encoder
 
 BLOCK = 1 << 16
-ENCODE_LANES, DECODE_LANES = 256, 640
+#: Blocks that are coded at once: their tables should fit a processor's cache.
+ENCODE_LANES, DECODE_LANES = 128, 128
+#: Most ways of a block, least steps of a way, and ids from which a block has several.
+WAYS, STEPS, WAYS_FROM = 64, 512, 8192
 #: Text bytes of a file; fixes the number of range partitions.
 FILE_BYTES = 48 << 20
 END_ID = 1
-MAGIC, TAIL = b"SLTOKEN2", b"SLINDEX2"
+MAGIC, TAIL = b"SLTOKEN3", b"SLINDEX3"
 SLOTS = 3
 NONE = 0xFFFF  # an empty slot
 SCALE = 1 << 15  # total of order 0
 SHARES = 512  # total of the three weights; SHARES * SCALE is the coder's total
 TOTAL_BITS = 24
-RENEW = 64
+RENEW, RENEW_WAYS = 64, 8  # without and with ways
 KNOWN = 1 << 14  # most ranks in order 0
 _BITS2 = 13
 _KEYS = 4 * 4 * 3
@@ -71,9 +79,30 @@ _32, _24, _LEAST = np.uint64(32), np.uint64(TOTAL_BITS), np.uint64(1 << 32)
 _LOW16, _16 = np.uint32(0xFFFF), np.uint32(16)
 
 
-def _renewals(n: int) -> list[int]:
-    """Places at which order 0 is renewed."""
-    return [p for p in [*(64 << i for i in range(6)), *range(4096, n, 4096)] if p < n]
+def _ways(n: int) -> int:
+    """Ways of a block of ``n`` ids."""
+    return min(WAYS, n // STEPS) if n >= WAYS_FROM else 1
+
+
+def _renew(ways: int) -> int:
+    return RENEW if ways == 1 else RENEW_WAYS
+
+
+def _renewals(n: int, ways: int) -> list[int]:
+    """Steps at which order 0 is renewed."""
+    renew = _renew(ways)
+    every = max(renew, 4096 // ways // renew * renew)
+    return [p for p in [*(renew << i for i in range(12) if renew << i < every), *range(every, n, every)] if p < n]
+
+
+def _in_time(ids: np.ndarray, ways: int) -> np.ndarray:
+    """A block's ids by step and way."""
+    if ways == 1:
+        return ids
+    out = np.empty_like(ids)
+    for k, p in enumerate(np.array_split(ids, ways)):
+        out[k::ways] = p
+    return out
 
 
 def _order0(counts: np.ndarray, distinct: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +214,11 @@ class _Encoder:
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        self.room(2)
-        self.word(every)
+        self.room(1)
+        up = _LEAST - np.uint64(1)  # the range holds a number whose lower word is zero, and zeros follow the end
+        self.low += up
+        j = np.flatnonzero(self.low < up)
+        self.out[j, self.used[j] - 1] += np.uint64(1)
         self.word(every)
         w = self.out
         while (over := w >> _32).any():
@@ -205,15 +237,26 @@ def _ranks(ids: np.ndarray) -> tuple[np.ndarray, int]:
     return rank[ids], len(known)
 
 
-def _followers(context: np.ndarray, x: np.ndarray, slots: int) -> np.ndarray:
-    """What last followed each place's context before it: (slots, n), the latest first."""
+def _followers(context: np.ndarray, x: np.ndarray, slots: int, ways: int) -> np.ndarray:
+    """What last followed each place's context in steps before it: (slots, n), the latest first. Of ways with one
+    context in a step the last counts."""
     order = np.argsort(context, kind="stable")
     by, follows = context[order], x[order]
+    new = by[1:] != by[:-1]
+    if ways > 1:
+        step = order // ways
+        new |= step[1:] != step[:-1]
+    last = np.flatnonzero(np.append(new, True))  # of each context and step
+    which = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), new])) if ways > 1 else np.arange(len(x))
+    if ways == 1:
+        last = which
+    by_last, follows_last = by[last], follows[last]
     out = np.full((slots, len(x)), NONE, dtype=np.uint16)
     for j in range(1, slots + 1):
-        if j < len(x):
-            got = np.where(by[j:] == by[:-j], follows[:-j], np.uint16(NONE))
-            out[j - 1][order[j:]] = got
+        if j < len(last):
+            got = np.full(len(last), NONE, dtype=np.uint16)
+            got[j:] = np.where(by_last[j:] == by_last[:-j], follows_last[:-j], np.uint16(NONE))
+            out[j - 1][order] = got[which]
     return out
 
 
@@ -250,11 +293,11 @@ def _code_escapes(escapes: list[np.ndarray]) -> list[bytes]:
     return coder.finish()
 
 
-def _read_escapes(coded: list[bytes], counts: np.ndarray) -> np.ndarray:
+def _read_escapes(coded: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     lanes, most = len(coded), int(counts.max())
-    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 2 + most), dtype=np.uint64)
+    words = np.zeros((lanes, max(map(len, coded)) + 2 + most), dtype=np.uint64)
     for i, c in enumerate(coded):
-        words[i, : len(c) // 4] = np.frombuffer(c, dtype="<u4")
+        words[i, : len(c)] = c
     at = np.full(lanes, 2)
     code = words[:, 0] << _32 | words[:, 1]
     rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
@@ -276,43 +319,66 @@ def _read_escapes(coded: list[bytes], counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_ways(f, sizes: list[int], *columns: list) -> list[list]:
+    """The columns of ``f``'s result, one entry a block, where ``f`` takes blocks of equally many ways."""
+    out: list = [None] * len(sizes)
+    kinds = [_ways(n) for n in sizes]
+    for w in sorted(set(kinds)):
+        at = [i for i, k in enumerate(kinds) if k == w]
+        for i, got in zip(at, f(w, *([c[i] for i in at] for c in columns)), strict=True):
+            out[i] = got
+    return out
+
+
 def encode_blocks(parts: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
     """(coded bytes, distinct ids) of each block; lengths are descending and differ by one at most."""
-    lanes, n = len(parts), len(parts[0])
-    x = np.zeros((lanes, n), dtype=np.uint16)
-    slots = np.full((SLOTS + 1, lanes, n), NONE, dtype=np.uint16)
-    distinct = []
-    for i, ids in enumerate(parts):
-        m = len(ids)
+    coded, distinct = zip(*_by_ways(_encode, [len(p) for p in parts], parts), strict=True)
+    return list(coded), list(distinct)
+
+
+def _encode(ways: int, parts: list[np.ndarray]) -> list[tuple[bytes, int]]:
+    many, n, renew = len(parts), -(-len(parts[0]) // ways), _renew(ways)
+    lanes = many * ways
+    x = np.zeros((n, many, ways), dtype=np.uint16)
+    slots = np.full((SLOTS + 1, n, many, ways), NONE, dtype=np.uint16)
+    distinct, timed = [], [_in_time(p, ways) for p in parts]
+    start = np.zeros(ways, np.uint16)
+    for i, ids in enumerate(timed):
+        m, q = len(ids), len(ids) // ways
         rank, d = _ranks(ids)
-        p1 = np.concatenate([np.zeros(1, np.uint16), rank[:-1]])
-        p2 = np.concatenate([np.zeros(1, np.uint16), p1[:-1]])
-        x[i, :m] = rank
-        slots[:SLOTS, i, :m] = _followers(p1, rank, SLOTS)
-        slots[SLOTS, i, :m] = _followers(_hash2(p1, p2), rank, 1)[0]
+        p1 = np.concatenate([start, rank[:-ways]])
+        p2 = np.concatenate([start, p1[:-ways]])
+        both = np.concatenate([rank[None], _followers(p1, rank, SLOTS, ways), _followers(_hash2(p1, p2), rank, 1, ways)])
+        for to, z in zip((x, *slots), both, strict=True):
+            to[:q, i] = z[: q * ways].reshape(q, ways)
+            if m > q * ways:
+                to[q, i, : m - q * ways] = z[q * ways :]
         distinct.append(d)
+    x, slots = x.reshape(n, lanes), slots.reshape(SLOTS + 1, n, lanes)
     sizes = np.array([len(p) for p in parts])
-    weights, coder = _Weights(lanes), _Encoder(lanes, n // 2 + 512)
+    weights, coder = _Weights(many), _Encoder(lanes, n // 2 + 512)
     width = max(distinct)
-    counts = np.zeros((lanes, width), dtype=np.int64)
-    top = np.zeros(lanes, dtype=np.int64)
-    lane = np.arange(lanes)[:, None]
+    counts = np.zeros((many, width), dtype=np.int64)
+    top = np.zeros(many, dtype=np.int64)
+    block = np.repeat(np.arange(many), ways)
+    way = np.tile(np.arange(ways), many)
+    base, base_key = block * (width + 1), block * _KEYS
     table, escape = _order0(counts, top, 0)
-    marks = set(_renewals(n))
-    begun, full, escaped = 0, int((sizes == n).sum()), []
-    for t in range(0, n, RENEW):
+    marks = set(_renewals(n, ways))
+    begun, escaped = 0, []
+    ends = np.flatnonzero((n - 1) * ways + way < sizes[block])  # lanes that have a place in the last step
+    for t in range(0, n, renew):
         if t in marks:
-            add = np.bincount((lane * width + x[:, begun:t]).ravel(), minlength=lanes * width)
-            counts += add.reshape(lanes, width)
+            add = np.bincount((block * width + x[begun:t]).ravel(), minlength=many * width)
+            counts += add.reshape(many, width)
             top, begun = (counts > 0).sum(axis=1), t
-            table, escape = _order0(counts, top, t)
-        u = min(t + RENEW, n)
-        now = np.ascontiguousarray(x[:, t:u])
-        c = np.ascontiguousarray(slots[:, :, t:u])
+            table, escape = _order0(counts, top, t * ways)
+        u = min(t + renew, n)
+        now, c = x[t:u], slots[:, t:u]
         kind, filled, _ = _kind(c, NONE)
-        key = kind + lane * _KEYS
+        key = kind + base_key
         w0, w1, w2 = weights.w0.take(key), weights.w1.take(key), weights.w2.take(key)
-        got = table.take(now + lane * (width + 1))
+        got = table.take(now + base)
         f1 = ((c[0] == now).view(np.uint8) + (c[1] == now).view(np.uint8) + (c[2] == now).view(np.uint8)) * w1
         f2 = (c[3] == now) * w2
         less = (c[0] < now).view(np.uint8) + (c[1] < now).view(np.uint8) + (c[2] < now).view(np.uint8)
@@ -325,80 +391,116 @@ def encode_blocks(parts: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
         out = (freq == 0) | (now == NONE)
         at = np.flatnonzero(out.ravel())
         if len(at):
-            i = at // (u - t)
+            step, lane = at // lanes, at % lanes
+            i = block[lane]
             w = w0.ravel()[at]
             cum.ravel()[at] = w * escape[i] + filled.ravel()[at] * w1.ravel()[at] + w2.ravel()[at]
             freq.ravel()[at] = w * (SCALE - escape[i])
             f1.ravel()[at] = f2.ravel()[at] = 0
-            escaped.append((i, t + at % (u - t)))
-        cums, freqs = cum.T.astype(np.uint64, order="C"), freq.T.astype(np.uint64, order="C")
-        coder.room(4 * RENEW)
+            escaped.append((i, (t + step) * ways + way[lane]))
+        cums, freqs = cum.astype(np.uint64), freq.astype(np.uint64)
+        coder.room(4 * renew)
         for s in range(u - t):
-            a = lanes if t + s < n - 1 else full
-            coder.put(cums[s, :a], freqs[s, :a], a)
+            if t + s < n - 1:
+                coder.put(cums[s], freqs[s], lanes)
+            else:
+                coder.put_some(cums[s, ends], freqs[s, ends], ends)
         weights.update(key, (f1 << 6) // freq, (f2 << 6) // freq)
     i, at = (np.concatenate(z) for z in zip(*escaped, strict=True))
     order = np.argsort(i, kind="stable")
     i, at = i[order], at[order]
-    edges = np.searchsorted(i, np.arange(lanes + 1))
-    own = [parts[k][z[z < sizes[k]]] for k in range(lanes) for z in [at[edges[k] : edges[k + 1]]]]
-    first = _code_escapes(own)
-    return [struct.pack("<II", len(e), len(x)) + x + y for e, x, y in zip(own, first, coder.finish(), strict=True)], distinct
+    edges = np.searchsorted(i, np.arange(many + 1))
+    own = [timed[k][z[z < sizes[k]]] for k in range(many) for z in [at[edges[k] : edges[k + 1]]]]
+    few = _escape_ways(ways)
+    first, then = _code_escapes([p for e in own for p in np.array_split(e, few)]), coder.finish()
+    coded = []
+    for k, e in enumerate(own):
+        pieces = [*first[k * few : (k + 1) * few], *then[k * ways : (k + 1) * ways]]
+        coded.append(struct.pack("<I", len(e)) + np.array([len(p) // 4 for p in pieces], dtype="<u2").tobytes() + b"".join(pieces))
+    return list(zip(coded, distinct, strict=True))
+
+
+def _escape_ways(ways: int) -> int:
+    """Parts of a block's escaped ids, coded side by side."""
+    return max(1, ways // 4)
+
+
+def _pieces(coded: bytes, ways: int) -> tuple[int, list[np.ndarray]]:
+    """How many ids of a block are escaped, and the words of each of its pieces."""
+    k = _escape_ways(ways) + ways
+    if len(coded) < 4 + 2 * k:
+        raise ValueError("a block is damaged")
+    ends = np.cumsum(np.frombuffer(coded, dtype="<u2", count=k, offset=4), dtype=np.int64)
+    words = np.frombuffer(coded, dtype=np.uint8, offset=4 + 2 * k)
+    if len(words) != 4 * ends[-1]:
+        raise ValueError("a block is damaged")
+    return struct.unpack("<I", coded[:4])[0], np.split(words.view("<u4"), ends[:-1])
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], distinct: list[int]) -> list[np.ndarray]:
     """Ids of each block (sizes descending)."""
-    lanes, n, width = len(coded), sizes[0], max(distinct)
+    return _by_ways(_decode, sizes, coded, sizes, distinct)
+
+
+def _decode(ways: int, coded: list[bytes], sizes: list[int], distinct: list[int]) -> list[np.ndarray]:
+    many, n, width, renew, few = len(coded), -(-sizes[0] // ways), max(distinct), _renew(ways), _escape_ways(ways)
+    lanes = many * ways
     none = width if width < NONE else NONE  # an empty slot, above every rank
-    head = [struct.unpack("<II", c[:8]) for c in coded]
+    head = [_pieces(c, ways) for c in coded]
     n_escapes = np.array([h[0] for h in head])
     if (n_escapes > np.array(sizes)).any():
         raise ValueError("a block is damaged")
-    escapes = _read_escapes([c[8 : 8 + h[1]] for c, h in zip(coded, head, strict=True)], n_escapes)
-    id_of = np.zeros((lanes, width + 1), dtype=np.uint16)
+    shares = np.array([[k // few + (j < k % few) for j in range(few)] for k in n_escapes.tolist()])
+    read = _read_escapes([p for h in head for p in h[1][:few]], shares.ravel())
+    escapes = np.zeros((many, int(n_escapes.max())), dtype=np.uint16)
+    for i, k in enumerate(n_escapes):
+        escapes[i, :k] = np.concatenate([read[i * few + j, :m] for j, m in enumerate(shares[i])])
+    id_of = np.zeros((many, width + 1), dtype=np.uint16)
     rank_at = np.zeros(escapes.shape, dtype=np.uint16)  # an id is first met as an escape, so this gives all ranks
     for i, k in enumerate(n_escapes):
         rank_at[i, :k], d = _ranks(escapes[i, :k])
         if d != distinct[i]:
             raise ValueError("a block is damaged")
         id_of[i, rank_at[i, :k]] = escapes[i, :k]
-    rank_at, next_escape = rank_at.ravel(), np.arange(lanes) * escapes.shape[1]
+    rank_at, next_escape = rank_at.ravel(), np.arange(many) * escapes.shape[1]
     last_escape = next_escape + np.maximum(n_escapes, 1) - 1
-    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 4 * RENEW), dtype=np.uint32)
-    for i, (c, h) in enumerate(zip(coded, head, strict=True)):
-        words[i, : (len(c) - 8 - h[1]) // 4] = np.frombuffer(c, dtype="<u4", offset=8 + h[1])
+    streams = [p for h in head for p in h[1][few:]]
+    words = np.zeros((lanes, max(map(len, streams)) + 4 * RENEW), dtype=np.uint32)
+    for i, p in enumerate(streams):
+        words[i, : len(p)] = p
     flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
     rng = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     code = flat[at].astype(np.uint64) << _32 | flat[at + 1]  # relative to the coder's low end
     at += 2
     last_word = np.arange(1, lanes + 1) * words.shape[1] - 1
-    lane = np.arange(lanes, dtype=np.int64)
-    table1 = np.full(lanes * (width + 1), none * 0x0001000100010001, dtype=np.uint64)
-    table2 = np.full(lanes << _BITS2, none, dtype=np.uint16)
-    base1, base2, base0, base_key = lane * (width + 1), lane << _BITS2, lane * SCALE, lane * _KEYS
+    block = np.repeat(np.arange(many, dtype=np.int64), ways)
+    table1 = np.full(many * (width + 1), none * 0x0001000100010001, dtype=np.uint64)
+    table2 = np.full(many << _BITS2, none, dtype=np.uint16)
+    base1, base2, base0, base_key = block * (width + 1), block << _BITS2, block * SCALE, block * _KEYS
     x_all = np.zeros((n, lanes), dtype=np.uint16)
     p1, p2 = np.zeros(lanes, dtype=np.uint16), np.zeros(lanes, dtype=np.uint16)
-    weights = _Weights(lanes)
-    counts = np.zeros((lanes, width), dtype=np.int64)
-    marks, begun = {0, *_renewals(n)}, 0
+    weights = _Weights(many)
+    counts = np.zeros((many, width), dtype=np.int64)
+    marks, begun = {0, *_renewals(n, ways)}, 0
     most = np.uint64((1 << TOTAL_BITS) - 1)
     c = np.empty((4, lanes), dtype=np.uint16)
     times1, times2, below1, below2 = (np.zeros((4, lanes), dtype=np.uint8) for _ in range(4))
     times2[3] = 1
-    keys = np.empty((RENEW, lanes), dtype=np.int64)
-    parts1, parts2 = np.empty((RENEW, lanes), dtype=np.int32), np.empty((RENEW, lanes), dtype=np.int32)
+    keys = np.empty((renew, lanes), dtype=np.int64)
+    parts1, parts2 = np.empty((renew, lanes), dtype=np.int32), np.empty((renew, lanes), dtype=np.int32)
     for t in range(n):
         if t in marks:
             if t:
-                add = np.bincount((lane * width + x_all[begun:t]).ravel(), minlength=lanes * width)
-                counts += add.reshape(lanes, width)
+                add = np.bincount((block * width + x_all[begun:t]).ravel(), minlength=many * width)
+                counts += add.reshape(many, width)
             seen, begun = (counts > 0).sum(axis=1), t
-            table, escape = _order0(counts, seen, t)
+            table, escape = _order0(counts, seen, t * ways)
             # the slots of the unit interval: each rank as often as its share says, then the escape's part
             filler = np.concatenate([table[:, :width] & _LOW16, (SCALE - escape)[:, None]], axis=1).ravel()
-            inverse = np.repeat(np.tile(np.arange(width + 1).astype(np.uint16), lanes), filler)
-            table, left = table.ravel(), SCALE - escape
-        row = t % RENEW
+            inverse = np.repeat(np.tile(np.arange(width + 1).astype(np.uint16), many), filler)
+            table, escape = table.ravel(), escape[block]
+            left = SCALE - escape
+        row = t % renew
         i1 = p1 + base1
         last = table1.take(i1)
         i2 = _hash2(p1, p2) + base2
@@ -463,9 +565,11 @@ def decode_blocks(coded: list[bytes], sizes: list[int], distinct: list[int]) ->
             at[small] = np.minimum(at[small] + 1, last_word[small])  # a lane that has ended goes on idly
             rng[small] <<= _32
         if len(out):
-            k = next_escape[out]
-            x[out] = rank_at[k]
-            next_escape[out] = np.minimum(k + 1, last_escape[out])
+            own = block[out]
+            new = np.bincount(own, minlength=many)
+            k = next_escape[own] + np.arange(len(out)) - (np.cumsum(new) - new)[own]
+            x[out] = rank_at[np.minimum(k, last_escape[own])]
+            next_escape = np.minimum(next_escape + new, last_escape)
         x_all[t] = x
         one = (c0 == x).view(np.uint8) + (c1 == x).view(np.uint8) + (c2 == x).view(np.uint8)
         np.floor_divide((one * w1) << 6, freq, out=parts1[row])
@@ -477,9 +581,11 @@ def decode_blocks(coded: list[bytes], sizes: list[int], distinct: list[int]) ->
         table1[i1] = last
         table2[i2] = x
         p2, p1 = p1, x
-        if row == RENEW - 1:
+        if row == renew - 1:
             weights.update(keys, parts1, parts2)
-    return [id_of[i].take(x_all[:k, i]).astype(np.uint32) for i, k in enumerate(sizes)]
+    x_all = x_all.reshape(n, many, ways)
+    timed = (id_of[i].take(x_all[:, i].ravel()[:k]).astype(np.uint32) for i, k in enumerate(sizes))
+    return [z if ways == 1 else np.concatenate([z[k::ways] for k in range(ways)]) for z in timed]
 
 
 def _cut(flat: np.ndarray) -> list[np.ndarray]:

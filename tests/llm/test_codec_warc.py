@@ -46,6 +46,21 @@ def test_blocks_do_not_depend_on_neighbours():
     assert len(token_codec.encode_blocks([np.tile(parts[0][:50], 60)])[0][0]) < 600  # repeats are learned
 
 
+def test_ways_of_a_block_share_its_model(monkeypatch):
+    """Blocks of all kinds come back, and a block of a small file takes few steps (before: one an id)."""
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [8191], [8192, 8191], [16001, 16000], [65536, 65535]):
+        parts = [rng.zipf(1.2, n).clip(0, 60000).astype(np.uint32) for n in sizes]
+        coded, distinct = token_codec.encode_blocks(parts)
+        found = token_codec.decode_blocks(coded, sizes, distinct)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(parts, found, strict=True))
+    steps, kind = [], token_codec._kind
+    monkeypatch.setattr(token_codec, "_kind", lambda *a: steps.append(1) or kind(*a))
+    token_codec.decode_blocks(coded, sizes, distinct)
+    assert len(steps) <= 1024
+    assert 8 * sum(map(len, coded)) / 131071 < 1.03 * 8 * len(token_codec._encode(1, parts[:1])[0][0]) / 65536
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
 def test_mixing_beats_the_entropy_of_order_0():
     """Bits an id, all block resets included, against the order-0 entropy of the same ids."""
@@ -220,3 +235,12 @@ def test_pieces_of_any_length(monkeypatch):
     e._keep(["huge", "next"], np.arange(n + 2, dtype=np.uint32), np.array([n, 2]))
     start, length = e._places(["huge", "next"])
     assert length.tolist() == [n, 2] and e._gather(start, length)[-3:].tolist() == [n - 1, n, n + 1]
+
+
+def test_words_of_latin_letters():
+    """Every letter up to U+0250 in words with and without a tail, against the tokenizer itself (before: wrong for a capital I with a dot before a tail)."""
+    words = [w for c in map(chr, range(0xA0, 0x250)) for w in (c, f"a{c}B", f"{c}{c}.", f"A{c}!?", f"{c}\u0301,")]
+    e = _tokens.Encoder(_tokens.default_tokenizer())
+    ids, off = e.encode(pa.array([*words, " ".join(words)]), 1)
+    for i, w in enumerate([*words, " ".join(words)]):
+        assert ids[off[i] : off[i + 1] - 1].tolist() == e.tok.encode(w, add_special_tokens=False).ids, w
