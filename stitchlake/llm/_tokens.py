@@ -203,7 +203,7 @@ class Encoder:
         off = pieces.offsets.to_numpy().astype(np.int64)
         off -= off[0]
         coded = pieces.flatten().dictionary_encode()
-        vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        vocab, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.forget()
         known = self.known
