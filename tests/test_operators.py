@@ -549,3 +549,17 @@ def test_viewer_rows(spark):
         viewer.layers(rows.withColumn("source", F.lit("a.tif")), "s3", "b").collect()
     one = F.lit(1)
     assert "range=[1, 2]" in spark.range(1).select(viewer.rgb_shader([(one, F.lit(2))] * 3)).first()[0]
+
+
+def test_trials_are_shared_by_tasks(spark):
+    """Parts of the trials find together what all find at once, and a pair's trials are not one task's work."""
+    rng = np.random.default_rng(4)
+    p, q = rng.normal(size=(3000, 3)) * 100, rng.normal(size=(3000, 3)) * 100
+    whole = matching.best_sample(p, q, "rigid", 2000, 120.0, 5)
+    parts = [matching.best_sample(p, q, "rigid", 2000, 120.0, 5, part=i, parts=4) for i in range(4)]
+    assert whole == max(parts, key=lambda b: (b[0], -b[1])) and min(b[0] for b in parts) > 0
+    rows = [(k, i, *map(float, (*p[i], *q[i]))) for k in (None, 1) for i in range(50)]
+    m = spark.createDataFrame(rows, "pair long, match_id long, px double, py double, pz double, qx double, qy double, qz double")
+    found = matching.ransac(m, "pair", "match_id", trials=50, epsilon=120.0)
+    assert {r.pair for r in found.select("pair").distinct().collect()} == {None, 1}
+    assert "hashpartitioning(pair#" in (plan := found._jdf.queryExecution().toString()) and f", {matching.TASKS})" in plan
