@@ -4,7 +4,9 @@ Where a tokenizer's own steps (normalize, split, merge) never look across white
 letters, as those of ``word_bpe_49k.json`` (recognized by these steps in its file; any other tokenizer
 encodes whole texts), a text's ids are the ids of its space-separated pieces, and every distinct piece
 is encoded once a worker. A
-piece of letters with a tail of ASCII punctuation is the letters' ids and the tail's. Texts with
+piece that ends in a letter and a tail of ASCII punctuation is the ids of what stands before the tail and
+the tail's, and words of Latin letters are remembered in lower case, so a block has far fewer words to
+encode than pieces; they are given to the tokenizer's model many at a time. Texts with
 ``<|``, which may name special tokens, are encoded whole.
 """
 
@@ -29,10 +31,14 @@ _DIGITS = re.compile(r"(?<=[0-9])(?=[0-9])")
 #: Punctuation that can be cut off a piece's end (no apostrophe: the tokenizer has rules for it).
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that normalization leaves as they are but for lower case, letter by letter (not so U+0130), so that the model can merge them.
-_WORD = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_LETTER = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+_WORD, _ENDS_IN_LETTER = rf"\A{_LETTER}+\z", rf"{_LETTER}[{re.escape(_TAIL)}]*\z"
+#: Words that are given to the model at once.
+_MERGED = 4096
 #: The letters that stand for bytes in the model's vocabulary.
 _OTHERS = (b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))
 _BYTES = {b: 256 + i for i, b in enumerate(_OTHERS)}
+_SPELLED = np.array([b if b == 32 else _BYTES.get(b, b) for b in range(256)], dtype="<u4")  # blanks stay
 
 
 def default_tokenizer() -> str:
@@ -62,7 +68,7 @@ def cuts_at_blanks(path: str) -> bool:
         steps = json.load(f)
     normal = (steps.get("normalizer") or {}).get("normalizers", [])
     split = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return (
+    return bool(
         [x["type"] for x in normal] == _NORMALIZER
         and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
         and [x["type"] for x in split] == ["Split", "ByteLevel"]
@@ -70,6 +76,8 @@ def cuts_at_blanks(path: str) -> bool:
         and not split[1]["add_prefix_space"]
         and steps["model"]["type"] == "BPE"
         and not steps["model"].get("dropout")
+        and (suffix := steps["model"].get("end_of_word_suffix"))
+        and all(chr(_BYTES.get(b, b)) + suffix in steps["model"]["vocab"] for b in range(256))
         and steps.get("post_processor") is None
         and all(x["content"].startswith("<|") for x in steps["added_tokens"])
     )
@@ -90,9 +98,15 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(path)
         self.by_pieces = cuts_at_blanks(path)
+        self.merger = Tokenizer(self.tok.model)  # for words that are normalized and spelled in the model's letters
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        suffix, vocab = self.tok.model.end_of_word_suffix, self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for x, i in vocab.items() if suffix and x.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -151,40 +165,47 @@ class Encoder:
             sizes.clear()
         return np.concatenate(found), np.array(lengths, dtype=np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        known, merge, word = self.known, self.tok.model.tokenize, _WORD.fullmatch
-        cut, bases, tails = [], [], []
-        fast, slow = {}, {}
-        for p in pieces:
-            if word(p):
-                fast[p] = None
-                continue
-            base = p.rstrip(_TAIL)
-            if not (base and len(base) < len(p) and base[-1].isalpha() and base[-1] < "ɐ" and base[-1] != "İ"):  # its dot would stand with the tail
-                slow[p] = None
-                continue
-            tail = p[len(base) :]
-            cut.append(p)
-            bases.append(base)
-            tails.append(tail)
-            if tail not in known:
-                slow[tail] = None
-            if base not in known:
-                (fast if word(base) else slow)[base] = None
-        ids: list[int] = []
-        sizes: list[int] = []
-        for p in fast:
-            p = p.lower()
-            got = merge(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
-            sizes.append(len(got))
-            ids += [t.id for t in got]
-        names = [*fast, *slow]
-        rest, lengths = self._encoded(list(slow))
-        self._keep(names, np.concatenate([np.array(ids, dtype=np.uint32), rest]), np.concatenate([np.array(sizes, dtype=np.int64), lengths]))
-        if cut:
-            (bs, bn), (ts, tn) = self._places(bases), self._places(tails)
-            both = self._gather(np.stack([bs, ts], axis=1).ravel(), np.stack([bn, tn], axis=1).ravel())
-            self._keep(cut, both, bn + tn)
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, for words of ``_LETTER`` in lower case."""
+        ids, sizes = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
+        for i in range(0, len(words), _MERGED):
+            some = words[i : i + _MERGED]
+            spelled = _SPELLED[np.frombuffer(" ".join(some).encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+            got = self.merger.encode_batch_fast([spelled], add_special_tokens=False)[0]
+            ids.append(np.array(got.ids, dtype=np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends_word[ids[-1]]), prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _numbers(self, pieces: pa.Array, words: bool) -> np.ndarray:
+        """The numbers of pieces, which may repeat; those not met before are encoded (``words``: words in lower case)."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            some = [names[i] for i in new.tolist()]
+            self._keep(some, *(self._merged if words else self._encoded)(some))
+            at[new] = np.arange(self.n - len(some), self.n)
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _block_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each of the distinct pieces starts in them, how many it has)."""
+        if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
+            self.forget()
+        base = pc.if_else(pc.match_substring_regex(pieces, _ENDS_IN_LETTER), pc.utf8_rtrim(pieces, _TAIL), pieces)
+        number = np.zeros((len(pieces), 2), dtype=np.int64)  # of what stands before the tail, and of the tail
+        word = np.asarray(pc.match_substring_regex(base, _WORD).to_numpy(zero_copy_only=False), dtype=bool)
+        for words in (True, False):
+            at = np.flatnonzero(word == words)
+            some = base.take(pa.array(at))
+            number[at, 0] = self._numbers(pc.utf8_lower(some) if words else some, words)
+        shorter = pc.less(pc.binary_length(base), pc.binary_length(pieces)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.asarray(shorter, dtype=bool))
+        whole, before = (x.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist() for x in (pieces, base))
+        number[at, 1] = self._numbers(pa.array([p[len(b) :] for p, b in zip(whole, before, strict=True)], pa.string()), False)
+        start, n = self.bounds[number], self.bounds[number + 1] - self.bounds[number]
+        ids, sizes = self._gather(start.ravel(), n.ravel()), n.sum(axis=1)
+        return ids, np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; offsets by text). Null counts as empty."""
@@ -203,23 +224,14 @@ class Encoder:
         off = pieces.offsets.to_numpy().astype(np.int64)
         off -= off[0]
         coded = pieces.flatten().dictionary_encode()
-        vocab, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
-            self.forget()
-        known = self.known
-        at = np.fromiter(map(known.get, vocab, repeat(-1)), dtype=np.int64, count=len(vocab))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            pieces = [vocab[i] for i in new.tolist()]
-            self._learn(pieces)
-            at[new] = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        start = self.bounds[at]
-        n = (self.bounds[at + 1] - start)[codes]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        pool, start, sizes = self._block_ids(coded.dictionary)
+        n = sizes[codes]
         before = np.zeros(len(codes) + 1, dtype=np.int64)
         np.cumsum(n, out=before[1:])
         place = np.repeat(start[codes] - before[:-1], n)
         place += np.arange(before[-1])
-        flat = self.pool.take(place)
+        flat = pool.take(place)
         cut = before[off]
         sizes = np.diff(cut)
         special = {int(i): np.array(self.tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in odd}

@@ -45,14 +45,40 @@ _SEGMENT = 1 << 13
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _topic(terms: np.ndarray, times: np.ndarray, df: np.ndarray, n: int) -> tuple[int, int]:
-    """A document's most frequent id (the smallest on ties), and the smallest hash of its heaviest terms,
-    weighed within the block it was read in."""
-    lead = int(terms[np.argmax(times)])
-    if len(terms) > TOPIC_TERMS:
-        weight = times / (times + K1) * np.log1p(n / df[terms])
-        terms = terms[np.argpartition(-weight, TOPIC_TERMS)[:TOPIC_TERMS]]
-    return lead, int(((terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)).min())
+def _terms(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, times) of documents given on end, by term and document."""
+    key = ids.astype(np.uint64) << np.uint64(32)
+    key |= np.repeat(np.arange(len(size), dtype=np.uint64), size)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    times, key = np.diff(first, append=len(key)), key[first]
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), times
+
+
+def _by_document(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of terms by document, where each of the ``n`` documents ends)."""
+    order = np.argsort(owner.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+    return order, np.cumsum(np.bincount(owner, minlength=n))
+
+
+def _topics(ids: np.ndarray, size: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of documents: in how many each term is; each one's most frequent id (the smallest on ties); the
+    smallest hash of its heaviest terms, weighed within the block."""
+    terms, owner, times = _terms(ids, size)
+    df = np.bincount(terms, minlength=vocab)
+    order, ends = _by_document(owner, len(size))
+    terms, times = terms[order], times[order]
+    most = np.maximum.reduceat(times << 32 | 0xFFFFFFFF - terms, np.append(0, ends[:-1])) if len(size) else times
+    less = -(times / (times + K1) * np.log1p(len(size) / df[terms]))
+    hashed = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+    topic, a = np.empty(len(size), dtype=np.int64), 0
+    for d, b in enumerate(ends.tolist()):
+        h = hashed[a:b]
+        if b - a > TOPIC_TERMS:
+            h = h[less[a:b].argpartition(TOPIC_TERMS)[:TOPIC_TERMS]]
+        topic[d] = h.min()
+        a = b
+    return df, 0xFFFFFFFF - (most & 0xFFFFFFFF), topic
 
 
 def _tokenize(path: str, end: int, vocab: int):
@@ -63,17 +89,15 @@ def _tokenize(path: str, end: int, vocab: int):
         names = ["id", "n", "lead", "topic", "ids", "seg", "part", "counts"]
         for b in blocks(batches, "text", keep=True):
             ids, off = encoder(path).encode(column(b, "text"), end)
-            terms = [np.unique(ids[off[i] : off[i + 1]], return_counts=True) for i in range(b.num_rows)]
-            here = np.bincount(np.concatenate([t for t, _ in terms]), minlength=vocab)
+            here, lead, topic = _topics(ids, np.diff(off), vocab)
             df += here.astype(np.uint64)
-            topics = np.array([_topic(t, n, here, b.num_rows) for t, n in terms]).reshape(-1, 2)
             raw = ids.astype("<u4" if vocab > 1 << 16 else "<u2")
             k = b.num_rows
             yield pa.record_batch(
                 [
                     column(b, "id"),
                     pa.array(np.diff(off)),
-                    pa.array(topics[:, 0]), pa.array(topics[:, 1]),
+                    pa.array(lead), pa.array(topic),
                     pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((off * raw.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]),
                     pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                 ],
@@ -98,22 +122,34 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None):
         self.n = len(docs)
-        terms, owners, weights, self.query = [], [], [], []
-        for d, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)))
-            terms.append(t)
-            weights.append(w)
-            owners.append(np.full(len(t), d, dtype=np.int32))
-            t = t.astype(np.int64)
-            self.query.append(t[np.argpartition(-w, query_terms)[:query_terms]] if query_terms and len(t) > query_terms else t)
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        # the types that bincount works with, so that a query converts nothing
-        self.owner, self.weight = np.concatenate(owners)[order].astype(np.int64), np.concatenate(weights)[order].astype(np.float64)
+        size = np.fromiter(map(len, docs), dtype=np.int64, count=self.n)
+        term, owner, tf = _terms(np.concatenate(docs), size)  # the order of the lists
+        weight = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean_length)))
+        by_doc, ends = _by_document(owner, self.n)
+        self.query = np.split(term[by_doc], ends[:-1])
+        if query_terms:
+            heavy = [np.argpartition(-w, query_terms)[:query_terms] if query_terms < len(w) else slice(None) for w in np.split(weight[by_doc], ends[:-1])]
+            self.query = [t[h] for t, h in zip(self.query, heavy, strict=True)]
         self.first = np.zeros(len(idf) + 1, dtype=np.int64)
         np.cumsum(np.bincount(term, minlength=len(idf)), out=self.first[1:])
+        self.owner, self.weight = owner, weight.astype(np.float64)  # the types that bincount works with, so that a query converts nothing
         self.used, self.dropped = np.zeros(self.n, dtype=bool), 0
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Lists of a quarter of the documents and more become rows of a table over the documents in the lists, which are
+        added up faster."""
+        self.docs = np.flatnonzero(~self.used)
+        column = np.zeros(self.n, dtype=np.int64)
+        column[self.docs] = np.arange(len(self.docs))
+        size = np.diff(self.first)
+        common = np.flatnonzero((4 * size >= len(self.docs)) & (size > 0))
+        self.row = np.full(len(size), -1, dtype=np.int64)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), len(self.docs)), dtype=np.float32)
+        for k, t in enumerate(common.tolist()):
+            span = slice(self.first[t], self.first[t + 1])
+            self.table[k, column[self.owner[span]]] = self.weight[span]
 
     def drop_used(self) -> None:
         """Leave used documents out of the lists."""
@@ -123,13 +159,20 @@ class Shard:
         np.cumsum(keep, out=before[1:])
         self.first = before[self.first]
         self.dropped = int(self.used.sum())
+        self._tabulate()
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share a query term with ``seed``, best first."""
         if 4 * int(self.used.sum()) > self.n + 3 * self.dropped:  # a quarter of those in the lists are used
             self.drop_used()
-        spans = [slice(a, b) for a, b in zip(self.first[self.query[seed]].tolist(), self.first[self.query[seed] + 1].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        terms = self.query[seed]
+        row = self.row[terms]
+        rare = terms[row < 0]
+        spans = [slice(a, b) for a, b in zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True)]
+        score = np.zeros(self.n)
+        if spans:
+            score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        score[self.docs] += self.table.take(row[row >= 0], axis=0).sum(axis=0)
         score[self.used] = 0
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]

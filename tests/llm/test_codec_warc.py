@@ -244,3 +244,13 @@ def test_words_of_latin_letters():
     ids, off = e.encode(pa.array([*words, " ".join(words)]), 1)
     for i, w in enumerate([*words, " ".join(words)]):
         assert ids[off[i] : off[i + 1] - 1].tolist() == e.tok.encode(w, add_special_tokens=False).ids, w
+
+
+def test_pieces_share_words():
+    """A word is encoded once, whatever its case and its tail (before: every piece was encoded and remembered by itself)."""
+    e = _tokens.Encoder(_tokens.default_tokenizer())
+    texts = ["Straße straße, STRAßE. straße!", "Éclair éclair éclair... (éclair éclair). it's IT'S, x1. İ. İx?", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}z" for i in range(9000))]
+    ids, off = e.encode(pa.array(texts[:2]), 1)
+    assert {"straße", "éclair"} <= set(e.known) and not {"Straße", "STRAßE", "straße,", "straße!", "Éclair"} & set(e.known)
+    ids, off = e.encode(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [[*e.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]

@@ -204,6 +204,17 @@ def test_packing_weights_are_bm25():
         assert np.diff(np.array(score)[got]).max(initial=0) < 1e-5
 
 
+def test_packing_common_terms_are_a_table():
+    """Lists of many documents are rows of a table that loses used documents; scores are those of the lists (before: there was none)."""
+    rng = np.random.default_rng(3)
+    docs = [np.concatenate([[0, 1], rng.integers(2, 12, 20), rng.integers(12, 400, 20)]).astype(np.uint16) for _ in range(60)]
+    shard = packing.Shard(docs, rng.random(400).astype(np.float32) + 0.5, 42.0, None)
+    assert 2 <= len(shard.table) < 40 and shard.table.shape[1] == 60
+    shard.used[:30] = True
+    alone = packing.Shard(docs[30:], np.ones(400, dtype=np.float32), 42.0, None)
+    assert set(shard.neighbours(40)) == set(alone.neighbours(10) + 30) and shard.table.shape[1] == 30
+
+
 def test_packing_keeps_topics_together(spark):
     """Documents of one topic, dealt over the table, share windows far more than by chance."""
     rng = np.random.default_rng(3)
