@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -44,9 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    relieve(spark)
     return out
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have the driver let go of the plans, file lists and broadcasts of jobs that are done, before its heap grows for more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Folders of materialized tables that are still referred to.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 

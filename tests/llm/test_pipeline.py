@@ -64,3 +64,15 @@ def test_registered():
     names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in e.queries()) == 1 for n in names) and "pipeline" in e.queries()
     assert [n for n, _ in cp.STAGES] == ["language", "line_dedup", "near_copies", "decontamination", "packing"]
+
+
+def test_a_written_table_relieves_the_driver(spark):
+    """What nothing refers to any more is gone from the driver when a table has been written (before: it stayed until the heap was full)."""
+    from stitchlake.llm._store import discard, materialize
+
+    discard(materialize(spark.range(10), "warm"))
+    seen = spark._jvm.java.lang.ref.WeakReference("a string that the driver's JVM alone has made")
+    assert seen.get()
+    table = materialize(spark.range(10), "relieved")
+    assert seen.get() is None and table.count() == 10
+    discard(table)
