@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..sources.shared import discard, written
+from ..sources.shared import discard, n_tasks, written
 from . import spatial
 
 
@@ -103,7 +103,9 @@ def synthetic_points(overlaps: DataFrame, key: str, density: float, least: int,
     both sides with up to half ``error`` of jitter each: key, i, tx.. (the place), px.., qx... Random numbers are
     hashes of key, point and axis, so repeated tasks agree."""
     size = G.voxels([F.get("lower", F.lit(d)) for d in range(3)], [F.get("upper", F.lit(d)) for d in range(3)])
-    n = overlaps.withColumn("i", F.explode(F.sequence(F.lit(1), n_synthetic(size, density, least, most))))
+    # overlaps are few bytes and many points
+    spread = overlaps.repartition(n_tasks(overlaps.sparkSession), key)
+    n = spread.withColumn("i", F.explode(F.sequence(F.lit(1), n_synthetic(size, density, least, most))))
     unit = lambda *salt: F.pmod(F.xxhash64(key, "i", *[F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
     cols = []
     for d, a in enumerate("xyz"):
@@ -119,28 +121,27 @@ def without_crowded(points: DataFrame, key: str, radius: float) -> DataFrame:
     in an overlap before lies within ``radius`` in the view ``b``, as that view sees it (p if it is that overlap's
     ``a``, else q).
 
-    Whom a point has to wait for is found once, by an equi-join on views and grid cells. Then in rounds: points that
-    wait for none are kept, those that wait for a kept one go, and the rest waits on. Rounds are as many as the
-    longest chain of points that hang on each other, whatever the number of overlaps."""
+    Whom a point has to wait for is found once, by an equi-join on views and grid cells. Then in rounds, over the pairs
+    of that list alone: a point that waits for one that waits for none goes, and so do the pairs of points that are
+    gone; who waits for none any more is kept. Rounds are as many as the longest chain of points that hang on each
+    other, whatever the number of overlaps."""
     name = F.struct(F.col(key).alias("k"), "i")
+    points = written(points, "points")
     cand = points.select(name.alias("id"), F.col("b").alias("view"), "tx", "ty", "tz")
-    seen = points.select(name.alias("before"), F.col("a").alias("view"), *[F.col(f"p{a}").alias(f"s{a}") for a in "xyz"])
-    seen = seen.unionByName(points.select(name.alias("before"), F.col("b").alias("view"), *[F.col(f"q{a}").alias(f"s{a}") for a in "xyz"]))
-    near = spatial.radius_join(cand, seen, ["tx", "ty", "tz"], ["sx", "sy", "sz"], radius, ["view"], condition=F.col("before.k") < F.col("id.k"))
-    waits = written(near.select("id", "before").distinct(), "waits")
-    todo = written(points.select(name.alias("id")), "todo")
-    kept = None
-    while todo.limit(1).count():
-        ready = written(todo.join(waits, "id", "left_anti"), "kept")
-        kept = ready if kept is None else kept.unionByName(ready)
-        gone = waits.join(ready.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct()
-        rest = written(todo.join(ready, "id", "left_anti").join(gone, "id", "left_anti"), "todo")
-        still = written(waits.join(rest, "id", "left_semi").join(rest.withColumnRenamed("id", "before"), "before", "left_semi").select("id", "before"), "waits")
-        discard(todo, waits)
-        todo, waits = rest, still
-    if kept is None:
-        return points
-    return points.withColumn("id", name).join(kept, "id", "left_semi").drop("id")
+    sides = [F.struct(F.col(v).alias("view"), *[F.col(f"{s}{a}").alias(f"s{a}") for a in "xyz"]) for v, s in (("a", "p"), ("b", "q"))]
+    seen = points.select(name.alias("before"), F.inline(F.array(*sides)))
+    near = spatial.radius_join(seen, cand, ["sx", "sy", "sz"], ["tx", "ty", "tz"], radius, ["view"], condition=F.col("before.k") < F.col("id.k"), coarse=2)
+    waits = written(near.select("id", "before"), "waits")
+    gone = None
+    while waits.limit(1).count():
+        free = waits.join(waits.select(F.col("id").alias("before")), "before", "left_anti")
+        out = written(free.select("id").distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        still = written(waits.join(out, "id", "left_anti").join(out.withColumnRenamed("id", "before"), "before", "left_anti").select("id", "before"), "waits")
+        discard(waits)
+        waits = still
+    discard(waits)
+    return points if gone is None else points.withColumn("id", name).join(gone, "id", "left_anti").drop("id")
 
 
 def slices(df: DataFrame, length: str, block: int, index: str, first: str, end: str) -> DataFrame:

@@ -166,3 +166,25 @@ def test_synthetic_points_keep_their_distance(spark, radius):
     got = {(r.k, r.i) for r in layout.without_crowded(made, "k", radius).collect()}
     assert got == kept and 0 < len(kept) < len(rows)
     assert layout.without_crowded(made.limit(0), "k", radius).collect() == []
+
+
+def test_crowded_points_are_found_in_few_rows(spark, monkeypatch):
+    """Cells two radii wide: 8 rows a point, the pairs of cells one radius wide; rounds hold only points that wait."""
+    rng = np.random.default_rng(5)
+    a, b = ([(int(i), *map(float, rng.uniform(-15, 15, 3)), int(i % 2)) for i in range(150)] for _ in range(2))
+    a.append((150, 4.0, 0.0, 0.0, 0))
+    b.append((150, 0.0, 0.0, 0.0, 0))  # as far away as the radius
+    a = spark.createDataFrame(a, "i long, x double, y double, z double, v int")
+    b = spark.createDataFrame(b, "j long, u double, w double, t double, v int")
+    pairs = [{(r.i, r.j) for r in spatial.radius_join(a, b, ["x", "y", "z"], ["u", "w", "t"], 4.0, ["v"], coarse=n).collect()} for n in (1, 2, 3)]
+    assert pairs[0] == pairs[1] == pairs[2] and (150, 150) in pairs[0] and len(pairs[0]) > 10
+    assert [spatial._near_cells(b, ["u", "w", "t"], 4.0, True, n).count() for n in (1, 2)] == [27 * 151, 8 * 151]
+
+    sizes = []
+    monkeypatch.setattr(layout, "written", lambda df, name, f=layout.written: (out := f(df, name), sizes.append((name, out.count())))[0])
+    boxes = [(k, a, a - 1, [10 * a, 0, 0], [10 * a + 40, 90, 90]) for k, a in enumerate(range(1, 8))]
+    overlaps = spark.createDataFrame(boxes, "k long, a long, b long, lower array<long>, upper array<long>")
+    made = layout.synthetic_points(overlaps, "k", 900.0, 5, 40, 2.0)
+    assert made.rdd.getNumPartitions() > 1
+    left = layout.without_crowded(made, "k", 12.0).count()
+    assert sizes[0] == ("points", 280) and left < 280 and all(n < 280 for _, n in sizes[1:])
