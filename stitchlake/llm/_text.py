@@ -90,7 +90,9 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+    # Arrow makes an array of bytes some ten times faster than a list of strings
+    raw = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), dtype=np.uint64, count=len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

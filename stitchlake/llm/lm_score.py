@@ -49,6 +49,8 @@ KNOWN = VOCAB - ENDINGS - 1
 SIDE, DIM = 2, 24
 ROUNDS, CHUNK_WORDS = 6, 1 << 21
 BATCH, SCORE_BATCH = 8192, 1 << 15
+#: Rows whose scores of ``CLASSES`` fit a core's cache.
+PIECE = 1 << 12
 RATE = 0.1
 SEED = 7
 _SHAPES = {
@@ -112,12 +114,23 @@ def stretches(line: np.ndarray, real: np.ndarray, words: int) -> Iterator[tuple[
         yield line[at[0] - SIDE : at[-1] + SIDE + 1], at - at[0]
 
 
+_ONES = np.ones(SCORE_BATCH, dtype=np.float32)
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ _ONES[: x.shape[1]]
+
+
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    return (_ONES if len(x) <= len(_ONES) else np.ones(len(x), dtype=np.float32))[: len(x)] @ x
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of exponentials of the rows. Squashed values keep scores of a row within a
     range that one shift for all rows serves."""
     most = x.max()
     x -= most
-    return np.log(np.einsum("ij->i", np.exp(x, out=x))) + most
+    return np.log(_row_sums(np.exp(x, out=x))) + most
 
 
 #: Where the neighbours of a place stand, counted from SIDE before it.
@@ -142,26 +155,38 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return order, target[order] % PER_CLASS, [(c, edges[c], edges[c + 1]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
 
+def _pieces(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    return ((at, min(at + PIECE, hi)) for at in range(lo, hi, PIECE))
+
+
+def _picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target."""
+    x = h @ w
+    x += b
+    return x[np.arange(len(x)), target] - _log_sum(x)
+
+
 def log_probs(p: dict[str, np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probability of the words at the places ``at`` of a stretch, each given its neighbours."""
-    h, target = hidden(p, p["E"].take(line, axis=0))[at], line[at + SIDE].astype(np.int64)
-    x = h @ p["C"] + p["cb"]
-    out = x[np.arange(len(target)), target // PER_CLASS] - _log_sum(x)
+    h, target = hidden(p, p["E"].take(line, axis=0)).take(at, axis=0), line[at + SIDE].astype(np.int64)
+    out, mine = np.empty((2, len(target)), dtype=np.float32)
+    for lo, hi in _pieces(0, len(target)):
+        out[lo:hi] = _picked(h[lo:hi], p["C"], p["cb"], target[lo:hi] // PER_CLASS)
     order, within, met = _by_class(target)
-    h, mine = h[order], np.empty(len(target), dtype=np.float32)
-    for c, lo, hi in met:
-        x = h[lo:hi] @ p["W"][c]
-        x += p["wb"][c]
-        mine[lo:hi] = x[np.arange(hi - lo), within[lo:hi]]
-        mine[lo:hi] -= _log_sum(x)
+    h = h.take(order, axis=0)
+    for c, first, end in met:
+        for lo, hi in _pieces(first, end):
+            mine[lo:hi] = _picked(h[lo:hi], p["W"][c], p["wb"][c], within[lo:hi])
     out[order] += mine
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _slopes(x: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Softmax of the rows less one at each row's target, scaled; in place."""
     x -= x.max()
     np.exp(x, out=x)
-    x /= np.einsum("ij->i", x)[:, None]
+    x *= (scale / _row_sums(x))[:, None]
+    x[np.arange(len(x)), target] -= scale
     return x
 
 
@@ -183,33 +208,33 @@ class Trainer:
         p, n, target = self.p, len(at), line[at + SIDE].astype(np.int64)
         around = p["E"].take(line, axis=0)
         whole = hidden(p, around)
-        h = whole[at]
-        d = _softmax(h @ p["C"] + p["cb"])
-        d[np.arange(n), target // PER_CLASS] -= 1
+        h = whole.take(at, axis=0)
         scale = np.float32(1 / np.sqrt(n))
-        d *= scale
+        d = h @ p["C"]
+        d += p["cb"]
+        d = _slopes(d, target // PER_CLASS, scale)
         dh = d @ p["C"].T
-        gc, gcb = h.T @ d, d.sum(axis=0)
+        gc, gcb = h.T @ d, _column_sums(d)
         order, within, met = _by_class(target)
-        hs, back = h[order], np.empty_like(h)
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        hs, back = h.take(order, axis=0), np.empty_like(h)
         gw, gwb = np.zeros_like(p["W"]), np.zeros_like(p["wb"])
         for c, lo, hi in met:
             x = hs[lo:hi] @ p["W"][c]
             x += p["wb"][c]
-            d = _softmax(x)
-            d[np.arange(hi - lo), within[lo:hi]] -= 1
-            d *= scale
+            d = _slopes(x, within[lo:hi], scale)
             np.matmul(d, p["W"][c].T, out=back[lo:hi])
             np.matmul(hs[lo:hi].T, d, out=gw[c])
-            d.sum(axis=0, out=gwb[c])
-        dh[order] += back
+            gwb[c] = _column_sums(d)
+        dh += back.take(place, axis=0)
         h *= h
         dh *= 1 - h
         dz = np.zeros_like(whole)
         dz[at] = dh
         gp, ge, m = np.zeros_like(p["P"]), np.zeros_like(around), len(whole)
         for j, shift in enumerate(_SHIFTS):
-            gp[j] = np.einsum("ij,ij->j", dz, around[shift : shift + m])
+            gp[j] = _column_sums(dz * around[shift : shift + m])
             ge[shift : shift + m] += dz * p["P"][j]
         by = np.argsort(line, kind="stable")
         ids = line[by]
@@ -219,7 +244,7 @@ class Trainer:
         self._step("C", gc, axis=0)
         self._step("cb", gcb)
         self._step("b", dz.sum(axis=0))
-        self._step("E", np.add.reduceat(ge[by], first, axis=0), ids[first], 1)
+        self._step("E", np.add.reduceat(ge.take(by, axis=0), first, axis=0), ids[first], 1)
         self._step("P", gp, axis=1)
 
 

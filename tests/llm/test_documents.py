@@ -2,6 +2,7 @@
 
 import math
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -12,10 +13,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stitchlake.llm import decontam, jaccard_join, language_id, license_rules, license_scan, line_dedup, lm_score, packing, quality_rules, simhash_dedup, source_divergence, token_codec
+from stitchlake.llm import _text, decontam, jaccard_join, language_id, license_rules, license_scan, line_dedup, lm_score, packing, quality_rules, simhash_dedup, source_divergence, token_codec
 
 from . import brute
 
@@ -634,3 +636,26 @@ def test_lm_gradient():
     for _ in range(20):
         t.batch(line, at)
     assert loss(t.p) > before + 0.5
+
+
+def test_lm_scores_in_pieces():
+    """Scores of a batch are made and summed in pieces that fit a core's cache, not as one table (8 MB) with copies; words
+    are hashed as their UTF-8."""
+    rng = np.random.default_rng(3)
+    n = lm_score.SCORE_BATCH
+    p = lm_score.initial(np.ones(lm_score.VOCAB))
+    p["C"] *= 20
+    p["W"] *= 20
+    line, at = lm_score.padded(np.minimum(rng.zipf(1.25, n) - 1, lm_score.VOCAB - 2), np.array([0, n]))
+    at = at - lm_score.SIDE
+    tracemalloc.start()
+    got = lm_score.log_probs(p, line, at)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * n * lm_score.CLASSES * 4
+    few = np.concatenate([lm_score.log_probs(p, line[i : i + 100 + 2 * lm_score.SIDE], np.arange(min(100, n - i))) for i in range(0, n, 100)])
+    assert np.allclose(got, few, atol=1e-4) and got.std() > 0.1
+    words = ["", "a", "naïve", "字", "a" * 5000]
+    for kind in (pa.string(), pa.large_string()):
+        assert _text.word_hashes(pa.array(words, kind)).tolist() == [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    assert len(_text.word_hashes(pa.array([], pa.string()))) == 0
