@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, written
+from . import ordered
 
 
 def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -16,6 +17,9 @@ def both_ways(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 #: Rows of a block of a group; a task of ``pairs_in_groups`` pairs a few blocks at most.
 BLOCK_ROWS = 4096
+#: Rows of a piece of a block with smaller keys and of one with larger keys. The latter are repeated for each row of the
+#: former: short runs of which columnar files need few bytes. A piece's pairs with a block are held at once.
+PIECE_ROWS, RUN_ROWS = 16, 256
 #: The most tasks that ``pairs_in_groups`` asks for.
 MOST_TASKS = 10_000
 
@@ -24,28 +28,28 @@ def pairs_in_groups(rows: DataFrame, group: str, key: str, block: int = BLOCK_RO
     """The pairs of rows of a group whose keys differ, each once: every column as ``a_`` of the smaller key and as
     ``b_`` of the larger one. Rows without a group or a key have none.
 
-    The result is quadratic in a group's size, so no group is joined in one task: a group is cut into blocks of about
-    ``block`` rows by a hash of the key, and each pair of blocks is joined by itself. A row is sent once for
-    each block of its group, and a task holds few blocks, however large the group is."""
+    The result is quadratic in a group's size, so no group is joined in one task: a group is cut into blocks of
+    ``block`` rows in the order of the key, and each pair of blocks is joined by itself, the rows of both in
+    pieces. A row is sent once for each block of its group, and a task holds few blocks, however large the
+    group is. Pairs come in runs that repeat each other, so they take few bytes in columnar files."""
     rows = rows.dropna(subset=[group, key])
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("blocks_"))
+    at = F.col("rank_") - 1
+    dealt = written(ordered.ranks(rows, [group], [key], "rank_").withColumn("block_", F.floor(at / block)), "dealt")
+    sizes = dealt.groupBy(group).agg((F.max("block_") + 1).alias("blocks_"))
     n = F.col("blocks_")
     tasks = sizes.agg(F.sum(n * (n + 1) / 2)).first()[0] or 1
-    own = rows.join(sizes, group).withColumn("own_", F.pmod(F.xxhash64(key), n))
-    first, last = F.lit(0).cast("long"), n - 1
-    keys = [f"{group}_", "i_", "j_"]
-
-    def side(p: str, i, j, partner: str):
-        named = own.select(F.col(group).alias(keys[0]), *[F.col(c).alias(f"{p}{c}") for c in rows.columns], F.col("own_"), F.explode(F.sequence(i, j)).alias("other_"))
-        ends = ("own_", "other_") if partner == "j" else ("other_", "own_")
-        named = named.select(keys[0], F.col(ends[0]).alias("i_"), F.col(ends[1]).alias("j_"), *[f"{p}{c}" for c in rows.columns])
-        return named.repartition(min(int(tasks), MOST_TASKS), *keys)
-
-    left, right = side("x_", F.col("own_"), last, "j"), side("y_", first, F.col("own_"), "i")
-    x, y = F.col(f"x_{key}"), F.col(f"y_{key}")
-    met = left.join(right.hint("shuffle_hash"), keys).filter((x < y) | ((F.col("i_") < F.col("j_")) & (x > y)))
-    pick = lambda c, p, q: F.when(x < y, F.col(f"{p}{c}")).otherwise(F.col(f"{q}{c}"))
-    return met.select(*[pick(c, "x_", "y_").alias(f"a_{c}") for c in rows.columns], *[pick(c, "y_", "x_").alias(f"b_{c}") for c in rows.columns])
+    keys, row = [group, "i_", "j_"], F.struct(*[c for c in rows.columns if c != group])
+
+    def side(name: str, piece: int, i, j):
+        pieces = dealt.groupBy(group, "block_", F.floor(F.pmod(at, F.lit(block)) / piece).alias("piece_")).agg(F.collect_list(row).alias(name))
+        return pieces.join(sizes, group).select(group, i.alias("i_"), j.alias("j_"), name).repartition(min(int(tasks), MOST_TASKS), *keys)
+
+    left = side("x_", PIECE_ROWS, F.col("block_"), F.explode(F.sequence("block_", n - 1)))
+    right = side("y_", RUN_ROWS, F.explode(F.sequence(F.lit(0).cast("long"), "block_")), F.col("block_"))
+    met = left.join(right.hint("shuffle_hash"), keys).select(group, F.explode("x_").alias("x_"), "y_").select(group, "x_", F.explode("y_").alias("y_"))
+    met = met.filter(F.col(f"x_.{key}") < F.col(f"y_.{key}"))
+    of = lambda p, c: F.col(group) if c == group else F.col(f"{p}.{c}")
+    return met.select(*[of("x_", c).alias(f"a_{c}") for c in rows.columns], *[of("y_", c).alias(f"b_{c}") for c in rows.columns])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -156,6 +156,14 @@ def test_no_group_is_paired_in_one_task(spark):
     assert most[1] == 400 * 399 // 2 and most[0] < most[1] / 10
 
 
+def test_written_pairs_take_few_bytes(spark, tmp_path):
+    rows = [("u", int(k)) for k in np.random.default_rng(3).permutation(2500)]
+    graph.pairs_in_groups(spark.createDataFrame(rows, "g string, k long"), "g", "k").write.parquet(f"file://{tmp_path}/pairs")
+    n = spark.read.parquet(f"file://{tmp_path}/pairs").agg(F.count("*"), F.countDistinct("a_k"), F.sum((F.col("a_k") < F.col("b_k")).cast("long"))).first()
+    assert tuple(n) == (2500 * 2499 // 2, 2499, 2500 * 2499 // 2)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("part-*")) < n[0] / 2
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)]
