@@ -38,6 +38,9 @@ _CELL = ["c0", "c1", "c2"]
 #: Tiles of a cell from which on several tasks share it, and the most that do; bounds what is merged of a cell.
 PART_TILES = 256
 MOST_PARTS = 64
+#: Tiles whose models are sent to all executors at most, and bytes of cut blocks that a task collects before it passes them on.
+MOST_SENT = 10_000
+MOST_HELD = 1 << 24
 _STATE = "c0 long, c1 long, c2 long, part int, origin array<long>, shape array<long>, total binary, weight binary, count binary"
 
 
@@ -114,10 +117,10 @@ def _filled(rows: DataFrame, parts: int, new, add, result, schema: str, skip=lam
 
 def source_box(inverse: np.ndarray, at: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 voxel of a tile that the voxels of an output box may take."""
-    ends = np.array([np.zeros(3), np.array(size) - 1]) + at
-    corners = np.array(np.meshgrid(*ends.T, indexing="ij")).reshape(3, -1)
-    image = inverse[:, :3] @ corners + inverse[:, 3:]
-    return np.floor(image.min(axis=1) + 0.5 - 1e-6).astype(np.int64), np.floor(image.max(axis=1) + 0.5 + 1e-6).astype(np.int64) + 1
+    m = inverse[:, :3]
+    first, across = m @ at + inverse[:, 3], m * (np.asarray(size) - 1)
+    lo, hi = first + np.minimum(across, 0).sum(axis=1), first + np.maximum(across, 0).sum(axis=1)
+    return np.floor(lo + 0.5 - 1e-6).astype(np.int64), np.floor(hi + 0.5 + 1e-6).astype(np.int64) + 1
 
 
 class Filler:
@@ -133,10 +136,9 @@ class Filler:
             linear = np.linalg.inv(m[:, :3])
         except np.linalg.LinAlgError:
             return np.zeros(3, dtype=np.int64), np.array(self.size)
-        ends = np.array([np.zeros(3), np.array(shape)]) - 0.5 + np.asarray(origin)
-        corners = np.array(np.meshgrid(*ends.T, indexing="ij")).reshape(3, -1)
-        image = linear @ (corners - m[:, 3:])
-        lo, hi = np.floor(image.min(axis=1)) - 1 - self.at, np.ceil(image.max(axis=1)) + 2 - self.at
+        first, across = linear @ (np.asarray(origin) - 0.5 - m[:, 3]), linear * np.asarray(shape)
+        lo = np.floor(first + np.minimum(across, 0).sum(axis=1)) - 1 - self.at
+        hi = np.ceil(first + np.maximum(across, 0).sum(axis=1)) + 2 - self.at
         return np.clip(lo, 0, self.size).astype(np.int64), np.clip(hi, 0, self.size).astype(np.int64)
 
     def state(self) -> tuple:
@@ -206,12 +208,27 @@ def _fresh(cell, lower, blend: str):
     return lambda c: Filler([lo + k * n for lo, k, n in zip(lower, c, cell, strict=True)], cell, blend)
 
 
+def _placed(models: DataFrame, tile_shape: DataFrame) -> DataFrame:
+    """A row a tile: its model, the inverse and the tile's shape. Written, and joined by a shuffle: tables of a row a tile
+    grow with the input, however few bytes of their files make them look small enough for a broadcast."""
+    back = models.select("tile", *G.NAMES, F.array(*G.inverse(G.model())).alias("inverse"))
+    return written(back.join(tile_shape.select("tile", F.col("whole").cast("array<long>").alias("whole")).hint("merge"), "tile"), "placed")
+
+
 def cut_to_cells(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """What each output cell needs of each block, in the block's kind, with the inverse model of its tile and the
     tile's shape. ``models``: tile and m00..m23 to the output; ``tile_shape``: tile, whole. Cells begin at ``lower``."""
-    back = models.select("tile", *G.NAMES, F.array(*G.inverse(G.model())).alias("inverse"))
+    return _cut(blocks, _placed(models, tile_shape), cell, lower)
+
+
+def _cut(blocks: DataFrame, placed: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int]) -> DataFrame:
+    """``cut_to_cells`` of ``_placed``. Few tiles are sent to where the blocks are; of more the blocks are dealt by tile."""
     kind = F.col("kind") if "kind" in blocks.columns else F.lit("<f8")
-    both = blocks.select("tile", "origin", "shape", kind.alias("kind"), "data").join(back, "tile").join(tile_shape.select("tile", F.col("whole").cast("array<long>").alias("whole")), "tile")
+    dealt = blocks.select("tile", "origin", "shape", kind.alias("kind"), "data")
+    if placed.limit(MOST_SENT + 1).count() > MOST_SENT:
+        both = dealt.repartition(n_tasks(blocks.sparkSession), "tile").join(placed.hint("merge"), "tile")
+    else:
+        both = dealt.join(F.broadcast(placed), "tile")
     lo = [F.get("origin", F.lit(d)) - 0.5 for d in range(3)]
     hi = [F.get("origin", F.lit(d)) + F.get("shape", F.lit(d)) - 0.5 for d in range(3)]
     first, last = G.image_of_box(G.model(), lo, hi)
@@ -223,8 +240,9 @@ def cut_to_cells(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, ce
         import pandas as pd
 
         for f in frames:
+            out, held = [], 0
             for r in f.itertuples(index=False):
-                v, inverse, ends, out = arrays.voxels(r), np.asarray(r.inverse).reshape(3, 4), list(r.ends), []
+                v, inverse, ends = arrays.voxels(r), np.asarray(r.inverse).reshape(3, 4), list(r.ends)
                 for c in np.ndindex(*[b - a + 1 for a, b in zip(ends[:3], ends[3:], strict=True)]):
                     c = [int(a + i) for a, i in zip(ends, c, strict=False)]
                     at = np.array([o + k * n for o, k, n in zip(lower, c, cell, strict=True)])
@@ -233,7 +251,11 @@ def cut_to_cells(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, ce
                     part = v[tuple(slice(int(x), max(int(x), int(y))) for x, y in zip(a, b - r.origin, strict=True))]
                     if part.size:
                         out.append((r.tile, (a + r.origin).tolist(), list(part.shape), r.kind, part.tobytes(), r.inverse, r.whole, *c))
-                yield pd.DataFrame(out, columns=names)
+                        held += part.nbytes
+                        if held >= MOST_HELD:
+                            yield pd.DataFrame(out, columns=names)
+                            out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     tile = blocks.schema["tile"].dataType.simpleString()
     return rows.mapInPandas(run, f"tile {tile}, {arrays.VOXELS}, inverse array<double>, whole array<long>, c0 long, c1 long, c2 long")
@@ -251,9 +273,9 @@ def fuse(blocks: DataFrame, models: DataFrame, tile_shape: DataFrame, cell: tupl
             fill.add(r.origin, arrays.voxels(r), r.inverse, r.whole)
 
     new, result = _fresh(cell, lower, blend), lambda c, fill: [_fused(c, fill, kind)] if fill.count.any() else []
-    half, whole = F.lit(-0.5), [F.get("whole", F.lit(d)) - 0.5 for d in range(3)]
-    reached = _reached(models.join(tile_shape.select("tile", "whole"), "tile"), [half] * 3, whole, cell, lower)
-    return _filled(cut_to_cells(blocks, models, tile_shape, cell, lower), _parts(reached, blend), new, add, result, FUSED)
+    half, whole, placed = F.lit(-0.5), [F.get("whole", F.lit(d)) - 0.5 for d in range(3)], _placed(models, tile_shape)
+    reached = _reached(placed, [half] * 3, whole, cell, lower)
+    return _filled(_cut(blocks, placed, cell, lower), _parts(reached, blend), new, add, result, FUSED)
 
 
 def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
@@ -263,7 +285,7 @@ def cells_of_tiles(tiles: DataFrame, cell: tuple[int, int, int], lower: tuple[in
     whole = F.col("shape")
     if "size" in tiles.columns:
         whole = F.array(*[F.least(F.get("shape", F.lit(d)), F.get("size", F.lit(d)).cast("long")) for d in range(3)])  # least skips nulls
-    rows = tiles.join(known, "uri").withColumn("whole", whole).withColumn("inverse", F.array(*G.inverse(G.model())))
+    rows = tiles.join(known.hint("merge"), "uri").withColumn("whole", whole).withColumn("inverse", F.array(*G.inverse(G.model())))
     half = F.lit(-0.5)
     rows = _reached(rows, [half] * 3, [F.get("whole", F.lit(d)) - 0.5 for d in range(3)], cell, lower)
     return rows.select("tile", "uri", "whole", "inverse", *_CELL)

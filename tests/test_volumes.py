@@ -242,6 +242,24 @@ def test_blocks_are_cut_before_they_are_sent(spark):
         assert v.nbytes <= sent <= most * v.nbytes and cut.count() >= 4
 
 
+def test_models_of_many_tiles_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Small in bytes, but a row a tile: beyond a number of tiles no table is collected to be sent to all."""
+    v = np.arange(4 * 4 * 2).reshape(4, 4, 2).astype("<u2")
+    blocks = spark.createDataFrame([(k, [0, 0, 0], list(v.shape), "<u2", bytearray((v + k).tobytes())) for k in range(6)], f"tile long, {arrays.VOXELS}")
+    whole = spark.createDataFrame([(k, list(v.shape)) for k in range(6)], "tile long, whole array<long>")
+    models = spark.createDataFrame([(k, *map(float, shifted(3 * k, k, 0).ravel())) for k in range(6)], "tile long, " + ", ".join(f"{n} double" for n in G.NAMES))
+    models.write.parquet(f"file://{tmp_path}/models")
+    models = spark.read.parquet(f"file://{tmp_path}/models")
+    cut = lambda: fusion.cut_to_cells(blocks, models, whole, (4, 4, 4))
+    rows = lambda df: sorted((r.tile, r.c0, r.c1, r.c2, tuple(r.origin), bytes(r.data)) for r in df.collect())
+    few = rows(cut())
+    monkeypatch.setattr(fusion, "MOST_SENT", 5, raising=False)
+    monkeypatch.setattr(fusion, "MOST_HELD", 40, raising=False)
+    many = cut()
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many) == few and len(few) > 6
+
+
 @pytest.mark.parametrize("blend", fusion.BLENDS)
 def test_stored_tiles_fuse_as_rows_do(spark, tmp_path, blend):
     rng = np.random.default_rng(4)
