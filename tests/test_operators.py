@@ -142,6 +142,19 @@ def test_equal_boxes_are_searched_once(spark):
     assert found.count() == 0 and "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_written_points_in_boxes_take_few_bytes(spark, tmp_path, monkeypatch):
+    """Points of a place meet its boxes in short runs that repeat, over several tasks."""
+    monkeypatch.setattr(spatial, "POINTS_TOGETHER", 100, raising=False)
+    points = spark.range(400).select(F.col("id").alias("i"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    k = np.random.default_rng(5).permutation(30000)[:3000]
+    boxes = spark.createDataFrame([(int(v), 0.0, 0.0, 1.0, 1.0) for v in k], "k long, a double, b double, c double, d double")
+    found = spatial.point_in_box_join(points, boxes, ["x", "y"], ["a", "b"], ["c", "d"], 1).select("i", "k")
+    found.withColumn("task", F.spark_partition_id()).write.parquet(f"file://{tmp_path}/found")
+    n = spark.read.parquet(f"file://{tmp_path}/found").agg(F.count("*"), F.countDistinct("i", "k"), F.countDistinct("task")).first()
+    assert tuple(n)[:2] == (400 * 3000, 400 * 3000) and n[2] > 1
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("part-*")) < n[0] / 4
+
+
 @pytest.mark.parametrize("block", [3, 100])
 def test_pairs_in_groups_equal_all_pairs(spark, block):
     rows = [("u", k % 17, k) for k in range(20)] + [("v", k, -k) for k in range(9)] + [("w", 1, 0), (None, 1, 0), (None, 2, 0), ("u", None, 0)]
